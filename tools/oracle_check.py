@@ -51,6 +51,19 @@ def rows_of(cols, records, digits):
     return sorted(out, key=repr)
 
 
+SPARK_T = {"IntegerType": "int32", "LongType": "int64", "DoubleType": "float64", "FloatType": "float32",
+           "StringType": "str", "DateType": "date", "TimestampType": "ts", "TimestampNTZType": "ts",
+           "BooleanType": "bool", "ShortType": "int16", "ByteType": "int8"}
+DUCK_T = {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "float64", "FLOAT": "float32", "VARCHAR": "str",
+          "DATE": "date", "TIMESTAMP": "ts", "BOOLEAN": "bool", "SMALLINT": "int16", "TINYINT": "int8"}
+
+
+def type_diff(sdf, cur):
+    st = {f.name: SPARK_T.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in sdf.schema.fields}
+    dt_ = {d[0]: DUCK_T.get(str(d[1]), str(d[1])) for d in cur.description}
+    return {k: (st[k], dt_.get(k)) for k in st if st[k] != dt_.get(k)}
+
+
 def duck(sf_dir):
     con = duckdb.connect()
     for t in DRIVER_TABLES:
@@ -95,6 +108,9 @@ def main():
             print(f"MISMATCH {k}: columns spark={sorted(scols)} duck={sorted(dcols)}")
             bad += 1
             continue
+        td = type_diff(sdf, cur)
+        if td:
+            print(f"TYPES    {k}: {td}")
         a = rows_of(scols, srows, 6)
         b = rows_of(dcols, drows, 6)
         if a == b:
