@@ -208,7 +208,7 @@ def univariate_panel(apps: DataFrame, products: DataFrame, subs: DataFrame, mark
     parts = []
     for df, col, k in specs:
         vc = value_counts(df, col, k=k, count_name="count", pct_name=None)
-        parts.append(vc.select(F.lit(col).alias("column"), F.col(col).cast("string").alias("value"), "count"))
+        parts.append(vc.select(F.lit(col).alias("column_name"), F.col(col).cast("string").alias("value"), "count"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

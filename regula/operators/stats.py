@@ -146,7 +146,7 @@ def skewness_flag(df: DataFrame, cols: list[str], threshold: float = 1.0) -> Dat
     one aggregation pass for all columns, then unpivoted."""
     from regula.functions.columns import skew_bias_corrected
     one = df.agg(*[skew_bias_corrected(F.col(x).cast("double")).alias(x) for x in cols])
-    long = one.unpivot([], cols, "column", "skewness")
+    long = one.unpivot([], cols, "column_name", "skewness")
     return long.withColumn("is_skewed", F.coalesce(F.abs(F.col("skewness")) > threshold, F.lit(False)))
 
 

@@ -317,13 +317,13 @@ def r15_radar(spark, d):
 
 
 @register("R16_univariate_panel", sql=with_roles("applications", "products", "submissions", "marketing_status") + """
-, t AS (SELECT 'ApplType' AS column, CAST(ApplType AS VARCHAR) AS value, count(*) AS count FROM applications WHERE ApplType IS NOT NULL GROUP BY 2)
-, s AS (SELECT 'SubmissionStatus' AS column, SubmissionStatus AS value, count(*) AS count FROM submissions WHERE SubmissionStatus IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
-, p AS (SELECT 'ReviewPriority' AS column, ReviewPriority AS value, count(*) AS count FROM submissions WHERE ReviewPriority IS NOT NULL GROUP BY 2)
-, f AS (SELECT 'Form' AS column, Form AS value, count(*) AS count FROM products WHERE Form IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 15)
-, r AS (SELECT 'ReferenceDrug' AS column, CAST(ReferenceDrug AS VARCHAR) AS value, count(*) AS count FROM products WHERE ReferenceDrug IS NOT NULL GROUP BY 2)
-, m AS (SELECT 'MarketingStatusID' AS column, CAST(MarketingStatusID AS VARCHAR) AS value, count(*) AS count FROM marketing_status WHERE MarketingStatusID IS NOT NULL GROUP BY 2)
-, sp AS (SELECT 'SponsorName' AS column, SponsorName AS value, count(*) AS count FROM applications WHERE SponsorName IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
+, t AS (SELECT 'ApplType' AS column_name, CAST(ApplType AS VARCHAR) AS value, count(*) AS count FROM applications WHERE ApplType IS NOT NULL GROUP BY 2)
+, s AS (SELECT 'SubmissionStatus' AS column_name, SubmissionStatus AS value, count(*) AS count FROM submissions WHERE SubmissionStatus IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
+, p AS (SELECT 'ReviewPriority' AS column_name, ReviewPriority AS value, count(*) AS count FROM submissions WHERE ReviewPriority IS NOT NULL GROUP BY 2)
+, f AS (SELECT 'Form' AS column_name, Form AS value, count(*) AS count FROM products WHERE Form IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 15)
+, r AS (SELECT 'ReferenceDrug' AS column_name, CAST(ReferenceDrug AS VARCHAR) AS value, count(*) AS count FROM products WHERE ReferenceDrug IS NOT NULL GROUP BY 2)
+, m AS (SELECT 'MarketingStatusID' AS column_name, CAST(MarketingStatusID AS VARCHAR) AS value, count(*) AS count FROM marketing_status WHERE MarketingStatusID IS NOT NULL GROUP BY 2)
+, sp AS (SELECT 'SponsorName' AS column_name, SponsorName AS value, count(*) AS count FROM applications WHERE SponsorName IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
 SELECT * FROM t UNION ALL SELECT * FROM s UNION ALL SELECT * FROM p UNION ALL SELECT * FROM f
 UNION ALL SELECT * FROM r UNION ALL SELECT * FROM m UNION ALL SELECT * FROM sp
 """)

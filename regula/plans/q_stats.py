@@ -135,7 +135,7 @@ def z5_share(spark, d):
 
 
 @register("Z6_skewness_flags", sql="""
-SELECT 'l_quantity' AS column, skewness(l_quantity) AS skewness, coalesce(abs(skewness(l_quantity)) > 1, false) AS is_skewed FROM lineitem
+SELECT 'l_quantity' AS column_name, skewness(l_quantity) AS skewness, coalesce(abs(skewness(l_quantity)) > 1, false) AS is_skewed FROM lineitem
 UNION ALL SELECT 'l_extendedprice', skewness(l_extendedprice), coalesce(abs(skewness(l_extendedprice)) > 1, false) FROM lineitem
 UNION ALL SELECT 'l_discount', skewness(l_discount), coalesce(abs(skewness(l_discount)) > 1, false) FROM lineitem
 UNION ALL SELECT 'l_tax', skewness(l_tax), coalesce(abs(skewness(l_tax)) > 1, false) FROM lineitem

@@ -53,4 +53,5 @@ def load_all() -> None:
         q_reports,
         q_timeseries,
         q_stats,
+        q_profile,
     )
