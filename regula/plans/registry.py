@@ -54,4 +54,5 @@ def load_all() -> None:
         q_timeseries,
         q_stats,
         q_profile,
+        q_prescriptive,
     )
