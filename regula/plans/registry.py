@@ -55,4 +55,5 @@ def load_all() -> None:
         q_stats,
         q_profile,
         q_prescriptive,
+        q_ml_tables,
     )
