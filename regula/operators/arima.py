@@ -1,0 +1,171 @@
+"""Per-series unit-root test (T8) and ARIMA(p,1,q) fits.
+
+Each series is small (one row per month), so series are processed in
+parallel with ``groupBy(series).applyInPandas``: one task per series, numpy
+least squares inside.  A single-series input is simply one group.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from regula.functions.distributions import norm_sf
+
+# MacKinnon (1994) response-surface coefficients for the
+# Dickey-Fuller tau statistic, one regressor, constant term.
+TAU_MAX_C = 2.74
+TAU_MIN_C = -18.83
+TAU_STAR_C = -1.61
+TAU_C_SMALLP = (2.1659, 1.4412, 0.038269)
+TAU_C_LARGEP = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def mackinnon_p(stat: float) -> float:
+    if stat > TAU_MAX_C:
+        return 1.0
+    if stat < TAU_MIN_C:
+        return 0.0
+    coef = TAU_C_SMALLP if stat <= TAU_STAR_C else TAU_C_LARGEP
+    z = sum(c * stat ** i for i, c in enumerate(coef))
+    return 1.0 - norm_sf(z)
+
+
+def _ols(y: np.ndarray, x: np.ndarray):
+    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
+    resid = y - x @ beta
+    n, k = x.shape
+    ssr = float(resid @ resid)
+    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1) if ssr > 0 else float("inf")
+    sigma2 = ssr / max(n - k, 1)
+    try:
+        cov = sigma2 * np.linalg.inv(x.T @ x)
+        se = np.sqrt(np.diag(cov))
+    except np.linalg.LinAlgError:
+        se = np.full(k, np.nan)
+    return beta, se, llf, resid
+
+
+def _lagmat(dx: np.ndarray, lags: int) -> np.ndarray:
+    """Rows t = lags..len-1: [dx_t, dx_{t-1}, ..., dx_{t-lags}]."""
+    n = len(dx)
+    return np.column_stack([dx[lags - j:n - j] for j in range(lags + 1)])
+
+
+def adf_test(x: np.ndarray, maxlag: int | None = None) -> dict:
+    """Augmented Dickey-Fuller with a constant and AIC lag choice."""
+    x = np.asarray(x, dtype="float64")
+    nobs = len(x)
+    if maxlag is None:
+        maxlag = int(math.ceil(12.0 * (nobs / 100.0) ** 0.25))
+        maxlag = max(0, min(nobs // 2 - 2, maxlag))
+    dx = np.diff(x)
+
+    def design(lags):
+        m = _lagmat(dx, lags)
+        n = m.shape[0]
+        y = m[:, 0].copy()
+        m[:, 0] = x[-n - 1:-1]
+        return y, m
+
+    y_full, m_full = design(maxlag)
+    rhs = np.column_stack([np.ones(len(y_full)), m_full])
+    best, best_aic = 0, float("inf")
+    for lag in range(0, maxlag + 1):
+        _, _, llf, _ = _ols(y_full, rhs[:, :lag + 2])
+        aic = -2 * llf + 2 * (lag + 2)
+        if aic < best_aic - 1e-12:
+            best, best_aic = lag, aic
+    y, m = design(best)
+    x2 = np.column_stack([m[:, :best + 1], np.ones(len(y))])
+    beta, se, _, _ = _ols(y, x2)
+    stat = float(beta[0] / se[0])
+    p = mackinnon_p(stat)
+    return {"adf_statistic": stat, "p_value": p, "used_lag": int(best), "n_obs": int(len(y)),
+            "stationary": bool(p < 0.05)}
+
+
+def adf_by_series(ts: DataFrame, value: str, order: str, series: str | None = None) -> DataFrame:
+    """ADF statistic, MacKinnon p-value and stationarity label per series."""
+    key = series or "_series"
+    d = ts if series else ts.withColumn("_series", F.lit("all"))
+    kt = d.schema[key].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        r = adf_test(pdf[value].to_numpy(dtype="float64"))
+        return pd.DataFrame([{key: pdf[key].iloc[0], **r}])
+
+    schema = (f"`{key}` {kt}, adf_statistic double, p_value double, used_lag int, n_obs int, stationary boolean")
+    return d.select(key, order, value).groupBy(key).applyInPandas(run, schema)
+
+
+def fit_arima(y: np.ndarray, p: int = 2, d: int = 1, q: int = 2, horizon: int = 12) -> dict:
+    """ARIMA(p,d,q) without constant by Hannan-Rissanen two-stage least
+    squares: a long AR gives innovation estimates, then y_t is regressed on
+    its own lags and the lagged innovations.  Gaussian log-likelihood of the
+    residuals gives AIC / BIC (p + q coefficients + variance)."""
+    y = np.asarray(y, dtype="float64")
+    z = np.diff(y, n=d) if d else y.copy()
+    n = len(z)
+    m = max(p + q, min(int(round(math.log(max(n, 2)) ** 2)), n // 3))
+    m = max(1, min(m, n - p - q - 2)) if n > p + q + 3 else 1
+    e = np.zeros(n)
+    if n > m + 1:
+        xa = np.column_stack([z[m - j - 1:n - j - 1] for j in range(m)])
+        ba, *_ = np.linalg.lstsq(xa, z[m:], rcond=None)
+        e[m:] = z[m:] - xa @ ba
+    start = m + max(p, q)
+    cols = [z[start - i:n - i] for i in range(1, p + 1)] + [e[start - j:n - j] for j in range(1, q + 1)]
+    x = np.column_stack(cols) if cols else np.zeros((n - start, 0))
+    target = z[start:]
+    beta, *_ = np.linalg.lstsq(x, target, rcond=None)
+    ar, ma = beta[:p], beta[p:]
+    # residual recursion over the whole differenced series
+    res = np.zeros(n)
+    for t in range(n):
+        pred = sum(ar[i] * z[t - i - 1] for i in range(p) if t - i - 1 >= 0)
+        pred += sum(ma[j] * res[t - j - 1] for j in range(q) if t - j - 1 >= 0)
+        res[t] = z[t] - pred
+    used = res[max(p, q):]
+    sigma2 = float(used @ used / max(len(used), 1))
+    nn = len(used)
+    llf = -nn / 2.0 * (math.log(2 * math.pi * sigma2) + 1) if sigma2 > 0 else float("inf")
+    k = p + q + 1
+    zf = list(z)
+    rf = list(res)
+    fc = []
+    level = list(y)
+    for _ in range(horizon):
+        v = sum(ar[i] * zf[-i - 1] for i in range(p)) + sum(ma[j] * rf[-j - 1] for j in range(q))
+        zf.append(v)
+        rf.append(0.0)
+        if d:
+            level.append(level[-1] + v)
+            fc.append(level[-1])
+        else:
+            fc.append(v)
+    return {"ar": ar.tolist(), "ma": ma.tolist(), "sigma2": sigma2, "llf": llf,
+            "aic": -2 * llf + 2 * k, "bic": -2 * llf + k * math.log(max(nn, 1)), "forecast": fc}
+
+
+def arima_by_series(ts: DataFrame, value: str, order: str, series: str | None = None, p: int = 2, d: int = 1,
+                    q: int = 2, horizon: int = 12) -> DataFrame:
+    """ARIMA(p,d,q) fit, AIC, BIC and an h-step forecast per series."""
+    key = series or "_series"
+    dd = ts if series else ts.withColumn("_series", F.lit("all"))
+    kt = dd.schema[key].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        r = fit_arima(pdf[value].to_numpy(dtype="float64"), p, d, q, horizon)
+        return pd.DataFrame([{key: pdf[key].iloc[0], "ar": r["ar"], "ma": r["ma"], "sigma2": r["sigma2"],
+                              "aic": r["aic"], "bic": r["bic"], "forecast": r["forecast"]}])
+
+    schema = (f"`{key}` {kt}, ar array<double>, ma array<double>, sigma2 double, aic double, bic double, "
+              "forecast array<double>")
+    return dd.select(key, order, value).groupBy(key).applyInPandas(run, schema)

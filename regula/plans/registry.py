@@ -56,4 +56,5 @@ def load_all() -> None:
         q_profile,
         q_prescriptive,
         q_ml_tables,
+        q_models,
     )
