@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
@@ -24,6 +25,13 @@ from pyspark.sql import functions as F
 from regula.operators.ml_tables import auc
 
 
+def _parallel(fns, workers: int = 8):
+    """Run independent fits concurrently: Spark schedules jobs from several
+    driver threads side by side (as CrossValidator's ``parallelism`` does)."""
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(fns)))) as ex:
+        return list(ex.map(lambda f: f(), fns))
+
+
 def assembled(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(
         df.select(*[F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in df.columns]))
@@ -79,38 +87,47 @@ def train_classifiers(train: DataFrame, test: DataFrame, features: list[str], la
     te = assembled(test, features)
     sc = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(tr)
     tr_s, te_s = sc.transform(tr), sc.transform(te)
-    out = {}
     p1 = vector_to_array(F.col("probability"))[1]
     wanted = models or ["Logistic Regression", "Random Forest", "Gradient Boosting", "SVM"]
+    jobs = {}
     if "Logistic Regression" in wanted:
-        m = LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=1000).fit(tr_s)
-        out["Logistic Regression"] = (m, m.transform(te_s).withColumn("p1", p1))
+        def lr():
+            m = LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=1000).fit(tr_s)
+            return m, m.transform(te_s).withColumn("p1", p1)
+        jobs["Logistic Regression"] = lr
     if "Random Forest" in wanted:
-        m = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=100, maxDepth=rf_depth,
-                                   seed=seed).fit(tr)
-        out["Random Forest"] = (m, m.transform(te).withColumn("p1", p1))
+        def rf():
+            m = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=100, maxDepth=rf_depth,
+                                       seed=seed).fit(tr)
+            return m, m.transform(te).withColumn("p1", p1)
+        jobs["Random Forest"] = rf
     if "Gradient Boosting" in wanted:
-        m = GBTClassifier(featuresCol="features", labelCol=label, maxIter=100, maxDepth=3, stepSize=0.1,
-                          seed=seed).fit(tr)
-        out["Gradient Boosting"] = (m, m.transform(te).withColumn("p1", p1))
+        def gbt():
+            m = GBTClassifier(featuresCol="features", labelCol=label, maxIter=100, maxDepth=3, stepSize=0.1,
+                              seed=seed).fit(tr)
+            return m, m.transform(te).withColumn("p1", p1)
+        jobs["Gradient Boosting"] = gbt
     if "SVM" in wanted:
-        d = len(features)
-        # gamma='scale': 1 / (n_features * variance of the scaled inputs)
-        var = (tr_s.select(F.explode(vector_to_array("scaled")).alias("_v"))
-                   .agg(F.var_pop("_v").alias("v")).first()["v"]) or 1.0
-        gamma = 1.0 / (d * var)
-        tr_r = _rff(tr_s, "scaled", "rff", rff_dim, d, gamma, seed).cache()
-        te_r = _rff(te_s, "scaled", "rff", rff_dim, d, gamma, seed)
-        svm = LinearSVC(featuresCol="rff", labelCol=label, maxIter=100, regParam=1.0 / max(tr_r.count(), 1)).fit(tr_r)
-        margin = vector_to_array(F.col("rawPrediction"))[1]
-        cal_in = VectorAssembler(inputCols=["_margin"], outputCol="_mvec")
-        tr_m = cal_in.transform(svm.transform(tr_r).withColumn("_margin", margin))
-        cal = LogisticRegression(featuresCol="_mvec", labelCol=label).fit(
-            tr_m.select("_mvec", label))
-        te_m = cal_in.transform(svm.transform(te_r).withColumn("_margin", margin))
-        pred = cal.transform(te_m.drop("rawPrediction", "probability", "prediction")).withColumn("p1", p1)
-        out["SVM"] = ((svm, cal), pred)
-        tr_r.unpersist()
+        def svm_job():
+            d = len(features)
+            # gamma='scale': 1 / (n_features * variance of the scaled inputs)
+            var = (tr_s.select(F.explode(vector_to_array("scaled")).alias("_v"))
+                       .agg(F.var_pop("_v").alias("v")).first()["v"]) or 1.0
+            gamma = 1.0 / (d * var)
+            tr_r = _rff(tr_s, "scaled", "rff", rff_dim, d, gamma, seed).cache()
+            te_r = _rff(te_s, "scaled", "rff", rff_dim, d, gamma, seed)
+            svm = LinearSVC(featuresCol="rff", labelCol=label, maxIter=100,
+                            regParam=1.0 / max(tr_r.count(), 1)).fit(tr_r)
+            margin = vector_to_array(F.col("rawPrediction"))[1]
+            cal_in = VectorAssembler(inputCols=["_margin"], outputCol="_mvec")
+            tr_m = cal_in.transform(svm.transform(tr_r).withColumn("_margin", margin))
+            cal = LogisticRegression(featuresCol="_mvec", labelCol=label).fit(tr_m.select("_mvec", label))
+            te_m = cal_in.transform(svm.transform(te_r).withColumn("_margin", margin))
+            pred = cal.transform(te_m.drop("rawPrediction", "probability", "prediction")).withColumn("p1", p1)
+            return (svm, cal), pred
+        jobs["SVM"] = svm_job
+    names = list(jobs)
+    out = dict(zip(names, _parallel([jobs[n] for n in names], 4)))
     metrics = None
     for name, (_, pred) in out.items():
         m = _metrics(pred, name, label)
@@ -193,19 +210,26 @@ def train_regressors(ts: DataFrame, features: list[str], target: str = "TotalSub
                                                   stepSize=0.1, seed=seed),
     }
     ev = RegressionEvaluator(labelCol=target, predictionCol="prediction")
+    def fit_eval(name, f):
+        mk = makers[name]
+        if f is None:
+            est = mk(n) if name == "Ridge Regression" else mk()
+            pred = est.fit(data).transform(data).cache()
+            return (ev.evaluate(pred, {ev.metricName: "mae"}), ev.evaluate(pred, {ev.metricName: "rmse"}),
+                    ev.evaluate(pred, {ev.metricName: "r2"}))
+        start = n - (n_splits - f) * tsize
+        tr = data.filter(F.col("row_idx") < start)
+        va = data.filter((F.col("row_idx") >= start) & (F.col("row_idx") < start + tsize))
+        est = mk(start) if name == "Ridge Regression" else mk()
+        return ev.evaluate(est.fit(tr).transform(va), {ev.metricName: "mae"})
+
+    tasks = [(name, f) for name in makers for f in [*range(n_splits), None]]
+    res = dict(zip(tasks, _parallel([lambda t=t: fit_eval(*t) for t in tasks], 8)))
     rows = []
-    for name, mk in makers.items():
-        maes = []
-        for f in range(n_splits):
-            start = n - (n_splits - f) * tsize
-            tr = data.filter(F.col("row_idx") < start)
-            va = data.filter((F.col("row_idx") >= start) & (F.col("row_idx") < start + tsize))
-            est = mk(start) if name == "Ridge Regression" else mk()
-            maes.append(ev.evaluate(est.fit(tr).transform(va), {ev.metricName: "mae"}))
-        est = mk(n) if name == "Ridge Regression" else mk()
-        pred = est.fit(data).transform(data)
-        rows.append((name, float(sum(maes) / len(maes)), ev.evaluate(pred, {ev.metricName: "mae"}),
-                     ev.evaluate(pred, {ev.metricName: "rmse"}), ev.evaluate(pred, {ev.metricName: "r2"})))
+    for name in makers:
+        maes = [res[(name, f)] for f in range(n_splits)]
+        mae, rmse, r2 = res[(name, None)]
+        rows.append((name, float(sum(maes) / len(maes)), mae, rmse, r2))
     data.unpersist()
     return spark.createDataFrame(rows, "model string, cv_mae double, mae double, rmse double, r2 double")
 
@@ -215,44 +239,62 @@ def residuals(model, data: DataFrame, target: str) -> DataFrame:
     return model.transform(data).withColumn("residual", F.col(target) - F.col("prediction"))
 
 
+def _hist_features(h):
+    """Lag / rolling features from the last-12 history array (oldest first)."""
+    def tail(n):
+        return F.slice(h, 13 - n, n)
+
+    def mean(a, n):
+        return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / n
+
+    def std(a, n):
+        m = mean(a, n)
+        return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)) / (n - 1))
+    cols = {f"lag_{k}": h[12 - k] for k in (1, 3, 6, 12)}
+    for n in (3, 6, 12):
+        cols[f"rolling_mean_{n}"] = mean(tail(n), n)
+        cols[f"rolling_std_{n}"] = std(tail(n), n)
+    return cols
+
+
 def recursive_forecast(model, ts_feats: DataFrame, features: list[str], target: str = "TotalSubmissions",
                        order: str = "month", horizon: int = 12, series: str | None = None,
                        update_lags: bool = True) -> DataFrame:
-    """Recursive multi-step forecast (T6) for every series at once: each
-    step is one ``model.transform`` over one row per series.  Lags and the
-    rolling means are rebuilt from the growing history (D10); with
-    ``update_lags=False`` only time_index / month advance, as the reference does."""
+    """Recursive multi-step forecast (T6) for every series at once.
+
+    Each series carries its last 12 values as an array; a step derives the
+    lag and rolling features from that array, runs one ``model.transform``
+    and shifts the prediction into the array (D10).  Every step is a narrow
+    projection over one row per series, so there is no per-step shuffle.
+    With ``update_lags=False`` only time_index and the calendar fields
+    advance, as in the reference."""
     keys = [series] if series else []
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    hist = ts_feats.select(*keys, order, F.col(target).cast("double").alias("_y"))
-    last = ts_feats.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    spark = ts_feats.sparkSession
-    outs = []
-    cur = last
+    ranked = ts_feats.withColumn("_k", F.row_number().over(w))
+    hist = (ranked.filter(F.col("_k") <= 12).groupBy(*keys)
+                  .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
+                                                                         F.col(target).cast("double").alias("y")))),
+                                   lambda s: s["y"]).alias("_h")))
+    last = ranked.filter(F.col("_k") == 1).drop("_k")
+    cur = last.join(hist, keys, "inner") if keys else last.crossJoin(hist)
+    cur = cur.withColumn("_fc", F.array().cast("array<struct<step:int,month:date,forecast:double>>"))
+    # the start state is one row per series: cut the lineage to the source
+    # aggregation once, so the 12 chained steps stay a shallow plan
+    cur = cur.checkpoint(eager=True)
     for step in range(1, horizon + 1):
-        nxt = cur.withColumn(order, F.add_months(F.col(order), 1))
-        nxt = (nxt.withColumn("time_index", F.col("time_index") + 1)
-                  .withColumn("month_of_year", F.month(order)).withColumn("quarter", F.quarter(order))
-                  .withColumn("year", F.year(order)).withColumn("days_in_month", F.dayofmonth(F.last_day(order))))
+        nm = F.add_months(F.col(order), 1)
+        new = {order: nm, "time_index": F.col("time_index") + 1, "month_of_year": F.month(nm),
+               "quarter": F.quarter(nm), "year": F.year(nm), "days_in_month": F.dayofmonth(F.last_day(nm))}
         if update_lags:
-            hw = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-            ranked = hist.withColumn("_k", F.row_number().over(hw))
-            agg = ranked.groupBy(*keys).agg(
-                *[F.max(F.when(F.col("_k") == k, F.col("_y"))).alias(f"lag_{k}") for k in (1, 3, 6, 12)],
-                *[F.avg(F.when(F.col("_k") <= n, F.col("_y"))).alias(f"rolling_mean_{n}") for n in (3, 6, 12)],
-                *[F.stddev_samp(F.when(F.col("_k") <= n, F.col("_y"))).alias(f"rolling_std_{n}") for n in (3, 6, 12)])
-            drop = [c for c in agg.columns if c not in keys]
-            nxt = nxt.drop(*drop)
-            nxt = nxt.join(agg, keys, "inner") if keys else nxt.crossJoin(agg)
-        pred = model.transform(assembled(nxt.drop("features", "prediction"), features))
-        pred = pred.select(*[c for c in nxt.columns if c != target], F.col("prediction").alias(target))
-        outs.append(pred.select(*keys, order, F.lit(step).alias("step"), F.col(target).alias("forecast")))
-        hist = hist.unionByName(pred.select(*keys, order, F.col(target).cast("double").alias("_y")))
-        cur = pred.checkpoint(eager=True)
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+            new.update(_hist_features(F.col("_h")))
+        cur = cur.select(*[new[c].alias(c) if c in new else F.col(c) for c in cur.columns if c not in ("features", "prediction")])
+        pred = model.transform(assembled(cur, features))
+        entry = F.struct(F.lit(step).alias("step"), F.col(order).cast("date").alias("month"),
+                         F.col("prediction").alias("forecast"))
+        cur = pred.select(*[c for c in cur.columns if c not in ("_h", "_fc")],
+                          F.concat(F.slice(F.col("_h"), 2, 11), F.array(F.col("prediction"))).alias("_h"),
+                          F.concat(F.col("_fc"), F.array(entry)).alias("_fc"))
+    return cur.select(*keys, F.explode("_fc").alias("_f")).select(*keys, "_f.step", "_f.month", "_f.forecast")
 
 
 # ------------------------------------------------------------------- M14
@@ -283,8 +325,8 @@ def kmeans_select(df: DataFrame, features: list[str], ks=range(2, 8), n_init: in
     ev = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster", distanceMeasure="squaredEuclidean")
     rows, best = [], None
     for k in ks:
-        fits = [KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed + i, maxIter=300).fit(data)
-                for i in range(n_init)]
+        fits = _parallel([lambda i=i: KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed + i,
+                                             maxIter=300).fit(data) for i in range(n_init)])
         m = min(fits, key=lambda f: f.summary.trainingCost)
         sil = ev.evaluate(m.transform(data))
         rows.append((k, float(m.summary.trainingCost), float(sil)))
