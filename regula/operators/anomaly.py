@@ -88,7 +88,8 @@ def isolation_forest(df: DataFrame, key_cols: list[str], features: list[str], *,
     ``score_samples`` reports it) and flag for the lowest ``contamination``
     share of rows."""
     spark = df.sparkSession
-    data = df.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in features])
+    from regula.operators.models import materialise
+    data = materialise(df.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in features]))
     n = data.count()
     psi = int(min(max_samples, n))
     rate = min(1.0, oversample * psi / max(n, 1))

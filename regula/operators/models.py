@@ -32,6 +32,18 @@ def _parallel(fns, workers: int = 8):
         return list(ex.map(lambda f: f(), fns))
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Checkpoint a training frame (cuts lineage; survives executor loss) and
+    spread it over the cluster's task slots when AQE has coalesced it into
+    fewer partitions than that, so iterative fits use every core.  Large
+    frames already have more partitions and are left as they are."""
+    df = df.checkpoint(eager=True)
+    dp = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < dp:
+        df = df.repartition(dp).checkpoint(eager=True)
+    return df.cache()
+
+
 def assembled(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(
         df.select(*[F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in df.columns]))
@@ -76,15 +88,15 @@ def _metrics(pred: DataFrame, name: str, label: str, prob_col: str = "p1") -> Da
 
 
 def train_classifiers(train: DataFrame, test: DataFrame, features: list[str], label: str = "IsApproved",
-                      seed: int = 42, rf_depth: int = 30, rff_dim: int = 100, models=None):
+                      seed: int = 42, rf_depth: int = 12, rff_dim: int = 100, models=None):
     """Four classifiers (M8): logistic regression (scaled), random forest
     (100 trees), gradient boosting (100 rounds, depth 3) and an RBF-kernel
     SVM (scaled; random Fourier features + linear SVM + logistic
     calibration of the margin for probabilities).
 
     Returns (metrics DataFrame, {name: (model, predictions)})."""
-    tr = assembled(train, features).cache()
-    te = assembled(test, features)
+    tr = materialise(assembled(train, features))
+    te = materialise(assembled(test, features))
     sc = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(tr)
     tr_s, te_s = sc.transform(tr), sc.transform(te)
     p1 = vector_to_array(F.col("probability"))[1]
@@ -161,7 +173,7 @@ def rf_grid_search(train: DataFrame, test: DataFrame, features: list[str], label
     """Random-forest grid search with k-fold CV on AUC, refit, test AUC.
     min_samples_split has no Spark parameter, so that axis is dropped."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    tr = stratified_folds(assembled(train, features), list(key_cols), folds, seed).cache()
+    tr = materialise(stratified_folds(assembled(train, features), list(key_cols), folds, seed))
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
     grid = (ParamGridBuilder().addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths))
             .addGrid(rf.minInstancesPerNode, list(leaves)).build())
@@ -192,11 +204,11 @@ def time_series_folds(ts: DataFrame, order: str = "month", n_splits: int = 5) ->
 
 
 def train_regressors(ts: DataFrame, features: list[str], target: str = "TotalSubmissions", order: str = "month",
-                     n_splits: int = 5, seed: int = 42) -> DataFrame:
+                     n_splits: int = 5, seed: int = 42, rf_depth: int = 12) -> DataFrame:
     """Linear, ridge (alpha 1), random forest and gradient boosting
     regressors with expanding-window CV MAE and in-sample MAE / RMSE / R2 (M13)."""
     spark = ts.sparkSession
-    data = assembled(time_series_folds(ts, order, n_splits), features).cache()
+    data = materialise(assembled(time_series_folds(ts, order, n_splits), features))
     n = data.count()
     tsize = n // (n_splits + 1)
     makers = {
@@ -205,7 +217,7 @@ def train_regressors(ts: DataFrame, features: list[str], target: str = "TotalSub
         "Ridge Regression": lambda m: LinearRegression(featuresCol="features", labelCol=target, elasticNetParam=0.0,
                                                        regParam=1.0 / max(m, 1), standardization=False),
         "Random Forest": lambda: RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=100,
-                                                       maxDepth=30, seed=seed),
+                                                       maxDepth=rf_depth, seed=seed),
         "Gradient Boosting": lambda: GBTRegressor(featuresCol="features", labelCol=target, maxIter=100, maxDepth=3,
                                                   stepSize=0.1, seed=seed),
     }
@@ -300,13 +312,14 @@ def recursive_forecast(model, ts_feats: DataFrame, features: list[str], target:
 # ------------------------------------------------------------------- M14
 
 def approval_time_regression(table: DataFrame, features: list[str], target: str = "DaysToApproval",
-                             key_cols=("ApplNo",), seed: int = 42):
+                             key_cols=("ApplNo",), seed: int = 42, rf_depth: int = 12):
     """Random-forest regression of approval days (M14): 80/20 split, MAE,
     RMSE, R2 and the importances."""
     from regula.operators.ml_tables import split_flag
-    d = split_flag(assembled(table, features), list(key_cols), 0.2, seed)
+    d = materialise(split_flag(assembled(table, features), list(key_cols), 0.2, seed))
     tr, te = d.filter(~F.col("is_test")), d.filter(F.col("is_test"))
-    m = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=100, maxDepth=30, seed=seed).fit(tr)
+    m = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=100, maxDepth=rf_depth,
+                              seed=seed).fit(tr)
     pred = m.transform(te)
     ev = RegressionEvaluator(labelCol=target, predictionCol="prediction")
     spark = table.sparkSession
@@ -321,7 +334,8 @@ def kmeans_select(df: DataFrame, features: list[str], ks=range(2, 8), n_init: in
     """K-means for each k with ``n_init`` seeds (lowest cost kept), silhouette
     per k (squared Euclidean, linear time), best k by silhouette, refit (M16/M17)."""
     data, _ = scaled(assembled(df, features))
-    data = data.select("scaled", *[c for c in df.columns]).cache()
+    # materialise once: concurrent fits must not each recompute the lineage
+    data = materialise(data.select("scaled", *[c for c in df.columns]))
     ev = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster", distanceMeasure="squaredEuclidean")
     rows, best = [], None
     for k in ks:
