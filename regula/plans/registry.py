@@ -51,6 +51,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from regula.plans import (  # noqa: F401
         q_reports,
+        q_relational,
         q_timeseries,
         q_stats,
         q_profile,
