@@ -3,9 +3,9 @@
 * S1: header TSV with a declared schema (keys stay strings, so zero padding
   survives) and pandas' default null tokens mapped to null on every string
   column (N1) - Spark's CSV reader knows only one null token.
-* S2: encoding fallback in one distributed pass: files are read as UTF-8;
-  files containing U+FFFD (undecodable bytes) are listed from the scan's
-  ``_metadata.file_path`` and re-read as ISO-8859-1, which never fails.
+* S2: encoding fallback in one distributed pass: files with bytes that are
+  not valid UTF-8 are listed from the scan's ``_metadata.file_path`` and
+  re-read as ISO-8859-1 (which never fails); the rest are read as UTF-8.
 * S3: rows with MORE fields than the header are dropped (pandas
   ``on_bad_lines='skip'``); short rows are kept and padded with nulls.
 """
@@ -56,10 +56,11 @@ def read_delimited(spark: SparkSession, path: str | list[str], *, sep: str = "\t
 
 
 def files_needing_fallback(spark: SparkSession, path: str) -> list[str]:
-    """Files whose UTF-8 decoding produced U+FFFD (S2).  Returns file names
+    """Files holding bytes that are not valid UTF-8 (S2).  The text scan
+    keeps raw bytes, so ``is_valid_utf8`` finds them; returns file names
     only: one small row per bad file."""
-    t = spark.read.option("encoding", "UTF-8").text(path).select("value", "_metadata.file_path")
-    bad = t.filter(F.col("value").contains("�")).select("file_path").distinct()
+    t = spark.read.text(path).select("value", "_metadata.file_path")
+    bad = t.filter(~F.expr("is_valid_utf8(value)")).select("file_path").distinct()
     return [r[0] for r in bad.collect()]
 
 

@@ -75,7 +75,7 @@ def test_similarity_matches_dense_brute_force(spark):
 
 def test_classification_report_and_confusion(spark):
     pairs = [(1, 1)] * 6 + [(1, 0)] * 2 + [(0, 1)] * 1 + [(0, 0)] * 3
-    df = spark.createDataFrame(pairs, "label int, prediction double")
+    df = spark.createDataFrame([(a, float(b)) for a, b in pairs], "label int, prediction double")
     rep = {r["class"]: r for r in M.classification_report(df).collect()}
     assert rep["1"]["precision"] == pytest.approx(6 / 7) and rep["1"]["recall"] == pytest.approx(6 / 8)
     assert rep["0"]["support"] == 4 and rep["macro avg"]["support"] == 12
