@@ -64,21 +64,22 @@ def _grow(pdf: pd.DataFrame, features: list[str], max_depth: int, seed: int) ->
     return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
 
 
-def _path_lengths(x: np.ndarray, nodes: dict) -> np.ndarray:
-    """Mean adjusted path length of every row over all trees (vectorised)."""
+def _path_lengths(x: np.ndarray, forest: dict) -> np.ndarray:
+    """Mean adjusted path length of every row over all trees (vectorised):
+    rows descend level by level; a leaf adds its depth + c(leaf size)."""
     total = np.zeros(len(x))
-    for feat, thr, left, right, size, depth in nodes.values():
+    rows = np.arange(len(x))
+    for feat, thr, left, right, adj in forest.values():
         cur = np.zeros(len(x), dtype=np.int64)
         while True:
             f = feat[cur]
             internal = f >= 0
             if not internal.any():
                 break
-            fi = np.where(internal, f, 0)
-            go_left = x[np.arange(len(x)), fi] < thr[cur]
+            go_left = x[rows, np.where(internal, f, 0)] < thr[cur]
             cur = np.where(internal, np.where(go_left, left[cur], right[cur]), cur)
-        total += depth[cur] + np.array([c_factor(s) for s in size[cur]])
-    return total / len(nodes)
+        total += adj[cur]
+    return total / len(forest)
 
 
 def isolation_forest(df: DataFrame, key_cols: list[str], features: list[str], *, n_trees: int = 100,
@@ -113,8 +114,9 @@ def isolation_forest(df: DataFrame, key_cols: list[str], features: list[str], *,
         size = len(g)
         arr = lambda c, dt: np.asarray(g[c].to_numpy(), dtype=dt)
         assert (g["node"].to_numpy() == np.arange(size)).all()
+        adj = arr("depth", np.float64) + np.array([c_factor(v) for v in g["size"].to_numpy()])
         forest[int(t)] = (arr("feature", np.int64), arr("threshold", np.float64), arr("left", np.int64),
-                          arr("right", np.int64), arr("size", np.float64), arr("depth", np.float64))
+                          arr("right", np.int64), adj)
     bc = spark.sparkContext.broadcast(forest)
     cn = c_factor(psi)
     out_schema = ", ".join([f"`{k}` {data.schema[k].dataType.simpleString()}" for k in key_cols]

@@ -25,23 +25,27 @@ from pyspark.sql import functions as F
 def profile_entries(products: DataFrame, apps: DataFrame, *, key: str = "ApplNo", item=("ApplNo", "DrugName"),
                     form: str = "Form", type_col: str = "ApplType", ref: str = "ReferenceDrug") -> DataFrame:
     """Sparse drug profiles: per (ApplNo, DrugName), counts of each form and
-    application type and the summed reference flag."""
+    application type and the summed reference flag.  Each product row emits
+    its (feature, value) pairs, so one aggregation builds every feature."""
     j = products.join(apps.select(key, type_col), key, "inner")
     items = list(item)
-    forms = j.groupBy(*items, F.concat(F.lit("Form_"), F.col(form)).alias("feature")).agg(
-        F.count(F.lit(1)).cast("double").alias("value"))
-    types = j.groupBy(*items, F.concat(F.lit("Type_"), F.col(type_col)).alias("feature")).agg(
-        F.count(F.lit(1)).cast("double").alias("value"))
-    refs = j.groupBy(*items).agg(F.sum(ref).cast("double").alias("value")).withColumn("feature", F.lit(ref))
-    parts = [forms.filter(F.col("feature").isNotNull()), types.filter(F.col("feature").isNotNull()),
-             refs.select(*items, "feature", "value")]
-    return reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("value") != 0)
+    pairs = F.array(
+        F.struct(F.concat(F.lit("Form_"), F.col(form)).alias("feature"), F.lit(1.0).alias("value")),
+        F.struct(F.concat(F.lit("Type_"), F.col(type_col)).alias("feature"), F.lit(1.0).alias("value")),
+        F.struct(F.lit(ref).alias("feature"), F.coalesce(F.col(ref).cast("double"), F.lit(0.0)).alias("value")))
+    e = j.select(*items, F.explode(pairs).alias("_e")).select(*items, "_e.feature", "_e.value")
+    return (e.filter(F.col("feature").isNotNull()).groupBy(*items, "feature").agg(F.sum("value").alias("value"))
+             .filter(F.col("value") != 0))
 
 
 def similar_items(entries: DataFrame, items: DataFrame, item_cols: list[str], queries: DataFrame, *,
                   k: int = 5, max_queries: int = 1000) -> DataFrame:
     """Top-k most similar other items for each query item (cosine of the
     standardised profiles; zero vectors have similarity 0)."""
+    # the profiles are read by several steps below: keep them once (the
+    # lineage is a single aggregation, so a lost block is cheap to rebuild)
+    entries = entries.persist()
+    entries.count()
     n = items.count()
     nq = queries.count()
     if nq > max_queries:

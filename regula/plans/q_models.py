@@ -252,7 +252,8 @@ def m23_recs(spark, d):
     apps, prods = roles(spark, d, "applications", "products")
     item_cols = ["ApplNo", "DrugName"]
     entries = profile_entries(prods, apps)
-    items = prods.join(apps.select("ApplNo"), "ApplNo", "left_semi").select(*item_cols).distinct()
+    # the item list is read four times below: keep it once
+    items = prods.join(apps.select("ApplNo"), "ApplNo", "left_semi").select(*item_cols).distinct().persist()
     queries = items.orderBy(*item_cols).limit(3)
     return similar_items(entries, items, item_cols, queries, k=5)
 
