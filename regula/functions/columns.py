@@ -14,7 +14,7 @@ __all__ = [
     "count_of", "first_number", "truncate_label", "days_in_month",
     "clip_upper", "ratio", "skew_bias_corrected", "yes_no", "month_start",
     "right_closed_bin", "equal_width_bin", "has_letter", "non_ascii",
-    "round_half_even", "avg_rank",
+    "round_half_even", "avg_rank", "quantile",
 ]
 
 # The tokens pandas.read_csv treats as missing by default
@@ -137,3 +137,11 @@ def non_ascii(col: str | Column) -> Column:
 def avg_rank(rank_col: Column, ties_col: Column) -> Column:
     """Average rank of tied values given the competition rank and tie count."""
     return rank_col + (ties_col - 1) / 2.0
+
+
+def quantile(col: str | Column, p, exact: bool = True, accuracy: int = 10000) -> Column:
+    """Linear-interpolated exact percentile (N8) or, with ``exact=False``,
+    Spark's bounded-memory ``percentile_approx`` for very large groups."""
+    x = c(col)
+    return F.percentile(x, p) if exact else F.percentile_approx(x, p, accuracy).cast(
+        "array<double>" if isinstance(p, (list, tuple)) else "double")

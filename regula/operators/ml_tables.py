@@ -89,8 +89,13 @@ def roc_points(scored: DataFrame, score: str, label: str) -> DataFrame:
                     (F.col("_fp") / F.col("_N")).alias("fpr"))
 
 
-def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve from average ranks (tie-aware), M6."""
+def auc(scored: DataFrame, score: str, label: str, bins: int | None = None) -> DataFrame:
+    """Area under the ROC curve from average ranks (tie-aware), M6.  The
+    ranks are taken over distinct scores; ``bins`` rounds scores in [0, 1]
+    to that many steps first, which bounds the ordered set for model scores
+    at any data size (the usual thresholded-ROC approximation)."""
+    if bins:
+        scored = scored.withColumn(score, F.round(F.col(score) * bins) / bins)
     g = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"),
                                   F.count_if(F.col(label) == 0).alias("_neg"))
     w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)

@@ -74,7 +74,7 @@ def _rff(df: DataFrame, inp: str, out: str, dim: int, n_features: int, gamma: fl
     return df.withColumn(out, array_to_vector(F.array(*comps)))
 
 
-def _metrics(pred: DataFrame, name: str, label: str, prob_col: str = "p1") -> DataFrame:
+def _metrics(pred: DataFrame, name: str, label: str, prob_col: str = "p1", bins: int | None = 100000) -> DataFrame:
     y, p = F.col(label).cast("int"), F.col("prediction").cast("int")
     m = pred.agg(F.avg((y == p).cast("double")).alias("accuracy"),
                  F.count_if((y == 1) & (p == 1)).alias("_tp"), F.count_if((y == 0) & (p == 1)).alias("_fp"),
@@ -83,7 +83,7 @@ def _metrics(pred: DataFrame, name: str, label: str, prob_col: str = "p1") -> Da
           .withColumn("recall", F.coalesce(F.try_divide("_tp", F.col("_tp") + F.col("_fn")), F.lit(0.0))))
     m = m.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
                                                    F.col("precision") + F.col("recall")), F.lit(0.0)))
-    a = auc(pred, prob_col, label).select("auc")
+    a = auc(pred, prob_col, label, bins).select("auc")
     return m.crossJoin(a).select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1", "auc")
 
 
@@ -188,7 +188,7 @@ def rf_grid_search(train: DataFrame, test: DataFrame, features: list[str], label
     res = spark.createDataFrame(rows, "numTrees int, maxDepth int, minInstancesPerNode int, cv_auc double")
     te = assembled(test, features)
     pred = model.bestModel.transform(te).withColumn("p1", vector_to_array(F.col("probability"))[1])
-    test_auc = auc(pred, "p1", label).select("auc")
+    test_auc = auc(pred, "p1", label, 100000).select("auc")
     tr.unpersist()
     return res, test_auc
 

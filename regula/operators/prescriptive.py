@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regula.functions.columns import count_of, first_number, ratio
+from regula.functions.columns import count_of, first_number, quantile, ratio
 
 
 def risk_indicators(subs: DataFrame, *, key: str = "ApplNo", status: str = "SubmissionStatus",
                     date: str = "SubmissionStatusDate", priority: str = "ReviewPriority",
                     withdrawn: str = "WD", rejected=("TA", "RL"), priority_value: str = "PRIORITY",
-                    freq_quantile: float = 0.95, weights=(0.3, 0.3, 0.2, 0.2)) -> DataFrame:
+                    freq_quantile: float = 0.95, weights=(0.3, 0.3, 0.2, 0.2), exact: bool = True) -> DataFrame:
     """Risk score per application (P1): 0.3 withdrawal rate + 0.3 rejection
     rate + 0.2 submission frequency normalised by its 95th percentile
     (clipped at 1) + 0.2 priority flag.  Undated applications keep a null
@@ -33,7 +33,7 @@ def risk_indicators(subs: DataFrame, *, key: str = "ApplNo", status: str = "Subm
           .withColumn("DevelopmentDays", F.when(F.col("_days") == 0, F.lit(1)).otherwise(F.col("_days")))
           .withColumn("SubmissionFrequency", F.col("TotalSubmissions") / (F.col("DevelopmentDays") / 365))
           .drop("_days"))
-    q = g.agg(F.percentile("SubmissionFrequency", freq_quantile).alias("_maxf"))
+    q = g.agg(quantile("SubmissionFrequency", freq_quantile, exact).alias("_maxf"))
     nf = F.when(F.col("_maxf") > 0, F.when(F.col("SubmissionFrequency") / F.col("_maxf") > 1, F.lit(1.0))
                 .otherwise(F.col("SubmissionFrequency") / F.col("_maxf"))).otherwise(F.lit(0.0))
     w1, w2, w3, w4 = weights
@@ -44,11 +44,11 @@ def risk_indicators(subs: DataFrame, *, key: str = "ApplNo", status: str = "Subm
 
 
 def risk_levels(scored: DataFrame, score: str = "RiskScore", cuts=(0.33, 0.67),
-                labels=("Low", "Medium", "High")) -> DataFrame:
+                labels=("Low", "Medium", "High"), exact: bool = True) -> DataFrame:
     """Tertile risk level (P2): exact quantile edges at 0 / .33 / .67 / 1 with
     right-closed bins; when edges collide, equal-width cuts at 33% / 67% of
     the range; a constant score is "Medium".  Null scores stay unlabelled."""
-    e = scored.agg(F.percentile(score, [0.0, cuts[0], cuts[1], 1.0]).alias("_q"),
+    e = scored.agg(quantile(score, [0.0, cuts[0], cuts[1], 1.0], exact).alias("_q"),
                    F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     q = F.col("_q")
     distinct_edges = (q[0] < q[1]) & (q[1] < q[2]) & (q[2] < q[3])
@@ -181,12 +181,12 @@ def dose_by_form(doses: DataFrame, form: str = "Form", min_n: int = 10, k: int =
             .withColumn("range_high", F.col("mean_dose") + F.col("std_dose"))
 
 
-def dose_deciles(doses: DataFrame, q: int = 10, min_n: int = 20, k: int = 3) -> DataFrame:
+def dose_deciles(doses: DataFrame, q: int = 10, min_n: int = 20, k: int = 3, exact: bool = True) -> DataFrame:
     """Approval rate per dose decile (P7): exact quantile edges with
     duplicates dropped, right-closed bins; best k bins with n >= min_n."""
     from regula.functions.columns import right_closed_bin
     probs = [i / q for i in range(q + 1)]
-    edges = doses.agg(F.array_distinct(F.percentile("DosageValue", probs)).alias("_edges"))
+    edges = doses.agg(F.array_distinct(quantile("DosageValue", probs, exact)).alias("_edges"))
     b = doses.crossJoin(F.broadcast(edges)).withColumn("bin", right_closed_bin("DosageValue", F.col("_edges")))
     g = b.groupBy("bin").agg(F.avg(F.col("IsApproved").cast("int")).alias("approval_rate"),
                              F.count("IsApproved").alias("n"),

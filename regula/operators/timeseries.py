@@ -39,12 +39,13 @@ def approval_timelines(subs: DataFrame, *, key: str = "ApplNo", date: str = "Sub
              .filter(F.col("Days_to_Approval").between(min_days, max_days)))
 
 
-def approval_time_stats(timelines: DataFrame, days: str = "Days_to_Approval") -> DataFrame:
-    """n, mean, median, std, 25th and 75th percentile (exact, N8)."""
+def approval_time_stats(timelines: DataFrame, days: str = "Days_to_Approval", exact: bool = True) -> DataFrame:
+    """n, mean, median, std, 25th and 75th percentile (exact by default, N8)."""
+    from regula.functions.columns import quantile
     x = F.col(days)
-    return timelines.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"),
+    return timelines.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), quantile(x, 0.5, exact).alias("median"),
                          F.stddev_samp(x).alias("std"),
-                         F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.75).alias("p75"))
+                         quantile(x, 0.25, exact).alias("p25"), quantile(x, 0.75, exact).alias("p75"))
 
 
 def approval_time_by_priority(subs: DataFrame, timelines: DataFrame, *, key: str = "ApplNo",
