@@ -80,13 +80,14 @@ def split_flag(df: DataFrame, key_cols: list[str], test_fraction: float = 0.2, s
 def roc_points(scored: DataFrame, score: str, label: str) -> DataFrame:
     """ROC curve at every distinct score threshold (M6): cumulative true and
     false positives over the distinct scores, descending."""
+    from regula.operators.relational import prefix_sums
     g = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"),
                                   F.count_if(F.col(label) == 0).alias("_neg"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
     tot = g.agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    c = g.withColumn("_tp", F.sum("_pos").over(w)).withColumn("_fp", F.sum("_neg").over(w)).crossJoin(F.broadcast(tot))
-    return c.select(F.col(score).alias("threshold"), (F.col("_tp") / F.col("_P")).alias("tpr"),
-                    (F.col("_fp") / F.col("_N")).alias("fpr"))
+    c = prefix_sums(g, score, ["_pos", "_neg"], descending=True).crossJoin(F.broadcast(tot))
+    return c.select(F.col(score).alias("threshold"),
+                    ((F.col("_pos_before") + F.col("_pos")) / F.col("_P")).alias("tpr"),
+                    ((F.col("_neg_before") + F.col("_neg")) / F.col("_N")).alias("fpr"))
 
 
 def auc(scored: DataFrame, score: str, label: str, bins: int | None = None) -> DataFrame:
@@ -98,10 +99,9 @@ def auc(scored: DataFrame, score: str, label: str, bins: int | None = None) -> D
         scored = scored.withColumn(score, F.round(F.col(score) * bins) / bins)
     g = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"),
                                   F.count_if(F.col(label) == 0).alias("_neg"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    r = (g.withColumn("_t", F.col("_pos") + F.col("_neg"))
-          .withColumn("_before", F.coalesce(F.sum("_t").over(w), F.lit(0)))
-          .withColumn("_rank", F.col("_before") + (F.col("_t") + 1) / 2.0))
+    from regula.operators.relational import prefix_sums
+    r = prefix_sums(g.withColumn("_t", F.col("_pos") + F.col("_neg")), score, ["_t"])
+    r = r.withColumn("_rank", F.col("_t_before") + (F.col("_t") + 1) / 2.0)
     a = r.agg(F.sum(F.col("_pos") * F.col("_rank")).alias("_r"), F.sum("_pos").alias("n_pos"),
               F.sum("_neg").alias("n_neg"))
     p, n = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")

@@ -118,10 +118,12 @@ def approval_readiness(subs: DataFrame, apps: DataFrame, products: DataFrame, *,
           .drop("_ms", "_mp", "_md"))
     r = r.withColumn("ReadinessScore", w1 * F.col("SubmissionScore") + w2 * F.col("ProductScore")
                      + w3 * F.col("TimeScore") + w4 * F.col("PriorityBonus"))
-    # dense rank over distinct scores only: the global order is over the
-    # (few) distinct score values, joined back to the applications
-    ds = r.select("ReadinessScore").distinct()
-    ds = ds.withColumn("ReadinessRank", F.dense_rank().over(Window.orderBy(F.col("ReadinessScore").desc())))
+    # dense rank = 1 + number of distinct higher scores: a range-partitioned
+    # prefix count over the distinct scores, joined back to the applications
+    from regula.operators.relational import prefix_sums
+    ds = r.select("ReadinessScore").distinct().withColumn("_one", F.lit(1))
+    ds = prefix_sums(ds, "ReadinessScore", ["_one"], descending=True)
+    ds = ds.select("ReadinessScore", (F.col("_one_before") + 1).cast("int").alias("ReadinessRank"))
     return r.join(ds, "ReadinessScore", "inner")
 
 

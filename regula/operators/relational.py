@@ -161,3 +161,25 @@ def pivot_counts(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
 def null_safe_not(cond: Column) -> Column:
     """``~mask`` where the mask's null counts as False."""
     return ~is_true(cond)
+
+
+def prefix_sums(df: DataFrame, order: str, cols: list[str], *, descending: bool = False,
+                partitions: int | None = None, suffix: str = "_before") -> DataFrame:
+    """Exclusive running sums of ``cols`` over rows sorted by ``order``,
+    computed without a single-task window.  ``order`` values must be
+    distinct (apply to grouped / distinct frames).
+
+    Rows are range-partitioned on ``order``; each partition sums its own
+    prefix, and the partition offsets come from the per-partition totals
+    (one small row per partition).  Exact, and every step is distributed."""
+    spark = df.sparkSession
+    n = partitions or spark.sparkContext.defaultParallelism
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    part = df.repartitionByRange(n, o).withColumn("_pid", F.spark_partition_id())
+    tot = part.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    wl = Window.partitionBy("_pid").orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    local = part.select("*", *[F.coalesce(F.sum(c).over(wl), F.lit(0)).alias(f"_l_{c}") for c in cols])
+    out = local.join(F.broadcast(offs), "_pid")
+    return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}{suffix}") for c in cols])

@@ -2,8 +2,10 @@
 
 Ranks, counts and sums are Spark aggregates; only the final tail
 probability of a one-row statistic frame goes through a pandas UDF.
-Global orderings are always taken over *distinct values* (with their
-multiplicities), never over raw rows, so no single task sorts the table.
+Global orderings are taken over *distinct values* (with their
+multiplicities), never over raw rows, and the running sums over them are
+computed range-partitioned (``relational.prefix_sums``), so no single task
+sorts the data.
 """
 
 from __future__ import annotations
@@ -75,10 +77,9 @@ def mann_whitney_u(df: DataFrame, value: str, group: str, first, second) -> Data
     counts = (df.filter(g.isin(first, second) & F.col(value).isNotNull())
                 .groupBy(value)
                 .agg(F.count_if(g == first).alias("_c1"), F.count_if(g == second).alias("_c2")))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (counts.withColumn("_t", F.col("_c1") + F.col("_c2"))
-                    .withColumn("_before", F.coalesce(F.sum("_t").over(w), F.lit(0)))
-                    .withColumn("_avg_rank", F.col("_before") + (F.col("_t") + 1) / 2.0))
+    from regula.operators.relational import prefix_sums
+    ranked = prefix_sums(counts.withColumn("_t", F.col("_c1") + F.col("_c2")), value, ["_t"])
+    ranked = ranked.withColumn("_avg_rank", F.col("_t_before") + (F.col("_t") + 1) / 2.0)
     agg = ranked.agg(F.sum(F.col("_c1") * F.col("_avg_rank")).alias("_r1"),
                      F.sum("_c1").alias("n1"), F.sum("_c2").alias("n2"),
                      F.sum(F.col("_t").cast("double") ** 3 - F.col("_t")).alias("_ties"))
@@ -111,8 +112,8 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     equal values: a block of m values v starting after p smaller rows adds
     v * (m * (n + 1) - m * p - m * (m + 1) / 2) / T."""
     blocks = _value_blocks(df.filter(F.col(value).isNotNull()), value)
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    b = blocks.withColumn("_p", F.coalesce(F.sum("_m").over(w), F.lit(0)))
+    from regula.operators.relational import prefix_sums
+    b = prefix_sums(blocks, value, ["_m"]).withColumnRenamed("_m_before", "_p")
     tot = blocks.agg(F.sum("_m").alias("_n"), F.sum(F.col(value) * F.col("_m")).alias("_T"))
     m, p, n = F.col("_m").cast("double"), F.col("_p").cast("double"), F.col("_n").cast("double")
     contrib = F.col(value) * (m * (n + 1) - m * p - m * (m + 1) / 2)
@@ -128,8 +129,8 @@ def top_share(df: DataFrame, value: str, frac: float = 0.1) -> DataFrame:
     """Share (%) of the total held by the ``int(n * frac)`` largest rows (Z5),
     evaluated over distinct-value blocks taken from the top."""
     blocks = _value_blocks(df.filter(F.col(value).isNotNull()), value)
-    w = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    b = blocks.withColumn("_above", F.coalesce(F.sum("_m").over(w), F.lit(0)))
+    from regula.operators.relational import prefix_sums
+    b = prefix_sums(blocks, value, ["_m"], descending=True).withColumnRenamed("_m_before", "_above")
     tot = blocks.agg(F.sum("_m").alias("_n"), F.sum(F.col(value) * F.col("_m")).alias("_T"))
     k = F.floor(F.col("_n") * frac)
     take = F.least(F.greatest(k - F.col("_above"), F.lit(0)), F.col("_m"))

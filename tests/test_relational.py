@@ -88,3 +88,18 @@ def test_histogram_counts_sum(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "x double")
     h = R.histogram(df, "x", 7).collect()
     assert len(h) == 7 and sum(r["count"] for r in h) == 101
+
+
+def test_prefix_sums_matches_running_sum(spark):
+    vals = [(float(i), i % 7) for i in range(500)]
+    df = spark.createDataFrame(vals, "k double, v long")
+    got = {r["k"]: r["v_before"] for r in R.prefix_sums(df, "k", ["v"], partitions=5).collect()}
+    run = 0
+    for k, v in vals:
+        assert got[k] == run
+        run += v
+    desc = {r["k"]: r["v_before"] for r in R.prefix_sums(df, "k", ["v"], descending=True, partitions=3).collect()}
+    run = 0
+    for k, v in reversed(vals):
+        assert desc[k] == run
+        run += v
