@@ -31,8 +31,9 @@ def approval_training_table(subs: DataFrame, apps: DataFrame, products: DataFram
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
     """Alphabetical integer codes (M3), like ``StringIndexer(alphabetAsc)``:
     codes are ranked over the distinct values only, then joined back."""
-    codes = (df.select(col).filter(F.col(col).isNotNull()).distinct()
-               .withColumn(out, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int")))
+    from regula.operators.relational import prefix_sums
+    values = df.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    codes = prefix_sums(values, col, ["_one"]).select(col, F.col("_one_before").cast("int").alias(out))
     return df.join(codes, col, "left")
 
 
