@@ -52,6 +52,13 @@ def m8_compare(spark, d):
     return metrics
 
 
+@register("K6_best_classifier_by_auc")
+def k6_best(spark, d):
+    """Arg-max over the model comparison table (K6)."""
+    metrics, _ = _classifiers(spark, d)
+    return ML.best_model(metrics, "auc")
+
+
 @register("M9_rf_feature_importance_top10")
 def m9_importance(spark, d):
     _, out = _classifiers(spark, d)
@@ -114,6 +121,13 @@ def t6_forecast(spark, d):
     return ML.recursive_forecast(model, feats, TS_FEATURES, "TotalSubmissions", "month", 12)
 
 
+@register("T6_recursive_forecast_frozen_lags")
+def t6_frozen(spark, d):
+    """The reference's variant: only time_index and calendar fields advance."""
+    model, feats, _ = _linear_ts_model(spark, d)
+    return ML.recursive_forecast(model, feats, TS_FEATURES, "TotalSubmissions", "month", 12, update_lags=False)
+
+
 @register("T7_model_residuals")
 def t7_residuals(spark, d):
     model, _, data = _linear_ts_model(spark, d)

@@ -103,3 +103,25 @@ def s10_summary(spark, d):
                  F.avg(F.when(F.col("SubmissionStatus") == "AP", 1).otherwise(0)).alias("approval_rate"),
                  F.avg(F.when(F.col("ReviewPriority") == "PRIORITY", 1).otherwise(0)).alias("priority_rate"))
     return a.crossJoin(p).crossJoin(s)
+
+
+@register("X15_reference_drug_yes_no", sql=with_roles("products") + """
+SELECT CASE WHEN ReferenceDrug = 1 THEN 'Yes' WHEN ReferenceDrug = 0 THEN 'No' END AS label, count(*) AS count
+FROM products WHERE ReferenceDrug IN (0, 1) GROUP BY 1
+""")
+def x15_yes_no(spark, d):
+    """Yes/No labels for a 0/1 flag (X15) with their counts."""
+    from regula.functions.columns import yes_no
+    (p,) = roles(spark, d, "products")
+    lab = p.select(yes_no("ReferenceDrug").alias("label")).filter(F.col("label").isNotNull())
+    return lab.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("C10_display_applications", sql=with_roles("applications") + """
+SELECT ApplNo, ApplType, SponsorName FROM applications
+""")
+def c10_display(spark, d):
+    """Columns dropped before display (C10): notes, reference and flag columns."""
+    from regula.operators.clean import drop_columns
+    (a,) = roles(spark, d, "applications")
+    return drop_columns(["ApplPublicNotes", "ReferenceStandard", "HasReferenceStandard", "SubmissionDateMissing"])(a)
