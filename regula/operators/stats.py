@@ -36,7 +36,7 @@ def with_trend_test(stat: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def chi_square_independence(observed: DataFrame, row: str = "row", col: str = "col",
-                            count: str = "observed", yates: bool = True) -> DataFrame:
+                            count: str = "observed", yates: bool = True, max_cells: int = 1_000_000) -> DataFrame:
     """Chi-square test of independence over a long contingency table.
 
     Expected counts come from row / column margins joined back; with one
@@ -46,7 +46,10 @@ def chi_square_independence(observed: DataFrame, row: str = "row", col: str = "c
     cols = observed.groupBy(col).agg(F.sum(count).alias("_ct"))
     tot = observed.agg(F.sum(count).alias("_n"), F.countDistinct(row).alias("_r"),
                        F.countDistinct(col).alias("_c"))
-    # full grid so empty cells contribute their expected count
+    # full grid so empty cells contribute their expected count; the grid is
+    # categories x categories, and its size is asserted inside the plan
+    tot = tot.withColumn("_guard", F.assert_true(F.col("_r") * F.col("_c") <= max_cells,
+                                                 F.lit(f"contingency table exceeds {max_cells} cells")))
     grid = rows.crossJoin(cols).crossJoin(F.broadcast(tot))
     cells = (grid.join(observed, [row, col], "left")
                  .withColumn("_o", F.coalesce(F.col(count), F.lit(0)).cast("double"))
