@@ -33,7 +33,11 @@ def risk_indicators(subs: DataFrame, *, key: str = "ApplNo", status: str = "Subm
           .withColumn("DevelopmentDays", F.when(F.col("_days") == 0, F.lit(1)).otherwise(F.col("_days")))
           .withColumn("SubmissionFrequency", F.col("TotalSubmissions") / (F.col("DevelopmentDays") / 365))
           .drop("_days"))
-    q = g.agg(quantile("SubmissionFrequency", freq_quantile, exact).alias("_maxf"))
+    if exact:
+        from regula.operators.relational import global_quantiles
+        q = global_quantiles(g, "SubmissionFrequency", [freq_quantile]).select(F.col("_q")[0].alias("_maxf"))
+    else:
+        q = g.agg(quantile("SubmissionFrequency", freq_quantile, False).alias("_maxf"))
     nf = F.when(F.col("_maxf") > 0, F.when(F.col("SubmissionFrequency") / F.col("_maxf") > 1, F.lit(1.0))
                 .otherwise(F.col("SubmissionFrequency") / F.col("_maxf"))).otherwise(F.lit(0.0))
     w1, w2, w3, w4 = weights
@@ -48,8 +52,14 @@ def risk_levels(scored: DataFrame, score: str = "RiskScore", cuts=(0.33, 0.67),
     """Tertile risk level (P2): exact quantile edges at 0 / .33 / .67 / 1 with
     right-closed bins; when edges collide, equal-width cuts at 33% / 67% of
     the range; a constant score is "Medium".  Null scores stay unlabelled."""
-    e = scored.agg(quantile(score, [0.0, cuts[0], cuts[1], 1.0], exact).alias("_q"),
-                   F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    probs = [0.0, cuts[0], cuts[1], 1.0]
+    if exact:
+        from regula.operators.relational import global_quantiles
+        e = global_quantiles(scored, score, probs).crossJoin(
+            scored.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi")))
+    else:
+        e = scored.agg(quantile(score, probs, False).alias("_q"), F.min(score).alias("_lo"),
+                       F.max(score).alias("_hi"))
     q = F.col("_q")
     distinct_edges = (q[0] < q[1]) & (q[1] < q[2]) & (q[2] < q[3])
     x = F.col(score)
@@ -188,7 +198,11 @@ def dose_deciles(doses: DataFrame, q: int = 10, min_n: int = 20, k: int = 3, exa
     duplicates dropped, right-closed bins; best k bins with n >= min_n."""
     from regula.functions.columns import right_closed_bin
     probs = [i / q for i in range(q + 1)]
-    edges = doses.agg(F.array_distinct(quantile("DosageValue", probs, exact)).alias("_edges"))
+    if exact:
+        from regula.operators.relational import global_quantiles
+        edges = global_quantiles(doses, "DosageValue", probs).select(F.array_distinct("_q").alias("_edges"))
+    else:
+        edges = doses.agg(F.array_distinct(quantile("DosageValue", probs, False)).alias("_edges"))
     b = doses.crossJoin(F.broadcast(edges)).withColumn("bin", right_closed_bin("DosageValue", F.col("_edges")))
     g = b.groupBy("bin").agg(F.avg(F.col("IsApproved").cast("int")).alias("approval_rate"),
                              F.count("IsApproved").alias("n"),

@@ -183,3 +183,28 @@ def prefix_sums(df: DataFrame, order: str, cols: list[str], *, descending: bool
     local = part.select("*", *[F.coalesce(F.sum(c).over(wl), F.lit(0)).alias(f"_l_{c}") for c in cols])
     out = local.join(F.broadcast(offs), "_pid")
     return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}{suffix}") for c in cols])
+
+
+def global_quantiles(df: DataFrame, col: str, probs: list[float], name: str = "_q") -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas / ``percentile``
+    semantics) of a whole column as a one-row frame ``name: array<double>``,
+    without gathering all distinct values in one task: distinct values with
+    counts get range-partitioned running counts (``prefix_sums``), and each
+    probability's two neighbouring ranks are looked up with a small
+    broadcast range join."""
+    v = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    blocks = v.groupBy("_v").agg(F.count(F.lit(1)).alias("_m"))
+    pre = prefix_sums(blocks, "_v", ["_m"])
+    n = blocks.agg(F.sum("_m").alias("_n"))
+    ps = n.select("_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
+    ps = (ps.withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
+            .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
+    lo_hit = (F.col("_m_before") <= F.col("_lo")) & (F.col("_lo") < F.col("_m_before") + F.col("_m"))
+    hi_hit = (F.col("_m_before") <= F.col("_hi")) & (F.col("_hi") < F.col("_m_before") + F.col("_m"))
+    hits = pre.join(F.broadcast(ps), lo_hit | hi_hit)
+    per = hits.groupBy("_i", "_pos", "_lo", "_hi").agg(F.max(F.when(lo_hit, F.col("_v"))).alias("_vl"),
+                                                       F.max(F.when(hi_hit, F.col("_v"))).alias("_vh"))
+    q = F.when(F.col("_hi") == F.col("_lo"), F.col("_vl")).otherwise(
+        (F.col("_hi") - F.col("_pos")) * F.col("_vl") + (F.col("_pos") - F.col("_lo")) * F.col("_vh"))
+    out = per.select(F.struct("_i", q.alias("_qv")).alias("_s")).agg(F.sort_array(F.collect_list("_s")).alias("_a"))
+    return out.select(F.transform("_a", lambda s: s["_qv"]).alias(name))

@@ -103,3 +103,14 @@ def test_prefix_sums_matches_running_sum(spark):
     for k, v in reversed(vals):
         assert desc[k] == run
         run += v
+
+
+def test_global_quantiles_match_percentile(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    vals = list(rng.integers(0, 50, size=600).astype(float)) + list(rng.normal(size=300))
+    df = spark.createDataFrame([(float(x),) for x in vals], "x double")
+    probs = [0.0, 0.005, 0.33, 0.5, 0.67, 0.95, 1.0]
+    got = R.global_quantiles(df, "x", probs).first()[0]
+    want = df.agg(F.percentile("x", probs)).first()[0]
+    assert got == pytest.approx(want, abs=1e-12)
