@@ -35,7 +35,7 @@ def risk_indicators(subs: DataFrame, *, key: str = "ApplNo", status: str = "Subm
           .drop("_days"))
     if exact:
         from regula.operators.relational import global_quantiles
-        q = global_quantiles(g, "SubmissionFrequency", [freq_quantile]).select(F.col("_q")[0].alias("_maxf"))
+        q = global_quantiles(g, "SubmissionFrequency", [freq_quantile]).select(F.try_element_at(F.col("_q"), F.lit(1)).alias("_maxf"))
     else:
         q = g.agg(quantile("SubmissionFrequency", freq_quantile, False).alias("_maxf"))
     nf = F.when(F.col("_maxf") > 0, F.when(F.col("SubmissionFrequency") / F.col("_maxf") > 1, F.lit(1.0))
@@ -60,10 +60,11 @@ def risk_levels(scored: DataFrame, score: str = "RiskScore", cuts=(0.33, 0.67),
     else:
         e = scored.agg(quantile(score, probs, False).alias("_q"), F.min(score).alias("_lo"),
                        F.max(score).alias("_hi"))
-    q = F.col("_q")
-    distinct_edges = (q[0] < q[1]) & (q[1] < q[2]) & (q[2] < q[3])
+    def q(i):
+        return F.try_element_at(F.col("_q"), F.lit(i + 1))
+    distinct_edges = (q(0) < q(1)) & (q(1) < q(2)) & (q(2) < q(3))
     x = F.col(score)
-    by_q = F.when(x <= q[1], labels[0]).when(x <= q[2], labels[1]).otherwise(labels[2])
+    by_q = F.when(x <= q(1), labels[0]).when(x <= q(2), labels[1]).otherwise(labels[2])
     rng = F.col("_hi") - F.col("_lo")
     by_w = (F.when(x <= F.col("_lo") + rng * cuts[0], labels[0])
              .when(x <= F.col("_lo") + rng * cuts[1], labels[1]).otherwise(labels[2]))

@@ -309,7 +309,8 @@ def trimmed_histogram(df: DataFrame, col: str, nbins: int = 30, lo_q: float = 0.
     linear interpolation), 30 equal-width bins over the kept range (B24)."""
     x = F.col(col).cast("double")
     v = df.select(x.alias("_v")).filter(F.col("_v").isNotNull())
-    q = v.agg(F.percentile("_v", lo_q).alias("_qlo"), F.percentile("_v", hi_q).alias("_qhi"))
+    from regula.operators.relational import global_quantiles
+    q = global_quantiles(v, "_v", [lo_q, hi_q]).select(F.try_element_at(F.col("_q"), F.lit(1)).alias("_qlo"), F.try_element_at(F.col("_q"), F.lit(2)).alias("_qhi"))
     kept = v.crossJoin(F.broadcast(q)).filter((F.col("_v") >= F.col("_qlo")) & (F.col("_v") <= F.col("_qhi")))
     rng = kept.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     b = (kept.select("_v").crossJoin(F.broadcast(rng))

@@ -42,10 +42,15 @@ def approval_timelines(subs: DataFrame, *, key: str = "ApplNo", date: str = "Sub
 def approval_time_stats(timelines: DataFrame, days: str = "Days_to_Approval", exact: bool = True) -> DataFrame:
     """n, mean, median, std, 25th and 75th percentile (exact by default, N8)."""
     from regula.functions.columns import quantile
+    from regula.operators.relational import global_quantiles
     x = F.col(days)
-    return timelines.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), quantile(x, 0.5, exact).alias("median"),
-                         F.stddev_samp(x).alias("std"),
-                         quantile(x, 0.25, exact).alias("p25"), quantile(x, 0.75, exact).alias("p75"))
+    base = timelines.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+    if exact:
+        q = global_quantiles(timelines, days, [0.5, 0.25, 0.75])
+    else:
+        q = timelines.agg(quantile(x, [0.5, 0.25, 0.75], False).alias("_q"))
+    return base.crossJoin(q).select("n", "mean", F.try_element_at(F.col("_q"), F.lit(1)).alias("median"), "std",
+                                    F.try_element_at(F.col("_q"), F.lit(2)).alias("p25"), F.try_element_at(F.col("_q"), F.lit(3)).alias("p75"))
 
 
 def approval_time_by_priority(subs: DataFrame, timelines: DataFrame, *, key: str = "ApplNo",
