@@ -95,7 +95,8 @@ def similar_items(entries: DataFrame, items: DataFrame, item_cols: list[str], qu
         sim = F.when(denom > 1e-12, (F.col(f"_C{i}") - F.col("_A") - F.lit(float(qa)) + F.col("_K")) / denom) \
                .otherwise(F.lit(0.0))
         not_self = ~reduce(lambda x, y: x & y, [F.col(c) == F.lit(v) for c, v in zip(item_cols, q)])
-        parts.append(F.when(not_self, F.struct(*[F.lit(v).alias(f"q_{c}") for c, v in zip(item_cols, q)],
+        parts.append(F.when(not_self, F.struct(*[F.lit(v).cast(items.schema[c].dataType).alias(f"q_{c}")
+                                                 for c, v in zip(item_cols, q)],
                                                F.round(sim, 10).alias("SimilarityScore"))))
     # quantised so that mathematically equal scores (identical profiles) tie
     # exactly and the item key decides, whatever the summation order
