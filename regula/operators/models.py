@@ -23,6 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regula.operators.ml_tables import auc
+from regula.session import cut_lineage
+
+#: partitions of every training frame
+FIT_PARTITIONS = 16
 
 
 def _parallel(fns, workers: int = 8):
@@ -33,15 +37,10 @@ def _parallel(fns, workers: int = 8):
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint a training frame (cuts lineage; survives executor loss) and
-    spread it over the cluster's task slots when AQE has coalesced it into
-    fewer partitions than that, so iterative fits use every core.  Large
-    frames already have more partitions and are left as they are."""
-    df = df.checkpoint(eager=True)
-    dp = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < dp:
-        df = df.repartition(dp).checkpoint(eager=True)
-    return df.cache()
+    """Cut a training frame's lineage once, spread over ``FIT_PARTITIONS`` by a
+    hash of its rows: a fitted forest depends on how its rows are dealt, so
+    the dealing must not depend on the cluster."""
+    return cut_lineage(df.repartition(FIT_PARTITIONS, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
 
 
 def assembled(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -292,7 +291,7 @@ def recursive_forecast(model, ts_feats: DataFrame, features: list[str], target:
     cur = cur.withColumn("_fc", F.array().cast("array<struct<step:int,month:date,forecast:double>>"))
     # the start state is one row per series: cut the lineage to the source
     # aggregation once, so the 12 chained steps stay a shallow plan
-    cur = cur.checkpoint(eager=True)
+    cur = cut_lineage(cur)
     for step in range(1, horizon + 1):
         nm = F.add_months(F.col(order), 1)
         new = {order: nm, "time_index": F.col("time_index") + 1, "month_of_year": F.month(nm),

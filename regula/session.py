@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC so day arithmetic equals the oracle's,
 # AQE for runtime join choice / partition coalescing / skew-join splitting.
@@ -28,28 +27,22 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("REGULA_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("REGULA_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) a scratch folder is made.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if current:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-        return current
-    if sc.getCheckpointDir() is not None:
-        return sc.getCheckpointDir()
-    path = tempfile.mkdtemp(prefix="regula-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` and forget how it was made.
+
+    The rows go to the shared folder that ``spark.checkpoint.dir`` names.
+    Where the setting is absent (a single machine, tests) there is no shared
+    folder, so the frame is only persisted and keeps its lineage."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
