@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regula.llm import chat, mixing, quality, sentencepiece_codec
+from regula.llm import chat, linededup, minhash, mixing, quality, sentencepiece_codec, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_minhash_near_dedup", r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 3
+              THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+              WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS sh FROM w),
+    c AS (SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+    x AS (SELECT rep, n, unnest(sh) AS h FROM c),
+    p AS (SELECT a.rep AS a, b.rep AS b, a.n + b.n AS n, count(*) AS k FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep GROUP BY ALL),
+    e AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (n - k)), sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r(id, other) AS (SELECT rep, rep FROM c UNION SELECT r.id, sym.b FROM r JOIN sym ON r.other = sym.a),
+    m AS (SELECT id, min(other) AS component FROM r GROUP BY id)
+    SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(m.component, s.doc_id) AS component_id,
+           coalesce(m.component, s.doc_id) = s.doc_id AS kept
+    FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN m ON m.id = c.rep""")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def _quality_sql() -> str:
     sub, step = quality.SUB_BITS, 2 ** (quality.SUB_BITS + 1)
     bucket = f"CASE WHEN v < {step} THEN v ELSE (v >> (length(bin(v)) - {sub + 1})) << (length(bin(v)) - {sub + 1}) END"
@@ -143,3 +162,13 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(0, 2, 1, 1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
                                            F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
     return chat.read_back(chat.format_segments(rows.unionByName(extra)))
+
+
+@query("op8_syncmer_fingerprints")
+def syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op10_fuzzy_line_dedup")
+def fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
