@@ -6,7 +6,9 @@ shingles of ``Q`` characters (a shorter line is one shingle).  Lines are linked
 at a Jaccard similarity of at least ``PERCENT`` per cent.
 
 Signature: one hash throws each shingle into one of ``BANDS * ROWS`` cells and a
-cell keeps its least value; three cells make a bucket.  A pair at 0.8 shares
+cell keeps its least value; three cells make a bucket.  Values so large that
+they are the least of their cell once in 200 times only (``ENOUGH`` smaller ones
+are expected in the line) are left out before the aggregation.  A pair at 0.8 shares
 one of the eight buckets with probability 0.997, at 0.9 with 0.99997.  One row
 per character position exists only inside generated code, ahead of the
 map-side aggregation per line; what is shuffled is one row per distinct line
@@ -30,13 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regula.llm.links import linked_components
-from regula.session import cut_lineage
+from regula.session import cut_lineage, written
 
 Q = 10
 PERCENT = 80
 BANDS = 8
 ROWS = 3
 FILTER = 1 << 20
+ENOUGH = 128
 # White space around a line.
 BLANKS = " \t\r\x0b\x0c"
 _LAST = 2**63 - 1
@@ -57,6 +60,7 @@ def signatures(lines: DataFrame) -> DataFrame:
         .select("k", "code", F.expr("octet_length(code) div 2").alias("n"))
     spots = coded.select("k", "n", "code", F.explode(F.expr(f"sequence(0, greatest(cast(n as int) - {Q}, 0))")).alias("p"))
     hashed = spots.select("k", "n", F.expr(f"xxhash64(substring(code, 2 * p + 1, {2 * Q}))").alias("h"))
+    hashed = hashed.where(f"(h & 4294967295) * n < {ENOUGH << 32}")
     thrown = hashed.select("k", "n", F.expr(f"cast(shiftrightunsigned(h, 33) % {cells} as int)").alias("cell"),
                            F.expr("h & 4294967295").alias("v"))
     return thrown.groupBy("k").agg(
@@ -82,7 +86,7 @@ def _shingles(line: str) -> Column:
 
 def line_components(lines: DataFrame) -> DataFrame:
     """id, component of the distinct lines that are linked with another one."""
-    buckets = line_buckets(signatures(lines))
+    buckets = line_buckets(written(signatures(lines)))
 
     def may_link(a: str, b: str) -> Column:
         # sizes count positions; equal shingles within a line make its set
@@ -107,17 +111,16 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """did, n_lines and the sorted positions of the lines that stay."""
     lines = line_rows(docs, id_col, text_col)
     joined = line_components(lines)
-    rows = lines.select("did", "pos", "k", (F.col("line") == "").alias("blank"))
-    spots = rows.where("NOT blank").groupBy("k", "did").agg(F.min("pos").alias("pos"))
-    named = spots.join(joined, F.col("k") == F.col("id"), "left").select(F.coalesce("component", "k").alias("class"), "did", "pos") \
-        .groupBy("class", "did").agg(F.min("pos").alias("pos"))
+    # a blank line is a class of its own
+    key = F.when(F.col("line") == "", F.xxhash64(F.lit("blank"), "did", "pos")).otherwise(F.col("k"))
+    spots = lines.select(key.alias("k"), "did", "pos").groupBy("k", "did").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
+    named = spots.join(joined, F.col("k") == F.col("id"), "left").groupBy(F.coalesce("component", "k").alias("class"), "did") \
+        .agg(F.min("pos").alias("pos"), F.max("last").alias("last"))
+    named = cut_lineage(named)
     first = named.groupBy("class").agg(F.min("did").alias("first_did"))
-    stay = named.join(first, "class").where("did = first_did").select("did", "pos")
-    blank = rows.where("blank").select("did", "pos")
-    kept = stay.union(blank).groupBy("did").agg(F.array_sort(F.collect_set("pos")).alias("kept"))
-    totals = lines.groupBy("did").agg(F.max("pos").alias("last"))
-    return totals.join(kept, "did", "left").select(
-        "did", (F.col("last") + 1).cast("bigint").alias("n_lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    spot = F.when(F.col("did") == F.col("first_did"), F.col("pos"))
+    return named.join(first, "class").groupBy("did").agg((F.max("last") + 1).cast("bigint").alias("n_lines"),
+                                                         F.array_sort(F.collect_set(spot)).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

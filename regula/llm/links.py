@@ -46,35 +46,59 @@ def components(edges: DataFrame) -> DataFrame:
         before, current = now, cut_lineage(_star_round(current))
 
 
+#: further rounds of stars with other centres, and the outsiders of a bucket
+#: up to which every one of them is compared with all members
+ROUNDS = 2
+FEW = 8
+
+
+def _mixed(members: DataFrame, named: DataFrame) -> DataFrame:
+    """bucket, id, size, label, main, outside: members of the buckets that span
+    several components; ``main`` is the bucket's most frequent label and
+    ``outside`` the number of members with another one."""
+    labelled = members.join(named, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("label"))
+    shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    tops = shares.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    return cut_lineage(labelled.join(tops.select("bucket", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("outside")),
+                                     "bucket"))
+
+
 def linked_components(buckets: DataFrame, verify: Verify, may_link: Callable[[str, str], Column]) -> DataFrame:
     """Components of the verified links among ids that share a bucket.
 
-    ``buckets`` has bucket, id and size (one row per bucket and id);
-    ``may_link(size, other_size)`` is a cheap necessary condition;
+    ``buckets`` has bucket, id and size (one row per bucket and id) and is
+    read twice; ``may_link(size, other_size)`` is a cheap necessary condition;
     ``verify`` turns candidate pairs (a < b) into those that are links.
 
-    First every member of a bucket is compared with the bucket's least id,
-    which joins up a group of copies in linear work.  Buckets whose members
-    then still lie in several components are gone through again: members
-    outside the bucket's most frequent component are compared with all members
-    of other components.  Two members that no comparison touched lie in one
-    component already, so no link between components is missed."""
+    Stars: every member of a bucket is compared with the bucket's least id,
+    which joins up a group of copies in linear work, whatever its size.
+    Buckets whose members then lie in several components get ``ROUNDS`` more
+    stars around other members, drawn by a hash, and where at most ``FEW``
+    members lie outside the bucket's main component, each of these is compared
+    with all members.  So work stays linear in the bucket rows; a member of a
+    crowded bucket meets a centre of its own kind in each of its buckets."""
     leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = cut_lineage(buckets.join(leaders.select("bucket", "leader"), "bucket"))
-    star = cut_lineage(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    found = cut_lineage(verify(star))
-    first = components(found)
-
-    labelled = members.join(first, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("label"))
-    shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = cut_lineage(labelled.join(mixed.select("bucket", F.col("top.label").alias("main")), "bucket"))
-    out, rest = mixed.where("label <> main").alias("o"), mixed.alias("r")
-    again = out.join(rest, (F.col("o.bucket") == F.col("r.bucket")) & (F.col("o.label") != F.col("r.label"))
-                     & ((F.col("r.label") == F.col("r.main")) | (F.col("o.id") < F.col("r.id"))) & may_link("o.size", "r.size"))
-    pairs = again.select(F.least("o.id", "r.id").alias("a"), F.greatest("o.id", "r.id").alias("b")).distinct()
-    pairs = cut_lineage(pairs.join(star, ["a", "b"], "left_anti"))
-    if pairs.isEmpty():
-        return first
-    more = verify(pairs)
-    return components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+    seen = cut_lineage(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    members = members.drop("leader")
+    links = verify(seen)
+    named = components(links)
+    for turn in range(1, ROUNDS + 1):
+        mixed = _mixed(members, named)
+        few = mixed.where(f"outside <= {FEW}").alias("o").where("label <> main")
+        drawn = mixed.where(f"outside > {FEW}").groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))
+        centres = few.select("bucket", "id", "label", "size").union(
+            mixed.join(drawn, ["bucket", "id"]).select("bucket", "id", "label", "size")).alias("c")
+        around = centres.join(mixed.alias("m"), (F.col("c.bucket") == F.col("m.bucket")) & (F.col("c.label") != F.col("m.label"))
+                              & may_link("c.size", "m.size"))
+        pairs = around.select(F.least("c.id", "m.id").alias("a"), F.greatest("c.id", "m.id").alias("b")).distinct()
+        pairs = cut_lineage(pairs.join(seen, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        found = cut_lineage(verify(pairs))
+        if found.isEmpty() and turn < ROUNDS:
+            seen = seen.union(pairs)
+            continue
+        named = components(named.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.select("a", "b")))
+        seen = seen.union(pairs)
+    return named

@@ -1,6 +1,6 @@
 """Document fingerprints from closed syncmers, with DataFrame operations only.
 
-A k-mer of code points is an anchor if the least hash of its inner s-mers is
+A k-mer of UTF-16 units is an anchor if the least hash of its inner s-mers is
 that of the first or the last one.  The rule looks at nothing outside the
 k-mer, so an edit changes anchors only where k-mers touch it.  Anchors are
 hashed into ``BINS`` bins and each bin keeps its least value: the fingerprint.
@@ -50,12 +50,16 @@ def successors(ids: DataFrame) -> DataFrame:
 
 def anchors(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """keys, bin, value: the least anchor hash of each bin that a text fills."""
-    coded = texts.select(*keys, F.expr(f"encode({text_col}, 'UTF-32')").alias("code"), F.length(text_col).alias("n")).where("n > 0")
-    spots = coded.select(*keys, "code", "n", F.explode(F.expr(f"sequence(0, greatest(n - {K}, 0))")).alias("p"))
-    smers = [F.expr(f"xxhash64(substring(code, 4 * (p + {j}) + 1, {4 * S}))") for j in range(K - S + 1)]
-    least = F.least(*smers)
-    found = spots.where((F.col("n") < K) | (smers[0] == least) | (smers[-1] == least)) \
-        .select(*keys, F.expr(f"xxhash64(substring(code, 4 * p + 1, {4 * K}), 1)").alias("h"))
+    coded = texts.select(*keys, F.expr(f"encode({text_col}, 'UTF-16BE')").alias("code"))
+    coded = coded.select(*keys, "code", F.expr("cast(octet_length(code) div 2 as int)").alias("n")).where("n > 0")
+    # every s-mer is hashed once; a k-mer looks at the hashes of its own
+    hashed = coded.select(*keys, "code", "n", F.expr(
+        f"transform(sequence(0, greatest(n - {S}, 0)), p -> xxhash64(substring(code, 2 * p + 1, {2 * S})))").alias("smers"))
+    spots = hashed.select(*keys, "code", "n", "smers", F.explode(F.expr(f"sequence(0, greatest(n - {K}, 0))")).alias("p"))
+    inner = [F.expr(f"get(smers, p + {j})") for j in range(K - S + 1)]
+    least = F.least(*inner)
+    found = spots.where((F.col("n") < K) | (inner[0] == least) | (inner[-1] == least)) \
+        .select(*keys, F.expr(f"xxhash64(substring(code, 2 * p + 1, {2 * K}), 1)").alias("h"))
     return found.groupBy(*keys, F.expr(f"cast(pmod(h, {BINS}) as int)").alias("bin")) \
         .agg(F.min(F.expr("cast(shiftrightunsigned(h, 33) as int)")).alias("value"))
 
@@ -91,27 +95,31 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = halves.where("doc_id IS NOT NULL")
     ring = cut_lineage(successors(named.select(F.col("doc_id").alias("id")))
                        .join(named.select(F.col("doc_id").alias("id"), F.expr("n div 2").alias("half")), "id"))
-    head = texts.join(ring, F.col("doc_id") == F.col("next_id")).select("id", F.expr("left(text, half)").alias("head"))
+    # texts move by id once; both uses of them read that one shuffle
+    dealt = texts.where("doc_id IS NOT NULL").repartition("doc_id")
+    head = dealt.join(ring, F.col("doc_id") == F.col("next_id")).select("id", F.expr("left(text, half)").alias("head"))
     if repeated:
         head = head.groupBy("id").agg(F.min("head").alias("head"))
-        number = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        texts = texts.withColumn("copy", F.row_number().over(number))
+    joined = dealt.join(head, F.col("doc_id") == F.col("id")).select("doc_id", "text", "head") \
+        .union(texts.where("doc_id IS NULL").select("doc_id", "text", F.lit("").alias("head")))
+    if repeated:  # equal rows are told apart by a number
+        joined = joined.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
     else:
-        texts = texts.withColumn("copy", F.lit(0))
-    joined = texts.join(head, F.col("doc_id") == F.col("id"), "left").select(
+        joined = joined.withColumn("copy", F.lit(0))
+    joined = joined.select(
         "doc_id", "copy", "text", F.length("text").alias("n_chars"),
         F.expr("concat(left(text, length(text) - length(text) div 2), left(coalesce(head, ''), int(length(text) div 2)))").alias("edited"))
     both = joined.select("doc_id", "copy", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                          F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")),
                                            F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("v"))
-    # a text without characters keeps a place by a bin of its own
     keys = ["doc_id", "copy", "n_chars", "edited_sha256"]
     flat = both.select(*keys, F.col("v.which").alias("which"), F.col("v.t").alias("t"))
     prints = fingerprints(flat, [*keys, "which"], "t")
     wide = prints.groupBy(*keys).agg(F.first(F.when(F.col("which") == 0, F.col("bins")), True).alias("bins"),
                                      F.first(F.when(F.col("which") == 1, F.col("bins")), True).alias("edited_bins"))
-    empty = texts.where("text = ''").select("doc_id", "copy", F.lit(0).alias("n_chars"), F.sha2(F.lit(""), 256).alias("edited_sha256"),
-                                            F.lit(None).cast("array<int>").alias("bins"), F.lit(None).cast("array<int>").alias("edited_bins"))
+    empty = texts.where("text = ''").select(
+        "doc_id", F.lit(0).alias("copy"), F.lit(0).alias("n_chars"), F.sha2(F.lit(""), 256).alias("edited_sha256"),
+        F.lit(None).cast("array<int>").alias("bins"), F.lit(None).cast("array<int>").alias("edited_bins"))
     wide = cut_lineage(wide.union(empty))
     follow = wide.join(ring, F.col("doc_id") == F.col("next_id")).select("id", F.col("bins").alias("next_bins"))
     if repeated:
