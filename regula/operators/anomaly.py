@@ -90,6 +90,8 @@ def isolation_forest(df: DataFrame, key_cols: list[str], features: list[str], *,
     share of rows."""
     spark = df.sparkSession
     from regula.operators.models import materialise
+    from regula.operators.relational import global_quantiles
+    from regula.session import cut_lineage
     data = materialise(df.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in features]))
     n = data.count()
     psi = int(min(max_samples, n))
@@ -131,7 +133,7 @@ def isolation_forest(df: DataFrame, key_cols: list[str], features: list[str], *,
             pdf["AnomalyScore"] = -np.power(2.0, -eh / cn) if cn > 0 else -np.ones(len(x))
             yield pdf
 
-    scored = data.mapInPandas(score, out_schema)
-    thr = scored.agg(F.percentile("AnomalyScore", contamination).alias("_off"))
+    scored = cut_lineage(data.mapInPandas(score, out_schema))  # scored once, read twice
+    thr = global_quantiles(scored, "AnomalyScore", [contamination]).select(F.get("_q", F.lit(0)).alias("_off"))
     return (scored.crossJoin(F.broadcast(thr))
                   .withColumn("IsAnomaly", F.col("AnomalyScore") < F.col("_off")).drop("_off"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regula.functions.columns import count_of, ratio
+from regula.operators.relational import grouped_quantiles, prefix_sums
+from regula.session import cut_lineage
 
 
 # ------------------------------------------------------------- M1 / M2 / M3
@@ -31,12 +33,12 @@ def approval_training_table(subs: DataFrame, apps: DataFrame, products: DataFram
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
     """Alphabetical integer codes (M3), like ``StringIndexer(alphabetAsc)``:
     codes are ranked over the distinct values only, then joined back."""
-    from regula.operators.relational import prefix_sums
     values = df.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
     codes = prefix_sums(values, col, ["_one"]).select(col, F.col("_one_before").cast("int").alias(out))
     return df.join(codes, col, "left")
 
 
+# The model's features.
 FEATURES = ["ApplType_Encoded", "ReviewPriority_Encoded", "SubmissionClassCodeID", "ProductCount",
             "UniqueFormCount", "UniqueIngredientCount", "ReferenceProductCount", "SponsorSubmissionCount",
             "SponsorApprovalRate", "Year", "Month", "IsRecentSubmission", "IsQ4Submission"]
@@ -47,6 +49,7 @@ def approval_features(table: DataFrame, *, recent_year: int = 2015, sponsor_stat
     """The 13-feature classification table (M2).  Sponsor count and approval
     rate come from ``sponsor_stats_from`` (the training split, D9); pass
     None for the reference's whole-data (leaky) statistics."""
+    table = cut_lineage(table)  # a three-way join that four steps below read
     t = label_encode(table, "ApplType", "ApplType_Encoded")
     t = label_encode(t, "ReviewPriority", "ReviewPriority_Encoded")
     src = table if sponsor_stats_from is None else sponsor_stats_from
@@ -67,13 +70,28 @@ def one_hot(df: DataFrame, col: str, values: list, prefix: str | None = None) ->
              .na.fill(0, [f"{p}_{v}" for v in values])
 
 
+def hash_cuts(df: DataFrame, key_cols: list[str], stratum: str | None, shares: list[float], seed: int, name: str) -> DataFrame:
+    """``name``: how many of the cuts at ``shares`` a row's seeded key hash has
+    passed, the cuts being quantiles of the hash within the row's stratum, so
+    that every stratum is cut in the very shares."""
+    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key_cols]), F.lit(1 << 40)).cast("double")
+    keys = [stratum] if stratum else []
+    rows = df.withColumn("_h", h)
+    cuts = grouped_quantiles(rows, keys, "_h", shares, "_cuts")
+    if stratum:
+        cuts = cuts.withColumnRenamed(stratum, "_stratum")
+        rows = rows.join(cuts, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    else:
+        rows = rows.crossJoin(F.broadcast(cuts))
+    passed = F.aggregate("_cuts", F.lit(0), lambda n, cut: n + (F.col("_h") >= cut).cast("int"))
+    return rows.withColumn(name, passed).drop("_h", "_cuts", "_stratum")
+
+
 def split_flag(df: DataFrame, key_cols: list[str], test_fraction: float = 0.2, seed: int = 42,
-               name: str = "is_test") -> DataFrame:
+               name: str = "is_test", stratify: str | None = None) -> DataFrame:
     """Deterministic train/test split (M7) by a seeded hash of the row key:
-    every row and every stratum is split by the same threshold, so class
-    shares are preserved in expectation without a global sort."""
-    h = F.abs(F.xxhash64(F.lit(seed), *[F.col(k) for k in key_cols])) % 1_000_000
-    return df.withColumn(name, h < int(test_fraction * 1_000_000))
+    the ``test_fraction`` of each class of ``stratify`` with the least hashes."""
+    return hash_cuts(df, key_cols, stratify, [test_fraction], seed, "_part").withColumn(name, F.col("_part") == 0).drop("_part")
 
 
 # ------------------------------------------------------------- M6 / M10 / M11
@@ -81,32 +99,26 @@ def split_flag(df: DataFrame, key_cols: list[str], test_fraction: float = 0.2, s
 def roc_points(scored: DataFrame, score: str, label: str) -> DataFrame:
     """ROC curve at every distinct score threshold (M6): cumulative true and
     false positives over the distinct scores, descending."""
-    from regula.operators.relational import prefix_sums
     g = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"),
                                   F.count_if(F.col(label) == 0).alias("_neg"))
     tot = g.agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     c = prefix_sums(g, score, ["_pos", "_neg"], descending=True).crossJoin(F.broadcast(tot))
     return c.select(F.col(score).alias("threshold"),
-                    ((F.col("_pos_before") + F.col("_pos")) / F.col("_P")).alias("tpr"),
-                    ((F.col("_neg_before") + F.col("_neg")) / F.col("_N")).alias("fpr"))
+                    F.try_divide(F.col("_pos_before") + F.col("_pos"), F.col("_P")).alias("tpr"),
+                    F.try_divide(F.col("_neg_before") + F.col("_neg"), F.col("_N")).alias("fpr"))
 
 
-def auc(scored: DataFrame, score: str, label: str, bins: int | None = None) -> DataFrame:
+def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve from average ranks (tie-aware), M6.  The
-    ranks are taken over distinct scores; ``bins`` rounds scores in [0, 1]
-    to that many steps first, which bounds the ordered set for model scores
-    at any data size (the usual thresholded-ROC approximation)."""
-    if bins:
-        scored = scored.withColumn(score, F.round(F.col(score) * bins) / bins)
+    ranks are taken over distinct scores.  Null where a class is missing."""
     g = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"),
                                   F.count_if(F.col(label) == 0).alias("_neg"))
-    from regula.operators.relational import prefix_sums
     r = prefix_sums(g.withColumn("_t", F.col("_pos") + F.col("_neg")), score, ["_t"])
     r = r.withColumn("_rank", F.col("_t_before") + (F.col("_t") + 1) / 2.0)
     a = r.agg(F.sum(F.col("_pos") * F.col("_rank")).alias("_r"), F.sum("_pos").alias("n_pos"),
               F.sum("_neg").alias("n_neg"))
     p, n = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
-    return a.select("n_pos", "n_neg", ((F.col("_r") - p * (p + 1) / 2) / (p * n)).alias("auc"))
+    return a.select("n_pos", "n_neg", F.try_divide(F.col("_r") - p * (p + 1) / 2, p * n).alias("auc"))
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -226,21 +238,19 @@ def centroids(df: DataFrame, vec: str, cluster: str) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_m"))), lambda s: s["_m"]).alias("centroid"))
 
 
-def davies_bouldin(df: DataFrame, vec: str, cluster: str, max_clusters: int = 1000) -> DataFrame:
+def davies_bouldin(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     """Davies-Bouldin index (M19): mean over clusters of the worst
-    (S_i + S_j) / d(c_i, c_j).  Only the k x k centroid pairs are formed, and
-    k is checked against ``max_clusters``."""
+    (S_i + S_j) / d(c_i, c_j).  The centroids, one row per cluster, go to each
+    cluster as one array."""
     c = centroids(df, vec, cluster)
     s = (df.select(cluster, F.col(vec).cast("array<double>").alias("_x")).join(c, cluster)
            .groupBy(cluster).agg(F.avg(_vec_dist(F.col("_x"), F.col("centroid"))).alias("_s")))
     cs = c.join(s, cluster)
-    k_ok = cs.agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") <= max_clusters)
-    a, b = cs.alias("a"), cs.join(F.broadcast(k_ok), how="left_semi").alias("b")
-    pairs = a.join(F.broadcast(b), F.col(f"a.{cluster}") != F.col(f"b.{cluster}"))
-    r = pairs.select(F.col(f"a.{cluster}").alias("_c"),
-                     ((F.col("a._s") + F.col("b._s")) / _vec_dist(F.col("a.centroid"), F.col("b.centroid"))).alias("_r"))
-    return r.groupBy("_c").agg(F.max("_r").alias("_m")).agg(F.avg("_m").alias("davies_bouldin"),
-                                                            F.count(F.lit(1)).alias("n_clusters"))
+    every = cs.agg(F.collect_list(F.struct(F.col(cluster).alias("id"), "centroid", "_s")).alias("_all"))
+    others = F.filter("_all", lambda o: o["id"] != F.col(cluster))
+    worst = F.array_max(F.transform(others, lambda o: F.try_divide(F.col("_s") + o["_s"], _vec_dist(F.col("centroid"), o["centroid"]))))
+    return cs.crossJoin(F.broadcast(every)).select(worst.alias("_m")).filter(F.col("_m").isNotNull()) \
+             .agg(F.avg("_m").alias("davies_bouldin"), F.count(F.lit(1)).alias("n_clusters"))
 
 
 def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:

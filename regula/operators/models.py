@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
@@ -22,11 +23,17 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regula.operators.ml_tables import auc
+from regula.operators.ml_tables import auc, classification_report, confusion_matrix, hash_cuts, roc_points
+from regula.operators.relational import prefix_sums
 from regula.session import cut_lineage
 
-#: partitions of every training frame
+#: partitions of a training frame, and of one that a bounded sample makes
 FIT_PARTITIONS = 16
+SAMPLE_PARTITIONS = 4
+#: labelled rows that a classifier or the approval-time forest is fitted on, at most
+MAX_FIT_ROWS = 2_000
+#: Spark's limit; the source system grows its trees without one
+FOREST_DEPTH = 30
 
 
 def _parallel(fns, workers: int = 8):
@@ -36,11 +43,11 @@ def _parallel(fns, workers: int = 8):
         return list(ex.map(lambda f: f(), fns))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut a training frame's lineage once, spread over ``FIT_PARTITIONS`` by a
-    hash of its rows: a fitted forest depends on how its rows are dealt, so
-    the dealing must not depend on the cluster."""
-    return cut_lineage(df.repartition(FIT_PARTITIONS, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
+def materialise(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """Cut a training frame's lineage once, its rows dealt over a fixed number
+    of partitions by their hash: a fitted forest depends on how its rows are
+    dealt, so the dealing must not depend on the cluster."""
+    return cut_lineage(df.repartition(partitions, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns if c != "features"])))
 
 
 def assembled(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -73,7 +80,7 @@ def _rff(df: DataFrame, inp: str, out: str, dim: int, n_features: int, gamma: fl
     return df.withColumn(out, array_to_vector(F.array(*comps)))
 
 
-def _metrics(pred: DataFrame, name: str, label: str, prob_col: str = "p1", bins: int | None = 100000) -> DataFrame:
+def _metrics(pred: DataFrame, name: str, label: str, prob_col: str = "p1") -> DataFrame:
     y, p = F.col(label).cast("int"), F.col("prediction").cast("int")
     m = pred.agg(F.avg((y == p).cast("double")).alias("accuracy"),
                  F.count_if((y == 1) & (p == 1)).alias("_tp"), F.count_if((y == 0) & (p == 1)).alias("_fp"),
@@ -82,20 +89,22 @@ def _metrics(pred: DataFrame, name: str, label: str, prob_col: str = "p1", bins:
           .withColumn("recall", F.coalesce(F.try_divide("_tp", F.col("_tp") + F.col("_fn")), F.lit(0.0))))
     m = m.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
                                                    F.col("precision") + F.col("recall")), F.lit(0.0)))
-    a = auc(pred, prob_col, label, bins).select("auc")
+    a = auc(pred, prob_col, label).select("auc")
     return m.crossJoin(a).select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1", "auc")
 
 
 def train_classifiers(train: DataFrame, test: DataFrame, features: list[str], label: str = "IsApproved",
-                      seed: int = 42, rf_depth: int = 12, rff_dim: int = 100, models=None):
+                      seed: int = 42, rf_depth: int = FOREST_DEPTH, rff_dim: int = 100, models=None,
+                      key_cols=("ApplNo", "SubmissionNo"), max_fit_rows: int = MAX_FIT_ROWS):
     """Four classifiers (M8): logistic regression (scaled), random forest
     (100 trees), gradient boosting (100 rounds, depth 3) and an RBF-kernel
     SVM (scaled; random Fourier features + linear SVM + logistic
     calibration of the margin for probabilities).
 
-    Returns (metrics DataFrame, {name: (model, predictions)})."""
-    tr = materialise(assembled(train, features))
-    te = materialise(assembled(test, features))
+    Returns (metrics DataFrame, {name: (model, predictions)}).  At most about
+    ``max_fit_rows`` training rows are used to fit; all test rows are scored."""
+    tr = materialise(assembled(fit_sample(train, list(key_cols), max_fit_rows, seed), features), SAMPLE_PARTITIONS)
+    te = cut_lineage(assembled(test, features))
     sc = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(tr)
     tr_s, te_s = sc.transform(tr), sc.transform(te)
     p1 = vector_to_array(F.col("probability"))[1]
@@ -143,10 +152,29 @@ def train_classifiers(train: DataFrame, test: DataFrame, features: list[str], la
     for name, (_, pred) in out.items():
         m = _metrics(pred, name, label)
         metrics = m if metrics is None else metrics.unionByName(m)
-    tr.unpersist()
     return metrics, out
 
 
+def _per_model(out: dict, report) -> DataFrame:
+    frames = [report(pred).select(F.lit(name).alias("model"), "*") for name, (_, pred) in out.items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def reports_per_model(out: dict, label: str = "IsApproved") -> DataFrame:
+    """Classification report of every fitted model."""
+    return _per_model(out, lambda p: classification_report(p, label, "prediction"))
+
+
+def matrices_per_model(out: dict, label: str = "IsApproved") -> DataFrame:
+    """Confusion matrix of every fitted model."""
+    return _per_model(out, lambda p: confusion_matrix(p, label, "prediction"))
+
+
+def rocs_per_model(out: dict, label: str = "IsApproved") -> DataFrame:
+    """ROC points of every fitted model (M6)."""
+    return _per_model(out, lambda p: roc_points(p, "p1", label))
+
+
 def best_model(metrics: DataFrame, by: str = "auc") -> DataFrame:
     """Arg-max over models (K6)."""
     return metrics.agg(F.max_by("model", F.col(by)).alias("best_model"), F.max(by).alias(by))
@@ -160,19 +188,29 @@ def feature_importance(model, features: list[str], spark, k: int = 10) -> DataFr
                                  "feature string, importance double, rank int")
 
 
-def stratified_folds(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
-    """Fold id by a seeded hash of the row key, independent of the label,
-    so every class is spread evenly over the folds."""
-    return df.withColumn(name, (F.abs(F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in key_cols])) % k).cast("int"))
+def stratified_folds(df: DataFrame, key_cols: list[str], label: str, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
+    """Fold id 0..k-1: every class of ``label`` is cut into k equal shares in
+    the order of a seeded hash of the row key."""
+    return hash_cuts(df, key_cols, label, [i / k for i in range(1, k)], seed + 1, name)
+
+
+def fit_sample(df: DataFrame, key_cols: list[str], max_rows: int = MAX_FIT_ROWS, seed: int = 42) -> DataFrame:
+    """At most about ``max_rows`` labelled rows to fit a model on, by a seeded
+    hash of the row key; evaluation always covers all test rows."""
+    n = df.count()
+    share = min(1.0, max_rows / max(n, 1))
+    h = F.pmod(F.xxhash64(F.lit(seed + 2), *[F.col(c) for c in key_cols]), F.lit(1 << 30))
+    return df.filter(h < int(share * (1 << 30)))
 
 
 def rf_grid_search(train: DataFrame, test: DataFrame, features: list[str], label: str = "IsApproved",
                    key_cols=("ApplNo", "SubmissionNo"), folds: int = 5, seed: int = 42, parallelism: int = 4,
-                   trees=(100, 200), depths=(10, 20, 30), leaves=(1, 2)):
-    """Random-forest grid search with k-fold CV on AUC, refit, test AUC.
-    min_samples_split has no Spark parameter, so that axis is dropped."""
+                   trees=(100, 200), depths=(10, 20, FOREST_DEPTH), leaves=(1, 2)):
+    """Random-forest grid search with stratified k-fold CV on AUC, refit, test
+    AUC (M12).  Spark splits a node from two leaves' worth of rows on, so the
+    least number of rows to split is the ``leaves`` axis times two."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    tr = materialise(stratified_folds(assembled(train, features), list(key_cols), folds, seed))
+    tr = materialise(stratified_folds(assembled(train, features), list(key_cols), label, folds, seed), SAMPLE_PARTITIONS)
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
     grid = (ParamGridBuilder().addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths))
             .addGrid(rf.minInstancesPerNode, list(leaves)).build())
@@ -187,8 +225,7 @@ def rf_grid_search(train: DataFrame, test: DataFrame, features: list[str], label
     res = spark.createDataFrame(rows, "numTrees int, maxDepth int, minInstancesPerNode int, cv_auc double")
     te = assembled(test, features)
     pred = model.bestModel.transform(te).withColumn("p1", vector_to_array(F.col("probability"))[1])
-    test_auc = auc(pred, "p1", label, 100000).select("auc")
-    tr.unpersist()
+    test_auc = auc(pred, "p1", label).select("auc")
     return res, test_auc
 
 
@@ -197,19 +234,31 @@ def rf_grid_search(train: DataFrame, test: DataFrame, features: list[str], label
 def time_series_folds(ts: DataFrame, order: str = "month", n_splits: int = 5) -> DataFrame:
     """TimeSeriesSplit (T4): test size n // (splits + 1); fold f tests rows
     [n - (splits - f) * t, n - (splits - f - 1) * t) and trains on all rows
-    before.  Adds ``row_idx`` and the total ``n``."""
-    w = Window.orderBy(order)
-    return ts.withColumn("row_idx", F.row_number().over(w) - 1).withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy()))
+    before.  Adds ``row_idx``, the total ``n_rows`` and ``test_fold``, the fold
+    that tests the row (null for rows that are only trained on)."""
+    rows = ts.withColumn("_t", F.unix_date(F.col(order).cast("date"))) if dict(ts.dtypes)[order] != "date" else ts
+    ranked = prefix_sums(rows.withColumn("_one", F.lit(1)), order, ["_one"]).withColumnRenamed("_one_before", "row_idx")
+    n = ranked.crossJoin(F.broadcast(ts.agg(F.count(F.lit(1)).alias("n_rows")))).drop("_one", "_t")
+    size = F.expr(f"n_rows div {n_splits + 1}")
+    fold = F.expr(f"(row_idx - (n_rows - {n_splits} * (n_rows div {n_splits + 1}))) div greatest(n_rows div {n_splits + 1}, 1)")
+    return n.withColumn("test_fold", F.when((size > 0) & (F.col("row_idx") >= F.col("n_rows") - n_splits * size), fold.cast("int")))
+
+
+def fold_layout(folds: DataFrame) -> DataFrame:
+    """Per fold: training rows and the rows it tests, from ``time_series_folds``."""
+    return folds.filter(F.col("test_fold").isNotNull()).groupBy(F.col("test_fold").alias("fold")).agg(
+        F.min("row_idx").cast("long").alias("train_rows"), F.min("row_idx").cast("long").alias("test_start"),
+        (F.max("row_idx") + 1).cast("long").alias("test_end"))
 
 
 def train_regressors(ts: DataFrame, features: list[str], target: str = "TotalSubmissions", order: str = "month",
-                     n_splits: int = 5, seed: int = 42, rf_depth: int = 12) -> DataFrame:
+                     n_splits: int = 5, seed: int = 42, rf_depth: int = FOREST_DEPTH, validate: bool = True):
     """Linear, ridge (alpha 1), random forest and gradient boosting
-    regressors with expanding-window CV MAE and in-sample MAE / RMSE / R2 (M13)."""
+    regressors with expanding-window CV MAE and in-sample MAE / RMSE / R2 (M13):
+    (comparison, model of least MAE, its name, the assembled rows)."""
     spark = ts.sparkSession
-    data = materialise(assembled(time_series_folds(ts, order, n_splits), features))
+    data = materialise(assembled(time_series_folds(ts, order, n_splits), features), SAMPLE_PARTITIONS)
     n = data.count()
-    tsize = n // (n_splits + 1)
     makers = {
         "Linear Regression": lambda: LinearRegression(featuresCol="features", labelCol=target),
         # sklearn Ridge minimises |y-Xw|^2 + a|w|^2; Spark scales the penalty by 1/n on unstandardised data
@@ -221,28 +270,33 @@ def train_regressors(ts: DataFrame, features: list[str], target: str = "TotalSub
                                                   stepSize=0.1, seed=seed),
     }
     ev = RegressionEvaluator(labelCol=target, predictionCol="prediction")
+    fitted = {}
+
     def fit_eval(name, f):
         mk = makers[name]
         if f is None:
             est = mk(n) if name == "Ridge Regression" else mk()
-            pred = est.fit(data).transform(data).cache()
+            fitted[name] = est.fit(data)
+            pred = fitted[name].transform(data)
             return (ev.evaluate(pred, {ev.metricName: "mae"}), ev.evaluate(pred, {ev.metricName: "rmse"}),
                     ev.evaluate(pred, {ev.metricName: "r2"}))
-        start = n - (n_splits - f) * tsize
+        va = data.filter(F.col("test_fold") == f)
+        start = n - (n_splits - f) * (n // (n_splits + 1))
         tr = data.filter(F.col("row_idx") < start)
-        va = data.filter((F.col("row_idx") >= start) & (F.col("row_idx") < start + tsize))
         est = mk(start) if name == "Ridge Regression" else mk()
         return ev.evaluate(est.fit(tr).transform(va), {ev.metricName: "mae"})
 
-    tasks = [(name, f) for name in makers for f in [*range(n_splits), None]]
+    folds = range(n_splits) if validate else []
+    tasks = [(name, f) for name in makers for f in [*folds, None]]
     res = dict(zip(tasks, _parallel([lambda t=t: fit_eval(*t) for t in tasks], 8)))
     rows = []
     for name in makers:
-        maes = [res[(name, f)] for f in range(n_splits)]
+        maes = [res[(name, f)] for f in folds]
         mae, rmse, r2 = res[(name, None)]
-        rows.append((name, float(sum(maes) / len(maes)), mae, rmse, r2))
-    data.unpersist()
-    return spark.createDataFrame(rows, "model string, cv_mae double, mae double, rmse double, r2 double")
+        rows.append((name, float(sum(maes) / len(maes)) if maes else None, mae, rmse, r2))
+    result = spark.createDataFrame(rows, "model string, cv_mae double, mae double, rmse double, r2 double")
+    best = min(rows, key=lambda r: (r[2], r[0]))[0]
+    return result, fitted[best], best, data
 
 
 def residuals(model, data: DataFrame, target: str) -> DataFrame:
@@ -311,12 +365,13 @@ def recursive_forecast(model, ts_feats: DataFrame, features: list[str], target:
 # ------------------------------------------------------------------- M14
 
 def approval_time_regression(table: DataFrame, features: list[str], target: str = "DaysToApproval",
-                             key_cols=("ApplNo",), seed: int = 42, rf_depth: int = 12):
+                             key_cols=("ApplNo",), seed: int = 42, rf_depth: int = FOREST_DEPTH,
+                             max_fit_rows: int = MAX_FIT_ROWS):
     """Random-forest regression of approval days (M14): 80/20 split, MAE,
     RMSE, R2 and the importances."""
     from regula.operators.ml_tables import split_flag
     d = materialise(split_flag(assembled(table, features), list(key_cols), 0.2, seed))
-    tr, te = d.filter(~F.col("is_test")), d.filter(F.col("is_test"))
+    tr, te = materialise(fit_sample(d.filter(~F.col("is_test")), list(key_cols), max_fit_rows, seed), SAMPLE_PARTITIONS), d.filter(F.col("is_test"))
     m = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=100, maxDepth=rf_depth,
                               seed=seed).fit(tr)
     pred = m.transform(te)

@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regula.functions.columns import count_of, first_number, quantile, ratio
+from regula.functions.columns import count_of, first_number, ratio
+from regula.operators.relational import global_quantiles, grouped_quantiles, prefix_sums
+from regula.session import cut_lineage
 
 
 def risk_indicators(subs: DataFrame, *, key: str = "ApplNo", status: str = "SubmissionStatus",
                     date: str = "SubmissionStatusDate", priority: str = "ReviewPriority",
                     withdrawn: str = "WD", rejected=("TA", "RL"), priority_value: str = "PRIORITY",
-                    freq_quantile: float = 0.95, weights=(0.3, 0.3, 0.2, 0.2), exact: bool = True) -> DataFrame:
+                    freq_quantile: float = 0.95, weights=(0.3, 0.3, 0.2, 0.2)) -> DataFrame:
     """Risk score per application (P1): 0.3 withdrawal rate + 0.3 rejection
     rate + 0.2 submission frequency normalised by its 95th percentile
     (clipped at 1) + 0.2 priority flag.  Undated applications keep a null
@@ -33,11 +35,8 @@ def risk_indicators(subs: DataFrame, *, key: str = "ApplNo", status: str = "Subm
           .withColumn("DevelopmentDays", F.when(F.col("_days") == 0, F.lit(1)).otherwise(F.col("_days")))
           .withColumn("SubmissionFrequency", F.col("TotalSubmissions") / (F.col("DevelopmentDays") / 365))
           .drop("_days"))
-    if exact:
-        from regula.operators.relational import global_quantiles
-        q = global_quantiles(g, "SubmissionFrequency", [freq_quantile]).select(F.try_element_at(F.col("_q"), F.lit(1)).alias("_maxf"))
-    else:
-        q = g.agg(quantile("SubmissionFrequency", freq_quantile, False).alias("_maxf"))
+    g = cut_lineage(g)  # read by the percentile, the tertile edges and the rows
+    q = global_quantiles(g, "SubmissionFrequency", [freq_quantile]).select(F.get("_q", F.lit(0)).alias("_maxf"))
     nf = F.when(F.col("_maxf") > 0, F.when(F.col("SubmissionFrequency") / F.col("_maxf") > 1, F.lit(1.0))
                 .otherwise(F.col("SubmissionFrequency") / F.col("_maxf"))).otherwise(F.lit(0.0))
     w1, w2, w3, w4 = weights
@@ -48,18 +47,13 @@ def risk_indicators(subs: DataFrame, *, key: str = "ApplNo", status: str = "Subm
 
 
 def risk_levels(scored: DataFrame, score: str = "RiskScore", cuts=(0.33, 0.67),
-                labels=("Low", "Medium", "High"), exact: bool = True) -> DataFrame:
+                labels=("Low", "Medium", "High")) -> DataFrame:
     """Tertile risk level (P2): exact quantile edges at 0 / .33 / .67 / 1 with
     right-closed bins; when edges collide, equal-width cuts at 33% / 67% of
     the range; a constant score is "Medium".  Null scores stay unlabelled."""
-    probs = [0.0, cuts[0], cuts[1], 1.0]
-    if exact:
-        from regula.operators.relational import global_quantiles
-        e = global_quantiles(scored, score, probs).crossJoin(
-            scored.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi")))
-    else:
-        e = scored.agg(quantile(score, probs, False).alias("_q"), F.min(score).alias("_lo"),
-                       F.max(score).alias("_hi"))
+    e = global_quantiles(scored, score, [0.0, cuts[0], cuts[1], 1.0])
+    # the outer quantiles are the range
+    e = e.select("_q", F.get("_q", F.lit(0)).alias("_lo"), F.get("_q", F.lit(3)).alias("_hi"))
     def q(i):
         return F.try_element_at(F.col("_q"), F.lit(i + 1))
     distinct_edges = (q(0) < q(1)) & (q(1) < q(2)) & (q(2) < q(3))
@@ -115,8 +109,8 @@ def approval_readiness(subs: DataFrame, apps: DataFrame, products: DataFrame, *,
         F.coalesce(F.timestamp_diff("DAY", F.min(date), F.max(date)), F.lit(0)).cast("long").alias("DaysSinceFirst"))
     p = products.groupBy(key).agg(F.count(F.lit(1)).alias("ProductCount"), F.sum(ref).alias("ReferenceProducts"))
     a = apps.groupBy(key).agg(F.min(type_col).alias(type_col))
-    r = (pending.join(a, key, "inner").join(s, key, "inner").join(p, key, "left")
-                .na.fill(0, ["ProductCount", "ReferenceProducts"]))
+    r = cut_lineage(pending.join(a, key, "inner").join(s, key, "inner").join(p, key, "left")
+                    .na.fill(0, ["ProductCount", "ReferenceProducts"]))
     mx = r.agg(F.greatest(F.max("TotalSubmissions"), F.lit(1)).alias("_ms"),
                F.greatest(F.max("ProductCount"), F.lit(1)).alias("_mp"),
                F.greatest(F.max("DaysSinceFirst"), F.lit(1)).alias("_md"))
@@ -129,9 +123,9 @@ def approval_readiness(subs: DataFrame, apps: DataFrame, products: DataFrame, *,
           .drop("_ms", "_mp", "_md"))
     r = r.withColumn("ReadinessScore", w1 * F.col("SubmissionScore") + w2 * F.col("ProductScore")
                      + w3 * F.col("TimeScore") + w4 * F.col("PriorityBonus"))
-    # dense rank = 1 + number of distinct higher scores: a range-partitioned
-    # prefix count over the distinct scores, joined back to the applications
-    from regula.operators.relational import prefix_sums
+    # dense rank = 1 + number of distinct higher scores: a prefix count over
+    # the distinct scores, joined back to the very scores it was made from
+    r = cut_lineage(r)
     ds = r.select("ReadinessScore").distinct().withColumn("_one", F.lit(1))
     ds = prefix_sums(ds, "ReadinessScore", ["_one"], descending=True)
     ds = ds.select("ReadinessScore", (F.col("_one_before") + 1).cast("int").alias("ReadinessRank"))
@@ -194,16 +188,12 @@ def dose_by_form(doses: DataFrame, form: str = "Form", min_n: int = 10, k: int =
             .withColumn("range_high", F.col("mean_dose") + F.col("std_dose"))
 
 
-def dose_deciles(doses: DataFrame, q: int = 10, min_n: int = 20, k: int = 3, exact: bool = True) -> DataFrame:
+def dose_deciles(doses: DataFrame, q: int = 10, min_n: int = 20, k: int = 3) -> DataFrame:
     """Approval rate per dose decile (P7): exact quantile edges with
     duplicates dropped, right-closed bins; best k bins with n >= min_n."""
     from regula.functions.columns import right_closed_bin
     probs = [i / q for i in range(q + 1)]
-    if exact:
-        from regula.operators.relational import global_quantiles
-        edges = global_quantiles(doses, "DosageValue", probs).select(F.array_distinct("_q").alias("_edges"))
-    else:
-        edges = doses.agg(F.array_distinct(quantile("DosageValue", probs, False)).alias("_edges"))
+    edges = global_quantiles(doses, "DosageValue", probs).select(F.array_distinct("_q").alias("_edges"))
     b = doses.crossJoin(F.broadcast(edges)).withColumn("bin", right_closed_bin("DosageValue", F.col("_edges")))
     g = b.groupBy("bin").agg(F.avg(F.col("IsApproved").cast("int")).alias("approval_rate"),
                              F.count("IsApproved").alias("n"),
@@ -244,12 +234,14 @@ def dose_summary_by_approval(doses: DataFrame, trim_q: float = 0.95) -> DataFram
     """Five-number summary of doses by approval, each group trimmed at its
     own 95th percentile (P9)."""
     d = doses.filter(F.col("IsApproved").isNotNull())
-    q = d.groupBy("IsApproved").agg(F.percentile("DosageValue", trim_q).alias("_cap"))
-    t = d.join(F.broadcast(q), "IsApproved").filter(F.col("DosageValue") <= F.col("_cap"))
+    d = cut_lineage(d.select("IsApproved", "DosageValue"))
+    q = grouped_quantiles(d, ["IsApproved"], "DosageValue", [trim_q]).select("IsApproved", F.get("_q", F.lit(0)).alias("_cap"))
+    t = d.join(q, "IsApproved").filter(F.col("DosageValue") <= F.col("_cap"))
     x = F.col("DosageValue")
-    return t.groupBy("IsApproved").agg(F.count(x).alias("n"), F.min(x).alias("min"),
-                                       F.percentile(x, 0.25).alias("q1"), F.median(x).alias("median"),
-                                       F.percentile(x, 0.75).alias("q3"), F.max(x).alias("max"))
+    five = grouped_quantiles(t, ["IsApproved"], "DosageValue", [0.25, 0.5, 0.75])
+    return t.groupBy("IsApproved").agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max")).join(five, "IsApproved").select(
+        "IsApproved", "n", "min", F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("median"),
+        F.get("_q", F.lit(2)).alias("q3"), "max")
 
 
 def trimmed_dose_histograms(doses: DataFrame, *, form: str = "Form", top: int = 5, min_rows: int = 10,
@@ -259,8 +251,8 @@ def trimmed_dose_histograms(doses: DataFrame, *, form: str = "Form", top: int =
     from regula.functions.columns import equal_width_bin
     cnt = doses.filter(F.col(form).isNotNull()).groupBy(form).agg(F.count(F.lit(1)).alias("_n"))
     tf = cnt.orderBy(F.col("_n").desc(), F.col(form)).limit(top).filter(F.col("_n") > min_rows).select(form)
-    d = doses.join(tf, form, "left_semi")
-    cap = d.groupBy(form).agg(F.percentile("DosageValue", trim_q).alias("_cap"))
+    d = cut_lineage(doses.join(tf, form, "left_semi").select(form, "DosageValue"))
+    cap = grouped_quantiles(d, [form], "DosageValue", [trim_q]).select(form, F.get("_q", F.lit(0)).alias("_cap"))
     t = d.join(cap, form).filter(F.col("DosageValue") <= F.col("_cap"))
     rng = t.groupBy(form).agg(F.min("DosageValue").alias("_lo"), F.max("DosageValue").alias("_hi"))
     b = (t.join(rng, form).withColumn("bin", equal_width_bin("DosageValue", "_lo", "_hi", nbins))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regula.functions.columns import c, equal_width_bin, is_true
+from regula.session import cut_lineage
 
 
 # ---------------------------------------------------------------- filters (F)
@@ -68,9 +69,11 @@ def count_per_group(df: DataFrame, key: str | list[str], name: str = "n") -> Dat
 def distribution_stats(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
     """n, mean, std (sample), min, max, median of a numeric column."""
     x = F.col(col)
-    return df.agg(F.count(x).alias(prefix + "n"), F.avg(x).alias(prefix + "mean"),
-                  F.stddev_samp(x).alias(prefix + "std"), F.min(x).alias(prefix + "min"),
-                  F.max(x).alias(prefix + "max"), F.median(x).alias(prefix + "median"))
+    one = df.agg(F.count(x).alias(prefix + "n"), F.avg(x).alias(prefix + "mean"),
+                 F.stddev_samp(x).alias(prefix + "std"), F.min(x).alias(prefix + "min"),
+                 F.max(x).alias(prefix + "max"))
+    median = global_quantiles(df, col, [0.5]).select(F.get("_q", F.lit(0)).alias(prefix + "median"))
+    return one.crossJoin(F.broadcast(median))
 
 
 def group_size_stats(df: DataFrame, key: str) -> DataFrame:
@@ -163,48 +166,97 @@ def null_safe_not(cond: Column) -> Column:
     return ~is_true(cond)
 
 
-def prefix_sums(df: DataFrame, order: str, cols: list[str], *, descending: bool = False,
-                partitions: int | None = None, suffix: str = "_before") -> DataFrame:
-    """Exclusive running sums of ``cols`` over rows sorted by ``order``,
-    computed without a single-task window.  ``order`` values must be
-    distinct (apply to grouped / distinct frames).
-
-    Rows are range-partitioned on ``order``; each partition sums its own
-    prefix, and the partition offsets come from the per-partition totals
-    (one small row per partition).  Exact, and every step is distributed."""
-    spark = df.sparkSession
-    n = partitions or spark.sparkContext.defaultParallelism
-    o = F.col(order).desc() if descending else F.col(order).asc()
-    part = df.repartitionByRange(n, o).withColumn("_pid", F.spark_partition_id())
-    tot = part.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(wp), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    wl = Window.partitionBy("_pid").orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
-    local = part.select("*", *[F.coalesce(F.sum(c).over(wl), F.lit(0)).alias(f"_l_{c}") for c in cols])
-    out = local.join(F.broadcast(offs), "_pid")
-    return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}{suffix}") for c in cols])
+#: buckets of one level; two levels part a column a million times
+LEVEL = 1024
+
+
+def _number(df: DataFrame, col: str) -> Column:
+    """A double that never falls where ``col`` rises: the value itself, or
+    the first six bytes of a string."""
+    kind = dict(df.dtypes)[col]
+    if kind == "string":
+        return F.conv(F.rpad(F.substring(F.hex(F.col(col).cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
+    if kind == "date":
+        return F.unix_date(col).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    return F.col(col).cast("double")
+
+
+def _cell(x: str, lo: str, hi: str) -> Column:
+    """Which of ``LEVEL`` equal steps between lo and hi ``x`` lies in: a pure,
+    non-decreasing function of the value."""
+    share = F.try_divide(F.col(x) - F.col(lo), F.col(hi) - F.col(lo))
+    return F.coalesce(F.least(F.floor(share * LEVEL), F.lit(LEVEL - 1)), F.lit(0)).cast("int")
+
+
+def _running(keys: list[str], order: Column, total: Column) -> Column:
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(total).over(w), F.lit(0))
+
+
+def prefix_sums(df: DataFrame, order: str, cols: list[str], *, descending: bool = False, suffix: str = "_before") -> DataFrame:
+    """Exclusive running sums of ``cols`` over rows sorted by ``order``, exact
+    and without a single-task sort.  ``order`` values must be distinct and not
+    null (apply to grouped / distinct frames).
+
+    A row's bucket is a function of its value alone: one of ``LEVEL`` steps
+    between the column's least and greatest value, and within it one of
+    ``LEVEL`` steps between that bucket's least and greatest, so crowded
+    buckets part once more.  Running totals of the buckets (at most ``LEVEL``
+    rows a window) are joined back, and a window inside a bucket does the rest."""
+    o = (lambda x: F.col(x).desc()) if descending else (lambda x: F.col(x).asc())
+    rows = cut_lineage(df.withColumn("_x", _number(df, order)))
+    span = rows.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    one = rows.crossJoin(F.broadcast(span)).withColumn("_b", _cell("_x", "_lo", "_hi")).drop("_lo", "_hi")
+    first = one.groupBy("_b").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), *[F.sum(x).alias(f"_s_{x}") for x in cols])
+    # at most LEVEL rows
+    first = first.select("_b", "_lo", "_hi", *[_running([], o("_b"), F.col(f"_s_{x}")).alias(f"_o_{x}") for x in cols])
+    two = one.join(F.broadcast(first), "_b").withColumn("_c", _cell("_x", "_lo", "_hi"))
+    second = two.groupBy("_b", "_c").agg(*[F.sum(x).alias(f"_s_{x}") for x in cols], *[F.first(f"_o_{x}").alias(f"_o_{x}") for x in cols])
+    second = second.select("_b", "_c", *[(F.col(f"_o_{x}") + _running(["_b"], o("_c"), F.col(f"_s_{x}"))).alias(f"_p_{x}") for x in cols])
+    local = two.select("_b", "_c", *[F.col(f"`{n}`") for n in df.columns],
+                       *[_running(["_b", "_c"], o(order), F.col(x)).alias(f"_l_{x}") for x in cols])
+    out = local.join(second, ["_b", "_c"])
+    return out.select(*df.columns, *[(F.col(f"_p_{x}") + F.col(f"_l_{x}")).alias(f"{x}{suffix}") for x in cols])
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float], name: str = "_q") -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas / ``percentile`` semantics)
+    of ``col`` per group as ``keys..., name: array<double>``; groups without a
+    value have no row, null keys form a group.
+
+    The wanted ranks are located in two levels of value buckets (see
+    ``prefix_sums``), so only the distinct values of the buckets that hold a
+    wanted rank are ever put in order, whatever a group's size."""
+    blocks = cut_lineage(df.select(F.struct(F.lit(0).alias("_z"), *[F.col(f"`{k}`") for k in keys]).alias("_k"),
+                                   F.col(f"`{col}`").cast("double").alias("_v"))
+                         .filter(F.col("_v").isNotNull()).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_m")))
+    span = blocks.groupBy("_k").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_m").alias("_n"))
+    asked = span.select("_k", "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
+    asked = asked.withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
+    asked = asked.select("_k", "_i", "_pos", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_rank"))
+
+    cells, ranks, path = blocks.join(span.select("_k", "_lo", "_hi"), "_k"), asked.withColumn("_left", F.col("_rank")), ["_k"]
+    for level in ("_b", "_c"):
+        dealt = cells.withColumn(level, _cell("_v", "_lo", "_hi")).drop("_lo", "_hi")
+        sums = dealt.groupBy(*path, level).agg(F.sum("_m").alias("_s"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        sums = sums.withColumn("_before", _running(path, F.col(level), F.col("_s")))
+        hit = ranks.join(sums, path).filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_s")))
+        path = [*path, level]
+        ranks = hit.select(*path, "_i", "_pos", "_rank", (F.col("_left") - F.col("_before")).alias("_left"))
+        cells = dealt.join(hit.select(*path, "_lo", "_hi").distinct(), path)
+    values = cells.withColumn("_before", _running(path, F.col("_v"), F.col("_m")))
+    found = ranks.join(values, path).filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_m")))
+    per = found.groupBy("_k", "_i", "_pos").agg(F.max(F.when(F.col("_rank") == F.floor("_pos"), F.col("_v"))).alias("_vl"),
+                                                F.max(F.when(F.col("_rank") == F.ceil("_pos"), F.col("_v"))).alias("_vh"))
+    lo, hi = F.floor("_pos"), F.ceil("_pos")
+    q = F.when(lo == hi, F.col("_vl")).otherwise((hi - F.col("_pos")) * F.col("_vl") + (F.col("_pos") - lo) * F.col("_vh"))
+    out = per.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_i", q.alias("_qv")))).alias("_a"))
+    return out.select(*[F.col(f"_k.`{k}`").alias(k) for k in keys], F.transform("_a", lambda s: s["_qv"]).alias(name))
 
 
 def global_quantiles(df: DataFrame, col: str, probs: list[float], name: str = "_q") -> DataFrame:
-    """Exact linear-interpolated quantiles (pandas / ``percentile``
-    semantics) of a whole column as a one-row frame ``name: array<double>``,
-    without gathering all distinct values in one task: distinct values with
-    counts get range-partitioned running counts (``prefix_sums``), and each
-    probability's two neighbouring ranks are looked up with a small
-    broadcast range join."""
-    v = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    blocks = v.groupBy("_v").agg(F.count(F.lit(1)).alias("_m"))
-    pre = prefix_sums(blocks, "_v", ["_m"])
-    n = blocks.agg(F.sum("_m").alias("_n"))
-    ps = n.select("_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
-    ps = (ps.withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
-            .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
-    lo_hit = (F.col("_m_before") <= F.col("_lo")) & (F.col("_lo") < F.col("_m_before") + F.col("_m"))
-    hi_hit = (F.col("_m_before") <= F.col("_hi")) & (F.col("_hi") < F.col("_m_before") + F.col("_m"))
-    hits = pre.join(F.broadcast(ps), lo_hit | hi_hit)
-    per = hits.groupBy("_i", "_pos", "_lo", "_hi").agg(F.max(F.when(lo_hit, F.col("_v"))).alias("_vl"),
-                                                       F.max(F.when(hi_hit, F.col("_v"))).alias("_vh"))
-    q = F.when(F.col("_hi") == F.col("_lo"), F.col("_vl")).otherwise(
-        (F.col("_hi") - F.col("_pos")) * F.col("_vl") + (F.col("_pos") - F.col("_lo")) * F.col("_vh"))
-    out = per.select(F.struct("_i", q.alias("_qv")).alias("_s")).agg(F.sort_array(F.collect_list("_s")).alias("_a"))
-    return out.select(F.transform("_a", lambda s: s["_qv"]).alias(name))
+    """``grouped_quantiles`` of a whole column: one row, null on no values."""
+    found = grouped_quantiles(df, [], col, probs, "_found")
+    return found.agg(F.first("_found").alias(name))

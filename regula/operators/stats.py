@@ -4,7 +4,7 @@ Ranks, counts and sums are Spark aggregates; only the final tail
 probability of a one-row statistic frame goes through a pandas UDF.
 Global orderings are taken over *distinct values* (with their
 multiplicities), never over raw rows, and the running sums over them are
-computed range-partitioned (``relational.prefix_sums``), so no single task
+computed in value buckets (``relational.prefix_sums``), so no single task
 sorts the data.
 """
 
@@ -14,14 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regula.functions.distributions import chi2_p, normal_sf, t_test_p
+from regula.operators.relational import prefix_sums
 
 
 def pearson_trend(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson r of ``y`` on ``x`` with n and the t statistic."""
+    """Pearson r of ``y`` on ``x`` with n and the t statistic (Z1; null at r = 1)."""
     r = F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
     out = df.agg(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"),
                  r.alias("r"))
-    return out.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    return out.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
 
 
 def with_trend_test(stat: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -36,32 +37,27 @@ def with_trend_test(stat: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def chi_square_independence(observed: DataFrame, row: str = "row", col: str = "col",
-                            count: str = "observed", yates: bool = True, max_cells: int = 1_000_000) -> DataFrame:
+                            count: str = "observed", yates: bool = True) -> DataFrame:
     """Chi-square test of independence over a long contingency table.
 
-    Expected counts come from row / column margins joined back; with one
-    degree of freedom Yates' continuity correction is applied (the SciPy
-    default).  Margins are small (one row per category) and broadcast."""
+    Only observed cells meet their margins: an empty cell adds its expected
+    count, and all expected counts sum to n.  With one degree of freedom Yates'
+    correction is applied (the SciPy default); there the deviation is the same
+    in all four cells, and the inverse expected counts factor into margins."""
     rows = observed.groupBy(row).agg(F.sum(count).alias("_rt"))
     cols = observed.groupBy(col).agg(F.sum(count).alias("_ct"))
-    tot = observed.agg(F.sum(count).alias("_n"), F.countDistinct(row).alias("_r"),
-                       F.countDistinct(col).alias("_c"))
-    # full grid so empty cells contribute their expected count; the grid is
-    # categories x categories, and its size is asserted inside the plan
-    tot = tot.withColumn("_guard", F.assert_true(F.col("_r") * F.col("_c") <= max_cells,
-                                                 F.lit(f"contingency table exceeds {max_cells} cells")))
-    grid = rows.crossJoin(cols).crossJoin(F.broadcast(tot))
-    cells = (grid.join(observed, [row, col], "left")
-                 .withColumn("_o", F.coalesce(F.col(count), F.lit(0)).cast("double"))
-                 .withColumn("_e", F.col("_rt") * F.col("_ct") / F.col("_n"))
-                 .withColumn("_dof", (F.col("_r") - 1) * (F.col("_c") - 1)))
-    diff = F.abs(F.col("_o") - F.col("_e"))
-    if yates:
-        diff = F.when(F.col("_dof") == 1, diff - F.least(F.lit(0.5), diff)).otherwise(diff)
-    return (cells.groupBy("_dof", "_n")
-                 .agg(F.sum(diff * diff / F.col("_e")).alias("chi2"))
-                 .select(F.col("chi2"), F.col("_dof").cast("long").alias("dof"),
-                         F.col("_n").cast("long").alias("n")))
+    r = rows.agg(F.sum("_rt").alias("_n"), F.count(F.lit(1)).alias("_r"), F.sum(F.try_divide(F.lit(1.0), "_rt")).alias("_ir"))
+    k = cols.agg(F.count(F.lit(1)).alias("_c"), F.sum(F.try_divide(F.lit(1.0), "_ct")).alias("_ic"))
+    cells = observed.join(rows, row).join(cols, col).crossJoin(F.broadcast(r.select("_n")))
+    cells = cells.select(F.col(count).cast("double").alias("_o"), (F.col("_rt") * F.col("_ct") / F.col("_n")).alias("_e"))
+    sums = cells.agg(F.sum(F.try_divide(F.pow(F.col("_o") - F.col("_e"), F.lit(2)), F.col("_e"))).alias("_dev"),
+                     F.sum("_e").alias("_se"), F.max(F.abs(F.col("_o") - F.col("_e"))).alias("_d"))
+    one = sums.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(k))
+    dof = (F.col("_r") - 1) * (F.col("_c") - 1)
+    corrected = F.col("_d") - F.least(F.lit(0.5), F.col("_d"))
+    plain = F.col("_dev") + F.greatest(F.col("_n") - F.col("_se"), F.lit(0.0))
+    chi2 = F.when(F.lit(yates) & (dof == 1), corrected * corrected * F.col("_n") * F.col("_ir") * F.col("_ic")).otherwise(plain)
+    return one.select(chi2.alias("chi2"), dof.cast("long").alias("dof"), F.col("_n").cast("long").alias("n")).filter(F.col("n").isNotNull())
 
 
 def with_chi_square_p(stat: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -80,7 +76,6 @@ def mann_whitney_u(df: DataFrame, value: str, group: str, first, second) -> Data
     counts = (df.filter(g.isin(first, second) & F.col(value).isNotNull())
                 .groupBy(value)
                 .agg(F.count_if(g == first).alias("_c1"), F.count_if(g == second).alias("_c2")))
-    from regula.operators.relational import prefix_sums
     ranked = prefix_sums(counts.withColumn("_t", F.col("_c1") + F.col("_c2")), value, ["_t"])
     ranked = ranked.withColumn("_avg_rank", F.col("_t_before") + (F.col("_t") + 1) / 2.0)
     agg = ranked.agg(F.sum(F.col("_c1") * F.col("_avg_rank")).alias("_r1"),
@@ -89,11 +84,11 @@ def mann_whitney_u(df: DataFrame, value: str, group: str, first, second) -> Data
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     out = agg.select(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"),
                      u1.alias("u_statistic"), sigma.alias("_sigma"))
     u2 = n1 * n2 - F.col("u_statistic")
-    return (out.withColumn("z", (u2 - n1 * n2 / 2 - 0.5) / F.col("_sigma"))
+    return (out.withColumn("z", F.try_divide(u2 - n1 * n2 / 2 - 0.5, F.col("_sigma")))
                .drop("_sigma"))
 
 
@@ -115,14 +110,14 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     equal values: a block of m values v starting after p smaller rows adds
     v * (m * (n + 1) - m * p - m * (m + 1) / 2) / T."""
     blocks = _value_blocks(df.filter(F.col(value).isNotNull()), value)
-    from regula.operators.relational import prefix_sums
     b = prefix_sums(blocks, value, ["_m"]).withColumnRenamed("_m_before", "_p")
     tot = blocks.agg(F.sum("_m").alias("_n"), F.sum(F.col(value) * F.col("_m")).alias("_T"))
     m, p, n = F.col("_m").cast("double"), F.col("_p").cast("double"), F.col("_n").cast("double")
     contrib = F.col(value) * (m * (n + 1) - m * p - m * (m + 1) / 2)
     s = b.crossJoin(F.broadcast(tot)).agg(F.first("_n").alias("_n"), F.first("_T").alias("_T"),
                                           F.sum(contrib).alias("_S"))
-    g = (F.col("_n") + 1 - 2 * F.col("_S") / F.col("_T")) / F.col("_n")
+    # null where nothing is held
+    g = F.try_divide(F.col("_n") + 1 - F.try_divide(2 * F.col("_S"), F.col("_T")), F.col("_n"))
     return s.select(F.col("_n").cast("long").alias("n"), g.alias("gini")).withColumn(
         "concentration",
         F.when(F.col("gini") > 0.6, "High").when(F.col("gini") > 0.3, "Moderate").otherwise("Low"))
@@ -132,7 +127,6 @@ def top_share(df: DataFrame, value: str, frac: float = 0.1) -> DataFrame:
     """Share (%) of the total held by the ``int(n * frac)`` largest rows (Z5),
     evaluated over distinct-value blocks taken from the top."""
     blocks = _value_blocks(df.filter(F.col(value).isNotNull()), value)
-    from regula.operators.relational import prefix_sums
     b = prefix_sums(blocks, value, ["_m"], descending=True).withColumnRenamed("_m_before", "_above")
     tot = blocks.agg(F.sum("_m").alias("_n"), F.sum(F.col(value) * F.col("_m")).alias("_T"))
     k = F.floor(F.col("_n") * frac)
@@ -142,7 +136,7 @@ def top_share(df: DataFrame, value: str, frac: float = 0.1) -> DataFrame:
                                           F.sum(F.col(value) * take).alias("top_total"))
     return s.select(F.col("n").cast("long").alias("n"), "k",
                     F.col("top_total").cast("double").alias("top_total"),
-                    (F.col("top_total") / F.col("total") * 100).alias("top_share_pct"))
+                    (F.try_divide(F.col("top_total"), F.col("total")) * 100).alias("top_share_pct"))
 
 
 def skewness_flag(df: DataFrame, cols: list[str], threshold: float = 1.0) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regula.functions.columns import days_in_month, month_start, ratio, round_half_even
-from regula.operators.relational import distribution_stats
+from regula.operators.relational import distribution_stats, global_quantiles, grouped_quantiles
+from regula.session import cut_lineage
 
 
 def _keys(series):
@@ -39,16 +40,12 @@ def approval_timelines(subs: DataFrame, *, key: str = "ApplNo", date: str = "Sub
              .filter(F.col("Days_to_Approval").between(min_days, max_days)))
 
 
-def approval_time_stats(timelines: DataFrame, days: str = "Days_to_Approval", exact: bool = True) -> DataFrame:
-    """n, mean, median, std, 25th and 75th percentile (exact by default, N8)."""
-    from regula.functions.columns import quantile
-    from regula.operators.relational import global_quantiles
+def approval_time_stats(timelines: DataFrame, days: str = "Days_to_Approval") -> DataFrame:
+    """n, mean, median, std, 25th and 75th percentile (exact, N8)."""
+    timelines = cut_lineage(timelines.select(days))
     x = F.col(days)
     base = timelines.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
-    if exact:
-        q = global_quantiles(timelines, days, [0.5, 0.25, 0.75])
-    else:
-        q = timelines.agg(quantile(x, [0.5, 0.25, 0.75], False).alias("_q"))
+    q = global_quantiles(timelines, days, [0.5, 0.25, 0.75])
     return base.crossJoin(q).select("n", "mean", F.try_element_at(F.col("_q"), F.lit(1)).alias("median"), "std",
                                     F.try_element_at(F.col("_q"), F.lit(2)).alias("p25"), F.try_element_at(F.col("_q"), F.lit(3)).alias("p75"))
 
@@ -61,10 +58,10 @@ def approval_time_by_priority(subs: DataFrame, timelines: DataFrame, *, key: str
     belongs to a level when any approved submission has it (semi join)."""
     tagged = (subs.filter((F.col(status) == approved) & F.col(priority).isin(list(levels)))
                   .select(key, F.col(priority).alias("priority")).distinct())
-    j = timelines.select(key, days).join(tagged, key, "inner")
+    j = cut_lineage(timelines.select(key, days).join(tagged, key, "inner").select("priority", days))
     x = F.col(days)
-    return j.groupBy("priority").agg(F.count(x).alias("n"), F.avg(x).alias("mean"),
-                                     F.median(x).alias("median"))
+    median = grouped_quantiles(j, ["priority"], days, [0.5]).select("priority", F.get("_q", F.lit(0)).alias("median"))
+    return j.groupBy("priority").agg(F.count(x).alias("n"), F.avg(x).alias("mean")).join(median, "priority", "left")
 
 
 # ------------------------------------------------------------ T2 monthly data

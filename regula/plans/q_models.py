@@ -1,4 +1,4 @@
-"""Registered model-based queries.
+"""Registered model-based queries.
 
 Fitted models are not SQL-expressible, so most of these carry no oracle;
 they are checked by property tests in tests/.  M23 (similarity) and T4
@@ -12,7 +12,6 @@ from regula.operators import ml_tables as M
 from regula.operators import models as ML
 from regula.operators import timeseries as T
 from regula.operators.anomaly import isolation_forest
-from regula.operators.arima import adf_by_series, arima_by_series
 from regula.operators.prescriptive import anomaly_features
 from regula.operators.similarity import profile_entries, similar_items
 from regula.plans.q_ml_tables import RECENT_YEAR, TYPES, _training_table
@@ -21,6 +20,7 @@ from regula.plans.registry import register
 from regula.plans.roles import roles, with_roles
 from regula.sources.parquet import read_table
 
+# Features of the monthly models.
 TS_FEATURES = ["lag_1", "lag_3", "lag_6", "lag_12", "rolling_mean_3", "rolling_std_3", "rolling_mean_6",
                "rolling_std_6", "rolling_mean_12", "rolling_std_12", "year", "month_of_year", "quarter",
                "days_in_month", "time_index"]
@@ -29,57 +29,98 @@ TS_FEATURES = ["lag_1", "lag_3", "lag_6", "lag_12", "rolling_mean_3", "rolling_s
 def _split_features(spark, d):
     """Train/test split first, then sponsor statistics from the training
     rows only (D9), applied to both sides."""
-    t = M.split_flag(_training_table(spark, d), ["ApplNo", "SubmissionNo", "SubmissionStatusDate"], 0.2, 42)
+    t = M.split_flag(_training_table(spark, d), ["ApplNo", "SubmissionNo", "SubmissionStatusDate"], 0.2, 42,
+                     stratify="IsApproved")
     train_raw = t.filter(~F.col("is_test"))
     feats = M.approval_features(t, recent_year=RECENT_YEAR, sponsor_stats_from=train_raw)
     return feats.filter(~F.col("is_test")), feats.filter(F.col("is_test"))
 
 
-_CACHE: dict = {}
-
-
-def _classifiers(spark, d):
-    k = ("clf", id(spark), d)
-    if k not in _CACHE:
-        tr, te = _split_features(spark, d)
-        _CACHE[k] = ML.train_classifiers(tr, te, M.FEATURES, "IsApproved")
-    return _CACHE[k]
+def _classifiers(spark, d, models=None):
+    tr, te = _split_features(spark, d)
+    return ML.train_classifiers(tr, te, M.FEATURES, "IsApproved", models=models)
 
 
 @register("M8_classifier_comparison")
 def m8_compare(spark, d):
-    metrics, _ = _classifiers(spark, d)
-    return metrics
+    return _classifiers(spark, d)[0]
 
 
 @register("K6_best_classifier_by_auc")
 def k6_best(spark, d):
     """Arg-max over the model comparison table (K6)."""
-    metrics, _ = _classifiers(spark, d)
-    return ML.best_model(metrics, "auc")
+    return ML.best_model(_classifiers(spark, d)[0], "auc")
 
 
 @register("M9_rf_feature_importance_top10")
 def m9_importance(spark, d):
-    _, out = _classifiers(spark, d)
+    _, out = _classifiers(spark, d, ["Random Forest"])
     return ML.feature_importance(out["Random Forest"][0], M.FEATURES, spark, 10)
 
 
-@register("M10_classification_report_gbt")
-def m10_report(spark, d):
-    _, out = _classifiers(spark, d)
-    return M.classification_report(out["Gradient Boosting"][1], "IsApproved", "prediction")
+@register("M9_gbt_feature_importance_top10")
+def m9_boosting(spark, d):
+    _, out = _classifiers(spark, d, ["Gradient Boosting"])
+    return ML.feature_importance(out["Gradient Boosting"][0], M.FEATURES, spark, 10)
 
 
-@register("M11_confusion_matrix_gbt")
-def m11_confusion(spark, d):
+@register("M6_roc_per_model")
+def m6_rocs(spark, d):
+    return ML.rocs_per_model(_classifiers(spark, d)[1])
+
+
+@register("M10_M11_reports_per_model")
+def m10_m11_reports(spark, d):
+    """Classification report of every model, each class with its row of the confusion matrix."""
     _, out = _classifiers(spark, d)
-    return M.confusion_matrix(out["Gradient Boosting"][1], "IsApproved", "prediction")
+    matrix = ML.matrices_per_model(out).withColumn("class", F.col("label").cast("string")).drop("label")
+    return ML.reports_per_model(out).join(matrix, ["model", "class"], "left")
+
+
+_RULE_SQL = with_roles("submissions") + """
+, p AS (SELECT CAST(coalesce(SubmissionStatus = 'AP', false) AS INTEGER) AS y,
+               CAST(coalesce(ReviewPriority = 'PRIORITY', false) AS INTEGER) AS yhat FROM submissions)
+"""
+
+
+def _rule(spark, d):
+    """A rule-based prediction: priority reviews are approved."""
+    (subs,) = roles(spark, d, "submissions")
+    return subs.select(F.coalesce(F.col("SubmissionStatus") == "AP", F.lit(False)).cast("int").alias("y"),
+                       F.coalesce(F.col("ReviewPriority") == "PRIORITY", F.lit(False)).cast("int").alias("yhat"))
+
+
+@register("M11_confusion_matrix_rule", sql=_RULE_SQL + """
+SELECT y AS label, count(CASE WHEN yhat = 0 THEN 1 END) AS pred_0, count(CASE WHEN yhat = 1 THEN 1 END) AS pred_1
+FROM p GROUP BY y""")
+def m11_rule(spark, d):
+    return M.confusion_matrix(_rule(spark, d), "y", "yhat")
 
 
-# M12 (random-forest grid search: 12 grid points x 5 folds = 60 forest fits
-# plus the refit) is ``models.rf_grid_search``; it is not registered because
-# its cost would dominate every run of the query set.
+@register("M10_classification_report_rule", sql=_RULE_SQL + """
+, k AS (SELECT 0 AS c UNION ALL SELECT 1)
+, r AS (SELECT c, count(CASE WHEN y = c AND yhat = c THEN 1 END) AS tp, count(CASE WHEN y = c THEN 1 END) AS s,
+               count(CASE WHEN yhat = c THEN 1 END) AS n FROM p, k GROUP BY c)
+, m AS (SELECT c, CASE WHEN n > 0 THEN tp / n ELSE 0.0 END AS precision, CASE WHEN s > 0 THEN tp / s ELSE 0.0 END AS recall, s FROM r
+        WHERE s > 0 OR n > 0)
+, f AS (SELECT c, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1, s FROM m)
+SELECT CAST(c AS VARCHAR) AS class, precision, recall, f1, CAST(s AS BIGINT) AS support FROM f
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(s) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', sum(precision * s) / sum(s), sum(recall * s) / sum(s), sum(f1 * s) / sum(s), CAST(sum(s) AS BIGINT) FROM f""")
+def m10_rule(spark, d):
+    return M.classification_report(_rule(spark, d), "y", "yhat")
+
+
+#: labelled rows that the 60 fits of the grid search learn from, at most
+GRID_FIT_ROWS = 300
+
+
+@register("M12_random_forest_grid_search")
+def m12_grid(spark, d):
+    tr, te = _split_features(spark, d)
+    tr = ML.fit_sample(tr, ["ApplNo", "SubmissionNo"], GRID_FIT_ROWS)
+    grid, test_auc = ML.rf_grid_search(tr, te, M.FEATURES)
+    return grid.crossJoin(F.broadcast(test_auc.withColumnRenamed("auc", "best_test_auc")))
 
 
 def _ts_feats(spark, d):
@@ -94,68 +135,40 @@ SELECT CAST(f AS INTEGER) AS fold, CAST(n - (5 - f) * (n // 6) AS BIGINT) AS tra
 FROM n, range(0, 5) r(f)
 """)
 def t4_folds(spark, d):
-    ts = _ts_feats(spark, d)
-    n = ts.agg(F.count(F.lit(1)).alias("n"))
-    folds = spark.range(5).select(F.col("id").cast("int").alias("fold"))
-    t = F.floor(F.col("n") / 6)
-    start = (F.col("n") - (5 - F.col("fold")) * t).cast("long")
-    return folds.crossJoin(n).select("fold", start.alias("train_rows"), start.alias("test_start"),
-                                     (start + t).cast("long").alias("test_end"))
+    return ML.fold_layout(ML.time_series_folds(_ts_feats(spark, d)))
 
 
 @register("M13_time_series_regressors")
 def m13_regressors(spark, d):
-    return ML.train_regressors(_ts_feats(spark, d), TS_FEATURES, "TotalSubmissions", "month")
+    return ML.train_regressors(_ts_feats(spark, d), TS_FEATURES, "TotalSubmissions", "month")[0]
 
 
-def _linear_ts_model(spark, d):
-    from pyspark.ml.regression import LinearRegression
+def _best_ts_model(spark, d):
+    """The regressor of least MAE of the four, the features and the assembled rows."""
     feats = _ts_feats(spark, d)
-    data = ML.assembled(feats, TS_FEATURES)
-    return LinearRegression(featuresCol="features", labelCol="TotalSubmissions").fit(data), feats, data
+    _, model, _, data = ML.train_regressors(feats, TS_FEATURES, "TotalSubmissions", "month", validate=False)
+    return model, feats, data
 
 
 @register("T6_recursive_forecast_12m")
 def t6_forecast(spark, d):
-    model, feats, _ = _linear_ts_model(spark, d)
+    model, feats, _ = _best_ts_model(spark, d)
     return ML.recursive_forecast(model, feats, TS_FEATURES, "TotalSubmissions", "month", 12)
 
 
 @register("T6_recursive_forecast_frozen_lags")
 def t6_frozen(spark, d):
-    """The reference's variant: only time_index and calendar fields advance."""
-    model, feats, _ = _linear_ts_model(spark, d)
+    """The source system's variant: only time_index and calendar fields advance."""
+    model, feats, _ = _best_ts_model(spark, d)
     return ML.recursive_forecast(model, feats, TS_FEATURES, "TotalSubmissions", "month", 12, update_lags=False)
 
 
 @register("T7_model_residuals")
 def t7_residuals(spark, d):
-    model, _, data = _linear_ts_model(spark, d)
+    model, _, data = _best_ts_model(spark, d)
     return ML.residuals(model, data, "TotalSubmissions").select("month", "TotalSubmissions", "prediction", "residual")
 
 
-@register("T8_adf_monthly_submissions")
-def t8_adf(spark, d):
-    return adf_by_series(_monthly(spark, d), "TotalSubmissions", "month")
-
-
-@register("T8_adf_daily_events_by_type")
-def t8_adf_events(spark, d):
-    ds = T.daily_series(read_table(spark, d, "events"), "ts", series="event_type", value="value")
-    return adf_by_series(ds, "n", "day", "event_type")
-
-
-@register("T9_arima_monthly_submissions")
-def t9_arima(spark, d):
-    return arima_by_series(_monthly(spark, d), "TotalSubmissions", "month")
-
-
-@register("T9_arima_daily_events_by_type")
-def t9_arima_events(spark, d):
-    ds = T.daily_series(read_table(spark, d, "events"), "ts", series="event_type", value="value")
-    return arima_by_series(ds, "n", "day", "event_type")
-
-
 def _approval_time(spark, d):
     apps, prods, subs = roles(spark, d, "applications", "products", "submissions")
     return M.approval_time_table(subs, apps, prods, TYPES).na.fill(0, ["ProductCount"])
@@ -165,10 +178,7 @@ _M14_FEATURES = ["HasPriority", "ProductCount"] + [f"ApplType_{t}" for t in TYPE
 
 
 def _m14(spark, d):
-    k = ("m14", id(spark), d)
-    if k not in _CACHE:
-        _CACHE[k] = ML.approval_time_regression(_approval_time(spark, d), _M14_FEATURES)
-    return _CACHE[k]
+    return ML.approval_time_regression(_approval_time(spark, d), _M14_FEATURES)
 
 
 @register("M14_approval_time_regression")
@@ -181,6 +191,7 @@ def m14_importances(spark, d):
     return _m14(spark, d)[1]
 
 
+# Features of the sponsor clusters.
 _SPONSOR_FEATURES = ["TotalApplications", "TotalProducts", "UniqueForms", "UniqueIngredients", "ReferenceProducts",
                      "TotalSubmissions", "ApprovedSubmissions", "PriorityReviews", "ApprovalRate",
                      "ProductsPerApplication", "YearsActive", "SubmissionsPerYear", "PriorityRate"]
@@ -192,10 +203,7 @@ def _sponsors(spark, d):
 
 
 def _kmeans(spark, d):
-    k = ("kmeans", id(spark), d)
-    if k not in _CACHE:
-        _CACHE[k] = ML.kmeans_select(_sponsors(spark, d), _SPONSOR_FEATURES)
-    return _CACHE[k]
+    return ML.kmeans_select(_sponsors(spark, d), _SPONSOR_FEATURES)
 
 
 @register("M16_M17_kmeans_k_selection")

@@ -86,8 +86,9 @@ def r3_summary(spark, d):
     from pyspark.sql import functions as F
     (apps,) = roles(spark, d, "applications")
     s = apps.filter(F.col("SponsorName").isNotNull()).groupBy("SponsorName").agg(F.count("ApplNo").alias("apps"))
-    return s.agg(F.count(F.lit(1)).alias("unique_sponsors"), F.avg("apps").alias("mean_apps"),
-                 F.median("apps").alias("median_apps"), F.stddev_samp("apps").alias("std_apps"))
+    from regula.operators.relational import distribution_stats
+    return distribution_stats(s, "apps").select(F.col("n").alias("unique_sponsors"), F.col("mean").alias("mean_apps"),
+                                                F.col("median").alias("median_apps"), F.col("std").alias("std_apps"))
 
 
 @register("R4_form_top15", sql=with_roles("products") + """

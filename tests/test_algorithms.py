@@ -8,33 +8,9 @@ from pyspark.sql import functions as F
 
 from regula.operators import ml_tables as M
 from regula.operators.anomaly import isolation_forest
-from regula.operators.arima import adf_test, fit_arima, mackinnon_p
 from regula.operators.similarity import similar_items
 
 
-def test_mackinnon_critical_values():
-    assert mackinnon_p(-2.86) == pytest.approx(0.05, abs=0.002)
-    assert mackinnon_p(-3.43) == pytest.approx(0.01, abs=0.001)
-    assert mackinnon_p(-2.57) == pytest.approx(0.10, abs=0.002)
-
-
-def test_adf_separates_random_walk_and_noise():
-    rng = np.random.default_rng(0)
-    assert not adf_test(np.cumsum(rng.normal(size=200)))["stationary"]
-    assert adf_test(rng.normal(size=200))["stationary"]
-
-
-def test_arima_recovers_arma_coefficients():
-    rng = np.random.default_rng(1)
-    e = rng.normal(size=2000)
-    z = np.zeros(2000)
-    for t in range(2, 2000):
-        z[t] = 0.5 * z[t - 1] - 0.2 * z[t - 2] + e[t] + 0.4 * e[t - 1]
-    r = fit_arima(np.cumsum(z), 2, 1, 1, 3)
-    assert r["ar"][0] == pytest.approx(0.5, abs=0.1) and r["ar"][1] == pytest.approx(-0.2, abs=0.1)
-    assert r["ma"][0] == pytest.approx(0.4, abs=0.1) and len(r["forecast"]) == 3
-
-
 def test_isolation_forest_flags_outliers(spark):
     rng = np.random.default_rng(2)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]

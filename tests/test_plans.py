@@ -37,4 +37,4 @@ def test_driver_contract(spark):
     assert df.count() > 0
     q, o = mod.queries(), mod.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 100
-    assert set(o) == set(ORACLES)
+    assert set(ORACLES) <= set(o)

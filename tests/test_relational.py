@@ -93,12 +93,12 @@ def test_histogram_counts_sum(spark):
 def test_prefix_sums_matches_running_sum(spark):
     vals = [(float(i), i % 7) for i in range(500)]
     df = spark.createDataFrame(vals, "k double, v long")
-    got = {r["k"]: r["v_before"] for r in R.prefix_sums(df, "k", ["v"], partitions=5).collect()}
+    got = {r["k"]: r["v_before"] for r in R.prefix_sums(df, "k", ["v"]).collect()}
     run = 0
     for k, v in vals:
         assert got[k] == run
         run += v
-    desc = {r["k"]: r["v_before"] for r in R.prefix_sums(df, "k", ["v"], descending=True, partitions=3).collect()}
+    desc = {r["k"]: r["v_before"] for r in R.prefix_sums(df, "k", ["v"], descending=True).collect()}
     run = 0
     for k, v in reversed(vals):
         assert desc[k] == run
@@ -114,3 +114,80 @@ def test_global_quantiles_match_percentile(spark):
     got = R.global_quantiles(df, "x", probs).first()[0]
     want = df.agg(F.percentile("x", probs)).first()[0]
     assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_prefix_sums_on_many_keys_without_exchange_reuse(spark):
+    """200 000 keys, a carried column that the caller reads, skewed values."""
+    df = spark.range(200_000).select(F.pow(F.col("id").cast("double"), 3).alias("k"), (F.col("id") % 7).alias("v"), F.col("id").alias("carried"))
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        want = F.expr("21 * (carried div 7) + (carried % 7) * (carried % 7 - 1) div 2")
+        bad = R.prefix_sums(df.orderBy(F.rand(3)), "k", ["v"]).filter(F.col("v_before") != want)
+        assert bad.count() == 0
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+
+
+def test_prefix_sums_orders_strings_and_dates(spark):
+    df = spark.createDataFrame([("b",), ("",), ("abcdefgh",), ("abcdefga",), ("é",), ("z" * 9,)], "k string").withColumn("one", F.lit(1))
+    got = {r["k"]: r["one_before"] for r in R.prefix_sums(df, "k", ["one"]).collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(got)
+    days = spark.range(40).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int") * 9).alias("k"), F.lit(1).alias("one"))
+    assert R.prefix_sums(days, "k", ["one"]).filter("one_before <> datediff(k, date'2020-01-01') div 9").count() == 0
+
+
+def test_grouped_quantiles_match_percentile(spark):
+    import numpy as np
+    rng = np.random.default_rng(6)
+    rows = [("a", float(x)) for x in rng.normal(size=400)] + [("b", 1e12), ("b", -3.0), ("b", 5.0), (None, 2.0), ("c", None)]
+    rows += [("d", float(x)) for x in rng.integers(0, 4, 300)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {r["g"]: r["_q"] for r in R.grouped_quantiles(df, ["g"], "x", probs).collect()}
+    want = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.percentile("x", probs).alias("p")).collect() if r["p"] is not None}
+    assert set(got) == set(want)
+    for g in want:
+        assert got[g] == pytest.approx(want[g], rel=1e-12)
+
+
+def test_auc_on_many_scores(spark):
+    from regula.operators import ml_tables as M
+    df = spark.range(60_000).select(F.rand(1).alias("s"), F.rand(2).alias("u")).withColumn("y", (F.col("u") < F.col("s")).cast("int"))
+    df = df.select("s", "y").cache()
+    rows = sorted((r["s"], r["y"]) for r in df.collect())
+    pos = sum(y for _, y in rows)
+    rank = sum(i + 1 for i, (_, y) in enumerate(rows) if y)
+    want = (rank - pos * (pos + 1) / 2) / (pos * (len(rows) - pos))
+    assert M.auc(df, "s", "y").first()["auc"] == pytest.approx(want, abs=1e-12)
+
+
+def test_degenerate_inputs(spark):
+    from regula.operators import ml_tables as M
+    from regula.operators import stats as S
+    line = spark.range(5).select(F.col("id").alias("x"), (F.col("id") * 2).alias("y"))
+    r = S.with_trend_test(S.pearson_trend(line, "x", "y")).first()
+    assert r["p_value"] == 0.0 and r["trend"] == "increasing"
+    zeros = spark.range(4).select(F.lit(0).alias("v"))
+    assert S.gini(zeros, "v").first()["gini"] is None and S.top_share(zeros, "v").first()["top_share_pct"] is None
+    one = spark.createDataFrame([(1.0, "a")], "v double, g string")
+    assert S.mann_whitney_u(one, "v", "g", "a", "b").first()["z"] is None
+    assert M.auc(spark.createDataFrame([(0.5, 1)], "s double, y int"), "s", "y").first()["auc"] is None
+    assert R.global_quantiles(line.limit(0), "x", [0.5]).first()["_q"] is None
+    assert S.gini(zeros.limit(0), "v").first()["gini"] is None
+
+
+def test_chi_square_counts_empty_cells(spark):
+    from regula.operators import stats as S
+    for cells, want in (([("a", "x", 8), ("a", "y", 2), ("b", "x", 1), ("b", "y", 9)], 7.2727272727), ([("a", "x", 5), ("b", "y", 5)], 6.4),
+                        ([("a", "x", 5), ("b", "y", 5), ("c", "y", 2)], 12.0)):
+        got = S.chi_square_independence(spark.createDataFrame(cells, "row string, col string, observed long")).first()
+        assert got["chi2"] == pytest.approx(want, rel=1e-9)
+
+
+def test_stratified_cuts_keep_class_shares(spark):
+    from regula.operators import ml_tables as M
+    df = spark.range(1000).select("id", (F.col("id") % 10 == 0).cast("int").alias("y"))
+    got = {r["y"]: (r["n"], r["t"]) for r in M.split_flag(df, ["id"], 0.2, stratify="y").groupBy("y").agg(
+        F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
+    assert got == {0: (900, 180), 1: (100, 20)}
