@@ -67,7 +67,7 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     tmap = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
     return (long.select("column_name", "position", tmap[F.col("column_name")].alias("dtype"), "null_count",
-                        (F.col("null_count") / F.col("_rows") * 100).alias("null_pct"),
+                        (F.try_divide("null_count", F.col("_rows")) * 100).alias("null_pct"),
                         "non_null", F.col("n_distinct").cast("long").alias("n_distinct"),
                         F.col("_rows").alias("rows")))
 
@@ -124,10 +124,11 @@ def value_distributions(df: DataFrame, cols: list[str], *, max_distinct: int = 2
     v = g.filter(F.col("value").isNotNull()).join(F.broadcast(keep), "position", "inner")
     w = Window.partitionBy("position").orderBy(F.col("count").desc(), F.col("value"))
     return (v.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-             .select("column_name", "value", "count", (F.col("count") / F.col("_rows") * 100).alias("pct"),
+             .select("column_name", "value", "count", (F.try_divide("count", F.col("_rows")) * 100).alias("pct"),
                      "rank"))
 
 
+# Words in key column names.
 KEY_WORDS = ("id", "status", "type", "code", "flag", "priority")
 
 
@@ -146,6 +147,7 @@ def empty_string_count(df: DataFrame) -> DataFrame:
     return df.agg(e.alias("empty_strings"))
 
 
+# Words in flag column names.
 FLAG_WORDS = ("flag", "missing", "has")
 
 
@@ -258,8 +260,8 @@ def id_column_ratios(df: DataFrame) -> DataFrame:
     """Unique ratio and null ratio of columns named like ID / NO."""
     ids = [c for c in df.columns if "ID" in c.upper() or "NO" in c.upper()]
     p = column_profile(df).filter(F.col("column_name").isin(ids))
-    return p.select("column_name", (F.col("n_distinct") / F.col("rows")).alias("unique_ratio"),
-                    (F.col("null_count") / F.col("rows")).alias("null_ratio"))
+    return p.select("column_name", F.try_divide("n_distinct", F.col("rows")).alias("unique_ratio"),
+                    F.try_divide("null_count", F.col("rows")).alias("null_ratio"))
 
 
 def referential_integrity(base: DataFrame, other: DataFrame, key: str, table: str) -> DataFrame:

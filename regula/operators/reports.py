@@ -73,7 +73,7 @@ def reference_drug_share(products: DataFrame, col: str = "ReferenceDrug") -> Dat
     """Reference vs non-reference products and the reference share %."""
     return products.agg(F.count_if(F.col(col) == 1).alias("reference_drugs"),
                         F.count_if(F.col(col) == 0).alias("non_reference_drugs"),
-                        (F.count_if(F.col(col) == 1) / F.count(F.lit(1)) * 100).alias("reference_pct"))
+                        (F.try_divide(F.count_if(F.col(col) == 1), F.count(F.lit(1))) * 100).alias("reference_pct"))
 
 
 def ingredient_clean(products: DataFrame, col: str = "ActiveIngredient", sep: str = ";") -> DataFrame:

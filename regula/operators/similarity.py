@@ -8,10 +8,9 @@ cosine of two items expands into sums over their *non-zero* entries:
     |x|^2 = sum_f x_f^2 / s_f^2 - 2 A_x + K,         K   = sum_f m_f^2 / s_f^2
 
 so the per-feature join only touches non-zero entries and no dense vector is
-built.  Similarities are computed for a bounded set of query items (the
-reference lists neighbours of the first few items); the query entries are
-checked against ``max_queries`` and embedded as literals.  Top-k per query
-uses a ``row_number() <= k`` window that Spark limits map-side.
+built.  Similarities are computed for a stated set of query items (the
+source system lists neighbours of the first few items).  Top-k per query uses
+a ``row_number() <= k`` window that Spark limits map-side.
 """
 
 from __future__ import annotations
@@ -21,6 +20,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regula.session import cut_lineage
+
 
 def profile_entries(products: DataFrame, apps: DataFrame, *, key: str = "ApplNo", item=("ApplNo", "DrugName"),
                     form: str = "Form", type_col: str = "ApplType", ref: str = "ReferenceDrug") -> DataFrame:
@@ -38,69 +39,42 @@ def profile_entries(products: DataFrame, apps: DataFrame, *, key: str = "ApplNo"
              .filter(F.col("value") != 0))
 
 
-def similar_items(entries: DataFrame, items: DataFrame, item_cols: list[str], queries: DataFrame, *,
-                  k: int = 5, max_queries: int = 1000) -> DataFrame:
-    """Top-k most similar other items for each query item (cosine of the
-    standardised profiles; zero vectors have similarity 0).
+def similar_items(entries: DataFrame, items: DataFrame, item_cols: list[str], queries: DataFrame, *, k: int = 5) -> DataFrame:
+    """Top-k most similar other items for each item of ``queries``, a stated
+    query set taken against all items (cosine of the standardised profiles;
+    zero vectors have similarity 0).
 
-    The query items are few and their size is checked, so their sparse
-    entries and two scalars each are taken to the driver and embedded as
-    literal maps: ONE aggregation over the item entries then yields, per
-    item, its own terms and its cross term with every query.  No join with
-    the queries and no pair table is built."""
-    # the profiles are read by several steps below: keep them once (the
-    # lineage is a single aggregation, so a lost block is cheap to rebuild)
-    entries = entries.persist()
-    n = items.count()
-    qrows = queries.select(*item_cols).limit(max_queries + 1).collect()
-    if len(qrows) > max_queries:
-        raise ValueError(f"more than max_queries={max_queries} query items")
+    Cross terms come from one join of the items' entries with the queries'
+    entries on the feature; everything else of a pair is two numbers an item."""
+    items = cut_lineage(items.select(*item_cols).distinct())
+    entries = cut_lineage(entries)
+    total = items.agg(F.count(F.lit(1)).alias("_n"))
     stats = (entries.groupBy("feature").agg(F.sum("value").alias("_s1"), F.sum(F.col("value") ** 2).alias("_s2"))
-                    .withColumn("_m", F.col("_s1") / n)
-                    .withColumn("_var", F.col("_s2") / n - F.col("_m") ** 2)
+                    .crossJoin(F.broadcast(total))
+                    .withColumn("_m", F.col("_s1") / F.col("_n"))
+                    .withColumn("_var", F.col("_s2") / F.col("_n") - F.col("_m") ** 2)
                     .filter(F.col("_var") > 1e-12)
                     .select("feature", "_m", (1.0 / F.col("_var")).alias("_w")))
-    k_const = stats.agg(F.sum(F.col("_m") ** 2 * F.col("_w")).alias("_K"))
-    e = entries.join(F.broadcast(stats), "feature")
-    # bounded driver-side copy of the query entries: at most max_queries x features rows
-    qkey = [tuple(r) for r in qrows]
-    qmatch = reduce(lambda a, b: a | b, [reduce(lambda x, y: x & y, [F.col(c) == F.lit(v) for c, v in zip(item_cols, q)])
-                                         for q in qkey]) if qkey else F.lit(False)
-    qent = e.filter(qmatch).select(*item_cols, "feature", "value").collect()
-    per_q: dict = {q: {} for q in qkey}
-    for r in qent:
-        per_q[tuple(r[c] for c in item_cols)][r["feature"]] = float(r["value"])
-    aggs = [F.sum(F.col("_m") * F.col("value") * F.col("_w")).alias("_A"),
-            F.sum(F.col("value") ** 2 * F.col("_w")).alias("_Q")]
-    for i, q in enumerate(qkey):
-        fmap = per_q[q]
-        if fmap:
-            m = F.create_map(*[x for f, v in fmap.items() for x in (F.lit(f), F.lit(v))])
-            y = F.coalesce(m[F.col("feature")], F.lit(0.0))
-        else:
-            y = F.lit(0.0)
-        aggs.append(F.sum(F.col("value") * F.col("_w") * y).alias(f"_C{i}"))
-    per_item = e.groupBy(*item_cols).agg(*aggs)
-    cs = [f"_C{i}" for i in range(len(qkey))]
-    base = (items.select(*item_cols).distinct().join(per_item, item_cols, "left").na.fill(0.0, ["_A", "_Q", *cs])
-                 .crossJoin(F.broadcast(k_const))
+    k_const = stats.agg(F.coalesce(F.sum(F.col("_m") ** 2 * F.col("_w")), F.lit(0.0)).alias("_K"))
+    e = entries.join(stats, "feature")
+    per_item = e.groupBy(*item_cols).agg(F.sum(F.col("_m") * F.col("value") * F.col("_w")).alias("_A"),
+                                         F.sum(F.col("value") ** 2 * F.col("_w")).alias("_Q"))
+    base = (items.join(per_item, item_cols, "left").na.fill(0.0, ["_A", "_Q"]).crossJoin(F.broadcast(k_const))
                  .withColumn("_N", F.col("_Q") - 2 * F.col("_A") + F.col("_K")))
-    # the queries' own A and N are the same per-item values, read off once (bounded)
-    qvals = {tuple(r[c] for c in item_cols): (r["_A"], r["_N"])
-             for r in base.filter(qmatch).select(*item_cols, "_A", "_N").collect()}
-    parts = []
-    for i, q in enumerate(qkey):
-        qa, qn = qvals.get(q, (0.0, 0.0))
-        denom = F.sqrt(F.col("_N") * F.lit(float(qn)))
-        sim = F.when(denom > 1e-12, (F.col(f"_C{i}") - F.col("_A") - F.lit(float(qa)) + F.col("_K")) / denom) \
-               .otherwise(F.lit(0.0))
-        not_self = ~reduce(lambda x, y: x & y, [F.col(c) == F.lit(v) for c, v in zip(item_cols, q)])
-        parts.append(F.when(not_self, F.struct(*[F.lit(v).cast(items.schema[c].dataType).alias(f"q_{c}")
-                                                 for c, v in zip(item_cols, q)],
-                                               F.round(sim, 10).alias("SimilarityScore"))))
+    asked = queries.select(*item_cols).distinct()
+    q_cols = [f"q_{c}" for c in item_cols]
+    own = base.join(asked, item_cols).select(*[F.col(c).alias(q) for c, q in zip(item_cols, q_cols)], F.col("_A").alias("_qA"),
+                                             F.col("_N").alias("_qN"))
+    q_entries = e.join(asked, item_cols).select(*[F.col(c).alias(q) for c, q in zip(item_cols, q_cols)], "feature",
+                                                (F.col("value") * F.col("_w")).alias("_y"))
+    cross = (entries.join(q_entries, "feature").groupBy(*item_cols, *q_cols).agg(F.sum(F.col("value") * F.col("_y")).alias("_C")))
+    differs = reduce(lambda x, y: x | y, [~F.col(c).eqNullSafe(F.col(q)) for c, q in zip(item_cols, q_cols)])
+    # every item against the stated queries, also those that share no feature
+    pairs = base.crossJoin(own).filter(differs).join(cross, [*item_cols, *q_cols], "left").na.fill(0.0, ["_C"])
+    denom = F.sqrt(F.greatest(F.col("_N") * F.col("_qN"), F.lit(0.0)))
+    sim = F.when(denom > 1e-12, (F.col("_C") - F.col("_A") - F.col("_qA") + F.col("_K")) / denom).otherwise(F.lit(0.0))
     # quantised so that mathematically equal scores (identical profiles) tie
     # exactly and the item key decides, whatever the summation order
-    scored = (base.select(*item_cols, F.explode(F.array(*parts)).alias("_s")).filter(F.col("_s").isNotNull())
-                  .select(*[F.col(f"_s.q_{c}").alias(f"q_{c}") for c in item_cols], *item_cols, "_s.SimilarityScore"))
-    w = Window.partitionBy(*[f"q_{c}" for c in item_cols]).orderBy(F.col("SimilarityScore").desc(), *item_cols)
+    scored = pairs.select(*q_cols, *item_cols, F.round(sim, 10).alias("SimilarityScore"))
+    w = Window.partitionBy(*q_cols).orderBy(F.col("SimilarityScore").desc(), *item_cols)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

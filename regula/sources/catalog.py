@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import glob
 import logging
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +28,15 @@ TABLE_FILES = {
 }
 
 
+def _matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern on whatever store the path names, through
+    Hadoop's file system, which the executors use too."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 class Catalog:
     """Lazy tables by name; missing files are skipped with a warning."""
 
@@ -40,8 +47,8 @@ class Catalog:
     def load(self, directory: str, specs: dict[str, str] | None = None, schemas: dict | None = None,
              **read_kw) -> Catalog:
         for name, fname in (specs or TABLE_FILES).items():
-            path = os.path.join(directory, fname)
-            if not os.path.exists(path):
+            path = f"{directory.rstrip('/')}/{fname}"
+            if not _matching(self.spark, path):
                 log.warning("table %s: %s not found, skipped", name, path)
                 continue
             self.register(name, read_delimited(self.spark, path, schema=(schemas or {}).get(name), **read_kw))
@@ -52,8 +59,8 @@ class Catalog:
         """Cleaned tables by glob, name from the file name (S7); with
         ``names`` only those, absent ones skipped (S8)."""
         ext = {"parquet": "", "csv": ".csv"}[fmt]
-        for path in sorted(glob.glob(os.path.join(directory, f"*{suffix}{ext}"))):
-            name = os.path.basename(path)[: -len(suffix + ext)]
+        for path in _matching(self.spark, f"{directory.rstrip('/')}/*{suffix}{ext}"):
+            name = path.rsplit("/", 1)[-1][: -len(suffix + ext)]
             if names is not None and name not in names:
                 continue
             df = (self.spark.read.parquet(path) if fmt == "parquet"

@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,7 @@ def read_delimited(spark: SparkSession, path: str | list[str], *, sep: str = "\t
                .option("columnNameOfCorruptRecord", CORRUPT).option("nullValue", "")
                .schema(read_schema).csv(paths))
     if drop_long_rows:
-        fields = F.size(F.split(F.col(CORRUPT), sep, -1))
+        fields = F.size(F.split(F.col(CORRUPT), re.escape(sep), -1))
         df = df.filter(F.col(CORRUPT).isNull() | (fields <= ncols))
     df = df.drop(CORRUPT)
     if null_tokens:
