@@ -9,9 +9,10 @@ aggregated pairs, so no step keeps a whole column in one task.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,18 +46,36 @@ def table_shape(df: DataFrame, table: str) -> DataFrame:
         F.lit(table).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"))
 
 
+def dtype_tally(df: DataFrame, table: str) -> DataFrame:
+    """Columns per data type (B21), next to the table's rows."""
+    kinds = Counter(f.dataType.simpleString() for f in df.schema.fields)
+    listed = F.array(*[F.struct(F.lit(k).alias("dtype"), F.lit(n).alias("n_columns")) for k, n in sorted(kinds.items())])
+    return table_shape(df, table).select("table", "rows", F.explode(listed).alias("_t")).select("table", "_t.dtype", "_t.n_columns", "rows")
+
+
+def _row_groups(df: DataFrame, **per_row) -> DataFrame:
+    """One row from one scan: rows, duplicate_rows (rows beyond the first of
+    each distinct row, nulls equal) and the sums of per-row numbers."""
+    g = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_m"))
+    g = g.select("_m", *[e.alias(f"_{n}") for n, e in per_row.items()])
+    return g.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_m") - 1), F.lit(0)).alias("duplicate_rows"),
+                 *[F.coalesce(F.sum(F.col(f"_{n}") * F.col("_m")), F.lit(0)).cast("long").alias(n) for n in per_row])
+
+
+def _count_in_row(conds) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(False)).cast("int") for c in conds], F.lit(0))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """``duplicated().sum()``: rows minus distinct rows, nulls equal."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    d = df.distinct().agg(F.count(F.lit(1)).alias("_d"))
-    return n.crossJoin(d).select((F.col("_n") - F.col("_d")).alias("duplicate_rows"))
+    return _row_groups(df).select("duplicate_rows")
 
 
-def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
-    """Per column: type, null count, null %, non-null, distinct.
-    ``exact_distinct=False`` switches to HyperLogLog for very wide tables."""
-    cols = df.columns
-    dcount = F.countDistinct if exact_distinct else F.approx_count_distinct
+def column_profile(df: DataFrame, columns: list[str] | None = None, distinct: bool = True) -> DataFrame:
+    """Per column: type, null count, null %, non-null, distinct (B3).  Without
+    ``distinct`` the (shuffling) distinct counts are left out as null."""
+    cols = df.columns if columns is None else columns
+    dcount = F.countDistinct if distinct else (lambda x: F.lit(None).cast("long"))
     exprs = [F.count(F.lit(1)).alias("_rows")]
     for c in cols:
         x = F.col(f"`{c}`")
@@ -74,7 +93,7 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
 
 def null_analysis(df: DataFrame) -> DataFrame:
     """Columns that have nulls, by null count descending."""
-    p = column_profile(df)
+    p = column_profile(df, distinct=False)
     return p.filter(F.col("null_count") > 0).select("column_name", "null_count", "null_pct")
 
 
@@ -99,7 +118,7 @@ def clean_column_profile(df: DataFrame, order_by: list[str]) -> DataFrame:
 
 def all_null_columns(df: DataFrame) -> DataFrame:
     """Columns without a single non-null value."""
-    return column_profile(df).filter(F.col("non_null") == 0).select("column_name")
+    return column_profile(df, distinct=False).filter(F.col("non_null") == 0).select("column_name")
 
 
 def _pairs(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -115,7 +134,14 @@ def value_distributions(df: DataFrame, cols: list[str], *, max_distinct: int = 2
     values: count and % of all rows (B8; B9 with ``first_columns``)."""
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, value string, count long, pct double")
-    g = _pairs(df, cols).groupBy("position", "column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+    # a cheap first pass finds the columns that can be small at all (its error
+    # is far below the factor of two), so only their values are shuffled
+    sizes = df.agg(F.array(*[F.approx_count_distinct(F.col(f"`{c}`")) for c in cols]).alias("_sizes"))
+    structs = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
+                        for i, c in enumerate(cols)])
+    small = F.filter(structs, lambda s: F.get(F.col("_sizes"), s["position"]) < 2 * max_distinct)
+    pairs = df.crossJoin(F.broadcast(sizes)).select(F.explode(small).alias("_p")).select("_p.*")
+    g = pairs.groupBy("position", "column_name", "value").agg(F.count(F.lit(1)).alias("count"))
     card = g.groupBy("position").agg(F.count("value").alias("_distinct"), F.sum("count").alias("_rows"))
     keep = card.filter(F.col("_distinct") < max_distinct)
     if first_columns is not None:
@@ -171,27 +197,17 @@ def null_cells(df: DataFrame) -> DataFrame:
 def quality_summary(df: DataFrame, table: str) -> DataFrame:
     """Rows, columns, null cells, empty strings, duplicates and number of
     flag columns (name contains flag/missing) of one table (B12)."""
-    s = string_columns(df)
-    cells = [F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns]
-    empties = [F.count_if(F.col(f"`{c}`") == "") for c in s]
-    one = df.agg(F.count(F.lit(1)).alias("rows"),
-                 reduce(lambda a, b: a + b, cells, F.lit(0).cast("long")).alias("nulls"),
-                 reduce(lambda a, b: a + b, empties, F.lit(0).cast("long")).alias("empty_strings"))
+    one = _row_groups(df, nulls=_count_in_row([F.col(f"`{c}`").isNull() for c in df.columns]),
+                      empty_strings=_count_in_row([F.col(f"`{c}`") == "" for c in string_columns(df)]))
     nflags = len([c for c in df.columns if "flag" in c.lower() or "missing" in c.lower()])
-    return (one.crossJoin(duplicate_rows(df))
-               .select(F.lit(table).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"), "nulls",
-                       "empty_strings", F.col("duplicate_rows").alias("duplicates"),
-                       F.lit(nflags).alias("flag_columns")))
+    return one.select(F.lit(table).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"), "nulls",
+                      "empty_strings", F.col("duplicate_rows").alias("duplicates"), F.lit(nflags).alias("flag_columns"))
 
 
 def load_summary(df: DataFrame, table: str) -> DataFrame:
     """Rows, columns, total null cells, duplicate rows (B2)."""
-    cells = [F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns]
-    one = df.agg(F.count(F.lit(1)).alias("rows"),
-                 reduce(lambda a, b: a + b, cells, F.lit(0).cast("long")).alias("null_values"))
-    return (one.crossJoin(duplicate_rows(df))
-               .select(F.lit(table).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"),
-                       "null_values", "duplicate_rows"))
+    one = _row_groups(df, null_values=_count_in_row([F.col(f"`{c}`").isNull() for c in df.columns]))
+    return one.select(F.lit(table).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"), "null_values", "duplicate_rows")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -259,8 +275,9 @@ def primary_key_candidates(df: DataFrame) -> DataFrame:
 def id_column_ratios(df: DataFrame) -> DataFrame:
     """Unique ratio and null ratio of columns named like ID / NO."""
     ids = [c for c in df.columns if "ID" in c.upper() or "NO" in c.upper()]
-    p = column_profile(df).filter(F.col("column_name").isin(ids))
-    return p.select("column_name", F.try_divide("n_distinct", F.col("rows")).alias("unique_ratio"),
+    if not ids:
+        return df.sparkSession.createDataFrame([], "column_name string, unique_ratio double, null_ratio double")
+    return column_profile(df.select(*[F.col(f"`{c}`") for c in ids])).select("column_name", F.try_divide("n_distinct", F.col("rows")).alias("unique_ratio"),
                     F.try_divide("null_count", F.col("rows")).alias("null_ratio"))
 
 

@@ -360,18 +360,42 @@ def b19_ri(spark, d):
                         B.referential_integrity(subs, apps, "ApplNo", "applications_without_submissions")])
 
 
-@register("B20_overall_totals_core_tables", sql="""
-WITH s AS (""" + "\nUNION ALL ".join(f"SELECT count(*) AS r, {len(COLUMNS[t])} AS c FROM {t}" for t in CORE) + """)
+def _totals_sql(tables) -> str:
+    return "WITH s AS (" + "\nUNION ALL ".join(f"SELECT count(*) AS r, {len(COLUMNS[t])} AS c FROM {t}" for t in tables) + """)
 SELECT CAST(count(*) AS INTEGER) AS tables, CAST(sum(r) AS BIGINT) AS rows, CAST(sum(c) AS BIGINT) AS columns,
        CAST(sum(r * c) AS BIGINT) AS cells FROM s
-""")
-def b20_totals(spark, d):
-    shapes = B.union_all([B.table_shape(read_table(spark, d, t), t) for t in CORE])
+"""
+
+
+def _totals(spark, d, tables):
+    shapes = B.union_all([B.table_shape(read_table(spark, d, t), t) for t in tables])
     return shapes.agg(F.count(F.lit(1)).cast("int").alias("tables"), F.sum("rows").alias("rows"),
                       F.sum("columns").cast("long").alias("columns"),
                       F.sum(F.col("rows") * F.col("columns")).alias("cells"))
 
 
+@register("B20_overall_totals", sql=_totals_sql(ALL))
+def b20_totals(spark, d):
+    return _totals(spark, d, ALL)
+
+
+@register("B20_overall_totals_core_tables", sql=_totals_sql(CORE))
+def b20_core_totals(spark, d):
+    return _totals(spark, d, CORE)
+
+
+@register("B21_dtype_tally", sql="""
+WITH c AS (SELECT table_name, CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>'
+                  WHEN 'DOUBLE[]' THEN 'array<double>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS dtype
+           FROM information_schema.columns WHERE table_name IN (""" + ", ".join(f"'{t}'" for t in ALL) + """))
+, n AS (""" + "\nUNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS r FROM {t}" for t in ALL) + """)
+SELECT table_name AS "table", dtype, CAST(count(*) AS INTEGER) AS n_columns, any_value(r) AS rows
+FROM c JOIN n ON n.t = c.table_name GROUP BY 1, 2
+""")
+def b21_dtypes(spark, d):
+    return B.union_all([B.dtype_tally(read_table(spark, d, t), t) for t in ALL])
+
+
 @register("B22_column_classes_lineitem", sql="""
 WITH p AS (""" + "\nUNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, "
