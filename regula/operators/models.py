@@ -29,7 +29,7 @@ from regula.session import cut_lineage
 
 #: partitions of a training frame, and of one that a bounded sample makes
 FIT_PARTITIONS = 16
-SAMPLE_PARTITIONS = 4
+SAMPLE_PARTITIONS = 1
 #: labelled rows that a classifier or the approval-time forest is fitted on, at most
 MAX_FIT_ROWS = 2_000
 #: Spark's limit; the source system grows its trees without one
@@ -204,7 +204,7 @@ def fit_sample(df: DataFrame, key_cols: list[str], max_rows: int = MAX_FIT_ROWS,
 
 
 def rf_grid_search(train: DataFrame, test: DataFrame, features: list[str], label: str = "IsApproved",
-                   key_cols=("ApplNo", "SubmissionNo"), folds: int = 5, seed: int = 42, parallelism: int = 4,
+                   key_cols=("ApplNo", "SubmissionNo"), folds: int = 5, seed: int = 42, parallelism: int = 8,
                    trees=(100, 200), depths=(10, 20, FOREST_DEPTH), leaves=(1, 2)):
     """Random-forest grid search with stratified k-fold CV on AUC, refit, test
     AUC (M12).  Spark splits a node from two leaves' worth of rows on, so the
