@@ -33,7 +33,6 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
 TEMPERATURES = np.geomspace(0.05, 5.0, 61)
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +150,7 @@ def learn(docs: DataFrame, rows_per_lang: int) -> dict | None:
 
 def _predictions(texts: list[str | None], model: dict | None) -> Iterator[tuple[str, float]]:
     for text in texts:
-        if model is None or not text or not _HAS_LETTER.search(text):
+        if model is None or not text or not any(map(str.isalpha, text)):
             yield "und", 0.0
             continue
         at, n = ngram_counts(text)
