@@ -73,7 +73,9 @@ def high_risk_list(levelled: DataFrame, *, key: str = "ApplNo", k: int = 15, wee
     """Top-k "High" applications by score with a monitoring action."""
     hi = levelled.filter(F.col("RiskLevel") == "High")
     top = hi.orderBy(F.col("RiskScore").desc(), F.col(key)).limit(k)
-    return top.select(key, "RiskScore", "TotalSubmissions", "Withdrawals", "Rejections",
+    # a window over the k rows that are left
+    rank = F.row_number().over(Window.orderBy(F.col("RiskScore").desc(), F.col(key))).alias("rank")
+    return top.select(rank, key, "RiskScore", "TotalSubmissions", "Withdrawals", "Rejections",
                       F.when(F.col("RiskScore") > weekly_above, "Weekly monitoring")
                        .otherwise("Bi-weekly monitoring").alias("Action"))
 

@@ -123,6 +123,18 @@ def gini(df: DataFrame, value: str) -> DataFrame:
         F.when(F.col("gini") > 0.6, "High").when(F.col("gini") > 0.3, "Moderate").otherwise("Low"))
 
 
+def lorenz_points(df: DataFrame, value: str) -> DataFrame:
+    """Cumulative shares (W5): per distinct value, ascending, the rows that
+    hold it and the shares (%) of rows and of the total up to and with it."""
+    blocks = _value_blocks(df.filter(F.col(value).isNotNull()), value).withColumn("_held", F.col(value) * F.col("_m"))
+    run = prefix_sums(blocks, value, ["_m", "_held"])
+    tot = blocks.agg(F.sum("_m").alias("_n"), F.sum("_held").alias("_T"))
+    return run.crossJoin(F.broadcast(tot)).select(
+        F.col(value).alias("value"), F.col("_m").alias("n"),
+        (F.try_divide(F.col("_m_before") + F.col("_m"), F.col("_n")) * 100).alias("rows_share_pct"),
+        (F.try_divide(F.col("_held_before") + F.col("_held"), F.col("_T")) * 100).alias("total_share_pct"))
+
+
 def top_share(df: DataFrame, value: str, frac: float = 0.1) -> DataFrame:
     """Share (%) of the total held by the ``int(n * frac)`` largest rows (Z5),
     evaluated over distinct-value blocks taken from the top."""

@@ -64,6 +64,13 @@ def approval_time_by_priority(subs: DataFrame, timelines: DataFrame, *, key: str
     return j.groupBy("priority").agg(F.count(x).alias("n"), F.avg(x).alias("mean")).join(median, "priority", "left")
 
 
+def months_ahead(ts: DataFrame, month: str = "month", horizon: int = 12) -> DataFrame:
+    """The ``horizon`` months after the last one of a series."""
+    last = ts.agg(F.max(month).alias("_last")).filter(F.col("_last").isNotNull())
+    steps = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda i: F.struct(i.alias("step"), F.add_months(F.col("_last"), i).alias("month")))
+    return last.select(F.explode(steps).alias("_s")).select("_s.step", "_s.month")
+
+
 # ------------------------------------------------------------ T2 monthly data
 
 def monthly_series(subs: DataFrame, *, date: str = "SubmissionStatusDate", series=None,

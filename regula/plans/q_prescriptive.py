@@ -48,7 +48,7 @@ def p1_risk(spark, d):
 
 
 @register("P3_high_risk_top15", sql=with_roles("submissions") + _RISK_SQL + """
-SELECT ApplNo, RiskScore, TotalSubmissions, Withdrawals, Rejections,
+SELECT CAST(row_number() OVER (ORDER BY RiskScore DESC, ApplNo) AS INTEGER) AS rank, ApplNo, RiskScore, TotalSubmissions, Withdrawals, Rejections,
        CASE WHEN RiskScore > 0.7 THEN 'Weekly monitoring' ELSE 'Bi-weekly monitoring' END AS Action
 FROM lv WHERE RiskLevel = 'High' ORDER BY RiskScore DESC, ApplNo LIMIT 15
 """)

@@ -123,6 +123,15 @@ def z4_gini(spark, d):
     return Z.gini(_sponsor_counts(spark, d), "apps")
 
 
+@register("W5_sponsor_cumulative_share", sql=with_roles("applications") + _SPONSOR_SQL + """
+, b AS (SELECT v, count(*) AS n FROM s GROUP BY v)
+SELECT v AS value, n, sum(n) OVER (ORDER BY v)::DOUBLE / sum(n) OVER () * 100 AS rows_share_pct,
+       sum(n * v) OVER (ORDER BY v)::DOUBLE / sum(n * v) OVER () * 100 AS total_share_pct FROM b
+""")
+def w5_shares(spark, d):
+    return Z.lorenz_points(_sponsor_counts(spark, d), "apps")
+
+
 @register("Z5_top10pct_sponsor_share", sql=with_roles("applications") + _SPONSOR_SQL + """
 , o AS (SELECT v, row_number() OVER (ORDER BY v DESC, SponsorName) AS i, count(*) OVER () AS n FROM s)
 SELECT CAST(any_value(n) AS BIGINT) AS n, CAST(floor(any_value(n) * 0.1) AS BIGINT) AS k,

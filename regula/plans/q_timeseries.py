@@ -82,6 +82,13 @@ def t2_monthly(spark, d):
     return _monthly(spark, d)
 
 
+@register("X9_months_ahead", sql=with_roles("submissions") + _MONTHLY_SQL + """
+, l AS (SELECT max(month) AS month FROM m)
+SELECT CAST(i AS INTEGER) AS step, CAST(l.month + to_months(CAST(i AS INTEGER)) AS DATE) AS month FROM l, range(1, 13) r(i)""")
+def x9_months(spark, d):
+    return T.months_ahead(_monthly(spark, d))
+
+
 @register("T2_daily_events_by_type", sql="""
 WITH agg AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, sum(value) AS value_sum
           FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)
