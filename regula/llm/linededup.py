@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regula.llm.links import linked_components
+from regula.llm.links import linked_components, marks_columns
 from regula.session import cut_lineage, written
 
 Q = 10
@@ -40,6 +40,8 @@ BANDS = 8
 ROWS = 3
 FILTER = 1 << 20
 ENOUGH = 128
+#: words of 64 parities that rule out pairs of crowded buckets
+WORDS = 8
 # White space around a line.
 BLANKS = " \t\r\x0b\x0c"
 _LAST = 2**63 - 1
@@ -69,13 +71,13 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def line_buckets(signed: DataFrame) -> DataFrame:
-    """bucket, id, size: one row per line and band with a filled cell."""
+    """bucket, id: one row per line and band with a filled cell."""
     keys = []
     for b in range(BANDS):
         own = [F.col(f"c{b * ROWS + r}") for r in range(ROWS)]
         filled = F.coalesce(*own).isNotNull()
         keys.append(F.when(filled, F.xxhash64(F.lit(b), *[F.coalesce(c, F.lit(-1)) for c in own])))
-    return signed.select(F.col("k").alias("id"), "size", F.explode(F.array(*keys)).alias("bucket")).where("bucket IS NOT NULL")
+    return signed.select(F.col("k").alias("id"), F.explode(F.array(*keys)).alias("bucket")).where("bucket IS NOT NULL")
 
 
 def _shingles(line: str) -> Column:
@@ -84,27 +86,30 @@ def _shingles(line: str) -> Column:
                   f" p -> xxhash64(substring(c, 2 * p + 1, {2 * Q}))))[0])")
 
 
+def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """k, line of the distinct lines named by ``ids`` (column k)."""
+    coarse = ids.select(F.pmod("k", F.lit(FILTER)).alias("r")).distinct()
+    near = lines.where("line <> ''").select("k", "line").join(F.broadcast(coarse), F.pmod("k", F.lit(FILTER)) == F.col("r"), "left_semi")
+    return near.join(ids, "k", "left_semi").dropDuplicates(["k"])
+
+
 def line_components(lines: DataFrame) -> DataFrame:
     """id, component of the distinct lines that are linked with another one."""
     buckets = line_buckets(written(signatures(lines)))
 
-    def may_link(a: str, b: str) -> Column:
-        # sizes count positions; equal shingles within a line make its set
-        # smaller, so only the larger side's bound is safe to use loosely
-        return F.least(a, b) * 4 >= F.greatest(a, b)
+    def marks(ids: DataFrame) -> DataFrame:
+        texts = _texts(lines, ids.select(F.col("id").alias("k")))
+        return texts.select(F.col("k").alias("id"), F.explode(_shingles("line")).alias("h")).groupBy("id").agg(*marks_columns(WORDS))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        coarse = ids.select(F.pmod("k", F.lit(FILTER)).alias("r")).distinct()
-        near = lines.where("line <> ''").select("k", "line").join(F.broadcast(coarse), F.pmod("k", F.lit(FILTER)) == F.col("r"), "left_semi")
-        texts = near.join(ids, "k", "left_semi").dropDuplicates(["k"])
+        texts = _texts(lines, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
         right = texts.select(F.col("k").alias("b"), F.col("line").alias("lb"))
         left = texts.select(F.col("k").alias("a"), F.col("line").alias("la"))
         sets = pairs.join(right, "b").join(left, "a").select("a", "b", _shingles("la").alias("sa"), _shingles("lb").alias("sb"))
         both = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
         return both.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
 
-    return linked_components(buckets, verify, may_link)
+    return linked_components(buckets, verify, marks, PERCENT)
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

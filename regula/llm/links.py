@@ -46,59 +46,82 @@ def components(edges: DataFrame) -> DataFrame:
         before, current = now, cut_lineage(_star_round(current))
 
 
-#: further rounds of stars with other centres, and the outsiders of a bucket
-#: up to which every one of them is compared with all members
+#: rounds of stars around drawn centres before the exact round; a bucket has
+#: ``SLICES ** (turn - 1)`` centres in a round at most
 ROUNDS = 2
-FEW = 8
+SLICES = 8
+
+
+def marks_columns(words: int, h: str = "h") -> list[Column]:
+    """n and w0, w1, ...: size of a group's set of distinct hashes ``h`` and the
+    parities of its elements thrown on 64 * ``words`` bits."""
+    bit = F.expr(f"shiftleft(1L, cast({h} & 63 as int))")
+    word = F.expr(f"pmod(shiftright({h}, 6), {words})")
+    return [F.count("*").alias("n"), *[F.coalesce(F.bit_xor(F.when(word == j, bit)), F.lit(0)).cast("bigint").alias(f"w{j}") for j in range(words)]]
+
+
+def _near(percent: int, words: list[str]) -> Column:
+    """False only where the sets of c and m are surely less alike: a bit of
+    the parities differs for an element in one of both sets only, so sets
+    differ in at least as many elements as parities in bits."""
+    apart = sum((F.bit_count(F.col(f"c.{w}").bitwiseXOR(F.col(f"m.{w}"))) for w in words), F.lit(0))
+    low, high = F.least("c.n", "m.n"), F.greatest("c.n", "m.n")
+    return (100 * low >= percent * high) & ((100 + percent) * apart <= (100 - percent) * (low + high))
 
 
 def _mixed(members: DataFrame, named: DataFrame) -> DataFrame:
-    """bucket, id, size, label, main, outside: members of the buckets that span
-    several components; ``main`` is the bucket's most frequent label and
-    ``outside`` the number of members with another one."""
-    labelled = members.join(named, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("label"))
+    """bucket, id, label, main: members of the buckets that span several
+    components; ``main`` is the bucket's most frequent label."""
+    labelled = members.join(named, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
     shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     tops = shares.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
-    return cut_lineage(labelled.join(tops.select("bucket", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("outside")),
-                                     "bucket"))
+    return cut_lineage(labelled.join(tops.select("bucket", F.col("top.label").alias("main")), "bucket"))
 
 
-def linked_components(buckets: DataFrame, verify: Verify, may_link: Callable[[str, str], Column]) -> DataFrame:
-    """Components of the verified links among ids that share a bucket.
+def linked_components(buckets: DataFrame, verify: Verify, marks: Verify, percent: int) -> DataFrame:
+    """Components of the verified links (Jaccard similarity of at least
+    ``percent`` per cent) among ids that share a bucket.
 
-    ``buckets`` has bucket, id and size (one row per bucket and id) and is
-    read twice; ``may_link(size, other_size)`` is a cheap necessary condition;
-    ``verify`` turns candidate pairs (a < b) into those that are links.
+    ``buckets`` has bucket and id (one row per bucket and id) and is read
+    twice; ``verify`` turns candidate pairs (a < b) into those that are links;
+    ``marks`` gives id and ``marks_columns`` for a table of ids.
 
     Stars: every member of a bucket is compared with the bucket's least id,
     which joins up a group of copies in linear work, whatever its size.
     Buckets whose members then lie in several components get ``ROUNDS`` more
-    stars around other members, drawn by a hash, and where at most ``FEW``
-    members lie outside the bucket's main component, each of these is compared
-    with all members.  So work stays linear in the bucket rows; a member of a
-    crowded bucket meets a centre of its own kind in each of its buckets."""
+    stars around members drawn by a hash.  In what is still mixed, every member
+    outside the bucket's main component meets all members of other components.
+    Only pairs that sizes and parities do not rule out (exactly: no link is
+    lost) become rows.  Members that no comparison touched lie in one component
+    already, so no link between components that share a bucket is missed."""
     leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(buckets.join(leaders.select("bucket", "leader"), "bucket"))
+    members = cut_lineage(buckets.join(leaders.select("bucket", "leader"), "bucket").select("bucket", "id", "leader"))
     seen = cut_lineage(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     members = members.drop("leader")
-    links = verify(seen)
-    named = components(links)
-    for turn in range(1, ROUNDS + 1):
+    named = components(verify(seen))
+    marked = None
+    for turn in range(1, ROUNDS + 2):
         mixed = _mixed(members, named)
-        few = mixed.where(f"outside <= {FEW}").alias("o").where("label <> main")
-        drawn = mixed.where(f"outside > {FEW}").groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))
-        centres = few.select("bucket", "id", "label", "size").union(
-            mixed.join(drawn, ["bucket", "id"]).select("bucket", "id", "label", "size")).alias("c")
-        around = centres.join(mixed.alias("m"), (F.col("c.bucket") == F.col("m.bucket")) & (F.col("c.label") != F.col("m.label"))
-                              & may_link("c.size", "m.size"))
+        if mixed.isEmpty():
+            break
+        if marked is None:
+            marked = cut_lineage(marks(mixed.select("id").distinct()))
+            words = [c for c in marked.columns if c.startswith("w")]
+        rest = mixed.join(marked, "id")
+        if turn <= ROUNDS:
+            part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(SLICES ** (turn - 1)))
+            drawn = mixed.groupBy("bucket", part.alias("part")).agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))
+            centres, once = rest.join(drawn.select("bucket", "id"), ["bucket", "id"]), F.lit(True)
+        else:
+            centres, once = rest.where("label <> main"), (F.col("m.label") == F.col("m.main")) | (F.col("c.id") < F.col("m.id"))
+        around = centres.alias("c").join(rest.alias("m"), (F.col("c.bucket") == F.col("m.bucket")) & (F.col("c.label") != F.col("m.label"))
+                                         & once & _near(percent, words))
         pairs = around.select(F.least("c.id", "m.id").alias("a"), F.greatest("c.id", "m.id").alias("b")).distinct()
         pairs = cut_lineage(pairs.join(seen, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            break
-        found = cut_lineage(verify(pairs))
-        if found.isEmpty() and turn < ROUNDS:
-            seen = seen.union(pairs)
             continue
-        named = components(named.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.select("a", "b")))
+        found = cut_lineage(verify(pairs))
         seen = seen.union(pairs)
+        if not found.isEmpty():
+            named = components(named.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.select("a", "b")))
     return named

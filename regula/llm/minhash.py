@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regula.llm.links import components, linked_components
@@ -36,6 +36,8 @@ from regula.session import cut_lineage
 
 BANDS = 24
 ROWS = 5
+#: words of 64 parities that rule out pairs of crowded buckets
+WORDS = 16
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -108,6 +110,24 @@ def set_table(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(sets, "doc_id bigint, shingles array<bigint>")
 
 
+def set_marks(docs: DataFrame, shingle: int) -> DataFrame:
+    """id and the marks (``links.marks_columns``) of each whole set."""
+    names = ["id", "n", *[f"w{j}" for j in range(WORDS)]]
+
+    def marks(batches):
+        for part in slices(batches, "text"):
+            sets = list(shingle_sets(part.column("text"), shingle))
+            sizes = np.array([len(s) for s in sets], np.int64)
+            h = np.concatenate(sets)
+            odd = np.zeros((len(sets), WORDS), np.uint64)
+            np.bitwise_xor.at(odd, (np.repeat(np.arange(len(sets)), sizes), ((h >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64)),
+                              np.uint64(1) << (h & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(sizes), *[pa.array(odd[:, j].copy().view(np.int64)) for j in range(WORDS)]], names=names)
+
+    return docs.mapInArrow(marks, ", ".join(f"{c} bigint" for c in names))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links of
@@ -120,10 +140,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .union(sketches.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("first_id"))))
     one = classes.select("digest", F.col("first_id").alias("id"))
     buckets = sketches.join(one, "digest").where("doc_id = id").dropDuplicates(["id", "digest"]) \
-        .select("id", F.col("n_shingles").alias("size"), F.explode("buckets").alias("bucket"))
+        .select("id", F.explode("buckets").alias("bucket"))
 
-    def may_link(a: str, b: str) -> Column:
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    def marks(ids: DataFrame) -> DataFrame:
+        return set_marks(texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), shingle).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -134,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(right, "b").join(left, "a").withColumn("both", both) \
             .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
 
-    found = linked_components(buckets, verify, may_link)
+    found = linked_components(buckets, verify, marks, percent)
     # rows of one id in several classes tie these classes together
     shared = member.groupBy("doc_id").agg(F.min("first_id").alias("lo"), F.max("first_id").alias("hi")).where("lo < hi")
     ties = member.join(shared, "doc_id").where("first_id > lo").select(F.col("first_id").alias("a"), F.col("lo").alias("b"))

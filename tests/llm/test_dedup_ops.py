@@ -190,3 +190,20 @@ def test_word_spans_and_hashes():
     assert found == [(0, b"ab"), (0, b"cd"), (2, b"ab"), (2, b"cd"), (2, b"e"), (4, b"x" * 400), (4, b"ab")]
     h = text.span_hashes(data, starts, ends)
     assert h[0] == h[2] == h[6] and h[1] == h[3] and len(set(h.tolist())) == 4
+
+
+def test_family_whose_base_is_not_least_matches_brute_force(spark):
+    # many edited copies, alike to their base only; 300 of them share buckets
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for p in rnd.sample(range(8), 8):
+            w[p * 37 + rnd.randrange(30)] = f"e{i}x{p}"
+        rows.append((i, " ".join(w)))
+    rows.insert(200, (1000, " ".join(base)))
+    want = _near_brute(rows, 3, 85)
+    assert len({c for _, c in want.values()}) == 1
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
