@@ -8,7 +8,8 @@ at a Jaccard similarity of at least ``PERCENT`` per cent.
 Signature: one hash throws each shingle into one of ``BANDS * ROWS`` cells and a
 cell keeps its least value; three cells make a bucket.  Values so large that
 they are the least of their cell once in 200 times only (``ENOUGH`` smaller ones
-are expected in the line) are left out before the aggregation.  A pair at 0.8 shares
+are expected in a line without repeats) are left out before the aggregation, and
+lines left with an empty cell are signed again with all values.  A pair at 0.8 shares
 one of the eight buckets with probability 0.997, at 0.9 with 0.99997.  One row
 per character position exists only inside generated code, ahead of the
 map-side aggregation per line; what is shuffled is one row per distinct line
@@ -55,21 +56,39 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("did", "pos", "line", F.xxhash64("line").alias("k"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """k, size (shingle positions) and the cells c0, c1, ... of each distinct line."""
+def _cells(lines: DataFrame, cut: bool) -> DataFrame:
+    """k, size and the cells c0, c1, ... of each line; with ``cut``, values
+    above the line's bound leave their cell empty."""
     cells = BANDS * ROWS
     coded = lines.where("line <> ''").select("k", F.expr("encode(line, 'UTF-16BE')").alias("code")) \
         .select("k", "code", F.expr("octet_length(code) div 2").alias("n"))
     spots = coded.select("k", "n", "code", F.explode(F.expr(f"sequence(0, greatest(cast(n as int) - {Q}, 0))")).alias("p"))
-    hashed = spots.select("k", "n", F.expr(f"xxhash64(substring(code, 2 * p + 1, {2 * Q}))").alias("h"))
-    hashed = hashed.where(f"(h & 4294967295) * n < {ENOUGH << 32}")
-    thrown = hashed.select("k", "n", F.expr(f"cast(shiftrightunsigned(h, 33) % {cells} as int)").alias("cell"),
-                           F.expr("h & 4294967295").alias("v"))
+    hashed = spots.select("k", "n", "p", F.expr(f"xxhash64(substring(code, 2 * p + 1, {2 * Q}))").alias("h"))
+    value = F.expr("h & 4294967295")
+    if cut:
+        # a line's first row stays in any case, so that no line is missing
+        low = f"(h & 4294967295) * n < {ENOUGH << 32}"
+        hashed, value = hashed.where(f"p = 0 OR {low}"), F.when(F.expr(low), value)
+    thrown = hashed.select("k", "n", F.expr(f"cast(shiftrightunsigned(h, 33) % {cells} as int)").alias("cell"), value.alias("v"))
     return thrown.groupBy("k").agg(
         F.max(F.greatest(F.col("n") - (Q - 1), F.lit(1))).alias("size"),
         *[F.min(F.when(F.col("cell") == j, F.col("v"))).alias(f"c{j}") for j in range(cells)])
 
 
+def signatures(lines: DataFrame) -> DataFrame:
+    """k, size (shingle positions) and the cells c0, c1, ... of each distinct line.
+
+    A cell that the cut leaves filled holds its least value.  Lines that the
+    cut can have left with an empty cell (those of a repeated phrase have few
+    distinct shingles for their length) are signed again without it."""
+    first = written(_cells(lines, True))
+    holes = F.greatest(*[F.col(f"c{j}").isNull() for j in range(BANDS * ROWS)])
+    # the cut spares lines of at most ENOUGH code units
+    again = (F.col("size") > ENOUGH - Q) & holes
+    whole = written(_cells(_texts(lines, first.where(again).select("k")), False))
+    return first.where(~again).union(whole)
+
+
 def line_buckets(signed: DataFrame) -> DataFrame:
     """bucket, id: one row per line and band with a filled cell."""
     keys = []
@@ -95,7 +114,7 @@ def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 def line_components(lines: DataFrame) -> DataFrame:
     """id, component of the distinct lines that are linked with another one."""
-    buckets = line_buckets(written(signatures(lines)))
+    buckets = line_buckets(signatures(lines))
 
     def marks(ids: DataFrame) -> DataFrame:
         texts = _texts(lines, ids.select(F.col("id").alias("k")))

@@ -207,3 +207,16 @@ def test_family_whose_base_is_not_least_matches_brute_force(spark):
     assert len({c for _, c in want.values()}) == 1
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+
+
+def test_long_lines_of_a_repeated_phrase_match_brute_force(spark):
+    # 30 distinct shingles in lines of 1 500 to 9 000 characters, none byte-equal
+    rnd = random.Random(12)
+    docs = []
+    for g in range(40):
+        phrase = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30))
+        docs += [(2 * g, phrase * 50), (2 * g + 1, phrase * 300)]
+    signed = {r["k"] for r in linededup.signatures(linededup.line_rows(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")).collect()}
+    assert len(signed) == len(docs)
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == _line_brute(docs)
