@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regula.llm import chat, langid, linededup, minhash, mixing, quality, sentencepiece_codec, suffixdedup, syncmers, toxicity
+from regula.llm import (chat, exactdedup, langid, linededup, minhash, mixing, quality, sentencepiece_codec, suffixdedup, syncmers, toxicity,
+                        vectorcodes, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -187,3 +188,52 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fuzzy_line_dedup")
 def fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql() -> str:
+    parts, entries, scale = vectorcodes.PARTS, vectorcodes.ENTRIES, vectorcodes.SCALE
+    steps = [f"""
+    k AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, len(embedding) // {parts} AS w,
+                 list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+          FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT r, j AS part, list_slice(v, j * w + 1, j * w + w) AS s FROM k, range({parts}) t(j)),
+    b0 AS (SELECT part, r - 1 AS entry, s FROM p WHERE r <= {entries})"""]
+    for turn in range(vectorcodes.ROUNDS + 1):
+        steps.append(f"""
+    a{turn} AS (SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+             SELECT p.r, p.part, b.entry, list_sum(list_transform(list_zip(p.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+             FROM p JOIN b{turn} b ON p.part = b.part) GROUP BY r, part)""")
+        if turn < vectorcodes.ROUNDS:
+            steps.append(f"""
+    m{turn} AS (SELECT part, entry, list(((t - (((t % n) + n) % n)) // n)::BIGINT ORDER BY i) AS s FROM (
+             SELECT part, entry, i, sum(x)::BIGINT AS t, count(*) AS n FROM (
+               SELECT a.part, a.entry, unnest(p.s) AS x, generate_subscripts(p.s, 1) AS i FROM a{turn} a JOIN p ON a.r = p.r AND a.part = p.part)
+             GROUP BY ALL) GROUP BY part, entry),
+    b{turn + 1} AS (SELECT b.part, b.entry, coalesce(m.s, b.s) AS s FROM b{turn} b LEFT JOIN m{turn} m ON m.part = b.part AND m.entry = b.entry)""")
+    last = vectorcodes.ROUNDS
+    steps.append(f"""
+    c AS (SELECT r, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY r),
+    h AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{last})""")
+    return f"""WITH {",".join(steps)}
+    SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, h.codebooks_sha256
+    FROM k JOIN c ON k.r = c.r, h"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op13_exact_dedup", """
+    WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+               FROM documents),
+    g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+    SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, t.text_sha256 FROM t JOIN g USING (text_sha256)""")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
