@@ -13,7 +13,7 @@ from regula.operators import models as ML
 from regula.operators import timeseries as T
 from regula.operators.anomaly import isolation_forest
 from regula.operators.prescriptive import anomaly_features
-from regula.operators.similarity import profile_entries, similar_items
+from regula.operators.similarity import profile_entries, similar_items, similar_items_lsh
 from regula.plans.q_ml_tables import RECENT_YEAR, TYPES, _training_table
 from regula.plans.q_timeseries import _monthly
 from regula.plans.registry import register
@@ -240,36 +240,48 @@ _M23_SQL = with_roles("applications", "products") + """
 , ent AS (SELECT ApplNo, DrugName, 'Form_' || Form AS feature, count(*)::DOUBLE AS value FROM j WHERE Form IS NOT NULL GROUP BY ALL
           UNION ALL SELECT ApplNo, DrugName, 'Type_' || ApplType, count(*)::DOUBLE FROM j WHERE ApplType IS NOT NULL GROUP BY ALL
           UNION ALL SELECT ApplNo, DrugName, 'ReferenceDrug', sum(ReferenceDrug)::DOUBLE FROM j GROUP BY ALL)
-, items AS (SELECT DISTINCT ApplNo, DrugName FROM j)
+, prof AS (SELECT i.ApplNo, i.DrugName, coalesce(p.profile, '') AS profile FROM (SELECT DISTINCT ApplNo, DrugName FROM j) i
+           LEFT JOIN (SELECT ApplNo, DrugName, string_agg(feature || '=' || value, ';' ORDER BY feature) AS profile
+                      FROM ent WHERE value <> 0 GROUP BY ALL) p USING (ApplNo, DrugName))
+, cls AS (SELECT profile, count(*) AS n, min(struct_pack(a := ApplNo, d := DrugName)) AS rep FROM prof GROUP BY profile)
 , feats AS (SELECT DISTINCT feature FROM ent WHERE value <> 0)
-, dense AS (SELECT i.ApplNo, i.DrugName, f.feature, coalesce(e.value, 0.0) AS x FROM items i CROSS JOIN feats f
-            LEFT JOIN ent e ON e.ApplNo = i.ApplNo AND e.DrugName = i.DrugName AND e.feature = f.feature)
-, st AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS s FROM dense GROUP BY feature HAVING var_pop(x) > 1e-12)
-, z AS (SELECT d.ApplNo, d.DrugName, d.feature, (d.x - st.m) / st.s AS z FROM dense d JOIN st ON d.feature = st.feature)
-, q AS (SELECT * FROM items ORDER BY ApplNo, DrugName LIMIT 3)
-, qz AS (SELECT z.* FROM z JOIN q ON z.ApplNo = q.ApplNo AND z.DrugName = q.DrugName)
-, dots AS (SELECT qz.ApplNo AS q_ApplNo, qz.DrugName AS q_DrugName, z.ApplNo, z.DrugName, sum(z.z * qz.z) AS dot
-           FROM z JOIN qz ON z.feature = qz.feature GROUP BY ALL)
-, norms AS (SELECT ApplNo, DrugName, sqrt(sum(z * z)) AS nrm FROM z GROUP BY ALL)
-, sims AS (SELECT dots.q_ApplNo, dots.q_DrugName, dots.ApplNo, dots.DrugName,
-                  round(CASE WHEN n1.nrm * n2.nrm > 1e-12 THEN dot / (n1.nrm * n2.nrm) ELSE 0.0 END, 10) AS SimilarityScore
-           FROM dots JOIN norms n1 ON dots.ApplNo = n1.ApplNo AND dots.DrugName = n1.DrugName
-                     JOIN norms n2 ON dots.q_ApplNo = n2.ApplNo AND dots.q_DrugName = n2.DrugName
-           WHERE NOT (dots.ApplNo = dots.q_ApplNo AND dots.DrugName = dots.q_DrugName))
-, rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_ApplNo, q_DrugName
-                                           ORDER BY SimilarityScore DESC, ApplNo, DrugName) AS INTEGER) AS rank FROM sims)
-SELECT * FROM rk WHERE rank <= 5
+, dense AS (SELECT c.profile, c.n, f.feature, coalesce(e.value, 0.0) AS x FROM cls c CROSS JOIN feats f
+            LEFT JOIN ent e ON e.ApplNo = c.rep.a AND e.DrugName = c.rep.d AND e.feature = f.feature)
+, mean AS (SELECT feature, sum(n * x) / sum(n) AS m FROM dense GROUP BY feature)
+, st AS (SELECT feature, m, sqrt(sum(n * (x - m) * (x - m)) / sum(n)) AS s FROM dense JOIN mean USING (feature)
+         GROUP BY feature, m HAVING sum(n * (x - m) * (x - m)) / sum(n) > 1e-12)
+, z AS (SELECT d.profile, d.feature, (d.x - st.m) / st.s AS z FROM dense d JOIN st ON d.feature = st.feature)
+, norms AS (SELECT profile, sqrt(sum(z * z)) AS nrm FROM z GROUP BY profile)
+, q AS (SELECT ApplNo, DrugName, profile FROM prof WHERE ApplNo % 20 = 0)
+, dots AS (SELECT a.profile AS qp, b.profile AS p, sum(a.z * b.z) AS dot FROM z a JOIN z b ON a.feature = b.feature
+           WHERE a.profile IN (SELECT profile FROM q) GROUP BY ALL)
+, sims AS (SELECT qp, p, round(CASE WHEN n1.nrm * n2.nrm > 1e-12 THEN dot / (n1.nrm * n2.nrm) ELSE 0.0 END, 10) AS s
+           FROM dots JOIN norms n1 ON qp = n1.profile JOIN norms n2 ON p = n2.profile)
+, few AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY ApplNo, DrugName) AS r FROM prof QUALIFY r <= 6)
+, near AS (SELECT qp, s, f.ApplNo, f.DrugName FROM sims JOIN few f ON f.profile = sims.p
+           QUALIFY row_number() OVER (PARTITION BY qp ORDER BY s DESC, f.ApplNo, f.DrugName) <= 6)
+SELECT q.ApplNo AS q_ApplNo, q.DrugName AS q_DrugName, near.ApplNo, near.DrugName, near.s AS SimilarityScore,
+       CAST(row_number() OVER (PARTITION BY q.ApplNo, q.DrugName ORDER BY near.s DESC, near.ApplNo, near.DrugName) AS INTEGER) AS rank
+FROM q JOIN near ON near.qp = q.profile AND NOT (near.ApplNo = q.ApplNo AND near.DrugName = q.DrugName)
+QUALIFY rank <= 5
 """
 
 
+def _drugs(spark, d):
+    """Profile entries, all drugs, and those whose application number 20 divides."""
+    apps, prods = roles(spark, d, "applications", "products")
+    items = prods.join(apps.select("ApplNo"), "ApplNo", "left_semi").select("ApplNo", "DrugName").distinct()
+    return profile_entries(prods, apps), items, ["ApplNo", "DrugName"], items.where("ApplNo % 20 = 0")
+
+
 @register("M23_drug_recommendations_top5", sql=_M23_SQL)
 def m23_recs(spark, d):
-    apps, prods = roles(spark, d, "applications", "products")
-    item_cols = ["ApplNo", "DrugName"]
-    entries = profile_entries(prods, apps)
-    items = prods.join(apps.select("ApplNo"), "ApplNo", "left_semi").select(*item_cols).distinct()
-    queries = items.orderBy(*item_cols).limit(3)
-    return similar_items(entries, items, item_cols, queries, k=5)
+    return similar_items(*_drugs(spark, d), k=5)
+
+
+@register("M23_drug_recommendations_lsh")
+def m23_recs_lsh(spark, d):
+    return similar_items_lsh(*_drugs(spark, d), k=5)
 
 
 @register("M24_isolation_forest_applications")
