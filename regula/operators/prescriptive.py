@@ -36,7 +36,7 @@ def risk_indicators(subs: DataFrame, *, key: str = "ApplNo", status: str = "Subm
           .withColumn("SubmissionFrequency", F.col("TotalSubmissions") / (F.col("DevelopmentDays") / 365))
           .drop("_days"))
     g = cut_lineage(g)  # read by the percentile, the tertile edges and the rows
-    q = global_quantiles(g, "SubmissionFrequency", [freq_quantile]).select(F.get("_q", F.lit(0)).alias("_maxf"))
+    q = global_quantiles(g, "SubmissionFrequency", [freq_quantile], cut=False).select(F.get("_q", F.lit(0)).alias("_maxf"))
     nf = F.when(F.col("_maxf") > 0, F.when(F.col("SubmissionFrequency") / F.col("_maxf") > 1, F.lit(1.0))
                 .otherwise(F.col("SubmissionFrequency") / F.col("_maxf"))).otherwise(F.lit(0.0))
     w1, w2, w3, w4 = weights
@@ -51,7 +51,7 @@ def risk_levels(scored: DataFrame, score: str = "RiskScore", cuts=(0.33, 0.67),
     """Tertile risk level (P2): exact quantile edges at 0 / .33 / .67 / 1 with
     right-closed bins; when edges collide, equal-width cuts at 33% / 67% of
     the range; a constant score is "Medium".  Null scores stay unlabelled."""
-    e = global_quantiles(scored, score, [0.0, cuts[0], cuts[1], 1.0])
+    e = global_quantiles(scored, score, [0.0, cuts[0], cuts[1], 1.0], cut=False)
     # the outer quantiles are the range
     e = e.select("_q", F.get("_q", F.lit(0)).alias("_lo"), F.get("_q", F.lit(3)).alias("_hi"))
     def q(i):

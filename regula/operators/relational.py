@@ -3,6 +3,7 @@ top-k, set operations).  Every function is lazy and keyed by column names."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -221,33 +222,67 @@ def prefix_sums(df: DataFrame, order: str, cols: list[str], *, descending: bool
     return out.select(*df.columns, *[(F.col(f"_p_{x}") + F.col(f"_l_{x}")).alias(f"{x}{suffix}") for x in cols])
 
 
+#: size of the sketches that propose where to cut, and the share of ranks either
+#: side of a wanted one that a cut leaves room for (about twice the rank error)
+KLL, ROOM = 4096, 0.003
+#: distinct values that one task puts in order; cells with more are cut again
+EXACT = 1 << 20
+
+
+def _narrow(rows: DataFrame, targets: DataFrame, path: list[str], cell: str, ranks: list[float], once: bool) -> tuple[DataFrame, DataFrame]:
+    """The values that stand in a cell with a wanted rank, and the ranks within
+    their cells.
+
+    A mergeable KLL sketch per group proposes the cuts between cells; how many
+    values a cell holds is then counted exactly, so a poor sketch makes a cell
+    larger but no answer wrong.  ``once`` says that there is one group only."""
+    small = F.broadcast if once else (lambda x: x)
+    sketch = rows.groupBy(*path).agg(F.kll_sketch_agg_double("_v", F.lit(KLL)).alias("_s"))
+    cuts = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(r) for r in ranks]))
+    # sketches draw at random, so both passes have to read the same ones
+    cuts = cut_lineage(sketch.select(*path, F.array_distinct(cuts).alias("_s")))
+    dealt = rows.join(small(cuts), path).withColumn(cell, F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s")
+    sums = dealt.groupBy(*path, cell).agg(F.sum("_m").alias("_w"))
+    sums = sums.withColumn("_before", _running(path, F.col(cell), F.col("_w")))
+    hit = targets.join(sums, path).filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_w")))
+    hit = hit.withColumn("_left", F.col("_left") - F.col("_before")).drop("_before", "_w")
+    wanted = hit.select(*path, cell).distinct()
+    kept = dealt.join(small(wanted), [*path, cell]).groupBy(*path, cell, "_v").agg(F.sum("_m").alias("_m"))
+    return cut_lineage(kept), hit
+
+
+def _around(probs: list[float]) -> list[float]:
+    return sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-ROOM, ROOM)})
+
+
+def _at_ranks(rows: DataFrame, targets: DataFrame, path: list[str]) -> DataFrame:
+    """``targets`` (path, _left, ...) with the value _v at each rank of its
+    cell; cells with too many distinct values (path, _v, _m) are cut again."""
+    while (rows.groupBy(*path).count().agg(F.max("count")).first()[0] or 0) > EXACT:
+        cell = f"_c{len(path)}"
+        rows, targets = _narrow(rows, targets, path, cell, [i / 64 for i in range(65)], False)
+        path = [*path, cell]
+    values = rows.withColumn("_before", _running(path, F.col("_v"), F.col("_m")))
+    return targets.join(values, path).filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_m")))
+
+
 def grouped_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float], name: str = "_q") -> DataFrame:
     """Exact linear-interpolated quantiles (pandas / ``percentile`` semantics)
     of ``col`` per group as ``keys..., name: array<double>``; groups without a
     value have no row, null keys form a group.
 
-    The wanted ranks are located in two levels of value buckets (see
-    ``prefix_sums``), so only the distinct values of the buckets that hold a
-    wanted rank are ever put in order, whatever a group's size."""
-    blocks = cut_lineage(df.select(F.struct(F.lit(0).alias("_z"), *[F.col(f"`{k}`") for k in keys]).alias("_k"),
-                                   F.col(f"`{col}`").cast("double").alias("_v"))
-                         .filter(F.col("_v").isNotNull()).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_m")))
-    span = blocks.groupBy("_k").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_m").alias("_n"))
-    asked = span.select("_k", "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
-    asked = asked.withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
+    Sketches bracket each wanted rank (see ``_narrow``), and only the distinct
+    values inside the brackets are put in order; where a bracket still holds
+    more than ``EXACT`` of them, it is cut again."""
+    rows = cut_lineage(df.select(F.struct(F.lit(0).alias("_z"), *[F.col(f"`{k}`") for k in keys]).alias("_k"),
+                                 F.col(f"`{col}`").cast("double").alias("_v"), F.lit(1).cast("long").alias("_m"))
+                       .filter(F.col("_v").isNotNull()))
+    sizes = rows.groupBy("_k").agg(F.count("*").alias("_n"))
+    asked = sizes.select("_k", F.posexplode(F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: p * (F.col("_n") - 1))).alias("_i", "_pos"))
     asked = asked.select("_k", "_i", "_pos", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_rank"))
-
-    cells, ranks, path = blocks.join(span.select("_k", "_lo", "_hi"), "_k"), asked.withColumn("_left", F.col("_rank")), ["_k"]
-    for level in ("_b", "_c"):
-        dealt = cells.withColumn(level, _cell("_v", "_lo", "_hi")).drop("_lo", "_hi")
-        sums = dealt.groupBy(*path, level).agg(F.sum("_m").alias("_s"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        sums = sums.withColumn("_before", _running(path, F.col(level), F.col("_s")))
-        hit = ranks.join(sums, path).filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_s")))
-        path = [*path, level]
-        ranks = hit.select(*path, "_i", "_pos", "_rank", (F.col("_left") - F.col("_before")).alias("_left"))
-        cells = dealt.join(hit.select(*path, "_lo", "_hi").distinct(), path)
-    values = cells.withColumn("_before", _running(path, F.col("_v"), F.col("_m")))
-    found = ranks.join(values, path).filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_m")))
+    targets, path = asked.withColumn("_left", F.col("_rank")), ["_k"]
+    rows, targets = _narrow(rows, targets, path, "_c", _around(probs), not keys)
+    found = _at_ranks(rows, targets, [*path, "_c"])
     per = found.groupBy("_k", "_i", "_pos").agg(F.max(F.when(F.col("_rank") == F.floor("_pos"), F.col("_v"))).alias("_vl"),
                                                 F.max(F.when(F.col("_rank") == F.ceil("_pos"), F.col("_v"))).alias("_vh"))
     lo, hi = F.floor("_pos"), F.ceil("_pos")
@@ -256,7 +291,44 @@ def grouped_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
     return out.select(*[F.col(f"_k.`{k}`").alias(k) for k in keys], F.transform("_a", lambda s: s["_qv"]).alias(name))
 
 
-def global_quantiles(df: DataFrame, col: str, probs: list[float], name: str = "_q") -> DataFrame:
-    """``grouped_quantiles`` of a whole column: one row, null on no values."""
-    found = grouped_quantiles(df, [], col, probs, "_found")
-    return found.agg(F.first("_found").alias(name))
+def global_quantiles(df: DataFrame, col: str, probs: list[float], name: str = "_q", *, cut: bool = True) -> DataFrame:
+    """``grouped_quantiles`` of a whole column: one row, null on no values.
+
+    The cuts, the cells' counts and the values found are a few numbers per
+    wanted quantile, so they pass through the driver and the column is read by
+    three plain aggregations.  ``cut=False`` spares a copy of the column where
+    ``df`` is cheap to read again."""
+    rows = df.select(F.col(f"`{col}`").cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    rows = cut_lineage(rows) if cut else rows
+    ranks = F.array(*[F.lit(r) for r in _around(probs)])
+    top = rows.agg(F.count("*").alias("n"), F.kll_sketch_agg_double("_v", F.lit(KLL)).alias("s"))
+    n, cuts = top.select("n", F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", ranks))).first()
+    one = df.sparkSession.range(1, numPartitions=1)
+    if not n:
+        return one.select(F.lit(None).cast("array<double>").alias(name))
+    cell = reduce(lambda x, y: x + y, [(F.col("_v") > F.lit(c)).cast("int") for c in sorted(set(cuts))])
+    dealt = rows.withColumn("_c", cell)
+    before, held = {}, 0
+    sizes = {r["_c"]: r["count"] for r in dealt.groupBy("_c").count().collect()}
+    for c in sorted(sizes):
+        before[c], held = held, held + sizes[c]
+    positions = [p * (n - 1) for p in probs]
+    wanted = {}
+    for rank in {f(p) for p in positions for f in (math.floor, math.ceil)}:
+        c = max(c for c in before if before[c] <= rank)
+        wanted[rank] = (c, rank - before[c])
+    inside = dealt.filter(F.col("_c").isin(sorted({c for c, _ in wanted.values()}))).groupBy("_c", "_v").agg(F.count("*").alias("_m"))
+    targets = df.sparkSession.createDataFrame([(rank, c, left) for rank, (c, left) in wanted.items()], "_rank long, _c int, _left long")
+    if max(sizes[c] for c, _ in wanted.values()) > EXACT:
+        found = _at_ranks(cut_lineage(inside), targets, ["_c"])
+    else:
+        values = inside.withColumn("_before", _running(["_c"], F.col("_v"), F.col("_m")))
+        hit = (F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_m"))
+        found = values.join(F.broadcast(targets), "_c").filter(hit)
+    at = {r["_rank"]: r["_v"] for r in found.select("_rank", "_v").collect()}
+
+    def value(pos: float) -> float:
+        lo, hi = math.floor(pos), math.ceil(pos)
+        return at[lo] if lo == hi else (hi - pos) * at[lo] + (pos - lo) * at[hi]
+
+    return one.select(F.array(*[F.lit(value(pos)) for pos in positions]).alias(name))

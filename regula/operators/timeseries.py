@@ -45,7 +45,7 @@ def approval_time_stats(timelines: DataFrame, days: str = "Days_to_Approval") ->
     timelines = cut_lineage(timelines.select(days))
     x = F.col(days)
     base = timelines.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
-    q = global_quantiles(timelines, days, [0.5, 0.25, 0.75])
+    q = global_quantiles(timelines, days, [0.5, 0.25, 0.75], cut=False)
     return base.crossJoin(q).select("n", "mean", F.try_element_at(F.col("_q"), F.lit(1)).alias("median"), "std",
                                     F.try_element_at(F.col("_q"), F.lit(2)).alias("p25"), F.try_element_at(F.col("_q"), F.lit(3)).alias("p75"))
 

@@ -151,6 +151,21 @@ def test_grouped_quantiles_match_percentile(spark):
         assert got[g] == pytest.approx(want[g], rel=1e-12)
 
 
+@pytest.mark.parametrize("exact", [1 << 20, 50])
+def test_quantiles_are_exact_however_poor_the_sketch(spark, monkeypatch, exact):
+    """A sketch of 8 values proposes useless cuts, and crowded cells are cut
+    again; hot values and hot groups hold a third of all rows."""
+    monkeypatch.setattr(R, "KLL", 8)
+    monkeypatch.setattr(R, "EXACT", exact)
+    x = F.when(F.col("id") % 3 == 0, 7.5).otherwise(F.pow(F.rand(4) * 100 - 30, 3))
+    df = spark.range(4000).select(x.alias("x"), F.when(F.col("id") % 5 < 3, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 9)).alias("g")).cache()
+    probs = [0.0, 0.1, 0.5, 0.9, 0.999]
+    assert R.global_quantiles(df, "x", probs).first()[0] == pytest.approx(df.agg(F.percentile("x", probs)).first()[0], rel=1e-12)
+    got = {r["g"]: r["_q"] for r in R.grouped_quantiles(df, ["g"], "x", probs).collect()}
+    for r in df.groupBy("g").agg(F.percentile("x", probs).alias("p")).collect():
+        assert got[r["g"]] == pytest.approx(r["p"], rel=1e-12)
+
+
 def test_auc_on_many_scores(spark):
     from regula.operators import ml_tables as M
     df = spark.range(60_000).select(F.rand(1).alias("s"), F.rand(2).alias("u")).withColumn("y", (F.col("u") < F.col("s")).cast("int"))
