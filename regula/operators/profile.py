@@ -5,6 +5,11 @@ single ``agg``), unpivoted to long form afterwards.  Value distributions
 unpivot the chosen columns into (column, value) pairs and aggregate those
 with map-side combining; per-column cardinality filters are applied on the
 aggregated pairs, so no step keeps a whole column in one task.
+
+Values and rows are counted by 128-bit fingerprints, so what is shuffled is of
+constant size whatever a row holds.  Distinct counts come from (column,
+fingerprint) pairs; mergeable sketches (``column_sketches``) screen columns that
+need no exact count.  Rows whose fingerprint occurs twice are compared in whole.
 """
 
 from __future__ import annotations
@@ -53,13 +58,62 @@ def dtype_tally(df: DataFrame, table: str) -> DataFrame:
     return table_shape(df, table).select("table", "rows", F.explode(listed).alias("_t")).select("table", "_t.dtype", "_t.n_columns", "rows")
 
 
-def _row_groups(df: DataFrame, **per_row) -> DataFrame:
-    """One row from one scan: rows, duplicate_rows (rows beyond the first of
-    each distinct row, nulls equal) and the sums of per-row numbers."""
-    g = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_m"))
-    g = g.select("_m", *[e.alias(f"_{n}") for n, e in per_row.items()])
-    return g.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_m") - 1), F.lit(0)).alias("duplicate_rows"),
-                 *[F.coalesce(F.sum(F.col(f"_{n}") * F.col("_m")), F.lit(0)).cast("long").alias(n) for n in per_row])
+def _hashes(*cols: Column) -> tuple[Column, Column]:
+    """128 bits of the given values."""
+    return F.xxhash64(*cols), F.xxhash64(F.lit("2"), *cols)
+
+
+def _hashable(f: T.StructField) -> Column:
+    """A column in a form whose hash tells its values apart: hashing skips
+    nulls inside arrays and cannot read maps, so nested values become text."""
+    x = F.col(f"`{f.name}`")
+    nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+    return F.to_json(F.struct(x), {"ignoreNullFields": "false"}) if nested else x
+
+
+def row_fingerprint(df: DataFrame) -> list[Column]:
+    """h1, h2: 128 bits of a whole row.  Hashing skips nulls, so whether each
+    column is null goes in as well."""
+    parts = [y for f in df.schema.fields for y in (F.col(f"`{f.name}`").isNull(), _hashable(f))]
+    return [h.alias(n) for h, n in zip(_hashes(*parts), ("h1", "h2"))]
+
+
+#: repeated fingerprints up to which they are broadcast to the rows
+FEW_REPEATED = 1 << 18
+
+
+def _duplicates(df: DataFrame, repeated: int) -> DataFrame:
+    """duplicate_rows of a table with ``repeated`` fingerprints that occur
+    twice or more: only rows that bear one are compared, in whole."""
+    if not repeated:
+        return df.sparkSession.range(1, numPartitions=1).select(F.lit(0).cast("long").alias("duplicate_rows"))
+    marks = row_fingerprint(df)
+    twice = df.select(*marks).groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2")
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *marks)
+    found = row.join(F.broadcast(twice) if repeated <= FEW_REPEATED else twice, ["h1", "h2"], "left_semi")
+    return found.groupBy("row").agg(F.count("*").alias("m")).agg(F.coalesce(F.sum(F.col("m") - 1), F.lit(0)).alias("duplicate_rows"))
+
+
+def _row_groups(tables: dict[str, DataFrame], per_row) -> DataFrame:
+    """table, rows, duplicate_rows (rows beyond the first of each distinct row,
+    nulls equal) and the sums of the per-row numbers that ``per_row`` gives for
+    a table; one row per table.
+
+    One scan of each table groups its fingerprints; the counts per table, one
+    row each, pass through the driver."""
+    stats, names = [], []
+    for name, df in tables.items():
+        numbers = per_row(df)
+        names = list(numbers)
+        g = df.select(*row_fingerprint(df), *[e.cast("long").alias(n) for n, e in numbers.items()])
+        g = g.groupBy("h1", "h2").agg(F.count("*").alias("m"), *[F.sum(n).alias(n) for n in names])
+        stats.append(g.agg(F.lit(name).alias("table"), F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.count_if(F.col("m") > 1).alias("repeated"),
+                           *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]))
+    out = []
+    for r in union_all(stats).collect():
+        fixed = [F.lit(r["table"]).alias("table"), *[F.lit(r[n]).cast("long").alias(n) for n in ("rows", *names)]]
+        out.append(_duplicates(tables[r["table"]], r["repeated"]).select(*fixed, "duplicate_rows"))
+    return union_all(out)
 
 
 def _count_in_row(conds) -> Column:
@@ -68,27 +122,77 @@ def _count_in_row(conds) -> Column:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """``duplicated().sum()``: rows minus distinct rows, nulls equal."""
-    return _row_groups(df).select("duplicate_rows")
+    return _row_groups({"": df}, lambda _: {}).select("duplicate_rows")
+
+
+def column_sketches(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column_name, position, rows, non_null and sketch of the distinct values
+    (HyperLogLog) of each column, from one pass without a shuffle of values.
+    Stored sketches of parts of a table are merged by ``merge_sketches``."""
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    exprs = [F.count(F.lit(1)).alias("rows")]
+    for f in fields:
+        x = F.col(f"`{f.name}`")
+        exprs += [F.count(x).alias(f"{f.name}__non_null"),
+                  F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(_hashable(f)))).alias(f"{f.name}__sketch")]
+    return _unpivot_rows(df.agg(*exprs), [f.name for f in fields], ["non_null", "sketch"], ("rows",))
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketches of several parts of a table as those of the whole."""
+    return sketches.groupBy("column_name", "position").agg(F.sum("rows").alias("rows"), F.sum("non_null").alias("non_null"),
+                                                          F.hll_union_agg("sketch").alias("sketch"))
+
+
+def _estimates(df: DataFrame, columns: list[str] | None = None) -> dict:
+    """Per column (bounded by the schema): rows, non_null and about how many distinct values."""
+    found = column_sketches(df, columns).select("column_name", "rows", "non_null", F.hll_sketch_estimate("sketch").alias("about"))
+    return {r["column_name"]: r for r in found.collect()}
+
+
+def column_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column_name, position, rows, null_count, non_null and the exact
+    n_distinct of each column.
+
+    One scan gives a (column, fingerprint) pair per value; the pairs combine
+    map-side and are shuffled by fingerprint, so neither a long value nor a
+    common one, nor the number of columns counted, makes a row copy."""
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column_name string, position int, rows long, null_count long, non_null long, n_distinct long")
+    pairs = []
+    for i, f in enumerate(fields):
+        h1, h2 = _hashes(_hashable(f))
+        null = F.col(f"`{f.name}`").isNull()
+        pairs.append(F.struct(F.lit(i).alias("position"), F.when(~null, h1).alias("h1"), F.when(~null, h2).alias("h2")))
+    each = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").groupBy("position", "h1", "h2").agg(F.count("*").alias("m"))
+    sums = each.groupBy("position").agg(F.sum("m").alias("rows"), F.sum(F.when(F.col("h1").isNotNull(), F.col("m"))).alias("non_null"),
+                                        F.count("h1").alias("n_distinct"))
+    names = df.sparkSession.createDataFrame([(f.name, i) for i, f in enumerate(fields)], "column_name string, position int")
+    nought = {n: F.coalesce(n, F.lit(0)).cast("long") for n in ("rows", "non_null", "n_distinct")}
+    out = names.join(F.broadcast(sums), "position", "left")  # one row a column
+    return out.select("column_name", "position", nought["rows"].alias("rows"), (nought["rows"] - nought["non_null"]).alias("null_count"),
+                      nought["non_null"].alias("non_null"), nought["n_distinct"].alias("n_distinct"))
+
+
+def _dtypes(df: DataFrame) -> Column:
+    return F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])[F.col("column_name")]
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None, distinct: bool = True) -> DataFrame:
     """Per column: type, null count, null %, non-null, distinct (B3).  Without
     ``distinct`` the (shuffling) distinct counts are left out as null."""
     cols = df.columns if columns is None else columns
-    dcount = F.countDistinct if distinct else (lambda x: F.lit(None).cast("long"))
-    exprs = [F.count(F.lit(1)).alias("_rows")]
-    for c in cols:
-        x = F.col(f"`{c}`")
-        exprs += [F.count_if(x.isNull()).alias(f"{c}__null_count"),
-                  F.count(x).alias(f"{c}__non_null"),
-                  dcount(x).alias(f"{c}__n_distinct")]
-    long = _unpivot_rows(df.agg(*exprs), cols, ["null_count", "non_null", "n_distinct"], ("_rows",))
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    tmap = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
-    return (long.select("column_name", "position", tmap[F.col("column_name")].alias("dtype"), "null_count",
-                        (F.try_divide("null_count", F.col("_rows")) * 100).alias("null_pct"),
-                        "non_null", F.col("n_distinct").cast("long").alias("n_distinct"),
-                        F.col("_rows").alias("rows")))
+    if distinct:
+        long = column_counts(df, cols)
+    else:
+        exprs = [F.count(F.lit(1)).alias("rows")]
+        for c in cols:
+            x = F.col(f"`{c}`")
+            exprs += [F.count_if(x.isNull()).alias(f"{c}__null_count"), F.count(x).alias(f"{c}__non_null")]
+        long = _unpivot_rows(df.agg(*exprs), cols, ["null_count", "non_null"], ("rows",)).withColumn("n_distinct", F.lit(None).cast("long"))
+    return long.select("column_name", "position", _dtypes(df).alias("dtype"), "null_count", (F.try_divide("null_count", "rows") * 100).alias("null_pct"),
+                       "non_null", "n_distinct", "rows")
 
 
 def null_analysis(df: DataFrame) -> DataFrame:
@@ -101,19 +205,14 @@ def clean_column_profile(df: DataFrame, order_by: list[str]) -> DataFrame:
     """Type, non-null, distinct and a deterministic first-row sample (B5):
     the value on the smallest ``order_by`` row (non-null values first on
     ties), rendered as text."""
-    cols = df.columns
     exprs = []
-    for c in cols:
+    for c in df.columns:
         x = F.col(f"`{c}`")
-        key = F.struct(*[F.col(k) for k in order_by], x.isNull().alias("_isnull"),
-                       x.cast("string").alias("_v"))
-        exprs += [F.count(x).alias(f"{c}__non_null"), F.countDistinct(x).alias(f"{c}__n_distinct"),
-                  F.min_by(x.cast("string"), key).alias(f"{c}__sample")]
-    long = _unpivot_rows(df.agg(*exprs), cols, ["non_null", "n_distinct", "sample"])
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    tmap = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
-    return long.select("column_name", tmap[F.col("column_name")].alias("dtype"), "non_null",
-                       F.col("n_distinct").cast("long").alias("n_distinct"), "sample")
+        key = F.struct(*[F.col(k) for k in order_by], x.isNull().alias("_isnull"), x.cast("string").alias("_v"))
+        exprs.append(F.min_by(x.cast("string"), key).alias(f"{c}__sample"))
+    samples = _unpivot_rows(df.agg(*exprs), df.columns, ["sample"]).drop("position")
+    long = column_counts(df).join(F.broadcast(samples), "column_name")  # one row a column
+    return long.select("column_name", _dtypes(df).alias("dtype"), "non_null", "n_distinct", "sample")
 
 
 def all_null_columns(df: DataFrame) -> DataFrame:
@@ -134,13 +233,13 @@ def value_distributions(df: DataFrame, cols: list[str], *, max_distinct: int = 2
     values: count and % of all rows (B8; B9 with ``first_columns``)."""
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, value string, count long, pct double")
-    # a cheap first pass finds the columns that can be small at all (its error
-    # is far below the factor of two), so only their values are shuffled
-    sizes = df.agg(F.array(*[F.approx_count_distinct(F.col(f"`{c}`")) for c in cols]).alias("_sizes"))
-    structs = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
-                        for i, c in enumerate(cols)])
-    small = F.filter(structs, lambda s: F.get(F.col("_sizes"), s["position"]) < 2 * max_distinct)
-    pairs = df.crossJoin(F.broadcast(sizes)).select(F.explode(small).alias("_p")).select("_p.*")
+    # sketches find the columns that can be small at all (their error is far
+    # below the factor of two), so only those are read and shuffled by value
+    about = _estimates(df, cols)
+    small = [c for c in cols if about[c]["about"] < 2 * max_distinct]
+    if not small:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, count long, pct double, rank int")
+    pairs = _pairs(df, small)
     g = pairs.groupBy("position", "column_name", "value").agg(F.count(F.lit(1)).alias("count"))
     card = g.groupBy("position").agg(F.count("value").alias("_distinct"), F.sum("count").alias("_rows"))
     keep = card.filter(F.col("_distinct") < max_distinct)
@@ -197,17 +296,19 @@ def null_cells(df: DataFrame) -> DataFrame:
 def quality_summary(df: DataFrame, table: str) -> DataFrame:
     """Rows, columns, null cells, empty strings, duplicates and number of
     flag columns (name contains flag/missing) of one table (B12)."""
-    one = _row_groups(df, nulls=_count_in_row([F.col(f"`{c}`").isNull() for c in df.columns]),
-                      empty_strings=_count_in_row([F.col(f"`{c}`") == "" for c in string_columns(df)]))
     nflags = len([c for c in df.columns if "flag" in c.lower() or "missing" in c.lower()])
-    return one.select(F.lit(table).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"), "nulls",
-                      "empty_strings", F.col("duplicate_rows").alias("duplicates"), F.lit(nflags).alias("flag_columns"))
+    one = _row_groups({table: df}, lambda t: {
+        "nulls": _count_in_row([F.col(f"`{c}`").isNull() for c in t.columns]),
+        "empty_strings": _count_in_row([F.col(f"`{c}`") == "" for c in string_columns(t)])})
+    return one.select("table", "rows", F.lit(len(df.columns)).alias("columns"), "nulls", "empty_strings",
+                      F.col("duplicate_rows").alias("duplicates"), F.lit(nflags).alias("flag_columns"))
 
 
-def load_summary(df: DataFrame, table: str) -> DataFrame:
-    """Rows, columns, total null cells, duplicate rows (B2)."""
-    one = _row_groups(df, null_values=_count_in_row([F.col(f"`{c}`").isNull() for c in df.columns]))
-    return one.select(F.lit(table).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"), "null_values", "duplicate_rows")
+def load_summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows, columns, total null cells, duplicate rows of each table (B2)."""
+    one = _row_groups(tables, lambda t: {"null_values": _count_in_row([F.col(f"`{c}`").isNull() for c in t.columns])})
+    columns = F.create_map(*[x for n, t in tables.items() for x in (F.lit(n), F.lit(len(t.columns)))])[F.col("table")]
+    return one.select("table", "rows", columns.alias("columns"), "null_values", "duplicate_rows")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -268,8 +369,10 @@ def shared_columns(spark, schemas: dict[str, list[str]]) -> DataFrame:
 
 def primary_key_candidates(df: DataFrame) -> DataFrame:
     """Columns that are unique and null-free."""
-    p = column_profile(df)
-    return p.filter((F.col("n_distinct") == F.col("rows")) & (F.col("null_count") == 0)).select("column_name")
+    about = _estimates(df)
+    # a sketch is off by a few per cent: columns far from unique need no count
+    near = [c for c, r in about.items() if r["non_null"] == r["rows"] and r["about"] >= 0.8 * r["rows"]]
+    return column_counts(df, near).filter("n_distinct = rows").select("column_name")
 
 
 def id_column_ratios(df: DataFrame) -> DataFrame:
@@ -298,10 +401,9 @@ def column_classes(df: DataFrame, numeric_min_distinct: int = 20) -> DataFrame:
     (>100), low (<=10) or medium cardinality; "date" in the name flags date."""
     cols = df.columns
     num = set(numeric_columns(df))
-    exprs = [F.countDistinct(F.col(f"`{c}`")).alias(f"{c}__n_distinct") for c in cols]
-    exprs += [(skew_bias_corrected(F.col(f"`{c}`").cast("double")) if c in num else F.lit(None).cast("double"))
-              .alias(f"{c}__skew") for c in cols]
-    long = _unpivot_rows(df.agg(*exprs), cols, ["n_distinct", "skew"])
+    skews = [(skew_bias_corrected(F.col(f"`{c}`").cast("double")) if c in num else F.lit(None).cast("double")).alias(f"{c}__skew") for c in cols]
+    skews = _unpivot_rows(df.agg(*skews), cols, ["skew"]).drop("position")
+    long = column_counts(df).join(F.broadcast(skews), "column_name")  # one row a column
     is_num = F.col("column_name").isin(list(num)) & (F.col("n_distinct") >= numeric_min_distinct)
     cls = (F.when(is_num, "numeric").when(F.col("n_distinct") > 100, "high_cardinality")
             .when(F.col("n_distinct") <= 10, "low_cardinality").otherwise("categorical"))

@@ -82,7 +82,7 @@ def b1_shape(spark, d):
 
 @register("B2_load_summary_all_tables", sql=_load_summary_sql(ALL))
 def b2_load(spark, d):
-    return B.union_all([B.load_summary(read_table(spark, d, t), t) for t in ALL])
+    return B.load_summary({t: read_table(spark, d, t) for t in ALL})
 
 
 @register("B3_column_profile_orders", sql=_profile_sql("orders", COLUMNS["orders"]))
