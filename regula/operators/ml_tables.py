@@ -206,10 +206,11 @@ def sponsor_features(apps: DataFrame, products: DataFrame, subs: DataFrame, *, k
 
 
 def drug_features(products: DataFrame, apps: DataFrame, subs: DataFrame, types: list[str], *,
-                  key: str = "ApplNo") -> DataFrame:
+                  key: str = "ApplNo", carry: tuple[str, ...] = ()) -> DataFrame:
     """Drug (product) feature table (M20): submissions, approved and priority
     flags of the application, reference flags (D2) and one-hot type; rows of
-    applications without submissions are dropped."""
+    applications without submissions are dropped.  ``carry`` names further
+    columns of the products, or ApplType, to keep."""
     s = subs.groupBy(key).agg(F.count("SubmissionNo").alias("TotalSubmissions"),
                               F.coalesce(F.bool_or(F.col("SubmissionStatus") == "AP"), F.lit(False)).cast("int").alias("IsApproved"),
                               F.coalesce(F.bool_or(F.col("ReviewPriority") == "PRIORITY"), F.lit(False)).cast("int").alias("HadPriorityReview"))
@@ -220,7 +221,7 @@ def drug_features(products: DataFrame, apps: DataFrame, subs: DataFrame, types:
                       F.coalesce(rs.isNotNull() & (rs.cast("string") != "") & (rs.cast("string") != "0"), F.lit(False)).cast("int")))
     j = one_hot(j, "ApplType", types)
     return j.select(key, "ProductNo", "TotalSubmissions", "IsApproved", "HadPriorityReview", "IsReferenceDrug",
-                    "HasReferenceStandard", *[f"ApplType_{t}" for t in types])
+                    "HasReferenceStandard", *[f"ApplType_{t}" for t in types], *carry)
 
 
 # ----------------------------------------------------------------- M19 / M21
@@ -240,17 +241,15 @@ def centroids(df: DataFrame, vec: str, cluster: str) -> DataFrame:
 
 def davies_bouldin(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     """Davies-Bouldin index (M19): mean over clusters of the worst
-    (S_i + S_j) / d(c_i, c_j).  The centroids, one row per cluster, go to each
-    cluster as one array."""
+    (S_i + S_j) / d(c_i, c_j).  Pairs of centroids are joined, one row a pair."""
     c = centroids(df, vec, cluster)
     s = (df.select(cluster, F.col(vec).cast("array<double>").alias("_x")).join(c, cluster)
            .groupBy(cluster).agg(F.avg(_vec_dist(F.col("_x"), F.col("centroid"))).alias("_s")))
-    cs = c.join(s, cluster)
-    every = cs.agg(F.collect_list(F.struct(F.col(cluster).alias("id"), "centroid", "_s")).alias("_all"))
-    others = F.filter("_all", lambda o: o["id"] != F.col(cluster))
-    worst = F.array_max(F.transform(others, lambda o: F.try_divide(F.col("_s") + o["_s"], _vec_dist(F.col("centroid"), o["centroid"]))))
-    return cs.crossJoin(F.broadcast(every)).select(worst.alias("_m")).filter(F.col("_m").isNotNull()) \
-             .agg(F.avg("_m").alias("davies_bouldin"), F.count(F.lit(1)).alias("n_clusters"))
+    cs = cut_lineage(c.join(s, cluster))
+    other = cs.select(F.col(cluster).alias("_other"), F.col("centroid").alias("_c2"), F.col("_s").alias("_s2"))
+    ratio_ = F.try_divide(F.col("_s") + F.col("_s2"), _vec_dist(F.col("centroid"), F.col("_c2")))
+    pairs = cs.join(other, F.col(cluster) != F.col("_other")).groupBy(cluster).agg(F.max(ratio_).alias("_m"))
+    return pairs.filter(F.col("_m").isNotNull()).agg(F.avg("_m").alias("davies_bouldin"), F.count(F.lit(1)).alias("n_clusters"))
 
 
 def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
@@ -268,3 +267,40 @@ def cluster_vector_means(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     """Per-cluster mean of every vector position, long form."""
     e = df.select(cluster, F.posexplode(vec).alias("position", "_v"))
     return e.groupBy(cluster, "position").agg(F.avg(F.col("_v").cast("double")).alias("mean"))
+
+
+def cluster_top_members(df: DataFrame, cluster: str, member: str, by: str, k: int = 3) -> DataFrame:
+    """The ``k`` members of each cluster with the greatest ``by``, ties by
+    member (M21)."""
+    from regula.operators.relational import top_k_per_group
+    return top_k_per_group(df.select(cluster, member, by), cluster, k, [F.col(by).desc(), F.col(member)])
+
+
+def cluster_category_mix(df: DataFrame, cluster: str, category: str, k: int | None = None) -> DataFrame:
+    """Rows and share of each category in each cluster, most frequent first;
+    the first ``k`` with ``k`` (M21: top forms, type mix).  Null is no category."""
+    n = df.filter(F.col(category).isNotNull()).groupBy(cluster, category).agg(F.count(F.lit(1)).alias("n"))
+    whole = n.groupBy(cluster).agg(F.sum("n").alias("_all"))
+    shared = n.join(whole, cluster).withColumn("pct", F.col("n") / F.col("_all") * 100).drop("_all")
+    w = Window.partitionBy(cluster).orderBy(F.col("n").desc(), F.col(category))
+    ranked = shared.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
+def cluster_profile(df: DataFrame, cluster: str, means: list[str], categories: dict[str, int | None], members: tuple[str, str] | None = None) -> DataFrame:
+    """One row per cluster: size, pct, mean of each of ``means``, an array
+    ``top_<category>`` of (value, n, pct) per category (its first ones, or all),
+    and with ``members`` = (member, by) the three greatest members (M21)."""
+    out = cluster_sizes(df, cluster).join(cluster_means(df, cluster, means), cluster)
+
+    def listed(rows: DataFrame, name: str, *fields: str) -> DataFrame:
+        top = F.sort_array(F.collect_list(F.struct("rank", *fields)))
+        return rows.groupBy(cluster).agg(F.transform(top, lambda t: F.struct(*[t[f].alias(f) for f in fields])).alias(name))
+
+    for c, k in categories.items():
+        mix = cluster_category_mix(df, cluster, c, k).withColumnRenamed(c, "value")
+        out = out.join(listed(mix, f"top_{c}", "value", "n", "pct"), cluster, "left")
+    if members:
+        top = cluster_top_members(df, cluster, *members).withColumnsRenamed({members[0]: "member", members[1]: "by"})
+        out = out.join(listed(top, "top_members", "member", "by"), cluster, "left")
+    return out

@@ -43,10 +43,17 @@ def _parallel(fns, workers: int = 8):
         return list(ex.map(lambda f: f(), fns))
 
 
-def materialise(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """Cut a training frame's lineage once, its rows dealt over a fixed number
-    of partitions by their hash: a fitted forest depends on how its rows are
-    dealt, so the dealing must not depend on the cluster."""
+#: rows of one partition of a training frame beyond ``FIT_PARTITIONS`` partitions
+FIT_ROWS = 100_000
+
+
+def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Cut a training frame's lineage once, its rows dealt by their hash over a
+    number of partitions that follows from the number of rows alone: a fitted
+    forest depends on how its rows are dealt, so the dealing must not depend on
+    the cluster, and a task's share must not grow with the table."""
+    if partitions is None:
+        partitions = max(FIT_PARTITIONS, -(-df.count() // FIT_ROWS))
     return cut_lineage(df.repartition(partitions, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns if c != "features"])))
 
 
@@ -406,6 +413,22 @@ def kmeans_select(df: DataFrame, features: list[str], ks=range(2, 8), n_init: in
     return res, labelled
 
 
+def clustering_report(labelled: DataFrame, cluster: str, vector: str, means: list[str]) -> DataFrame:
+    """Per cluster: size, pct and feature means; on every row the silhouette
+    (squared Euclidean, linear time) and Davies-Bouldin index of the clustering
+    over the arrays ``vector``.  Rows without a cluster are left out; a single
+    cluster has no silhouette (null)."""
+    from regula.operators.ml_tables import cluster_means, cluster_sizes, davies_bouldin
+    rows = cut_lineage(labelled.where(F.col(cluster).isNotNull()))
+    sizes = cluster_sizes(rows, cluster)
+    ev = ClusteringEvaluator(featuresCol="_v", predictionCol=cluster, distanceMeasure="squaredEuclidean")
+    many = rows.select(cluster).distinct().limit(2).count() > 1
+    silhouette = float(ev.evaluate(rows.select(cluster, array_to_vector(F.col(vector)).alias("_v")))) if many else None
+    index = davies_bouldin(rows, vector, cluster).select("davies_bouldin")
+    return (sizes.join(cluster_means(rows, cluster, means), cluster).withColumn("silhouette", F.lit(silhouette).cast("double"))
+            .crossJoin(F.broadcast(index)))
+
+
 def bisecting_clusters(df: DataFrame, features: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Top-down hierarchical clustering into k clusters."""
     data, _ = scaled(assembled(df, features))

@@ -169,6 +169,13 @@ def sponsor_success(subs: DataFrame, apps: DataFrame, *, key: str = "ApplNo", sp
     return m.filter(F.col("TotalSubmissions") >= min_submissions)
 
 
+def sponsor_success_list(scored: DataFrame, *, sponsor: str = "SponsorName", k: int = 20) -> DataFrame:
+    """The ``k`` sponsors with the greatest success score and their rank, ties
+    by name (P5, W9).  Only the k rows of the sorted list are numbered."""
+    order = [F.col("SuccessScore").desc(), F.col(sponsor)]
+    return scored.orderBy(*order).limit(k).withColumn("Rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def dose_table(products: DataFrame, subs: DataFrame, *, key: str = "ApplNo", strength: str = "Strength",
                status: str = "SubmissionStatus", approved: str = "AP") -> DataFrame:
     """Products with a parsed dose and the application's approval flag (any

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regula.functions.columns import equal_width_bin, skew_bias_corrected
+from regula.operators.keysets import key_overlaps
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -384,15 +385,15 @@ def id_column_ratios(df: DataFrame) -> DataFrame:
                     F.try_divide("null_count", F.col("rows")).alias("null_ratio"))
 
 
-def referential_integrity(base: DataFrame, other: DataFrame, key: str, table: str) -> DataFrame:
-    """Distinct keys of ``other`` found / not found in ``base`` (B19): one
-    left join of the two distinct key sets (orphans are the anti side)."""
-    bk = base.select(F.col(key).alias("_k")).distinct().withColumn("_in_base", F.lit(True))
-    ok = other.select(F.col(key).alias("_k")).distinct()
-    j = ok.join(bk, "_k", "left")
-    return j.agg(F.count_if(F.col("_in_base")).alias("matching"),
-                 F.count_if(F.col("_in_base").isNull()).alias("orphaned")).select(
-        F.lit(table).alias("table"), "matching", "orphaned")
+def referential_integrity(tables: dict[str, DataFrame], key: str, checks: list[tuple[str, str, str]], dense: bool = True) -> DataFrame:
+    """Distinct keys of a table found / not found in another one (B19):
+    ``checks`` has (base, other, name of the row).  Every table is read once for
+    all checks (see ``keysets.key_overlaps``); null is no key."""
+    pairs = key_overlaps({n: (df, key) for n, df in tables.items()}, dense=dense)
+    flipped = pairs.select(F.col("right").alias("base"), F.col("left").alias("other"), F.col("left_keys").alias("keys"), "in_both")
+    both = pairs.select(F.col("left").alias("base"), F.col("right").alias("other"), F.col("right_keys").alias("keys"), "in_both").unionByName(flipped)
+    asked = both.sparkSession.createDataFrame(checks, "base string, other string, table string")
+    return both.join(F.broadcast(asked), ["base", "other"]).select("table", F.col("in_both").alias("matching"), (F.col("keys") - F.col("in_both")).alias("orphaned"))
 
 
 def column_classes(df: DataFrame, numeric_min_distinct: int = 20) -> DataFrame:

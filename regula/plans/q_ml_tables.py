@@ -102,7 +102,7 @@ def m14_table(spark, d):
     return M.approval_time_table(subs, apps, prods, TYPES)
 
 
-@register("M15_sponsor_features", sql=with_roles("applications", "products", "submissions") + """
+_M15_SQL = with_roles("applications", "products", "submissions") + """
 , a AS (SELECT ApplNo, SponsorName FROM applications WHERE SponsorName IS NOT NULL)
 , base AS (SELECT SponsorName, count(ApplNo) AS TotalApplications FROM a GROUP BY 1)
 , ps AS (SELECT a.SponsorName, count(p.ProductNo) AS TotalProducts, count(DISTINCT p.Form) AS UniqueForms,
@@ -130,7 +130,10 @@ SELECT SponsorName, TotalApplications, coalesce(TotalProducts, 0) AS TotalProduc
        coalesce(TotalSubmissions::DOUBLE / nullif(YearsActive, 0), 0.0) AS SubmissionsPerYear,
        coalesce(PriorityReviews::DOUBLE / nullif(TotalSubmissions, 0), 0.0) AS PriorityRate
 FROM f
-""")
+"""
+
+
+@register("M15_sponsor_features", sql=_M15_SQL)
 def m15_sponsor(spark, d):
     apps, prods, subs = roles(spark, d, "applications", "products", "submissions")
     return M.sponsor_features(apps, prods, subs)
@@ -189,12 +192,79 @@ def m21_means(spark, d):
     return M.cluster_vector_means(read_table(spark, d, "embeddings"), "embedding", "label")
 
 
-@register("M21_sponsor_cluster_profile_by_type", sql=None)
-def m21_profile(spark, d):
-    """Cluster profile over sponsor features with a given label column
-    (here: the sponsor's most frequent application type)."""
+def _sponsor_types_sql() -> str:
+    body = _M15_SQL.rstrip()
+    head, tail = body[:body.rindex("SELECT SponsorName, TotalApplications")], body[body.rindex("SELECT SponsorName, TotalApplications"):]
+    return head + f""", sf AS ({tail})
+, n AS (SELECT SponsorName, ApplType, count(*) AS n FROM applications WHERE SponsorName IS NOT NULL GROUP BY 1, 2)
+, t AS (SELECT SponsorName, ApplType AS cluster FROM n QUALIFY row_number() OVER (PARTITION BY SponsorName ORDER BY n DESC, ApplType NULLS FIRST) = 1)
+, l AS (SELECT sf.*, t.cluster FROM sf JOIN t ON sf.SponsorName = t.SponsorName)
+"""
+
+
+def _sponsor_types(spark, d):
+    """Sponsor features labelled with the most frequent application type."""
     apps, prods, subs = roles(spark, d, "applications", "products", "submissions")
     f = M.sponsor_features(apps, prods, subs)
     t = (apps.filter(F.col("SponsorName").isNotNull()).groupBy("SponsorName", "ApplType").agg(F.count(F.lit(1)).alias("_n"))
              .groupBy("SponsorName").agg(F.min(F.struct(-F.col("_n"), F.col("ApplType"))).getField("ApplType").alias("cluster")))
-    return M.cluster_means(f.join(t, "SponsorName"), "cluster", ["TotalApplications", "ApprovalRate", "PriorityRate"])
+    return f.join(t, "SponsorName")
+
+
+@register("M21_sponsor_cluster_profile_by_type", sql=_sponsor_types_sql() + """
+SELECT cluster, avg(TotalApplications) AS "mean_TotalApplications", avg(ApprovalRate) AS "mean_ApprovalRate",
+       avg(PriorityRate) AS "mean_PriorityRate" FROM l GROUP BY cluster
+""")
+def m21_profile(spark, d):
+    """Cluster profile over sponsor features with a given label column
+    (here: the sponsor's most frequent application type)."""
+    return M.cluster_means(_sponsor_types(spark, d), "cluster", ["TotalApplications", "ApprovalRate", "PriorityRate"])
+
+
+@register("M21_sponsor_cluster_top_members", sql=_sponsor_types_sql() + """
+SELECT cluster, SponsorName, TotalApplications, CAST(row_number() OVER (PARTITION BY cluster ORDER BY TotalApplications DESC, SponsorName) AS INTEGER) AS rank
+FROM l QUALIFY rank <= 3
+""")
+def m21_members(spark, d):
+    return M.cluster_top_members(_sponsor_types(spark, d), "cluster", "SponsorName", "TotalApplications")
+
+
+_DRUGS_SQL = with_roles("applications", "products", "submissions") + """
+, s AS (SELECT ApplNo, max(CASE WHEN SubmissionStatus = 'AP' THEN 1 ELSE 0 END) AS IsApproved,
+               max(CASE WHEN ReviewPriority = 'PRIORITY' THEN 1 ELSE 0 END) AS HadPriorityReview FROM submissions GROUP BY ApplNo)
+, l AS (SELECT p.ApplNo % 5 AS cluster, p.Form, a.ApplType, s.IsApproved, s.HadPriorityReview
+        FROM products p LEFT JOIN applications a ON p.ApplNo = a.ApplNo JOIN s ON p.ApplNo = s.ApplNo)
+"""
+
+
+def _mix_sql(category: str, k: int | None) -> str:
+    return _DRUGS_SQL + f"""
+, n AS (SELECT cluster, {category}, count(*) AS n FROM l WHERE {category} IS NOT NULL GROUP BY 1, 2)
+SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY cluster) * 100 AS pct,
+       CAST(row_number() OVER (PARTITION BY cluster ORDER BY n DESC, {category}) AS INTEGER) AS rank
+FROM n QUALIFY rank <= {k or 1 << 30}
+"""
+
+
+def labelled_drugs(spark, d):
+    """Drugs (product rows) with form, type, approval and priority flags."""
+    apps, prods, subs = roles(spark, d, "applications", "products", "submissions")
+    return M.drug_features(prods, apps, subs, TYPES, carry=("Form", "DrugName", "ApplType"))
+
+
+@register("M21_drug_cluster_top_forms", sql=_mix_sql("Form", 3))
+def m21_forms(spark, d):
+    """Top forms per cluster for a given label (here: a residue of the key)."""
+    return M.cluster_category_mix(labelled_drugs(spark, d).withColumn("cluster", F.col("ApplNo") % 5), "cluster", "Form", 3)
+
+
+@register("M21_drug_cluster_type_mix", sql=_mix_sql("ApplType", None))
+def m21_types(spark, d):
+    return M.cluster_category_mix(labelled_drugs(spark, d).withColumn("cluster", F.col("ApplNo") % 5), "cluster", "ApplType")
+
+
+@register("M21_drug_cluster_rates", sql=_DRUGS_SQL + """
+SELECT cluster, avg(IsApproved) AS "mean_IsApproved", avg(HadPriorityReview) AS "mean_HadPriorityReview" FROM l GROUP BY cluster
+""")
+def m21_rates(spark, d):
+    return M.cluster_means(labelled_drugs(spark, d).withColumn("cluster", F.col("ApplNo") % 5), "cluster", ["IsApproved", "HadPriorityReview"])

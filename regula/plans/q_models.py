@@ -14,7 +14,8 @@ from regula.operators import timeseries as T
 from regula.operators.anomaly import isolation_forest
 from regula.operators.prescriptive import anomaly_features
 from regula.operators.similarity import profile_entries, similar_items, similar_items_lsh
-from regula.plans.q_ml_tables import RECENT_YEAR, TYPES, _training_table
+from regula.operators.ward import ward_clusters
+from regula.plans.q_ml_tables import RECENT_YEAR, TYPES, _training_table, labelled_drugs
 from regula.plans.q_timeseries import _monthly
 from regula.plans.registry import register
 from regula.plans.roles import roles, with_roles
@@ -220,6 +221,24 @@ def m18_bisecting(spark, d):
     return M.cluster_sizes(lab, "cluster")
 
 
+@register("M18_ward_sponsor_clusters")
+def m18_ward(spark, d):
+    """Ward clusters of the sponsors: sizes, feature means, silhouette and
+    Davies-Bouldin index of the whole clustering on every row."""
+    labelled = ward_clusters(_sponsors(spark, d), _SPONSOR_FEATURES, k=5, scaled="scaled")
+    return ML.clustering_report(labelled, "cluster", "scaled", ["TotalApplications", "ApprovalRate", "PriorityRate"])
+
+
+@register("M16_M21_drug_segmentation")
+def m16_drugs(spark, d):
+    """Drug segments by k-means over the drug features: size, approval and
+    priority rates, top forms and type mix."""
+    drugs = labelled_drugs(spark, d)
+    features = ["TotalSubmissions", "IsApproved", "HadPriorityReview", "IsReferenceDrug", "HasReferenceStandard", *[f"ApplType_{t}" for t in TYPES]]
+    _, labelled = ML.kmeans_select(drugs, features, n_init=2)
+    return M.cluster_profile(labelled, "cluster", ["IsApproved", "HadPriorityReview"], {"Form": 3, "ApplType": None}, ("DrugName", "TotalSubmissions"))
+
+
 @register("M22_pca_explained_variance_embeddings")
 def m22_pca(spark, d):
     emb = read_table(spark, d, "embeddings")

@@ -138,15 +138,15 @@ def p4_components(spark, d):
                count(DISTINCT ApplNo) AS UniqueApplications FROM j GROUP BY SponsorName)
 , m2 AS (SELECT *, Approvals::DOUBLE / nullif(TotalSubmissions, 0) AS ApprovalRate,
                 TotalSubmissions::DOUBLE / nullif(UniqueApplications, 0) AS SubmissionEfficiency FROM m)
-SELECT *, 0.4::DOUBLE * ApprovalRate + 0.3::DOUBLE * (1.0::DOUBLE / nullif(SubmissionEfficiency, 0))
+, m3 AS (SELECT *, 0.4::DOUBLE * ApprovalRate + 0.3::DOUBLE * (1.0::DOUBLE / nullif(SubmissionEfficiency, 0))
           + 0.3::DOUBLE * (PriorityReviews::DOUBLE / nullif(TotalSubmissions, 0)) AS SuccessScore
-FROM m2 WHERE TotalSubmissions >= 10 ORDER BY SuccessScore DESC, SponsorName LIMIT 20
+        FROM m2 WHERE TotalSubmissions >= 10)
+SELECT *, CAST(row_number() OVER (ORDER BY SuccessScore DESC, SponsorName) AS INTEGER) AS "Rank" FROM m3
+ORDER BY SuccessScore DESC, SponsorName LIMIT 20
 """)
 def p5_success(spark, d):
-    from pyspark.sql import functions as F
     apps, subs = roles(spark, d, "applications", "submissions")
-    s = P.sponsor_success(subs, apps)
-    return s.orderBy(F.col("SuccessScore").desc(), F.col("SponsorName")).limit(20)
+    return P.sponsor_success_list(P.sponsor_success(subs, apps))
 
 
 _DOSE_SQL = """

@@ -304,12 +304,54 @@ def b13_non_ascii(spark, d):
     return B.non_ascii_rows(read_table(spark, d, "documents"))
 
 
-@register("B14_date_columns_submissions")
+@register("B14_date_columns_submissions", sql="""
+SELECT 'SubmissionStatusDate' AS column_name, 'name_or_type' AS reason
+""")
 def b14_dates(spark, d):
     (subs,) = roles(spark, d, "submissions")
     return B.date_columns(subs)
 
 
+# order dates as text in the usual layouts, with junk and gaps
+_TEXT_DATES = """
+SELECT o_orderkey, o_clerk,
+       CASE o_orderkey % 7 WHEN 0 THEN {iso} WHEN 1 THEN {iso} || ' 00:00:00' WHEN 2 THEN {us} WHEN 3 THEN replace({iso}, '-', '/')
+                           WHEN 4 THEN 'not a date' WHEN 5 THEN NULL ELSE {iso} END AS shipped,
+       CASE o_orderkey % 7 WHEN 0 THEN {iso} ELSE o_orderstatus END AS mixed
+FROM (SELECT *, 'x' AS o_clerk FROM orders)"""
+
+
+def _text_dates(spark, d):
+    read_table(spark, d, "orders").createOrReplaceTempView("orders")
+    iso, us = "date_format(o_orderdate, 'yyyy-MM-dd')", "date_format(o_orderdate, 'MM/dd/yyyy')"
+    return spark.sql(_TEXT_DATES.format(iso=iso, us=us))
+
+
+_TEXT_DATES_SQL = "WITH t AS (" + _TEXT_DATES.format(iso="strftime(o_orderdate, '%Y-%m-%d')", us="strftime(o_orderdate, '%m/%d/%Y')") + """)
+, p AS (SELECT *, coalesce(try_strptime(shipped, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d', '%m/%d/%Y', '%Y/%m/%d']), NULL) AS ts,
+               try_strptime(mixed, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d', '%m/%d/%Y', '%Y/%m/%d']) AS ms FROM t)
+"""
+
+
+@register("B14_date_columns_text", sql=_TEXT_DATES_SQL + """
+SELECT column_name, 'parsed_values' AS reason FROM (
+  SELECT 'shipped' AS column_name, count(ts) AS parsed, count(shipped) AS filled FROM p
+  UNION ALL SELECT 'mixed', count(ms), count(mixed) FROM p) WHERE parsed > 0.5 * filled
+""")
+def b14_text_dates(spark, d):
+    return B.date_columns(_text_dates(spark, d))
+
+
+@register("C7_text_dates_coerced", sql=_TEXT_DATES_SQL + """
+SELECT o_orderkey, CAST(ts AS DATE) AS shipped, (shipped IS NOT NULL AND ts IS NULL) AS unparsed FROM p
+""")
+def c7_text_dates(spark, d):
+    from regula.operators.clean import coerce_timestamp
+    t = _text_dates(spark, d).withColumn("raw", F.col("shipped"))
+    parsed = coerce_timestamp("shipped")(t)
+    return parsed.select("o_orderkey", F.to_date("shipped").alias("shipped"), (F.col("raw").isNotNull() & F.col("shipped").isNull()).alias("unparsed"))
+
+
 @register("B15_date_range_orders", sql="""
 SELECT min(o_orderdate) AS min_date, max(o_orderdate) AS max_date, count(o_orderdate) AS valid, count(*) AS total FROM orders
 """)
@@ -354,10 +396,9 @@ SELECT 'applications_without_submissions', count(CASE WHEN ApplNo IN (SELECT App
 """)
 def b19_ri(spark, d):
     apps, prods, subs, ms = roles(spark, d, "applications", "products", "submissions", "marketing_status")
-    return B.union_all([B.referential_integrity(apps, prods, "ApplNo", "products"),
-                        B.referential_integrity(apps, subs, "ApplNo", "submissions"),
-                        B.referential_integrity(apps, ms, "ApplNo", "marketing_status"),
-                        B.referential_integrity(subs, apps, "ApplNo", "applications_without_submissions")])
+    return B.referential_integrity({"applications": apps, "products": prods, "submissions": subs, "marketing_status": ms}, "ApplNo", [
+        ("applications", "products", "products"), ("applications", "submissions", "submissions"),
+        ("applications", "marketing_status", "marketing_status"), ("submissions", "applications", "applications_without_submissions")])
 
 
 def _totals_sql(tables) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regula.operators import keysets as K
 from regula.operators import relational as R
 from regula.plans.registry import register
 from regula.plans.roles import roles, with_roles
@@ -47,13 +48,12 @@ ORDER BY SubmissionStatusDate DESC, ApplNo, SubmissionNo, SubmissionClassCodeID
 LIMIT 20 OFFSET 20
 """)
 def f10_page(spark, d):
-    """Table view (F10): dynamic filter, multi-column sort, the first 100
-    rows, second page of 20."""
+    """Table view (F10): dynamic filter, multi-column sort, second page of 20
+    (of the first 100 rows), read from the last key of the first page on."""
     (s,) = roles(spark, d, "submissions")
     f = R.optional_filters(s, equals={"SubmissionStatus": "WD", "ReviewPriority": "PRIORITY"})
-    order = [F.col("SubmissionStatusDate").desc()] + [F.col(c).asc_nulls_first() for c in _PAGE_ORDER[1:]]
-    view = f.orderBy(*order).limit(100)
-    return view.orderBy(*order).offset(20).limit(20)
+    order = [(c, c == "SubmissionStatusDate") for c in _PAGE_ORDER]
+    return K.page_after(f, order, 20, K.last_key(K.page_after(f, order, 20), order))
 
 
 @register("K5_top3_forms_per_application_type", sql=with_roles("applications", "products") + """
@@ -78,10 +78,10 @@ SELECT (SELECT count(*) FROM (SELECT DISTINCT ApplNo FROM applications)) AS dist
 """)
 def u_sets(spark, d):
     apps, subs = roles(spark, d, "applications", "submissions")
-    a, s = apps.select("ApplNo"), subs.select("ApplNo")
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return (n(a.distinct(), "distinct_applications").crossJoin(n(a.intersect(s), "in_both"))
-            .crossJoin(n(a.subtract(s), "applications_only")).crossJoin(n(s.subtract(a), "submissions_only")))
+    one = K.key_overlaps({"applications": (apps, "ApplNo"), "submissions": (subs, "ApplNo")}, dense=True)
+    return one.select(F.col("left_keys").alias("distinct_applications"), "in_both",
+                      (F.col("left_keys") - F.col("in_both")).alias("applications_only"),
+                      (F.col("right_keys") - F.col("in_both")).alias("submissions_only"))
 
 
 @register("S10_eda_summary_statistics", sql=with_roles("applications", "products", "submissions") + """
