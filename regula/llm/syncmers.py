@@ -1,88 +1,173 @@
 """Document fingerprints from closed syncmers, with DataFrame operations only.
 
-A k-mer of UTF-16 units is an anchor if the least hash of its inner s-mers is
-that of the first or the last one.  The rule looks at nothing outside the
-k-mer, so an edit changes anchors only where k-mers touch it.  Anchors are
-hashed into ``BINS`` bins and each bin keeps its least value: the fingerprint.
-The share of agreeing bins among those that either text fills estimates the
-Jaccard similarity of the anchor sets, that is, of the passages both hold.
-
-Everything between the two shuffles (texts by id, prefixes by id) is one row
-per character position inside generated code; nothing is collected per text.
+A k-mer of code points is an anchor if the least hash of its inner s-mers is
+that of the first or the last one.  The rule looks at nothing outside the k-mer,
+so an edit changes anchors only where k-mers touch it.  A fingerprint is every
+anchor of a text with the position where it stands first; nothing is dropped or
+sampled but further places of the same k-mer.
+
+Two fingerprints are matched by position: anchors of equal hash give a shift
+(position there less position here), the commonest shift aligns the texts, and
+the likeness is the share of both texts' anchors that lie within ``DRIFT`` of
+that alignment.  Passages that stand elsewhere, or in another order, do not count.
+
+Anchors are made inside the row, once per text.  Those of an edited text need no
+second pass: as they are free of context, they are the anchors of the two
+passages it is made of and those of the few k-mers across the seam.  One shuffle
+deals texts and anchors into buckets of neighbouring ids; each bucket also gets a
+copy of the next bucket's first document, so a window finds every document's
+successor.
 
 Defined results: a null text counts as empty, has no anchors, the fingerprint
 ``""`` and likeness 1 to another empty one, 0 to any other; a text shorter than
-``K`` has itself as its only anchor; among rows that share an id the least text
-is the one that the document before them is edited with; a row without id has
-no next document (an empty text takes its place); equal rows give equal rows;
-an empty table gives an empty table; extra columns are ignored."""
+``K`` has itself as its only anchor; among rows that share an id the least one by
+hash, then text, is what the document before them is edited with; a row without
+id has no next document (an empty text takes its place); equal rows give equal
+rows; an empty table gives an empty table; extra columns are ignored."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regula.session import cut_lineage
+K = 48
+S = 9
+#: inner s-mers of a k-mer; one k-mer in about INNER / 2 is an anchor
+INNER = K - S + 1
+#: the greatest power of two of s-mers that fits into a k-mer
+SPAN = 1 << (INNER.bit_length() - 1)
+#: characters by which the places of matched anchors may differ from the alignment
+DRIFT = 64
+#: ids of one bucket, on average; ids of first documents up to which they are broadcast
+BUCKET_IDS = 4096
+FEW_BUCKETS = 1 << 20
+
+_NONE = "array<bigint>"
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body
+    reads it for the elements of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hash(code: Column, start: Column, length: Column) -> Column:
+    """Hash of ``length`` code points from 0-based ``start`` on of a UTF-32 text."""
+    return F.xxhash64(F.substring(code, start * 4 + 1, length * 4))
+
+
+def _packed(h: Column, p: Column) -> Column:
+    """31 bits of hash above 32 bits for the position."""
+    return F.shiftleft(F.shiftrightunsigned(h, 33), 32).bitwiseOR(p.cast("bigint"))
+
+
+def _high(x: Column) -> Column:
+    return F.shiftright(x, 32)
+
+
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def _first_places(found: Column) -> Column:
+    """Anchors by hash, each hash with its first position."""
+    return _bound(F.sort_array(found), lambda u: F.filter(u, lambda x, i: (i == 0) | (_high(x) != _high(F.get(u, i - 1)))))
+
+
+def _windows(code: Column, n: Column) -> Column:
+    """All anchors of a text of at least ``K`` code points."""
+    def least(mins: Column, reach: int, body: Callable[[Column], Column]) -> Column:
+        """``body`` of the least hash of each ``SPAN`` s-mers in a row: each pass
+        doubles the ``reach`` of the minima."""
+        if reach == SPAN:
+            return body(mins)
+        return _bound(F.transform(mins, lambda x, p: F.least(x, F.get(mins, p + reach))), lambda m: least(m, 2 * reach, body))
+
+    def spots(smers: Column) -> Column:
+        def test(mins: Column) -> Column:
+            def edge(s: Column, p: Column) -> Column:
+                low = F.least(F.get(mins, p), F.get(mins, p + (INNER - SPAN)))
+                return F.when((p <= F.size(smers) - INNER) & (F.least(s, F.get(smers, p + (INNER - 1))) <= low), p).otherwise(F.lit(-1))
+            return F.filter(F.transform(smers, edge), lambda p: p >= 0)
+        return least(smers, 1, test)
+
+    smers = F.transform(F.sequence(F.lit(0), n - S), lambda p: _hash(code, p, F.lit(S)))
+    return F.transform(_bound(smers, spots), lambda p: _packed(_hash(code, p, F.lit(K)), p))
+
+
+def anchors(text: Column) -> Column:
+    """The anchors of a text, by hash: longs of hash and position."""
+    n = F.char_length(text)
+    found = _bound(F.encode(text, "UTF-32"), lambda code: F.when(n >= K, _first_places(_windows(code, n)))
+                   .otherwise(F.array(_packed(_hash(code, F.lit(0), n), F.lit(0)))))
+    return F.when(n > 0, found).otherwise(F.array().cast(_NONE))
+
+
+def _edited_anchors(text: Column, own: Column, head: Column, other: Column) -> Column:
+    """The anchors of the first half of ``text`` followed by ``head`` (the
+    beginning of another text), from both texts' anchors and the seam."""
+    n, taken = F.char_length(text), F.char_length(head)
+    cut = n - F.floor(n / 2).cast("int")
+    left = F.least(cut, F.lit(K - 1))
+    seam = F.concat(F.substring(text, cut - left + 1, left), F.left(head, F.lit(K - 1)))
+    across = _bound(F.encode(seam, "UTF-32"), lambda code: _windows(code, F.char_length(seam)))
+    none = F.array().cast(_NONE)
+    parts = F.concat(F.filter(own, lambda x: _place(x) + K <= cut),
+                     F.transform(F.when(F.char_length(seam) >= K, across).otherwise(none), lambda x: x + (cut - left)),
+                     F.transform(F.filter(other, lambda x: _place(x) + K <= taken), lambda x: x + cut))
+    return F.when(cut + taken >= K, _first_places(parts)).otherwise(anchors(F.concat(F.left(text, cut), head)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Share of both texts' anchors that match at the commonest shift."""
+    mark = F.lit(1 << 31).cast("bigint")
+
+    def shifts(u: Column) -> Column:
+        def shift(x: Column, i: Column) -> Column:
+            after = F.get(u, i + 1)
+            return F.when(_high(after) == _high(x), _place(after) - _place(x))
+        return F.sort_array(F.filter(F.transform(u, shift), lambda d: d.isNotNull()))
+
+    def aligned(found: Column) -> Column:
+        start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).cast("bigint").alias("at"))
+
+        def step(s: Column, d: Column) -> Column:
+            run = F.when(d == s["last"], s["run"] + 1).otherwise(F.lit(1))
+            more = (run > s["most"]) | ((run == s["most"]) & (F.abs(d) < F.abs(s["at"])))
+            return F.struct(d.alias("last"), run.alias("run"), F.greatest(run, s["most"]).alias("most"), F.when(more, d).otherwise(s["at"]).alias("at"))
+
+        best = F.aggregate(found, start, step, lambda s: s["at"])
+        return _bound(best, lambda at: F.size(F.filter(found, lambda d: F.abs(d - at) <= DRIFT)))
+
+    both = F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(mark))))
+    share = 2.0 * _bound(_bound(both, shifts), aligned) / (F.size(a) + F.size(b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)
 
-K = 16
-S = 12
-BINS = 64
-#: ids of one bucket are put in order together
-BUCKET_IDS = 50_000
 
+def printed(found: Column) -> Column:
+    """A fingerprint as text: 16 hex digits an anchor, by hash."""
+    return F.array_join(F.transform(found, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
-def successors(ids: DataFrame) -> DataFrame:
-    """id, next_id (ascending; the first after the last) of distinct non-null ids.
 
-    Ids are dealt into equal ranges of values, put in order within a range,
-    and the last one of a range goes on with the first of the next range that
-    has any: only these firsts, one in ``BUCKET_IDS``, are ordered as a whole."""
-    lo, hi, n = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
+def _dealt(texts: DataFrame) -> DataFrame:
+    """``texts`` with bucket and border: rows with an id by ranges of ids, and
+    for each bucket a copy of the first document of the next one that has any
+    (of the first bucket for the last one), after all others."""
+    lo, hi, n = texts.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    named = texts.where("doc_id IS NOT NULL")
     if not n:
-        return ids.select("id", F.col("id").alias("next_id"))
+        return named.withColumn("bucket", F.lit(0).cast("bigint")).withColumn("border", F.lit(False))
     width = max(1, -(-(hi - lo + 1) // max(1, -(-n // BUCKET_IDS))))
-    dealt = ids.select("id", F.expr(f"cast((cast(id as decimal(20,0)) - {lo}) div {width} as bigint)").alias("bucket"))
-    inside = dealt.select("id", "bucket", F.lead("id").over(Window.partitionBy("bucket").orderBy("id")).alias("next_id"))
-    firsts = dealt.groupBy("bucket").agg(F.min("id").alias("first_id"))
-    after = firsts.select("bucket", F.lead("first_id", 1, lo).over(Window.orderBy("bucket")).alias("after"))
-    return inside.join(after, "bucket").select("id", F.coalesce("next_id", "after").alias("next_id"))
-
-
-def anchors(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """keys, bin, value: the least anchor hash of each bin that a text fills."""
-    coded = texts.select(*keys, F.expr(f"encode({text_col}, 'UTF-16BE')").alias("code"))
-    coded = coded.select(*keys, "code", F.expr("cast(octet_length(code) div 2 as int)").alias("n")).where("n > 0")
-    # every s-mer is hashed once; a k-mer looks at the hashes of its own
-    hashed = coded.select(*keys, "code", "n", F.expr(
-        f"transform(sequence(0, greatest(n - {S}, 0)), p -> xxhash64(substring(code, 2 * p + 1, {2 * S})))").alias("smers"))
-    spots = hashed.select(*keys, "code", "n", "smers", F.explode(F.expr(f"sequence(0, greatest(n - {K}, 0))")).alias("p"))
-    inner = [F.expr(f"get(smers, p + {j})") for j in range(K - S + 1)]
-    least = F.least(*inner)
-    found = spots.where((F.col("n") < K) | (inner[0] == least) | (inner[-1] == least)) \
-        .select(*keys, F.expr(f"xxhash64(substring(code, 2 * p + 1, {2 * K}), 1)").alias("h"))
-    return found.groupBy(*keys, F.expr(f"cast(pmod(h, {BINS}) as int)").alias("bin")) \
-        .agg(F.min(F.expr("cast(shiftrightunsigned(h, 33) as int)")).alias("value"))
-
-
-def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys, bins: an array of ``BINS`` values, -1 where no anchor fell; texts
-    without anchors have no row."""
-    filled = anchors(texts, keys, text_col).groupBy(*keys) \
-        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "value"))).alias("m"))
-    return filled.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)),
-                                            lambda b: F.coalesce(F.get(F.array(F.try_element_at("m", b)), F.lit(0)), F.lit(-1))).alias("bins"))
-
-
-def likeness(a: str, b: str) -> Column:
-    """Agreeing bins over bins filled in either; 1 if neither has any."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == -1) & (y == -1), F.lit(None)).otherwise((x == y).cast("int")))
-    filled = F.filter(pairs, lambda x: x.isNotNull())
-    share = F.aggregate(filled, F.lit(0), lambda s, x: s + x) / F.size(filled)
-    return F.when(F.col(a).isNull() & F.col(b).isNull(), 1.0).when(F.col(a).isNull() | F.col(b).isNull(), 0.0).otherwise(share)
-
-
-def _printed(bins: str) -> Column:
-    return F.coalesce(F.array_join(F.transform(bins, lambda v: F.when(v == -1, "--------").otherwise(F.lpad(F.hex(v), 8, "0"))), ""), F.lit(""))
+    rows = named.withColumn("bucket", F.expr(f"cast((cast(doc_id as decimal(20,0)) - {lo}) div {width} as bigint)")).withColumn("border", F.lit(False))
+    firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
+    w = Window.orderBy("bucket")  # one row a bucket
+    before = F.coalesce(F.lag("bucket").over(w), F.max("bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = firsts.select("doc_id", before.alias("to"))
+    small = F.broadcast if -(-(hi - lo + 1) // width) <= FEW_BUCKETS else (lambda df: df)
+    borders = rows.join(small(firsts), "doc_id").withColumn("bucket", F.col("to")).withColumn("border", F.lit(True)).drop("to")
+    return rows.unionByName(borders)
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,41 +175,19 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     beginning of the next document: doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next."""
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    halves = cut_lineage(texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies")))
-    repeated = not halves.where("copies > 1").isEmpty()
-    named = halves.where("doc_id IS NOT NULL")
-    ring = cut_lineage(successors(named.select(F.col("doc_id").alias("id")))
-                       .join(named.select(F.col("doc_id").alias("id"), F.expr("n div 2").alias("half")), "id"))
-    # texts move by id once; both uses of them read that one shuffle
-    dealt = texts.where("doc_id IS NOT NULL").repartition("doc_id")
-    head = dealt.join(ring, F.col("doc_id") == F.col("next_id")).select("id", F.expr("left(text, half)").alias("head"))
-    if repeated:
-        head = head.groupBy("id").agg(F.min("head").alias("head"))
-    joined = dealt.join(head, F.col("doc_id") == F.col("id")).select("doc_id", "text", "head") \
-        .union(texts.where("doc_id IS NULL").select("doc_id", "text", F.lit("").alias("head")))
-    if repeated:  # equal rows are told apart by a number
-        joined = joined.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    else:
-        joined = joined.withColumn("copy", F.lit(0))
-    joined = joined.select(
-        "doc_id", "copy", "text", F.length("text").alias("n_chars"),
-        F.expr("concat(left(text, length(text) - length(text) div 2), left(coalesce(head, ''), int(length(text) div 2)))").alias("edited"))
-    both = joined.select("doc_id", "copy", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-                         F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")),
-                                           F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("v"))
-    keys = ["doc_id", "copy", "n_chars", "edited_sha256"]
-    flat = both.select(*keys, F.col("v.which").alias("which"), F.col("v.t").alias("t"))
-    prints = fingerprints(flat, [*keys, "which"], "t")
-    wide = prints.groupBy(*keys).agg(F.first(F.when(F.col("which") == 0, F.col("bins")), True).alias("bins"),
-                                     F.first(F.when(F.col("which") == 1, F.col("bins")), True).alias("edited_bins"))
-    empty = texts.where("text = ''").select(
-        "doc_id", F.lit(0).alias("copy"), F.lit(0).alias("n_chars"), F.sha2(F.lit(""), 256).alias("edited_sha256"),
-        F.lit(None).cast("array<int>").alias("bins"), F.lit(None).cast("array<int>").alias("edited_bins"))
-    wide = cut_lineage(wide.union(empty))
-    follow = wide.join(ring, F.col("doc_id") == F.col("next_id")).select("id", F.col("bins").alias("next_bins"))
-    if repeated:
-        follow = follow.groupBy("id").agg(F.min("next_bins").alias("next_bins"))
-    out = wide.join(follow, F.col("doc_id") == F.col("id"), "left")
-    return out.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", _printed("bins").alias("fingerprint"),
-                      _printed("edited_bins").alias("edited_fingerprint"), likeness("bins", "edited_bins").alias("near_edited"),
-                      likeness("bins", "next_bins").alias("near_next"))
+    made = _dealt(texts).withColumn("own", anchors(F.col("text"))).repartition("bucket")
+    # among rows of one id the least speaks for it; all of them have the same successor
+    order = Window.partitionBy("bucket", "border", "doc_id").orderBy(F.xxhash64("text"), "text")
+    spoken = made.withColumn("copy", F.row_number().over(order))
+    spoken = spoken.withColumn("speaker", F.when(F.col("copy") == 1, F.struct("text", "own")))
+    after = F.expr("lead(speaker) IGNORE NULLS OVER (PARTITION BY bucket ORDER BY border, doc_id, copy)")
+    linked = spoken.withColumn("after", after).where("NOT border").select("doc_id", "text", "own", "after.text", "after.own")
+    linked = linked.toDF("doc_id", "text", "own", "next", "next_own")
+    alone = texts.where("doc_id IS NULL").select("doc_id", "text", anchors(F.col("text")).alias("own"), F.lit("").alias("next"),
+                                                 F.array().cast(_NONE).alias("next_own"))
+    rows = linked.unionByName(alone).withColumn("head", F.expr("left(next, cast(char_length(text) div 2 as int))"))
+    rows = rows.withColumn("edited_own", _edited_anchors(F.col("text"), F.col("own"), F.col("head"), F.col("next_own")))
+    edited = F.concat(F.expr("left(text, cast(char_length(text) - char_length(text) div 2 as int))"), F.col("head"))
+    return rows.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
+                       printed(F.col("own")).alias("fingerprint"), printed(F.col("edited_own")).alias("edited_fingerprint"),
+                       likeness(F.col("own"), F.col("edited_own")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))

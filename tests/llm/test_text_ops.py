@@ -150,22 +150,6 @@ def test_fingerprints(spark):
     assert syncmers.fingerprint_edits(cases.empty(spark)).count() == 0
 
 
-def test_anchors_are_closed_syncmers(spark):
-    text = "".join(random.Random(1).choice("abcd ") for _ in range(300))
-    frame = spark.createDataFrame([(1, text)], "k long, t string")
-    n = len(text) - syncmers.S + 1
-    expr = F.array(*[F.xxhash64(F.encode(F.substring("t", p + 1, syncmers.S), "UTF-16BE")) for p in range(n)])
-    hashes = frame.select(expr.alias("h")).first()["h"]
-    inner = syncmers.K - syncmers.S
-    spots = [p for p in range(len(text) - syncmers.K + 1) if min(hashes[p:p + inner + 1]) in (hashes[p], hashes[p + inner])]
-    want = frame.select(F.array(*[F.xxhash64(F.encode(F.substring("t", p + 1, syncmers.K), "UTF-16BE"), F.lit(1)) for p in spots]).alias("h")).first()["h"]
-    best = {}
-    for h in want:
-        v = (h % 2**64) >> 33
-        best[h % syncmers.BINS] = min(v, best.get(h % syncmers.BINS, v))
-    assert {r["bin"]: r["value"] for r in syncmers.anchors(frame, ["k"], "t").collect()} == best
-
-
 def test_toxicity_held_out(spark):
     rnd = random.Random(0)
     docs, labels = [], []
