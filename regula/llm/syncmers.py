@@ -36,8 +36,8 @@ K = 48
 S = 9
 #: inner s-mers of a k-mer; one k-mer in about INNER / 2 is an anchor
 INNER = K - S + 1
-#: the greatest power of two of s-mers that fits into a k-mer
-SPAN = 1 << (INNER.bit_length() - 1)
+#: where runs of 16 s-mers start that cover a k-mer's
+REACHES = [*range(0, INNER - 16, 16), INNER - 16]
 #: characters by which the places of matched anchors may differ from the alignment
 DRIFT = 64
 #: ids of one bucket, on average; ids of first documents up to which they are broadcast
@@ -78,20 +78,17 @@ def _first_places(found: Column) -> Column:
 
 def _windows(code: Column, n: Column) -> Column:
     """All anchors of a text of at least ``K`` code points."""
-    def least(mins: Column, reach: int, body: Callable[[Column], Column]) -> Column:
-        """``body`` of the least hash of each ``SPAN`` s-mers in a row: each pass
-        doubles the ``reach`` of the minima."""
-        if reach == SPAN:
-            return body(mins)
-        return _bound(F.transform(mins, lambda x, p: F.least(x, F.get(mins, p + reach))), lambda m: least(m, 2 * reach, body))
+    def fourfold(mins: Column, reach: int) -> Column:
+        """Minima over four times as many s-mers as ``mins`` has, which is ``reach``."""
+        return F.transform(mins, lambda x, p: F.least(x, *[F.get(mins, p + j * reach) for j in (1, 2, 3)]))
 
     def spots(smers: Column) -> Column:
         def test(mins: Column) -> Column:
             def edge(s: Column, p: Column) -> Column:
-                low = F.least(F.get(mins, p), F.get(mins, p + (INNER - SPAN)))
+                low = F.least(*[F.get(mins, p + j) for j in REACHES])
                 return F.when((p <= F.size(smers) - INNER) & (F.least(s, F.get(smers, p + (INNER - 1))) <= low), p).otherwise(F.lit(-1))
             return F.filter(F.transform(smers, edge), lambda p: p >= 0)
-        return least(smers, 1, test)
+        return _bound(_bound(fourfold(smers, 1), lambda m: fourfold(m, 4)), test)
 
     smers = F.transform(F.sequence(F.lit(0), n - S), lambda p: _hash(code, p, F.lit(S)))
     return F.transform(_bound(smers, spots), lambda p: _packed(_hash(code, p, F.lit(K)), p))
@@ -108,16 +105,22 @@ def anchors(text: Column) -> Column:
 def _edited_anchors(text: Column, own: Column, head: Column, other: Column) -> Column:
     """The anchors of the first half of ``text`` followed by ``head`` (the
     beginning of another text), from both texts' anchors and the seam."""
-    n, taken = F.char_length(text), F.char_length(head)
-    cut = n - F.floor(n / 2).cast("int")
-    left = F.least(cut, F.lit(K - 1))
-    seam = F.concat(F.substring(text, cut - left + 1, left), F.left(head, F.lit(K - 1)))
-    across = _bound(F.encode(seam, "UTF-32"), lambda code: _windows(code, F.char_length(seam)))
+    n = F.char_length(text)
     none = F.array().cast(_NONE)
-    parts = F.concat(F.filter(own, lambda x: _place(x) + K <= cut),
-                     F.transform(F.when(F.char_length(seam) >= K, across).otherwise(none), lambda x: x + (cut - left)),
-                     F.transform(F.filter(other, lambda x: _place(x) + K <= taken), lambda x: x + cut))
-    return F.when(cut + taken >= K, _first_places(parts)).otherwise(anchors(F.concat(F.left(text, cut), head)))
+
+    def made(v: Column) -> Column:
+        cut, taken, left, seam = v["cut"], v["taken"], F.least(v["cut"], F.lit(K - 1)), v["seam"]
+        across = _bound(F.encode(seam, "UTF-32"), lambda code: _windows(code, F.char_length(seam)))
+        parts = F.concat(F.filter(own, lambda x: _place(x) + K <= cut),
+                         F.transform(F.when(F.char_length(seam) >= K, across).otherwise(none), lambda x: x + (cut - left)),
+                         F.transform(F.filter(other, lambda x: _place(x) + K <= taken), lambda x: x + cut))
+        return F.when(cut + taken >= K, _first_places(parts)).otherwise(anchors(F.concat(F.left(text, cut), head)))
+
+    # lengths are counted once, not for every anchor
+    cut = (n - F.floor(n / 2)).cast("int")
+    begin = F.least(cut, F.lit(K - 1))
+    seam = F.concat(F.substring(text, cut - begin + 1, begin), F.left(head, F.lit(K - 1)))
+    return _bound(F.struct(cut.alias("cut"), F.char_length(head).alias("taken"), seam.alias("seam")), made)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -186,8 +189,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     alone = texts.where("doc_id IS NULL").select("doc_id", "text", anchors(F.col("text")).alias("own"), F.lit("").alias("next"),
                                                  F.array().cast(_NONE).alias("next_own"))
     rows = linked.unionByName(alone).withColumn("head", F.expr("left(next, cast(char_length(text) div 2 as int))"))
-    rows = rows.withColumn("edited_own", _edited_anchors(F.col("text"), F.col("own"), F.col("head"), F.col("next_own")))
     edited = F.concat(F.expr("left(text, cast(char_length(text) - char_length(text) div 2 as int))"), F.col("head"))
+    own, other = F.col("own"), F.col("next_own")
+    judged = _bound(_edited_anchors(F.col("text"), own, F.col("head"), other),
+                    lambda e: F.struct(printed(e).alias("edited_fingerprint"), likeness(own, e).alias("near_edited")))
+    rows = rows.withColumn("judged", judged)
     return rows.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
-                       printed(F.col("own")).alias("fingerprint"), printed(F.col("edited_own")).alias("edited_fingerprint"),
-                       likeness(F.col("own"), F.col("edited_own")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+                       printed(own).alias("fingerprint"), F.col("judged.edited_fingerprint"), F.col("judged.near_edited"),
+                       likeness(own, other).alias("near_next"))
