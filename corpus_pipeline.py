@@ -47,7 +47,8 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: SQL has no word for the fuzzy and tokenising stages; tests/llm holds a brute-force version
+#: SQL has no word for the fuzzy and tokenising stages; tests/llm checks the rows and
+#: columns of the whole, and each stage's operator against its own plain version
 ORACLE_SQL = None
 
 
