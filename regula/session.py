@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,18 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # an action's shuffle files go when it ends; a lost one is made again
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
+#: folder of each table that ``written`` made
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings the jobs rely on; static ones are left alone."""
+    for k, v in BASE_CONF.items():
+        if spark.conf.isModifiable(k):
+            spark.conf.set(k, v)
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -44,7 +56,20 @@ def written(df: DataFrame) -> DataFrame:
         return df.persist()
     path = f"{folder.rstrip('/')}/regula-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    _FOLDERS[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` made and no later step reads;
+    other frames are left alone."""
+    for table in tables:
+        path = _FOLDERS.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
