@@ -8,34 +8,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from regula.llm import linededup, minhash, mixing, quality, sentencepiece_codec
-from regula.session import cut_lineage
+from regula.session import cut_lineage, prepare
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
+    prepare(spark)
     return quality.quality_filter(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal or nearly equal lines the first one in the corpus stays; a
     document keeps its other lines, and its row even if no line is left."""
+    prepare(spark)
     return linededup.dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    prepare(spark)
     return minhash.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's budget takes them."""
+    prepare(spark)
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with byte spans, and digests of the round trip."""
+    prepare(spark)
     return sentencepiece_codec.encode_documents(docs, public_tokenizers.path(PIECE_MODEL))
 
 

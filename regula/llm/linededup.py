@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regula.llm.links import linked_components, marks_columns
-from regula.session import cut_lineage, written
+from regula.session import release, written
 
 Q = 10
 PERCENT = 80
@@ -75,8 +75,8 @@ def _cells(lines: DataFrame, cut: bool) -> DataFrame:
         *[F.min(F.when(F.col("cell") == j, F.col("v"))).alias(f"c{j}") for j in range(cells)])
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """k, size (shingle positions) and the cells c0, c1, ... of each distinct line.
+def _signed(lines: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Two written tables of cells and which rows of the first the second replaces.
 
     A cell that the cut leaves filled holds its least value.  Lines that the
     cut can have left with an empty cell (those of a repeated phrase have few
@@ -85,7 +85,12 @@ def signatures(lines: DataFrame) -> DataFrame:
     holes = F.greatest(*[F.col(f"c{j}").isNull() for j in range(BANDS * ROWS)])
     # the cut spares lines of at most ENOUGH code units
     again = (F.col("size") > ENOUGH - Q) & holes
-    whole = written(_cells(_texts(lines, first.where(again).select("k")), False))
+    return first, written(_cells(_texts(lines, first.where(again).select("k")), False)), again
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """k, size (shingle positions) and the cells c0, c1, ... of each distinct line."""
+    first, whole, again = _signed(lines)
     return first.where(~again).union(whole)
 
 
@@ -114,7 +119,8 @@ def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 def line_components(lines: DataFrame) -> DataFrame:
     """id, component of the distinct lines that are linked with another one."""
-    buckets = line_buckets(signatures(lines))
+    first, whole, again = _signed(lines)
+    buckets = line_buckets(first.where(~again).union(whole))
 
     def marks(ids: DataFrame) -> DataFrame:
         texts = _texts(lines, ids.select(F.col("id").alias("k")))
@@ -128,7 +134,9 @@ def line_components(lines: DataFrame) -> DataFrame:
         both = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
         return both.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
 
-    return linked_components(buckets, verify, marks, PERCENT)
+    joined = linked_components(buckets, verify, marks, PERCENT)
+    release(first, whole)
+    return joined
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +148,8 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spots = lines.select(key.alias("k"), "did", "pos").groupBy("k", "did").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
     named = spots.join(joined, F.col("k") == F.col("id"), "left").groupBy(F.coalesce("component", "k").alias("class"), "did") \
         .agg(F.min("pos").alias("pos"), F.max("last").alias("last"))
-    named = cut_lineage(named)
+    named = written(named)
+    release(joined)
     first = named.groupBy("class").agg(F.min("did").alias("first_did"))
     spot = F.when(F.col("did") == F.col("first_did"), F.col("pos"))
     return named.join(first, "class").groupBy("did").agg((F.max("last") + 1).cast("bigint").alias("n_lines"),

@@ -1,7 +1,8 @@
 """From shared buckets to verified links and connected components, with
 DataFrame operations only.
 
-Ids are bigints.  Nothing is collected but a row of counts per round."""
+Ids are bigints.  Nothing is collected but a row of counts per round.  Tables
+of a round go once the next one is written; ``named`` alone outlives the call."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regula.session import cut_lineage
+from regula.session import release, written
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -37,13 +38,16 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps until the edge set stays the
     same; then every edge leads from a node to its component's least id."""
     high, low = F.greatest("a", "b"), F.least("a", "b")
-    current = cut_lineage(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct())
+    current = written(edges.where("a <> b").select(high.alias("id"), low.alias("component")).distinct())
     before = None
     while True:
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = current.agg(F.count("*"), F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
-            return current.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        before, current = now, cut_lineage(_star_round(current))
+            return current
+        old, before = current, now
+        current = written(_star_round(old.select(F.col("id").alias("a"), F.col("component").alias("b")))
+                          .select(F.col("a").alias("id"), F.col("b").alias("component")))
+        release(old)
 
 
 #: rounds of stars around drawn centres before the exact round; a bucket has
@@ -75,7 +79,7 @@ def _mixed(members: DataFrame, named: DataFrame) -> DataFrame:
     labelled = members.join(named, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
     shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     tops = shares.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
-    return cut_lineage(labelled.join(tops.select("bucket", F.col("top.label").alias("main")), "bucket"))
+    return written(labelled.join(tops.select("bucket", F.col("top.label").alias("main")), "bucket"))
 
 
 def linked_components(buckets: DataFrame, verify: Verify, marks: Verify, percent: int) -> DataFrame:
@@ -95,17 +99,17 @@ def linked_components(buckets: DataFrame, verify: Verify, marks: Verify, percent
     lost) become rows.  Members that no comparison touched lie in one component
     already, so no link between components that share a bucket is missed."""
     leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(buckets.join(leaders.select("bucket", "leader"), "bucket").select("bucket", "id", "leader"))
-    seen = cut_lineage(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    members = members.drop("leader")
+    members = written(buckets.join(leaders.select("bucket", "leader"), "bucket").select("bucket", "id", "leader"))
+    seen = first = written(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     named = components(verify(seen))
-    marked = None
+    marked, met = None, []
     for turn in range(1, ROUNDS + 2):
-        mixed = _mixed(members, named)
+        mixed = _mixed(members.drop("leader"), named)
         if mixed.isEmpty():
+            release(mixed)
             break
         if marked is None:
-            marked = cut_lineage(marks(mixed.select("id").distinct()))
+            marked = written(marks(mixed.select("id").distinct()))
             words = [c for c in marked.columns if c.startswith("w")]
         rest = mixed.join(marked, "id")
         if turn <= ROUNDS:
@@ -117,11 +121,16 @@ def linked_components(buckets: DataFrame, verify: Verify, marks: Verify, percent
         around = centres.alias("c").join(rest.alias("m"), (F.col("c.bucket") == F.col("m.bucket")) & (F.col("c.label") != F.col("m.label"))
                                          & once & _near(percent, words))
         pairs = around.select(F.least("c.id", "m.id").alias("a"), F.greatest("c.id", "m.id").alias("b")).distinct()
-        pairs = cut_lineage(pairs.join(seen, ["a", "b"], "left_anti"))
+        pairs = written(pairs.join(seen, ["a", "b"], "left_anti"))
+        release(mixed)
+        met.append(pairs)
         if pairs.isEmpty():
             continue
-        found = cut_lineage(verify(pairs))
+        found = written(verify(pairs))
         seen = seen.union(pairs)
         if not found.isEmpty():
-            named = components(named.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.select("a", "b")))
+            old, named = named, components(named.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.select("a", "b")))
+            release(old)
+        release(found)
+    release(members, first, *met, *([marked] if marked is not None else []))
     return named

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from regula.llm.links import components, linked_components
 from regula.llm.text import lower_ascii, mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
-from regula.session import cut_lineage
+from regula.session import release, written
 
 BANDS = 24
 ROWS = 5
@@ -133,9 +133,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id (least doc_id reachable over links of
     Jaccard similarity >= percent / 100), kept (it is that document)."""
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sketches = cut_lineage(sketch_documents(texts, shingle, bands, rows))
+    sketches = written(sketch_documents(texts, shingle, bands, rows))
     classes = sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    member = cut_lineage(
+    member = written(
         sketches.where("digest IS NOT NULL").join(classes, "digest").select("doc_id", "n_shingles", "first_id")
         .union(sketches.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("first_id"))))
     one = classes.select("digest", F.col("first_id").alias("id"))
@@ -155,6 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
 
     found = linked_components(buckets, verify, marks, percent)
+    release(sketches)
     # rows of one id in several classes tie these classes together
     shared = member.groupBy("doc_id").agg(F.min("first_id").alias("lo"), F.max("first_id").alias("hi")).where("lo < hi")
     ties = member.join(shared, "doc_id").where("first_id > lo").select(F.col("first_id").alias("a"), F.col("lo").alias("b"))
