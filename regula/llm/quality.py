@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds.
 
 Per-document measures are compared with thresholds learned from the corpus: a
-mergeable quantile sketch per (language, source) and measure gives quartiles,
-and a document is rejected where a measure lies beyond the group's outer fence.
-A few base rules that need no corpus go first.
+mergeable quantile sketch per (language, source) and measure, blended with its
+language's by weight, gives an upper quantile and the spread below it, and a
+document is rejected where a measure lies beyond the group's fence.  A few base
+rules that need no corpus go first.
 
 The sketch counts values in log-linear buckets (a power of two cut in
 ``2**SUB_BITS`` equal steps), so a bucket's relative width is at most
@@ -24,18 +25,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regula.llm.text import mix, slices, span_hashes, text_bytes, word_spans
+from regula.session import written
 
 # Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 SUB_BITS = 5
 #: measures in parts per thousand; each is a ratio of two counts
 MEASURES = ("symbol_rate", "shout_rate", "dup_line_rate", "repeat_rate", "word_length")
-#: outer fence: upper quartile plus this many quartile ranges ...
+#: upper fence: the 0.9 quantile plus this many spreads.  The spread is the
+#: distance from the median to that quantile or, where both are equal (a measure
+#: that most documents have at zero), the 0.1 quantile of the values above zero ...
 FENCE = 6
-#: ... with a range of at least this share (per thousand) per measure
-LEAST_RANGE = {"symbol_rate": 10, "shout_rate": 10, "dup_line_rate": 100, "repeat_rate": 60, "word_length": 500}
-#: a group with fewer documents takes its language's merged sketch
-LEAST_GROUP = 100
+#: ... and at least this much (per thousand) per measure
+LEAST_SPREAD = {"symbol_rate": 10, "shout_rate": 10, "dup_line_rate": 20, "repeat_rate": 20, "word_length": 50}
+#: a group's sketch is blended with its language's as if the latter were this
+#: many more documents of the group
+PRIOR = 100
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts")
 
@@ -135,29 +140,41 @@ def group_sketches(measured: DataFrame) -> DataFrame:
     return stacked.groupBy("lang", "source", "s.measure", "s.bucket").agg(F.count("*").alias("n"))
 
 
-def _fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group with its size and the outer fence of every measure."""
-    group = Window.partitionBy(*keys, "measure")
-    ranked = sketches.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("all_n"))
-    quartiles = ranked.groupBy(*keys, "measure").agg(
-        F.max("all_n").alias("all_n"),
-        F.min(F.when(4 * F.col("upto") >= F.col("all_n"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("all_n"), F.col("bucket"))).alias("q3"))
-    least = F.create_map(*[F.lit(x) for kv in LEAST_RANGE.items() for x in kv])
-    fence = F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
-    return quartiles.groupBy(*keys).agg(
-        F.max("all_n").alias("group_n"),
-        *[F.max(F.when(F.col("measure") == m, fence)).cast("bigint").alias(f"max_{m}") for m in MEASURES])
+def _blended(sketches: DataFrame) -> DataFrame:
+    """lang, source, measure, bucket, w: every group's counts and ``PRIOR``
+    documents dealt out like its language's, as exact integers (times the
+    number of the language's documents)."""
+    weight = lambda c: F.col(c).cast("decimal(19,0)")
+    merged = sketches.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    totals = merged.groupBy("lang", "measure").agg(F.sum("n").alias("lang_n"))
+    groups = sketches.select("lang", "source").distinct()
+    s, g, m, t = sketches.alias("s"), groups.alias("g"), merged.alias("m"), totals.alias("t")
+    same = F.col("s.lang").eqNullSafe(F.col("t.lang")) & (F.col("s.measure") == F.col("t.measure"))
+    own = s.join(t, same).select("s.lang", "s.source", "s.measure", "s.bucket", (weight("s.n") * weight("t.lang_n")).alias("w"))
+    shared = g.join(m, F.col("g.lang").eqNullSafe(F.col("m.lang"))) \
+        .select("g.lang", "g.source", "m.measure", "m.bucket", (weight("m.n") * PRIOR).cast("decimal(38,0)").alias("w"))
+    return own.union(shared).groupBy("lang", "source", "measure", "bucket").agg(F.sum("w").alias("w"))
+
+
+def spreads(sketches: DataFrame) -> DataFrame:
+    """lang, source, measure, high (the 0.9 quantile) and spread, as learned."""
+    group = Window.partitionBy("lang", "source", "measure")
+    ranked = _blended(sketches).select("*", F.sum("w").over(group.orderBy("bucket")).alias("upto"), F.sum("w").over(group).alias("whole"),
+                                       F.sum(F.when(F.col("bucket") == 0, F.col("w")).otherwise(0)).over(group).alias("zero"))
+    found = ranked.groupBy("lang", "source", "measure").agg(
+        F.min(F.when(2 * F.col("upto") >= F.col("whole"), F.col("bucket"))).alias("mid"),
+        F.min(F.when(10 * F.col("upto") >= 9 * F.col("whole"), F.col("bucket"))).alias("high"),
+        F.min(F.when((F.col("bucket") > 0) & (10 * (F.col("upto") - F.col("zero")) >= F.col("whole") - F.col("zero")), F.col("bucket"))).alias("low"))
+    return found.select("lang", "source", "measure", "high",
+                        F.when(F.col("high") > F.col("mid"), F.col("high") - F.col("mid")).otherwise(F.coalesce("low", F.lit(0))).alias("spread"))
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """One row per (lang, source) with the outer fence of every measure."""
-    merged = sketches.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
-    g, w = _fences(sketches, ["lang", "source"]).alias("g"), _fences(merged, ["lang"]).alias("w")
-    return g.join(w, F.col("g.lang").eqNullSafe(F.col("w.lang"))).select(
-        "g.lang", "g.source",
-        *[F.when(F.col("g.group_n") >= LEAST_GROUP, F.col(f"g.max_{m}")).otherwise(F.col(f"w.max_{m}")).alias(f"max_{m}")
-          for m in MEASURES])
+    """One row per (lang, source) with the upper fence of every measure."""
+    least = F.create_map(*[F.lit(x) for kv in LEAST_SPREAD.items() for x in kv])
+    fence = F.col("high") + FENCE * F.greatest(F.col("spread"), least[F.col("measure")])
+    return spreads(sketches).groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("measure") == m, fence)).cast("bigint").alias(f"max_{m}") for m in MEASURES])
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -165,9 +182,12 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """``row``, counts, measures, base_failed and kept for every document."""
     carry = docs.columns if carry is None else carry
     few = [c for c in carry if c != text_col]
-    measured = with_measures(measure_documents(docs, text_col, carry))
-    # the sketch pass carries no texts
-    first = with_measures(measure_documents(docs, text_col, list(dict.fromkeys([*few, lang_col, source_col]))))
+    if text_col in carry:
+        measured = with_measures(measure_documents(docs, text_col, carry))
+        # the sketch pass carries no texts
+        first = with_measures(measure_documents(docs, text_col, list(dict.fromkeys([*few, lang_col, source_col]))))
+    else:  # narrow rows: counted once, read twice
+        first = measured = with_measures(written(measure_documents(docs, text_col, list(dict.fromkeys([*few, lang_col, source_col])))))
     limits = thresholds(group_sketches(_grouped(first, lang_col, source_col)))
     # groups are far fewer than documents, but their number has no proven
     # bound: a plain null-safe equi-join, left to the runtime's size check

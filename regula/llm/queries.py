@@ -57,22 +57,10 @@ def _quality_sql() -> str:
     sub, step = quality.SUB_BITS, 2 ** (quality.SUB_BITS + 1)
     bucket = f"CASE WHEN v < {step} THEN v ELSE (v >> (length(bin(v)) - {sub + 1})) << (length(bin(v)) - {sub + 1}) END"
     stacked = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM r WHERE NOT base_failed" for m in quality.MEASURES)
-    least = " ".join(f"WHEN '{m}' THEN {v}" for m, v in quality.LEAST_RANGE.items())
-    fence = f"q3 + {quality.FENCE} * greatest(q3 - q1, CASE measure {least} END)"
-    limit = lambda m: f"coalesce(CASE WHEN g_{m}.all_n >= {quality.LEAST_GROUP} THEN g_{m}.fence ELSE w_{m}.fence END, 4611686018427387904)"
-    joins = " ".join(
-        f"LEFT JOIN fg g_{m} ON g_{m}.measure = '{m}' AND r.lang IS NOT DISTINCT FROM g_{m}.lang AND r.source IS NOT DISTINCT FROM g_{m}.source "
-        f"LEFT JOIN fw w_{m} ON w_{m}.measure = '{m}' AND r.lang IS NOT DISTINCT FROM w_{m}.lang" for m in quality.MEASURES)
-    within = " AND ".join(f"r.{m} <= {limit(m)}" for m in quality.MEASURES)
-
-    def fences(keys: str) -> str:
-        return f"""SELECT {keys}, measure, all_n, {fence} AS fence FROM (
-            SELECT {keys}, measure, max(all_n) AS all_n, min(CASE WHEN 4 * upto >= all_n THEN b END) AS q1,
-                   min(CASE WHEN 4 * upto >= 3 * all_n THEN b END) AS q3
-            FROM (SELECT {keys}, measure, b, sum(n) OVER (PARTITION BY {keys}, measure ORDER BY b) AS upto,
-                         sum(n) OVER (PARTITION BY {keys}, measure) AS all_n
-                  FROM (SELECT {keys}, measure, b, count(*) AS n FROM s GROUP BY ALL))
-            GROUP BY {keys}, measure)"""
+    least = " ".join(f"WHEN '{m}' THEN {v}" for m, v in quality.LEAST_SPREAD.items())
+    joins = " ".join(f"LEFT JOIN fence f_{m} ON f_{m}.measure = '{m}' AND r.lang IS NOT DISTINCT FROM f_{m}.lang "
+                     f"AND r.source IS NOT DISTINCT FROM f_{m}.source" for m in quality.MEASURES)
+    within = " AND ".join(f"r.{m} <= coalesce(f_{m}.fence, 4611686018427387904)" for m in quality.MEASURES)
 
     return rf"""
     WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word,
@@ -94,7 +82,17 @@ def _quality_sql() -> str:
                  1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_rate, 1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate,
                  1000 * word_chars // greatest(n_words, 1) AS word_length FROM b),
     s AS (SELECT lang, source, measure, {bucket} AS b FROM ({stacked})),
-    fg AS ({fences("lang, source")}), fw AS ({fences("lang")})
+    g AS (SELECT lang, source, measure, b, count(*)::HUGEINT AS n FROM s GROUP BY ALL),
+    l AS (SELECT lang, measure, b, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, measure) AS lang_n FROM g GROUP BY lang, measure, b),
+    x AS (SELECT g.lang, g.source, g.measure, g.b, g.n * l.lang_n AS w FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure AND g.b = l.b
+          UNION ALL SELECT o.lang, o.source, l.measure, l.b, l.n * {quality.PRIOR} FROM (SELECT DISTINCT lang, source FROM g) o
+          JOIN l ON o.lang IS NOT DISTINCT FROM l.lang),
+    y AS (SELECT *, sum(w) OVER (k ORDER BY b) AS upto, sum(w) OVER k AS whole, coalesce(sum(w) FILTER (WHERE b = 0) OVER k, 0) AS zero
+          FROM (SELECT lang, source, measure, b, sum(w) AS w FROM x GROUP BY ALL) WINDOW k AS (PARTITION BY lang, source, measure)),
+    z AS (SELECT lang, source, measure, min(CASE WHEN 2 * upto >= whole THEN b END) AS mid, min(CASE WHEN 10 * upto >= 9 * whole THEN b END) AS high,
+                 min(CASE WHEN b > 0 AND 10 * (upto - zero) >= whole - zero THEN b END) AS low FROM y GROUP BY ALL),
+    fence AS (SELECT lang, source, measure, high + {quality.FENCE} * greatest(
+                CASE WHEN high > mid THEN high - mid ELSE coalesce(low, 0) END, CASE measure {least} END) AS fence FROM z)
     SELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
            (NOT r.base_failed AND {within}) AS kept
     FROM r {joins}"""

@@ -20,7 +20,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     got = QUERIES[name](spark, SF_SMALL)
     cur = con.execute(ORACLES[name])
@@ -54,6 +54,55 @@ def test_bucket_is_monotone_and_narrow(spark):
     assert buckets == sorted(buckets) and all(r["b"] <= r["v"] <= r["b"] * (1 + 2.0 ** -quality.SUB_BITS) for r in rows)
 
 
+def _corpus(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_quality_fences_follow_the_spread(spark):
+    """Groups whose usual word length differs get fences of their own; a measure
+    that is usual in a group is not held against it."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(1200):
+        long = i % 2
+        body = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 7) + 6 * long)) for _ in range(80)]
+        if i % 3 == 0:
+            body = [w + " |" if j % 2 else w for j, w in enumerate(body)]  # tables: the usual symbols
+        spam = i % 60 == 1
+        rows.append((i, " ".join(w + "%%%" if spam else w for w in body), "en", "long" if long else "short"))
+    judged = quality.judge(_corpus(spark, rows), carry=["doc_id", "lang", "source"])
+    kept = {r["doc_id"]: r["kept"] for r in judged.select("row.doc_id", "kept").collect()}
+    assert all(kept[i] == (i % 60 != 1) for i in kept)
+    whole = quality.judge(_corpus(spark, rows)).select("row.doc_id", "kept").collect()
+    assert {r["doc_id"]: r["kept"] for r in whole} == kept
+
+
+def test_quality_blends_small_groups(spark):
+    """One odd document alone in its source is measured by its language."""
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    rows = [(i, " ".join(word(rnd.randrange(3, 7)) for _ in range(80)), "en", "big") for i in range(300)]
+    rows += [(1000, " ".join(word(40) for _ in range(80)), "en", "tiny"), (1001, " ".join(word(5) for _ in range(80)), "en", "tiny")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(_corpus(spark, rows)).select("row.doc_id", "kept").collect()}
+    assert not kept[1000] and kept[1001] and all(kept[i] for i in range(300))
+
+
+def test_quality_learned_spreads_decide(spark):
+    docs = spark.read.parquet(f"{SF_SMALL.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    measured = quality.with_measures(quality.measure_documents(docs, carry=["lang", "source"])).select("row.*", *quality.MEASURES, "base_failed")
+    rows = quality.spreads(quality.group_sketches(measured)).where("measure <> 'shout_rate'").collect()
+    assert sum(r["spread"] >= quality.LEAST_SPREAD[r["measure"]] for r in rows) > len(rows) / 2
+
+
+def test_sentencepiece_awkward(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = cases.awkward(spark).withColumnsRenamed({"row": "ids", "key": "span_begin"})
+    got = sentencepiece_codec.encode_documents(docs, MODEL).collect()
+    want = sorted((r["doc_id"] or -1, sp.encode(r["text"] or "", add_eos=True)) for r in docs.collect())
+    assert sorted((r["doc_id"] or -1, list(r["ids"])) for r in got) == want
+    assert sentencepiece_codec.encode_documents(cases.empty(spark), MODEL).count() == 0
+
+
 def test_sentencepiece_equals_the_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rnd = random.Random(2)
