@@ -107,7 +107,8 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_sentencepiece")
 def sentencepiece_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), spans=False)
+    encoded = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.xxhash64("span_begin", "span_end").alias("spans_hash"))
 
 
 @query("op4_toxicity")

@@ -138,10 +138,6 @@ class Normaliser:
             align = np.array([*align, len(source)])
         return self._spaces(bytes(out), np.asarray(align, np.int64))
 
-    def bare(self, text: str) -> str:
-        """Normalised text alone, for rules without a map or squeezing."""
-        return MARK + text.replace(" ", MARK) if text else ""
-
     def _spaces(self, data: bytes, align: np.ndarray) -> tuple[str, np.ndarray]:
         """Squeeze and mark spaces, add the dummy prefix; alignment follows."""
         rules = self.rules
@@ -249,41 +245,33 @@ class Codec:
         text = self.surface(ids)
         return text[1:] if (self.rules.dummy_prefix or self.rules.squeeze) and text.startswith(" ") else text
 
-    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Ids (no end id) and each piece's byte span [begin, end) in the source."""
-        normal, align = self.normalise(text)
-        if not normal:
-            return [], np.empty(0, np.int64), np.empty(0, np.int64)
-        if self.can_cut:
-            cuts = self._cut.findall(normal)
-            self.learn(cuts)
-            ids = [int(i) for i in " ".join(map(self._ids.__getitem__, cuts)).split(" ")]
-            lengths = self.length[ids]
-        else:
-            proto = self.sp.encode(text, return_type="proto")
-            ids = [p.id for p in proto.pieces]
-            lengths = np.array([len(p.piece.encode()) if self.byte[p.id] is None else 1 for p in proto.pieces])
-        ends = np.cumsum(lengths)
-        return ids, align[ends - lengths], align[ends]
-
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Per text: number of ids, digest of the ids and of the decoded text, end id included."""
-        end, out = self.sp.eos_id(), []
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, str, str]]:
+        """Per text: ids (no end id), each piece's byte span [begin, end) in the
+        source, the ids in decimal joined by spaces, the text they decode to."""
+        normal = [self.normalise(t) for t in texts]
+        none = np.empty(0, np.int64)
         if self.can_cut:
-            cuts = [self._cut.findall(self.normalise.bare(t)) for t in texts]
+            cuts = [self._cut.findall(n) for n, _ in normal]
             self.learn(list(chain.from_iterable(cuts)))
-            for found in cuts:
-                if not found:
-                    out.append((1, str(end), ""))
-                    continue
-                ids = " ".join(map(self._ids.__getitem__, found))
-                text = "".join(map(self._surface.__getitem__, found))
-                out.append((ids.count(" ") + 2, f"{ids} {end}", text[1:] if text.startswith(" ") else text))
-        else:
-            for t in texts:
-                ids = self.encode(t)[0]
-                out.append((len(ids) + 1, " ".join(map(str, [*ids, end])), self.decode(ids)))
-        return [(n, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for n, i, t in out]
+        out = []
+        for i, (text, align) in enumerate(normal):
+            if not text:
+                out.append((none, none, none, "", ""))
+                continue
+            if self.can_cut:
+                written = " ".join(map(self._ids.__getitem__, cuts[i]))
+                ids = np.fromstring(written, np.int64, sep=" ")
+                lengths = self.length[ids]
+                decoded = "".join(map(self._surface.__getitem__, cuts[i]))
+                decoded = decoded[1:] if decoded.startswith(" ") else decoded
+            else:
+                pieces = self.sp.encode(texts[i], return_type="proto").pieces
+                ids = np.array([p.id for p in pieces], np.int64)
+                lengths = np.array([len(p.piece.encode()) if self.byte[p.id] is None else 1 for p in pieces], np.int64)
+                written, decoded = " ".join(map(str, ids)), self.decode(ids.tolist())
+            ends = np.cumsum(lengths)
+            out.append((ids, align[ends - lengths], align[ends], written, decoded))
+        return out
 
 
 _CODECS: dict[str, Codec] = {}
@@ -296,28 +284,27 @@ def codec(model_path: str) -> Codec:
     return _CODECS[model_path]
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                     spans: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``spans``, the
-    ids (end id last) with every piece's byte span in the source text; the end
-    id has the empty span at the text's end."""
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, the ids (end id last) and
+    every piece's byte span in the source text; the end id has the empty span
+    at the text's end.  Each text is encoded once, all columns stem from that."""
     frame = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>, span_begin array<int>, span_end array<int>" if spans else ""
+    schema = ("doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, "
+              "ids array<int>, span_begin array<int>, span_end array<int>")
 
     def encode(batches):
         c = codec(model_path)
         for part in slices(batches, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            found = c.digests(texts)
-            columns = [part.column("doc_id"), pa.array([f[0] for f in found], pa.int64()),
-                       pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())]
-            if spans:
-                whole = [c.encode(t) for t in texts]
-                last = [len(t.encode()) for t in texts]
-                ids = [np.append(np.asarray(w[0], np.int32), c.sp.eos_id()) for w in whole]
-                columns += [_lists(ids), _lists([np.append(w[1], n) for w, n in zip(whole, last)]),
-                            _lists([np.append(w[2], n) for w, n in zip(whole, last)])]
+            found, end = c.encode(texts), c.sp.eos_id()
+            last = [len(t.encode()) for t in texts]
+            sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+            columns = [part.column("doc_id"), pa.array([len(f[0]) + 1 for f in found], pa.int64()),
+                       pa.array([sha(f"{f[3]} {end}" if f[3] else str(end)) for f in found], pa.string()),
+                       pa.array([sha(f[4]) for f in found], pa.string()),
+                       _lists([np.append(f[0], end) for f in found]),
+                       _lists([np.append(f[1], n) for f, n in zip(found, last)]),
+                       _lists([np.append(f[2], n) for f, n in zip(found, last)])]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     return frame.mapInArrow(encode, schema)
