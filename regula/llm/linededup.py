@@ -42,7 +42,7 @@ ROWS = 3
 FILTER = 1 << 20
 ENOUGH = 128
 #: words of 64 parities that rule out pairs of crowded buckets
-WORDS = 8
+WORDS = 32
 # White space around a line.
 BLANKS = " \t\r\x0b\x0c"
 _LAST = 2**63 - 1

@@ -54,6 +54,8 @@ def components(edges: DataFrame) -> DataFrame:
 #: ``SLICES ** (turn - 1)`` centres in a round at most
 ROUNDS = 2
 SLICES = 8
+#: words of parities that are looked at first
+FEW_WORDS = 8
 
 
 def marks_columns(words: int, h: str = "h") -> list[Column]:
@@ -68,9 +70,14 @@ def _near(percent: int, words: list[str]) -> Column:
     """False only where the sets of c and m are surely less alike: a bit of
     the parities differs for an element in one of both sets only, so sets
     differ in at least as many elements as parities in bits."""
-    apart = sum((F.bit_count(F.col(f"c.{w}").bitwiseXOR(F.col(f"m.{w}"))) for w in words), F.lit(0))
+    differ = lambda ws: sum((F.bit_count(F.col(f"c.{w}").bitwiseXOR(F.col(f"m.{w}"))) for w in ws), F.lit(0))
     low, high = F.least("c.n", "m.n"), F.greatest("c.n", "m.n")
-    return (100 * low >= percent * high) & ((100 + percent) * apart <= (100 - percent) * (low + high))
+    # a part of the bits settles most pairs
+    few = [words] if len(words) <= FEW_WORDS else [words[:FEW_WORDS], words]
+    near = 100 * low >= percent * high
+    for ws in few:
+        near = near & ((100 + percent) * differ(ws) <= (100 - percent) * (low + high))
+    return near
 
 
 def _mixed(members: DataFrame, named: DataFrame) -> DataFrame:
