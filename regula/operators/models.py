@@ -1,4 +1,4 @@
-"""Model fitting on Spark ML.
+"""Model fitting on Spark ML.
 
 Estimators are MLlib's distributed implementations; training frames are
 cached once per fit loop and evaluation is done with DataFrame aggregates.
@@ -19,7 +19,6 @@ from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,32 +210,6 @@ def fit_sample(df: DataFrame, key_cols: list[str], max_rows: int = MAX_FIT_ROWS,
     return df.filter(h < int(share * (1 << 30)))
 
 
-def rf_grid_search(train: DataFrame, test: DataFrame, features: list[str], label: str = "IsApproved",
-                   key_cols=("ApplNo", "SubmissionNo"), folds: int = 5, seed: int = 42, parallelism: int = 8,
-                   trees=(100, 200), depths=(10, 20, FOREST_DEPTH), leaves=(1, 2)):
-    """Random-forest grid search with stratified k-fold CV on AUC, refit, test
-    AUC (M12).  Spark splits a node from two leaves' worth of rows on, so the
-    least number of rows to split is the ``leaves`` axis times two."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    tr = materialise(stratified_folds(assembled(train, features), list(key_cols), label, folds, seed), SAMPLE_PARTITIONS)
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
-    grid = (ParamGridBuilder().addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths))
-            .addGrid(rf.minInstancesPerNode, list(leaves)).build())
-    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, foldCol="fold",
-                        parallelism=parallelism, seed=seed)
-    model = cv.fit(tr)
-    rows = []
-    for params, score in zip(grid, model.avgMetrics):
-        rows.append((int(params[rf.numTrees]), int(params[rf.maxDepth]), int(params[rf.minInstancesPerNode]), float(score)))
-    spark = train.sparkSession
-    res = spark.createDataFrame(rows, "numTrees int, maxDepth int, minInstancesPerNode int, cv_auc double")
-    te = assembled(test, features)
-    pred = model.bestModel.transform(te).withColumn("p1", vector_to_array(F.col("probability"))[1])
-    test_auc = auc(pred, "p1", label).select("auc")
-    return res, test_auc
-
-
 # ---------------------------------------------------------------- M13 / T4
 
 def time_series_folds(ts: DataFrame, order: str = "month", n_splits: int = 5) -> DataFrame:

@@ -12,6 +12,7 @@ from regula.operators import ml_tables as M
 from regula.operators import models as ML
 from regula.operators import timeseries as T
 from regula.operators.anomaly import isolation_forest
+from regula.operators.forest_grid import forest_grid_search
 from regula.operators.prescriptive import anomaly_features
 from regula.operators.similarity import profile_entries, similar_items, similar_items_lsh
 from regula.operators.ward import ward_clusters
@@ -112,9 +113,11 @@ def m10_rule(spark, d):
     return M.classification_report(_rule(spark, d), "y", "yhat")
 
 
-# M12 (random-forest grid search: 12 grid points x 5 folds = 60 forest fits
-# plus the refit) is ``models.rf_grid_search``; its 61 fits take minutes even on
-# a few hundred rows, so it is a library function and not a query.
+@register("M12_rf_grid_search")
+def m12_grid(spark, d):
+    """24 grid points by nested evaluation: 10 fits and the refit."""
+    tr, te = _split_features(spark, d)
+    return forest_grid_search(tr, te, M.FEATURES, "IsApproved")
 
 
 def _ts_feats(spark, d):

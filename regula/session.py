@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
@@ -61,6 +62,22 @@ def written(df: DataFrame) -> DataFrame:
     return table
 
 
+def saved(spark: SparkSession, model, part: str) -> DataFrame:
+    """Table ``part`` of a fitted model's saved form; ``release`` deletes the
+    whole.  Saved in the shared folder that ``spark.checkpoint.dir`` names; only
+    a session on a single machine may leave that unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="regula-")
+    path = f"{folder.rstrip('/')}/regula-{uuid.uuid4().hex}"
+    model.write().save(path)
+    table = spark.read.parquet(f"{path}/{part}")
+    _FOLDERS[table] = path
+    return table
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of tables that ``written`` made and no later step reads;
     other frames are left alone."""
