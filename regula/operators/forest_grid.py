@@ -148,7 +148,7 @@ def forest_grid_search(train: DataFrame, test: DataFrame, features: list[str], l
 
     def grow(rows, leaf, n):
         return saved(spark, RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n, maxDepth=max(depths),
-                                                   minInstancesPerNode=leaf, seed=seed).fit(rows), "data")
+                                                   minInstancesPerNode=leaf, seed=seed, cacheNodeIds=True).fit(rows), "data")
 
     cells = [(f, leaf) for f in range(folds) for leaf in leaves]
     grown = _parallel([lambda f=f, leaf=leaf: grow(sample.where(F.col("fold") != f), leaf, max(trees)) for f, leaf in cells], parallelism)
