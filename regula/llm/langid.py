@@ -112,12 +112,13 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def learn(docs: DataFrame, rows_per_lang: int) -> dict | None:
     """Languages, idf, weights and temperature; None without rows to learn from."""
     rows = _learnable(docs)
-    per_lang = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    rated = rows.join(per_lang, "lang").where(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(1_000_000) * rows_per_lang / F.col("n"))
-    langs = [r["lang"] for r in per_lang.orderBy("lang").collect()]
+    # one row a language, as many as the model has classes
+    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    langs = [lang for lang, _ in counts]
     if not langs:
         return None
+    parts = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, 1_000_000 * rows_per_lang / n)])
+    rated = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < parts[F.col("lang")])
     df, n_docs = document_frequencies(rows)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     place = {lang: i for i, lang in enumerate(langs)}
