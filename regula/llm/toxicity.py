@@ -5,9 +5,11 @@ Learning uses a bounded sample of labelled rows (``max_fit_rows``, chosen by a
 hash of the id): its texts give a lexicon of words that are far more frequent
 in documents of label 1; part of it fits the trees (Spark ML) and the rest the
 isotonic calibration.  Every whole text is then turned into features once and
-scored.  Features: lexicon densities (plain, by weight, at most per window),
-lexicon words near a second person, capitals, punctuation, and obfuscation
-(words that only match once look-alike characters are undone).
+scored.  Features: lexicon densities (plain, by weight, at most per window of
+50 words, so that a long clean text does not hide a short passage), lexicon
+words near a second person, capitals, punctuation, and obfuscation (words that
+only match once look-alike characters are undone, with or without the marks at
+their end).
 
 Defined results: a null text counts as empty and is scored by its all-zero
 features; without labelled rows of both classes every score is the share of
@@ -37,6 +39,8 @@ MAX_FIT_ROWS = 20_000
 LEXICON_WORDS = 200
 #: words on either side of a lexicon word that make it "near"
 REACH = 5
+#: words of a window, over which the densest place of a text is sought
+WINDOW = 50
 
 # Second-person words.
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "euch", "ihr", "euer", "tu", "te",
@@ -45,7 +49,8 @@ SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "d
 LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
 
 FEATURES = ("log_words", "hit_rate", "hit_weight", "hit_count", "near_you", "you_rate", "hidden_rate", "hidden_count",
-            "capital_rate", "shouted_rate", "mark_rate", "exclaim_rate", "question_rate", "digit_word_rate", "max_weight")
+            "capital_rate", "shouted_rate", "mark_rate", "exclaim_rate", "question_rate", "digit_word_rate", "max_weight", "window_hits",
+            "window_weight")
 
 _ASCII = np.arange(256)
 _ALNUM = ((_ASCII >= 48) & (_ASCII <= 57)) | ((_ASCII >= 65) & (_ASCII <= 90)) | ((_ASCII >= 97) & (_ASCII <= 122)) | (_ASCII >= 128)
@@ -77,6 +82,29 @@ def _stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return span_hashes(data[keep], place[starts], place[ends])
 
 
+def _without_end_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of the words without the punctuation marks at their end."""
+    if not len(starts):
+        return ends
+    last = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))
+    return np.maximum(last[ends - 1] + 1, starts)
+
+
+def densest(rows: np.ndarray, weights: np.ndarray, n_rows: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: the most weighted words, and the most weight, that ``window``
+    consecutive words hold; ``rows`` is the text of each word, ascending."""
+    at = np.flatnonzero(weights > 0)
+    most, heaviest = np.zeros(n_rows), np.zeros(n_rows)
+    if len(at):
+        last = np.searchsorted(rows, rows[at], "right")  # a window stays within its text
+        upto = np.searchsorted(at, np.minimum(at + window, last))
+        total = np.concatenate([[0.0], np.cumsum(weights[at])])
+        first = np.arange(len(at))
+        np.maximum.at(most, rows[at], upto - first)
+        np.maximum.at(heaviest, rows[at], total[upto] - total[first])
+    return most, heaviest
+
+
 def features(column: pa.Array, lexicon: np.ndarray, weights: np.ndarray, you: np.ndarray) -> np.ndarray:
     """Rows of FEATURES; ``lexicon`` is sorted, with weights alongside."""
     n_rows = len(column)
@@ -84,7 +112,9 @@ def features(column: pa.Array, lexicon: np.ndarray, weights: np.ndarray, you: np
     starts, ends, rows = word_spans(data, offsets)
     small = lower_ascii(data)
     plain = _stripped(small, starts, ends)
-    bare = _stripped(_UNDO[small], starts, ends)
+    undone_text = _UNDO[small]
+    bare = _stripped(undone_text, starts, ends)
+    cut = _stripped(undone_text, starts, _without_end_marks(small, starts, ends))
 
     def weigh(hashes):
         if not len(lexicon) or not len(hashes):
@@ -92,7 +122,7 @@ def features(column: pa.Array, lexicon: np.ndarray, weights: np.ndarray, you: np
         at = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
         return np.where(lexicon[at] == hashes, weights[at], 0.0)
 
-    direct, undone = weigh(plain), weigh(bare)
+    direct, undone = weigh(plain), np.maximum(weigh(bare), weigh(cut))
     hit, hidden = direct > 0, (undone > 0) & (direct == 0)
     second = np.isin(plain, you)
     row_of = np.repeat(np.arange(n_rows), np.diff(offsets))
@@ -115,11 +145,13 @@ def features(column: pa.Array, lexicon: np.ndarray, weights: np.ndarray, you: np
     weight = np.bincount(rows, weights=direct + undone * hidden, minlength=n_rows)
     heaviest = np.zeros(n_rows)
     np.maximum.at(heaviest, rows, np.maximum(direct, undone * hidden))
+    most, densest_weight = densest(rows, direct + undone * hidden, n_rows, WINDOW)
     return np.column_stack([
         np.log1p(np.bincount(rows, minlength=n_rows)), 100 * count(rows, hit) / words, 100 * weight / words, np.log1p(count(rows, hit)),
         count(rows, near), 100 * count(rows, second) / words, 100 * count(rows, hidden) / words, np.log1p(count(rows, hidden)),
         count(row_of, capital) / chars, count(rows, shouted) / words, count(row_of, _MARK[data]) / chars,
-        count(row_of, data == 33) / chars, count(row_of, data == 63) / chars, count(rows, with_digit) / words, heaviest])
+        count(row_of, data == 33) / chars, count(row_of, data == 63) / chars, count(rows, with_digit) / words, heaviest, most,
+        densest_weight])
 
 
 def labelled_sample(labels: DataFrame, max_rows: int) -> DataFrame:

@@ -4,13 +4,16 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from regula.llm import chat, langid, mixing, quality, sentencepiece_codec, syncmers, toxicity
 from regula.llm.queries import ORACLES, QUERIES
+from regula.sources.parquet import read_table
 from tests.conftest import SF_SMALL
 from tests.llm import cases
 
@@ -218,6 +221,40 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
 
 
+def _toxicity_features(texts, lexicon):
+    hashes = toxicity.word_hashes(lexicon)
+    order = np.argsort(hashes)
+    weights = np.arange(1.0, len(lexicon) + 1)[order]
+    rows = toxicity.features(pa.array(texts, pa.string()), hashes[order], weights, np.sort(toxicity.word_hashes(["you"])))
+    return [dict(zip(toxicity.FEATURES, r)) for r in rows]
+
+
+def test_toxicity_densest_window_matches_brute_force():
+    rnd = random.Random(1)
+    rows = np.sort([rnd.randrange(6) for _ in range(400)])
+    weights = np.array([rnd.choice([0, 0, 0, 1.5, 2.0]) for _ in rows])
+    most, heaviest = toxicity.densest(rows, weights, 7, 10)
+    for t in range(7):
+        mine = weights[rows == t]
+        spans = [mine[i:i + 10] for i in range(len(mine))] or [mine]
+        assert most[t] == max((s > 0).sum() for s in spans) and abs(heaviest[t] - max(s.sum() for s in spans)) < 1e-9
+
+
+def test_toxicity_window_keeps_a_passage_of_a_long_text():
+    passage = "idiot moron idiot"
+    short, long = _toxicity_features([passage, "plain words here " * 5000 + passage + " more of it" * 5000], ["idiot", "moron"])
+    assert short["window_hits"] == long["window_hits"] == 3 and short["window_weight"] == long["window_weight"] == 4
+    assert long["hit_rate"] < 0.02
+
+
+def test_toxicity_undoes_look_alikes_before_end_marks():
+    for word in ("1d1ot", "1d1ot!", "1d1ot!!!", "(1d1ot),", "id!ot", "!d!ot!?"):
+        found, = _toxicity_features([f"a {word} b"], ["idiot"])
+        assert found["hidden_count"] > 0, word
+    clean, = _toxicity_features(["a ! b !! c?"], ["idiot"])
+    assert clean["hidden_count"] == 0 and clean["window_hits"] == 0
+
+
 def test_toxicity_awkward(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 1), (7, 5)], "doc_id long, toxic int")
     got = toxicity.score_documents(cases.awkward(spark), labels).collect()
@@ -225,6 +262,27 @@ def test_toxicity_awkward(spark):
     assert toxicity.score_documents(cases.empty(spark), labels.limit(0)).count() == 0
 
 
+def test_languages_of_the_given_documents(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    truth = docs.where("lang IS NOT NULL AND text RLIKE '[A-Za-z]'").select("doc_id", "lang")
+    got = langid.identify(docs).where("held_out").join(truth, "doc_id").agg(
+        F.count("*").alias("n"), F.avg((F.col("lang_pred") == F.col("lang")).cast("int")).alias("right")).first()
+    assert got["n"] > 100 and got["right"] >= 0.97
+
+
+def test_language_sample_needs_no_shuffle_of_texts(spark, monkeypatch):
+    docs = cases.awkward(spark).withColumn("lang", F.lit("en"))
+    plans, repartition = [], type(docs).repartition
+
+    def spy(self, *args):
+        plans.append(self._jdf.queryExecution().toString())
+        return repartition(self, *args)
+
+    monkeypatch.setattr(type(docs), "repartition", spy)
+    langid.learn(docs, 10)
+    assert plans and "Join" not in plans[0] and "Exchange" not in plans[0]
+
+
 def test_language_held_out_and_awkward(spark):
     rnd = random.Random(0)
     syllables = {"x": ["ba", "ke", "lo"], "y": ["ski", "sch", "tz"], "z": ["ção", "nh", "lh"]}
