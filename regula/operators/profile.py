@@ -333,21 +333,19 @@ def parse_timestamp(col, formats=("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yy
 def date_columns(df: DataFrame, min_share: float = 0.5) -> DataFrame:
     """Date-column detection (B14): name contains "date", date/timestamp
     type, or more than ``min_share`` of a string column's non-null values
-    parse as dates (the whole column, not a 100-row sample)."""
-    strings = string_columns(df)
-    one = df.agg(*[F.count_if(parse_timestamp(c).isNotNull()).alias(f"{c}__parsed") for c in strings],
-                 *[F.count(F.col(f"`{c}`")).alias(f"{c}__nn") for c in strings], F.lit(0).alias("_z"))
+    parse as dates (the whole column, not a 100-row sample; each distinct value
+    is parsed once and counts as often as it occurs)."""
     dated = [f.name for f in df.schema.fields
              if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) or "date" in f.name.lower()]
-    parts = [F.struct(F.lit(c).alias("column_name"), F.lit("name_or_type").alias("reason")) for c in dated]
-    for c in strings:
-        if c in dated:
-            continue
-        parts.append(F.when(F.col(f"{c}__parsed") > F.col(f"{c}__nn") * min_share,
-                            F.struct(F.lit(c).alias("column_name"), F.lit("parsed_values").alias("reason"))))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "column_name string, reason string")
-    return one.select(F.explode(F.array(*parts)).alias("_p")).filter(F.col("_p").isNotNull()).select("_p.*")
+    named = df.sparkSession.createDataFrame([(c, "name_or_type") for c in dated], "column_name string, reason string")
+    texts = [c for c in string_columns(df) if c not in dated]
+    if not texts:
+        return named
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("_v")) for c in texts])).alias("_c")).select("_c.*")
+    values = cells.filter(F.col("_v").isNotNull()).groupBy("column_name", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = values.groupBy("column_name").agg(F.sum("_n").alias("_nn"), F.sum(F.when(parse_timestamp("_v").isNotNull(), F.col("_n"))).alias("_parsed"))
+    parsed = counts.filter(F.col("_parsed") > F.col("_nn") * min_share).select("column_name", F.lit("parsed_values").alias("reason"))
+    return named.unionByName(parsed)
 
 
 def date_range(df: DataFrame, col: str) -> DataFrame:
