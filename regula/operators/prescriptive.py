@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from regula.functions.columns import count_of, first_number, ratio
 from regula.operators.relational import global_quantiles, grouped_quantiles, prefix_sums
-from regula.session import cut_lineage
+from regula.session import cut_lineage, dealt
 
 
 def risk_indicators(subs: DataFrame, *, key: str = "ApplNo", status: str = "SubmissionStatus",
@@ -181,8 +181,8 @@ def dose_table(products: DataFrame, subs: DataFrame, *, key: str = "ApplNo", str
     """Products with a parsed dose and the application's approval flag (any
     approved submission; null when the application has no submissions)."""
     appr = subs.groupBy(key).agg(F.bool_or(F.coalesce(F.col(status) == approved, F.lit(False))).alias("IsApproved"))
-    p = products.withColumn("DosageValue", first_number(strength))
-    return p.join(appr, key, "left").filter(F.col("DosageValue").isNotNull())
+    p = products.withColumn("DosageValue", first_number(strength)).filter(F.col("DosageValue").isNotNull())
+    return dealt(p, key).join(appr, key, "left")
 
 
 def dose_by_form(doses: DataFrame, form: str = "Form", min_n: int = 10, k: int = 10) -> DataFrame:
@@ -245,7 +245,8 @@ def dose_summary_by_approval(doses: DataFrame, trim_q: float = 0.95) -> DataFram
     d = doses.filter(F.col("IsApproved").isNotNull())
     d = cut_lineage(d.select("IsApproved", "DosageValue"))
     q = grouped_quantiles(d, ["IsApproved"], "DosageValue", [trim_q]).select("IsApproved", F.get("_q", F.lit(0)).alias("_cap"))
-    t = d.join(q, "IsApproved").filter(F.col("DosageValue") <= F.col("_cap"))
+    # two groups at most: a join by them would put the rows into two tasks
+    t = d.join(F.broadcast(q), "IsApproved").filter(F.col("DosageValue") <= F.col("_cap"))
     x = F.col("DosageValue")
     five = grouped_quantiles(t, ["IsApproved"], "DosageValue", [0.25, 0.5, 0.75])
     return t.groupBy("IsApproved").agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max")).join(five, "IsApproved").select(

@@ -227,20 +227,29 @@ def prefix_sums(df: DataFrame, order: str, cols: list[str], *, descending: bool
 KLL, ROOM = 4096, 0.003
 #: distinct values that one task puts in order; cells with more are cut again
 EXACT = 1 << 20
+#: groups whose cuts, or values whose codes, are sent to all tasks: a join by a
+#: column of few values would put all rows into as many tasks
+FEW = 1 << 14
 
 
-def _narrow(rows: DataFrame, targets: DataFrame, path: list[str], cell: str, ranks: list[float], once: bool) -> tuple[DataFrame, DataFrame]:
+def few_broadcast(small: DataFrame) -> DataFrame:
+    """``small``, a frame that is cheap to count, marked for broadcast unless it
+    holds more than ``FEW`` rows."""
+    return F.broadcast(small) if small.count() <= FEW else small
+
+
+def _narrow(rows: DataFrame, targets: DataFrame, path: list[str], cell: str, ranks: list[float]) -> tuple[DataFrame, DataFrame]:
     """The values that stand in a cell with a wanted rank, and the ranks within
     their cells.
 
     A mergeable KLL sketch per group proposes the cuts between cells; how many
     values a cell holds is then counted exactly, so a poor sketch makes a cell
-    larger but no answer wrong.  ``once`` says that there is one group only."""
-    small = F.broadcast if once else (lambda x: x)
+    larger but no answer wrong.  The cuts of few groups go to all tasks."""
     sketch = rows.groupBy(*path).agg(F.kll_sketch_agg_double("_v", F.lit(KLL)).alias("_s"))
     cuts = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(r) for r in ranks]))
     # sketches draw at random, so both passes have to read the same ones
     cuts = cut_lineage(sketch.select(*path, F.array_distinct(cuts).alias("_s")))
+    small = F.broadcast if cuts.count() <= FEW else (lambda x: x)
     dealt = rows.join(small(cuts), path).withColumn(cell, F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s")
     sums = dealt.groupBy(*path, cell).agg(F.sum("_m").alias("_w"))
     sums = sums.withColumn("_before", _running(path, F.col(cell), F.col("_w")))
@@ -260,7 +269,7 @@ def _at_ranks(rows: DataFrame, targets: DataFrame, path: list[str]) -> DataFrame
     cell; cells with too many distinct values (path, _v, _m) are cut again."""
     while (rows.groupBy(*path).count().agg(F.max("count")).first()[0] or 0) > EXACT:
         cell = f"_c{len(path)}"
-        rows, targets = _narrow(rows, targets, path, cell, [i / 64 for i in range(65)], False)
+        rows, targets = _narrow(rows, targets, path, cell, [i / 64 for i in range(65)])
         path = [*path, cell]
     values = rows.withColumn("_before", _running(path, F.col("_v"), F.col("_m")))
     return targets.join(values, path).filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_m")))
@@ -281,7 +290,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
     asked = sizes.select("_k", F.posexplode(F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: p * (F.col("_n") - 1))).alias("_i", "_pos"))
     asked = asked.select("_k", "_i", "_pos", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_rank"))
     targets, path = asked.withColumn("_left", F.col("_rank")), ["_k"]
-    rows, targets = _narrow(rows, targets, path, "_c", _around(probs), not keys)
+    rows, targets = _narrow(rows, targets, path, "_c", _around(probs))
     found = _at_ranks(rows, targets, [*path, "_c"])
     per = found.groupBy("_k", "_i", "_pos").agg(F.max(F.when(F.col("_rank") == F.floor("_pos"), F.col("_v"))).alias("_vl"),
                                                 F.max(F.when(F.col("_rank") == F.ceil("_pos"), F.col("_v"))).alias("_vh"))
