@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from regula.functions.distributions import chi2_p, normal_sf, t_test_p
 from regula.operators.relational import prefix_sums
+from regula.session import cut_lineage
 
 
 def pearson_trend(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -126,7 +127,8 @@ def gini(df: DataFrame, value: str) -> DataFrame:
 def lorenz_points(df: DataFrame, value: str) -> DataFrame:
     """Cumulative shares (W5): per distinct value, ascending, the rows that
     hold it and the shares (%) of rows and of the total up to and with it."""
-    blocks = _value_blocks(df.filter(F.col(value).isNotNull()), value).withColumn("_held", F.col(value) * F.col("_m"))
+    # read by the running sums and by the totals
+    blocks = cut_lineage(_value_blocks(df.filter(F.col(value).isNotNull()), value).withColumn("_held", F.col(value) * F.col("_m")))
     run = prefix_sums(blocks, value, ["_m", "_held"])
     tot = blocks.agg(F.sum("_m").alias("_n"), F.sum("_held").alias("_T"))
     return run.crossJoin(F.broadcast(tot)).select(
