@@ -206,6 +206,7 @@ def ward_clusters(df: DataFrame, features: list[str], k: int = 5, *, out: str =
     """``df`` with the cluster of each row, 0 being the largest (ties by
     centre).  Features are standardised by all rows (population deviation, as
     constant ones are left at nought); ``scaled`` names a column for them."""
+    df = cut_lineage(df)  # read by the statistics, the summaries and the labels
     x = [F.col(f"`{c}`").cast("double") for c in features]
     stats = df.where(F.size(F.filter(F.array(*x), lambda v: v.isNull())) == 0).agg(
         *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(x)]).first()
