@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regula.functions.columns import count_of, ratio
-from regula.operators.relational import grouped_quantiles, prefix_sums
-from regula.session import cut_lineage
+from regula.operators.relational import few_broadcast, grouped_quantiles, prefix_sums
+from regula.session import cut_lineage, dealt, written
 
 
 # ------------------------------------------------------------- M1 / M2 / M3
@@ -21,21 +21,24 @@ def approval_training_table(subs: DataFrame, apps: DataFrame, products: DataFram
     the IsApproved label (M1).  Missing product info -> 0 (C14)."""
     s = (subs.withColumn("Year", F.year(date)).withColumn("Month", F.month(date))
              .withColumn("IsApproved", F.coalesce(F.col(status) == approved, F.lit(False)).cast("int")))
+    s = dealt(s, key)
     a = apps.select(key, "ApplType", "SponsorName")
-    p = products.groupBy(key).agg(F.count("ProductNo").alias("ProductCount"),
-                                  F.countDistinct("Form").alias("UniqueFormCount"),
-                                  F.countDistinct("ActiveIngredient").alias("UniqueIngredientCount"),
-                                  F.sum("ReferenceDrug").alias("ReferenceProductCount"))
+    p = dealt(products.select(key, "ProductNo", "Form", "ActiveIngredient", "ReferenceDrug"), key)
+    p = p.groupBy(key).agg(F.count("ProductNo").alias("ProductCount"),
+                           F.countDistinct("Form").alias("UniqueFormCount"),
+                           F.countDistinct("ActiveIngredient").alias("UniqueIngredientCount"),
+                           F.sum("ReferenceDrug").alias("ReferenceProductCount"))
     j = s.join(a, key, "left").join(p, key, "left")
     return j.na.fill(0, ["ProductCount", "UniqueFormCount", "UniqueIngredientCount", "ReferenceProductCount"])
 
 
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
     """Alphabetical integer codes (M3), like ``StringIndexer(alphabetAsc)``:
-    codes are ranked over the distinct values only, then joined back."""
+    codes are ranked over the distinct values only, then joined back; those of
+    few values go to all tasks."""
     values = df.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
-    codes = prefix_sums(values, col, ["_one"]).select(col, F.col("_one_before").cast("int").alias(out))
-    return df.join(codes, col, "left")
+    codes = cut_lineage(prefix_sums(values, col, ["_one"]).select(col, F.col("_one_before").cast("int").alias(out)))
+    return df.join(few_broadcast(codes), col, "left")
 
 
 # The model's features.
@@ -49,13 +52,13 @@ def approval_features(table: DataFrame, *, recent_year: int = 2015, sponsor_stat
     """The 13-feature classification table (M2).  Sponsor count and approval
     rate come from ``sponsor_stats_from`` (the training split, D9); pass
     None for the reference's whole-data (leaky) statistics."""
-    table = cut_lineage(table)  # a three-way join that four steps below read
+    table = written(table)  # a three-way join that four steps below read, few columns each
     t = label_encode(table, "ApplType", "ApplType_Encoded")
     t = label_encode(t, "ReviewPriority", "ReviewPriority_Encoded")
     src = table if sponsor_stats_from is None else sponsor_stats_from
     sp = (src.filter(F.col("SponsorName").isNotNull()).groupBy("SponsorName")
              .agg(F.count(key).alias("SponsorSubmissionCount"), F.avg("IsApproved").alias("SponsorApprovalRate")))
-    t = t.join(sp, "SponsorName", "left")
+    t = dealt(t, "SponsorName", rows=table.count()).join(sp, "SponsorName", "left")
     t = (t.withColumn("IsRecentSubmission", F.coalesce(F.col("Year") >= recent_year, F.lit(False)).cast("int"))
           .withColumn("IsQ4Submission", F.coalesce(F.col("Month").isin(10, 11, 12), F.lit(False)).cast("int")))
     return t.na.drop(subset=FEATURES + ["IsApproved"])
@@ -79,8 +82,8 @@ def hash_cuts(df: DataFrame, key_cols: list[str], stratum: str | None, shares: l
     rows = df.withColumn("_h", h)
     cuts = grouped_quantiles(rows, keys, "_h", shares, "_cuts")
     if stratum:
-        cuts = cuts.withColumnRenamed(stratum, "_stratum")
-        rows = rows.join(cuts, F.col(stratum).eqNullSafe(F.col("_stratum")))
+        cuts = cut_lineage(cuts.withColumnRenamed(stratum, "_stratum"))
+        rows = rows.join(few_broadcast(cuts), F.col(stratum).eqNullSafe(F.col("_stratum")))
     else:
         rows = rows.crossJoin(F.broadcast(cuts))
     passed = F.aggregate("_cuts", F.lit(0), lambda n, cut: n + (F.col("_h") >= cut).cast("int"))
@@ -99,8 +102,8 @@ def split_flag(df: DataFrame, key_cols: list[str], test_fraction: float = 0.2, s
 def roc_points(scored: DataFrame, score: str, label: str) -> DataFrame:
     """ROC curve at every distinct score threshold (M6): cumulative true and
     false positives over the distinct scores, descending."""
-    g = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"),
-                                  F.count_if(F.col(label) == 0).alias("_neg"))
+    g = cut_lineage(scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"),
+                                              F.count_if(F.col(label) == 0).alias("_neg")))
     tot = g.agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     c = prefix_sums(g, score, ["_pos", "_neg"], descending=True).crossJoin(F.broadcast(tot))
     return c.select(F.col(score).alias("threshold"),
