@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from regula.operators.ml_tables import auc, classification_report, confusion_matrix, hash_cuts, roc_points
 from regula.operators.relational import prefix_sums
-from regula.session import cut_lineage
+from regula.session import cut_lineage, written
 
 #: partitions of a training frame, and of one that a bounded sample makes
 FIT_PARTITIONS = 16
@@ -412,7 +412,7 @@ def bisecting_clusters(df: DataFrame, features: list[str], k: int = 5, seed: int
 def pca_summary(df: DataFrame, features: list[str], k: int = 2, top: int = 10):
     """PCA on standardised features (M22): explained variance per component
     and the largest |loadings| of PC1."""
-    data, _ = scaled(assembled(df, features))
+    data, _ = scaled(assembled(cut_lineage(df), features))  # read by every level
     m = PCA(k=k, inputCol="scaled", outputCol="pca").fit(data)
     spark = df.sparkSession
     ev = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(m.explainedVariance.toArray())],
