@@ -412,7 +412,7 @@ def bisecting_clusters(df: DataFrame, features: list[str], k: int = 5, seed: int
 def pca_summary(df: DataFrame, features: list[str], k: int = 2, top: int = 10):
     """PCA on standardised features (M22): explained variance per component
     and the largest |loadings| of PC1."""
-    data, _ = scaled(assembled(cut_lineage(df), features))  # read by every level
+    data, _ = scaled(assembled(cut_lineage(df), features))  # read by the scaler and by the fit
     m = PCA(k=k, inputCol="scaled", outputCol="pca").fit(data)
     spark = df.sparkSession
     ev = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(m.explainedVariance.toArray())],
