@@ -350,11 +350,11 @@ def approval_time_regression(table: DataFrame, features: list[str], target: str
     """Random-forest regression of approval days (M14): 80/20 split, fitted on
     the whole training part, MAE, RMSE, R2 and the importances."""
     from regula.operators.ml_tables import split_flag
-    d = materialise(split_flag(assembled(table, features), list(key_cols), 0.2, seed))
+    d = materialise(split_flag(assembled(written(table), features), list(key_cols), 0.2, seed))
     tr, te = d.filter(~F.col("is_test")), d.filter(F.col("is_test"))
     m = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=100, maxDepth=rf_depth,
                               seed=seed).fit(tr)
-    pred = m.transform(te)
+    pred = cut_lineage(m.transform(te).select(target, "prediction"))  # read once a metric
     ev = RegressionEvaluator(labelCol=target, predictionCol="prediction")
     spark = table.sparkSession
     met = spark.createDataFrame([(ev.evaluate(pred, {ev.metricName: "mae"}), ev.evaluate(pred, {ev.metricName: "rmse"}),
