@@ -35,7 +35,10 @@ from regula.llm.text import slices
 
 MARK = "▁"
 #: cuts whose pieces a worker remembers before it starts afresh
-STORE = 400_000
+STORE = 200_000
+#: bytes of text that are taken apart at once: their cuts, alignments and spans
+#: take some hundred times as much
+SLICE_BYTES = 1 << 19
 
 
 def _fields(blob: bytes):
@@ -189,6 +192,7 @@ class Codec:
         self.special = {i for i in range(n) if self.byte[i] is not None or self.hidden[i] or i == self.unknown}
         self.length = np.array([1 if b is not None else len(p.encode()) for p, b in zip(pieces, self.byte)], np.int64)
         self._ids: dict[str, str] = {}
+        #: decoded text of the cuts that do not come back as they were
         self._surface: dict[str, str] = {}
 
     # -- encoding -------------------------------------------------------
@@ -199,14 +203,15 @@ class Codec:
             return
         if len(self._ids) + len(new) > STORE:  # start afresh with what is needed now
             self._ids = {c: self._ids[c] for c in cuts if c in self._ids}
-            self._surface = {c: self._surface[c] for c in self._ids}
+            self._surface = {c: self._surface[c] for c in self._ids if c in self._surface}
         plain = [c[1:].replace(MARK, " ") if c[0] == MARK else c for c in new]
         for cut, ids in zip(new, self.sp.encode(plain, num_threads=1)):
             # the library puts its dummy mark in front of whatever it is given
             # (nothing for an empty text); a cut at a line feed has none of its own
             ids = ([self.mark_id] if cut == MARK else ids) if cut[0] == MARK else ids[1:]
             self._ids[cut] = " ".join(map(str, ids))
-            self._surface[cut] = self.surface(ids)
+            if (surface := self.surface(ids)) != cut.replace(MARK, " "):
+                self._surface[cut] = surface
 
     def surface(self, ids) -> str:
         """Decoded text of ids, the dummy mark still in front: runs of byte
@@ -262,7 +267,10 @@ class Codec:
                 written = " ".join(map(self._ids.__getitem__, cuts[i]))
                 ids = np.fromstring(written, np.int64, sep=" ")
                 lengths = self.length[ids]
-                decoded = "".join(map(self._surface.__getitem__, cuts[i]))
+                if self._surface.keys().isdisjoint(cuts[i]):
+                    decoded = text.replace(MARK, " ")
+                else:
+                    decoded = "".join([self._surface[c] if c in self._surface else c.replace(MARK, " ") for c in cuts[i]])
                 decoded = decoded[1:] if decoded.startswith(" ") else decoded
             else:
                 pieces = self.sp.encode(texts[i], return_type="proto").pieces
@@ -294,7 +302,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def encode(batches):
         c = codec(model_path)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             texts = [t or "" for t in part.column("text").to_pylist()]
             found, end = c.encode(texts), c.sp.eos_id()
             last = [len(t.encode()) for t in texts]

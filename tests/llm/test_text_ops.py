@@ -126,6 +126,19 @@ def test_sentencepiece_equals_the_library(spark):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: sp.decode(sp.encode(t or "")) for i, t in enumerate(texts)}
 
 
+def test_sentencepiece_workers_keep_one_copy_of_a_cut():
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    codec = sentencepiece_codec.Codec(MODEL)
+    texts = [cases.words(300) + "\nnext  line ", "plain", "odd \U0001f9ff\U0001f9ff cut and \x07 more", "plain odd \U0001f9ff\U0001f9ff"]
+    for t, (ids, _, _, written, decoded) in zip(texts, codec.encode(texts)):
+        want = sp.encode(t)
+        assert ids.tolist() == want and written == " ".join(map(str, want)) and decoded == sp.decode(want)
+    plain = sentencepiece_codec.Codec(MODEL)
+    plain.encode(texts[:2])
+    assert plain._ids and not plain._surface
+    assert sentencepiece_codec.SLICE_BYTES <= 1 << 20
+
+
 def test_longest_prefix_of_a_character_map():
     """A hand-made double array that maps "ab" to "X" and "a" to "yy"."""
     units = [0] * 512
