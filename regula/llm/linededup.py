@@ -17,9 +17,9 @@ and task.  Candidates are confirmed on their full sets, and a distributed
 union-find (``links``) joins the links up.  Of each component the first line,
 by document id and position, stays.
 
-A line is known by its 64-bit hash.  Texts are moved again only for candidate
-lines: a table of at most ``FILTER`` hash remainders, whose size is bounded by
-construction, is broadcast to leave out lines that cannot be candidates.
+A line is known by its 64-bit hash.  Texts are moved once, for candidate lines
+only (``links.likely_rows`` leaves out the others by a broadcast table whose
+size is bounded by construction).
 
 Defined results: a null text has no lines and stays null; an empty text stays
 empty; equal lines are one class however often they occur; rows that share an
@@ -32,15 +32,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regula.llm.links import linked_components, marks_columns
+from regula.llm.links import likely_rows, linked_components, paired, set_marks
 from regula.session import release, written
 
 Q = 10
 PERCENT = 80
 BANDS = 8
 ROWS = 3
-FILTER = 1 << 20
-ENOUGH = 128
+ENOUGH = 192
 #: words of 64 parities that rule out pairs of crowded buckets
 WORDS = 32
 # White space around a line.
@@ -85,7 +84,7 @@ def _signed(lines: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
     holes = F.greatest(*[F.col(f"c{j}").isNull() for j in range(BANDS * ROWS)])
     # the cut spares lines of at most ENOUGH code units
     again = (F.col("size") > ENOUGH - Q) & holes
-    return first, written(_cells(_texts(lines, first.where(again).select("k")), False)), again
+    return first, written(_cells(_texts(lines, first.where(again).select(F.col("k").alias("id"))).withColumnRenamed("id", "k"), False)), again
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -111,10 +110,9 @@ def _shingles(line: str) -> Column:
 
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """k, line of the distinct lines named by ``ids`` (column k)."""
-    coarse = ids.select(F.pmod("k", F.lit(FILTER)).alias("r")).distinct()
-    near = lines.where("line <> ''").select("k", "line").join(F.broadcast(coarse), F.pmod("k", F.lit(FILTER)) == F.col("r"), "left_semi")
-    return near.join(ids, "k", "left_semi").dropDuplicates(["k"])
+    """id (the hash), line of the distinct lines named by ``ids`` (column id)."""
+    near = likely_rows(lines.where("line <> ''").select(F.col("k").alias("id"), "line"), "id", ids)
+    return near.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def line_components(lines: DataFrame) -> DataFrame:
@@ -122,19 +120,19 @@ def line_components(lines: DataFrame) -> DataFrame:
     first, whole, again = _signed(lines)
     buckets = line_buckets(first.where(~again).union(whole))
 
-    def marks(ids: DataFrame) -> DataFrame:
-        texts = _texts(lines, ids.select(F.col("id").alias("k")))
-        return texts.select(F.col("k").alias("id"), F.explode(_shingles("line")).alias("h")).groupBy("id").agg(*marks_columns(WORDS))
+    def near(ids: DataFrame) -> DataFrame:
+        return _texts(lines, ids)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        texts = _texts(lines, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-        right = texts.select(F.col("k").alias("b"), F.col("line").alias("lb"))
-        left = texts.select(F.col("k").alias("a"), F.col("line").alias("la"))
-        sets = pairs.join(right, "b").join(left, "a").select("a", "b", _shingles("la").alias("sa"), _shingles("lb").alias("sb"))
+    def marks(kept: DataFrame, ids: DataFrame) -> DataFrame:
+        texts = likely_rows(kept, "id", ids).join(ids, "id", "left_semi")
+        return set_marks(texts.select("id", F.explode(_shingles("line")).alias("h")), WORDS)
+
+    def verify(kept: DataFrame, pairs: DataFrame) -> DataFrame:
+        sets = paired(pairs, kept, "line").select("a", "b", _shingles("sa").alias("sa"), _shingles("sb").alias("sb"))
         both = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
         return both.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
 
-    joined = linked_components(buckets, verify, marks, PERCENT)
+    joined = linked_components(buckets, near, verify, marks, PERCENT)
     release(first, whole)
     return joined
 

@@ -13,7 +13,36 @@ from pyspark.sql import functions as F
 
 from regula.session import release, written
 
-Verify = Callable[[DataFrame], DataFrame]
+Near = Callable[[DataFrame], DataFrame]
+Verify = Callable[[DataFrame, DataFrame], DataFrame]
+#: remainders of hashes that rule out rows before they are shuffled
+FILTER = 1 << 20
+
+
+def likely_rows(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``table`` without most rows whose ``key`` is none of ``ids`` (column id):
+    at most ``FILTER`` remainders are broadcast, however many ids there are."""
+    rest = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER))
+    coarse = ids.select(rest("id").alias("_rest")).distinct()
+    return table.join(F.broadcast(coarse), rest(key) == F.col("_rest"), "left_semi")
+
+
+def paired(pairs: DataFrame, kept: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b) with ``column`` of both ids from ``kept``, as sa and sb.
+    Contents are dealt by id at any size: none is broadcast."""
+    rows = likely_rows(kept.select("id", column), "id", pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    right = rows.select(F.col("id").alias("b"), F.col(column).alias("sb"))
+    left = rows.select(F.col("id").alias("a"), F.col(column).alias("sa"))
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
+
+
+def not_ruled_out(pairs: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) that sizes and parities of ``marked`` (as ``set_marks``)
+    do not rule out."""
+    words = [c for c in marked.columns if c.startswith("w")]
+    c, m = marked.alias("c"), marked.alias("m")
+    met = pairs.join(c, F.col("a") == F.col("c.id")).join(m, F.col("b") == F.col("m.id"))
+    return met.where(_near(percent, words)).select("a", "b").distinct()
 
 
 def _star_round(edges: DataFrame) -> DataFrame:
@@ -58,12 +87,14 @@ SLICES = 8
 FEW_WORDS = 8
 
 
-def marks_columns(words: int, h: str = "h") -> list[Column]:
-    """n and w0, w1, ...: size of a group's set of distinct hashes ``h`` and the
-    parities of its elements thrown on 64 * ``words`` bits."""
-    bit = F.expr(f"shiftleft(1L, cast({h} & 63 as int))")
-    word = F.expr(f"pmod(shiftright({h}, 6), {words})")
-    return [F.count("*").alias("n"), *[F.coalesce(F.bit_xor(F.when(word == j, bit)), F.lit(0)).cast("bigint").alias(f"w{j}") for j in range(words)]]
+def set_marks(elements: DataFrame, words: int) -> DataFrame:
+    """id, n and w0, w1, ...: size of an id's set of distinct hashes (columns
+    id, h) and the parities of its elements thrown on 64 * ``words`` bits."""
+    thrown = elements.select("id", F.expr(f"cast(pmod(shiftright(h, 6), {words}) as int)").alias("word"),
+                             F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    per = thrown.groupBy("id", "word").agg(F.count("*").alias("n"), F.bit_xor("bit").alias("odd"))
+    return per.groupBy("id").agg(F.sum("n").alias("n"), *[
+        F.coalesce(F.max(F.when(F.col("word") == j, F.col("odd"))), F.lit(0)).cast("bigint").alias(f"w{j}") for j in range(words)])
 
 
 def _near(percent: int, words: list[str]) -> Column:
@@ -89,13 +120,16 @@ def _mixed(members: DataFrame, named: DataFrame) -> DataFrame:
     return written(labelled.join(tops.select("bucket", F.col("top.label").alias("main")), "bucket"))
 
 
-def linked_components(buckets: DataFrame, verify: Verify, marks: Verify, percent: int) -> DataFrame:
+def linked_components(buckets: DataFrame, near: Near, verify: Verify, marks: Verify, percent: int) -> DataFrame:
     """Components of the verified links (Jaccard similarity of at least
     ``percent`` per cent) among ids that share a bucket.
 
     ``buckets`` has bucket and id (one row per bucket and id) and is read
-    twice; ``verify`` turns candidate pairs (a < b) into those that are links;
-    ``marks`` gives id and ``marks_columns`` for a table of ids.
+    twice; ``near`` gives id and content for a table of ids and is called once,
+    for all ids that share a bucket; ``verify`` turns candidate pairs (a < b)
+    into those that are links and ``marks`` gives id, n and parities (``set_marks``) for a
+    table of ids, both from that content (first argument).  So texts are moved
+    once, not in every round.
 
     Stars: every member of a bucket is compared with the bucket's least id,
     which joins up a group of copies in linear work, whatever its size.
@@ -106,9 +140,10 @@ def linked_components(buckets: DataFrame, verify: Verify, marks: Verify, percent
     lost) become rows.  Members that no comparison touched lie in one component
     already, so no link between components that share a bucket is missed."""
     leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = written(buckets.join(leaders.select("bucket", "leader"), "bucket").select("bucket", "id", "leader"))
+    members = written(buckets.join(leaders.select("bucket", "leader").hint("merge"), "bucket").select("bucket", "id", "leader"))
+    kept = written(near(members.select("id").distinct()))
     seen = first = written(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    named = components(verify(seen))
+    named = components(verify(kept, seen))
     marked, met = None, []
     for turn in range(1, ROUNDS + 2):
         mixed = _mixed(members.drop("leader"), named)
@@ -116,7 +151,7 @@ def linked_components(buckets: DataFrame, verify: Verify, marks: Verify, percent
             release(mixed)
             break
         if marked is None:
-            marked = written(marks(mixed.select("id").distinct()))
+            marked = written(marks(kept, mixed.select("id").distinct()))
             words = [c for c in marked.columns if c.startswith("w")]
         rest = mixed.join(marked, "id")
         if turn <= ROUNDS:
@@ -133,11 +168,11 @@ def linked_components(buckets: DataFrame, verify: Verify, marks: Verify, percent
         met.append(pairs)
         if pairs.isEmpty():
             continue
-        found = written(verify(pairs))
+        found = written(verify(kept, pairs))
         seen = seen.union(pairs)
         if not found.isEmpty():
             old, named = named, components(named.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.select("a", "b")))
             release(old)
         release(found)
-    release(members, first, *met, *([marked] if marked is not None else []))
+    release(members, kept, first, *met, *([marked] if marked is not None else []))
     return named

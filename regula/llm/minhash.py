@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regula.llm.links import components, linked_components
+from regula.llm.links import components, likely_rows, linked_components, not_ruled_out, paired
 from regula.llm.text import lower_ascii, mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 from regula.session import release, written
 
@@ -98,23 +98,11 @@ def sketch_documents(docs: DataFrame, shingle: int, bands: int, rows: int) -> Da
 
 
 def set_table(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and the whole set as an array of hashes."""
-    def sets(batches):
-        for part in slices(batches, "text"):
-            found = list(shingle_sets(part.column("text"), shingle))
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))],
-                names=["doc_id", "shingles"])
-
-    return docs.mapInArrow(sets, "doc_id bigint, shingles array<bigint>")
-
-
-def set_marks(docs: DataFrame, shingle: int) -> DataFrame:
-    """id and the marks (``links.marks_columns``) of each whole set."""
+    """id, the whole set as an array of hashes, its size and its parities (as
+    ``links.set_marks``)."""
     names = ["id", "n", *[f"w{j}" for j in range(WORDS)]]
 
-    def marks(batches):
+    def sets(batches):
         for part in slices(batches, "text"):
             sets = list(shingle_sets(part.column("text"), shingle))
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -122,10 +110,12 @@ def set_marks(docs: DataFrame, shingle: int) -> DataFrame:
             odd = np.zeros((len(sets), WORDS), np.uint64)
             np.bitwise_xor.at(odd, (np.repeat(np.arange(len(sets)), sizes), ((h >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64)),
                               np.uint64(1) << (h & np.uint64(63)))
+            ends = np.cumsum([0, *sizes]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes), *[pa.array(odd[:, j].copy().view(np.int64)) for j in range(WORDS)]], names=names)
+                [part.column("doc_id"), pa.array(sizes), *[pa.array(odd[:, j].copy().view(np.int64)) for j in range(WORDS)],
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=[*names, "shingles"])
 
-    return docs.mapInArrow(marks, ", ".join(f"{c} bigint" for c in names))
+    return docs.mapInArrow(sets, ", ".join(f"{c} bigint" for c in names) + ", shingles array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
@@ -139,23 +129,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sketches.where("digest IS NOT NULL").join(classes, "digest").select("doc_id", "n_shingles", "first_id")
         .union(sketches.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("first_id"))))
     one = classes.select("digest", F.col("first_id").alias("id"))
-    buckets = sketches.join(one, "digest").where("doc_id = id").dropDuplicates(["id", "digest"]) \
+    buckets = sketches.join(one.hint("merge"), "digest").where("doc_id = id").dropDuplicates(["id", "digest"]) \
         .select("id", F.explode("buckets").alias("bucket"))
 
-    def marks(ids: DataFrame) -> DataFrame:
-        return set_marks(texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), shingle).distinct()
+    left: list[DataFrame] = []
+
+    def near(ids: DataFrame) -> DataFrame:
+        return set_table(likely_rows(texts, "doc_id", ids).join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), shingle)
+
+    def marks(kept: DataFrame, ids: DataFrame) -> DataFrame:
+        return kept.drop("shingles").join(ids, "id", "left_semi").distinct()
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = set_table(texts.join(ids, "doc_id", "left_semi"), shingle)
-        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    def verify(kept: DataFrame, pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(right, "b").join(left, "a").withColumn("both", both) \
+        left.append(written(not_ruled_out(pairs, kept.drop("shingles"), percent)))
+        return paired(left[-1], kept, "shingles").withColumn("both", both) \
             .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
 
-    found = linked_components(buckets, verify, marks, percent)
-    release(sketches)
+    found = linked_components(buckets, near, verify, marks, percent)
+    release(sketches, *left)
     # rows of one id in several classes tie these classes together
     shared = member.groupBy("doc_id").agg(F.min("first_id").alias("lo"), F.max("first_id").alias("hi")).where("lo < hi")
     ties = member.join(shared, "doc_id").where("first_id > lo").select(F.col("first_id").alias("a"), F.col("lo").alias("b"))

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from regula.llm import linededup, links, minhash, suffixdedup, text
 from tests.llm import cases
@@ -220,3 +221,46 @@ def test_long_lines_of_a_repeated_phrase_match_brute_force(spark):
     assert len(signed) == len(docs)
     got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r["doc_id"]: r["text"] for r in got.collect()} == _line_brute(docs)
+
+
+def test_contents_are_fetched_once_for_all_rounds(spark):
+    # members alike to 8 only, which is not the bucket's least id
+    base = [7919 * (i + 1) for i in range(100)]
+    sets = {i: base[:10 * i] + base[10 * i + 10:] for i in range(8)} | {8: base, 9: [5, 6], 10: [5, 6, 7]}
+    calls = []
+
+    def near(ids):
+        calls.append(sorted(r["id"] for r in ids.collect()))
+        return links.likely_rows(spark.createDataFrame(sorted(sets.items()), "id long, s array<long>"), "id", ids).join(ids, "id", "left_semi")
+
+    def marks(kept, ids):
+        return links.set_marks(kept.join(ids, "id", "left_semi").select("id", F.explode("s").alias("h")), 4)
+
+    def verify(kept, pairs):
+        both = F.size(F.array_intersect("sa", "sb"))
+        return links.paired(pairs, kept, "s").where(100 * both >= 85 * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+    buckets = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 9), (2, 10), (3, 11)], "bucket long, id long")
+    got = links.linked_components(buckets, near, verify, marks, 85)
+    assert {r["id"]: r["component"] for r in got.collect()} == {i: 0 for i in range(1, 9)}
+    assert calls == [list(range(11))]
+
+
+def test_parities_of_sets(spark):
+    sets = {1: [0, 63, 64, 200, -7], 2: [5], 3: list(range(0, 9000, 37))}
+    rows = spark.createDataFrame([(i, h) for i, hs in sets.items() for h in hs], "id long, h long")
+    for r in links.set_marks(rows, 4).collect():
+        odd = [0] * 4
+        for h in sets[r["id"]]:
+            odd[(h >> 6) % 4] ^= 1 << (h & 63)
+        assert r["n"] == len(sets[r["id"]]) and [r[f"w{j}"] % 2**64 for j in range(4)] == odd
+
+
+def test_texts_are_not_broadcast_and_move_for_candidates_only(spark):
+    rows = spark.createDataFrame([(i, cases.words(30, 100 * i)) for i in range(200)], "id long, text string")
+    ids = spark.createDataFrame([(3,), (9,)], "id long")
+    assert sorted(r["id"] for r in links.likely_rows(rows, "id", ids).collect()) == [3, 9]
+    pairs = spark.createDataFrame([(3, 9)], "a long, b long")
+    joined = links.paired(pairs, rows, "text")
+    assert [(r["a"], r["b"], r["sa"], r["sb"]) for r in joined.collect()] == [(3, 9, cases.words(30, 300), cases.words(30, 900))]
+    assert joined._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 2
