@@ -7,7 +7,7 @@ at a Jaccard similarity of at least ``PERCENT`` per cent.
 
 Signature: one hash throws each shingle into one of ``BANDS * ROWS`` cells and a
 cell keeps its least value; three cells make a bucket.  Values so large that
-they are the least of their cell once in 200 times only (``ENOUGH`` smaller ones
+they are the least of their cell once in 3 000 times only (``ENOUGH`` smaller ones
 are expected in a line without repeats) are left out before the aggregation, and
 lines left with an empty cell are signed again with all values.  A pair at 0.8 shares
 one of the eight buckets with probability 0.997, at 0.9 with 0.99997.  One row
