@@ -60,23 +60,29 @@ def _star_round(edges: DataFrame) -> DataFrame:
     return small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each id of the distinct edges (id > component) has one edge up
+    and none down."""
+    ends = edges.select(F.col("id").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")) \
+        .union(edges.select(F.col("component").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the least id of its component) for every id in ``edges``
     (columns a, b) but the least ones themselves.
 
-    Alternating large-star and small-star steps until the edge set stays the
-    same; then every edge leads from a node to its component's least id."""
+    Alternating large-star and small-star steps until the edges are separate
+    stars; as every edge leads to the lesser id, a star's centre is then its
+    component's least id.  No round is spent on seeing that nothing changes."""
     high, low = F.greatest("a", "b"), F.least("a", "b")
     current = written(edges.where("a <> b").select(high.alias("id"), low.alias("component")).distinct())
-    before = None
-    while True:
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            return current
-        old, before = current, now
+    while not _are_stars(current):
+        old = current
         current = written(_star_round(old.select(F.col("id").alias("a"), F.col("component").alias("b")))
                           .select(F.col("a").alias("id"), F.col("b").alias("component")))
         release(old)
+    return current
 
 
 #: rounds of stars around drawn centres before the exact round; a bucket has
@@ -168,11 +174,8 @@ def linked_components(buckets: DataFrame, near: Near, verify: Verify, marks: Ver
         met.append(pairs)
         if pairs.isEmpty():
             continue
-        found = written(verify(kept, pairs))
         seen = seen.union(pairs)
-        if not found.isEmpty():
-            old, named = named, components(named.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.select("a", "b")))
-            release(old)
-        release(found)
+        old, named = named, components(named.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verify(kept, pairs).select("a", "b")))
+        release(old)
     release(members, kept, first, *met, *([marked] if marked is not None else []))
     return named

@@ -264,3 +264,17 @@ def test_texts_are_not_broadcast_and_move_for_candidates_only(spark):
     joined = links.paired(pairs, rows, "text")
     assert [(r["a"], r["b"], r["sa"], r["sb"]) for r in joined.collect()] == [(3, 9, cases.words(30, 300), cases.words(30, 900))]
     assert joined._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 2
+
+
+def test_finished_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    star_round = links._star_round
+    monkeypatch.setattr(links, "_star_round", lambda edges: rounds.append(1) or star_round(edges))
+    stars = [(1, 2), (3, 1), (1, 2), (5, 9), (5, 5)]
+    got = links.components(spark.createDataFrame(stars, "a long, b long"))
+    assert sorted((r["id"], r["component"]) for r in got.collect()) == [(2, 1), (3, 1), (9, 5)] and not rounds
+    # an id with two edges up, and a centre that has an edge up itself
+    for edges, want in (([(1, 4), (2, 4)], {2: 1, 4: 1}), ([(1, 2), (2, 3)], {2: 1, 3: 1})):
+        rounds.clear()
+        got = links.components(spark.createDataFrame(edges, "a long, b long"))
+        assert {r["id"]: r["component"] for r in got.collect()} == want and len(rounds) == 1
