@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regula.llm.links import likely_rows, linked_components, paired, set_marks
+from regula.llm.links import alike, likely_rows, linked_components, paired, set_marks
 from regula.session import release, written
 
 Q = 10
@@ -40,6 +40,8 @@ PERCENT = 80
 BANDS = 8
 ROWS = 3
 ENOUGH = 192
+#: rows that share out a line's bands while they are found
+PARTS = 4
 #: words of 64 parities that rule out pairs of crowded buckets
 WORDS = 32
 # White space around a line.
@@ -56,57 +58,71 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _cells(lines: DataFrame, cut: bool) -> DataFrame:
-    """k, size and the cells c0, c1, ... of each line; with ``cut``, values
-    above the line's bound leave their cell empty."""
-    cells = BANDS * ROWS
+    """k, part, size and the part's cells c0, c1, ... of each line; with ``cut``,
+    values above the line's bound leave their cell empty.  Every row of an
+    aggregation writes all its columns, so a line's cells are in ``PARTS`` rows."""
+    cells, own = BANDS * ROWS, BANDS * ROWS // PARTS
     coded = lines.where("line <> ''").select("k", F.expr("encode(line, 'UTF-16BE')").alias("code")) \
         .select("k", "code", F.expr("octet_length(code) div 2").alias("n"))
-    spots = coded.select("k", "n", "code", F.explode(F.expr(f"sequence(0, greatest(cast(n as int) - {Q}, 0))")).alias("p"))
-    hashed = spots.select("k", "n", "p", F.expr(f"xxhash64(substring(code, 2 * p + 1, {2 * Q}))").alias("h"))
-    value = F.expr("h & 4294967295")
+    # the positions below 0 give a row to each part, so that none is missing
+    spots = coded.select("k", "n", "code", F.explode(F.expr(f"sequence({-PARTS}, greatest(cast(n as int) - {Q}, 0))")).alias("p"))
+    # as rows of its own, a hash is not made anew for every filter and column that names it
+    hashed = spots.select("k", "n", "p", F.explode(F.expr(f"array(xxhash64(substring(code, 2 * greatest(p, 0) + 1, {2 * Q})))")).alias("h"))
+    real = F.expr("p >= 0")
     if cut:
-        # a line's first row stays in any case, so that no line is missing
         low = f"(h & 4294967295) * n < {ENOUGH << 32}"
-        hashed, value = hashed.where(f"p = 0 OR {low}"), F.when(F.expr(low), value)
-    thrown = hashed.select("k", "n", F.expr(f"cast(shiftrightunsigned(h, 33) % {cells} as int)").alias("cell"), value.alias("v"))
-    return thrown.groupBy("k").agg(
+        hashed = hashed.where(f"p < 0 OR {low}")
+    thrown = hashed.select("k", "n", F.when(real, F.expr(f"cast(shiftrightunsigned(h, 33) % {cells} as int)"))
+                           .otherwise(F.expr(f"(-1 - p) * {own}")).alias("cell"), F.when(real, F.expr("h & 4294967295")).alias("v"))
+    return thrown.groupBy("k", F.expr(f"cell div {own}").cast("int").alias("part")).agg(
         F.max(F.greatest(F.col("n") - (Q - 1), F.lit(1))).alias("size"),
-        *[F.min(F.when(F.col("cell") == j, F.col("v"))).alias(f"c{j}") for j in range(cells)])
+        *[F.min(F.when(F.col("cell") % own == j, F.col("v"))).alias(f"c{j}") for j in range(own)])
 
 
-def _signed(lines: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
-    """Two written tables of cells and which rows of the first the second replaces.
+def _signs(lines: DataFrame, cut: bool) -> DataFrame:
+    """k, part, size, whole and buckets (one per band, null without a filled
+    cell) of each line's parts; ``whole`` is false where the cut can have left an
+    empty cell.  Later steps read these few columns, not the cells."""
+    bands = BANDS // PARTS
+    keys = []
+    for b in range(bands):
+        own = [F.col(f"c{b * ROWS + r}") for r in range(ROWS)]
+        filled = F.coalesce(*own).isNotNull()
+        keys.append(F.when(filled, F.xxhash64(F.col("part") * bands + b, *[F.coalesce(c, F.lit(-1)) for c in own])))
+    full = F.least(*[F.col(f"c{j}").isNotNull() for j in range(bands * ROWS)])
+    # the cut spares lines of at most ENOUGH code units
+    whole = full | (F.col("size") <= ENOUGH - Q) if cut else F.lit(True)
+    return _cells(lines, cut).select("k", "part", "size", whole.alias("whole"), F.array(*keys).alias("buckets"))
+
+
+def _signed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables of ``_signs``; the second has what replaces the rows of
+    the first that are not ``whole``.
 
     A cell that the cut leaves filled holds its least value.  Lines that the
     cut can have left with an empty cell (those of a repeated phrase have few
     distinct shingles for their length) are signed again without it."""
-    first = written(_cells(lines, True))
-    holes = F.greatest(*[F.col(f"c{j}").isNull() for j in range(BANDS * ROWS)])
-    # the cut spares lines of at most ENOUGH code units
-    again = (F.col("size") > ENOUGH - Q) & holes
-    return first, written(_cells(_texts(lines, first.where(again).select(F.col("k").alias("id"))).withColumnRenamed("id", "k"), False)), again
+    first = written(_signs(lines, True))
+    holes = first.where("NOT whole").select("k", "part")
+    again = _texts(lines, holes.select(F.col("k").alias("id")).distinct())
+    return first, written(_signs(again.withColumnRenamed("id", "k"), False).join(holes, ["k", "part"], "left_semi"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """k, size (shingle positions) and the cells c0, c1, ... of each distinct line."""
-    first, whole, again = _signed(lines)
-    return first.where(~again).union(whole)
+    """k, part, size (shingle positions) and buckets of each distinct line's parts."""
+    first, again = _signed(lines)
+    return first.where("whole").union(again).drop("whole")
 
 
 def line_buckets(signed: DataFrame) -> DataFrame:
     """bucket, id: one row per line and band with a filled cell."""
-    keys = []
-    for b in range(BANDS):
-        own = [F.col(f"c{b * ROWS + r}") for r in range(ROWS)]
-        filled = F.coalesce(*own).isNotNull()
-        keys.append(F.when(filled, F.xxhash64(F.lit(b), *[F.coalesce(c, F.lit(-1)) for c in own])))
-    return signed.select(F.col("k").alias("id"), F.explode(F.array(*keys)).alias("bucket")).where("bucket IS NOT NULL")
+    return signed.select(F.col("k").alias("id"), F.explode("buckets").alias("bucket")).where("bucket IS NOT NULL")
 
 
-def _shingles(line: str) -> Column:
+def _shingles(line: str) -> str:
     code = f"encode({line}, 'UTF-16BE')"
-    return F.expr(f"array_distinct(transform(array({code}), c -> transform(sequence(0, greatest(cast(octet_length(c) div 2 as int) - {Q}, 0)),"
-                  f" p -> xxhash64(substring(c, 2 * p + 1, {2 * Q}))))[0])")
+    return (f"array_distinct(transform(array({code}), c -> transform(sequence(0, greatest(cast(octet_length(c) div 2 as int) - {Q}, 0)),"
+            f" p -> xxhash64(substring(c, 2 * p + 1, {2 * Q}))))[0])")
 
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -117,23 +133,22 @@ def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 def line_components(lines: DataFrame) -> DataFrame:
     """id, component of the distinct lines that are linked with another one."""
-    first, whole, again = _signed(lines)
-    buckets = line_buckets(first.where(~again).union(whole))
+    first, again = _signed(lines)
+    buckets = line_buckets(first.where("whole").union(again))
 
     def near(ids: DataFrame) -> DataFrame:
         return _texts(lines, ids)
 
     def marks(kept: DataFrame, ids: DataFrame) -> DataFrame:
         texts = likely_rows(kept, "id", ids).join(ids, "id", "left_semi")
-        return set_marks(texts.select("id", F.explode(_shingles("line")).alias("h")), WORDS)
+        return set_marks(texts.select("id", F.explode(F.expr(_shingles("line"))).alias("h")), WORDS)
 
     def verify(kept: DataFrame, pairs: DataFrame) -> DataFrame:
-        sets = paired(pairs, kept, "line").select("a", "b", _shingles("sa").alias("sa"), _shingles("sb").alias("sb"))
-        both = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-        return both.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
+        sets = F.inline(F.expr(f"array(named_struct('sa', {_shingles('sa')}, 'sb', {_shingles('sb')}))"))
+        return alike(paired(pairs, kept, "line").select("a", "b", sets), PERCENT)
 
     joined = linked_components(buckets, near, verify, marks, PERCENT)
-    release(first, whole)
+    release(first, again)
     return joined
 
 

@@ -36,6 +36,15 @@ def paired(pairs: DataFrame, kept: DataFrame, column: str) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
 
 
+def alike(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b of the ``pairs`` whose sets (arrays sa and sb) are links.  The size of
+    the intersection is a row of its own: a filter over a column would be pushed
+    below and make it, and the sets, anew wherever it names them."""
+    both = F.explode(F.array(F.size(F.array_intersect("sa", "sb")))).alias("both")
+    met = pairs.select("a", "b", (F.size("sa") + F.size("sb")).alias("sum"), both)
+    return met.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
+
+
 def not_ruled_out(pairs: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) that sizes and parities of ``marked`` (as ``set_marks``)
     do not rule out."""
@@ -145,8 +154,10 @@ def linked_components(buckets: DataFrame, near: Near, verify: Verify, marks: Ver
     Only pairs that sizes and parities do not rule out (exactly: no link is
     lost) become rows.  Members that no comparison touched lie in one component
     already, so no link between components that share a bucket is missed."""
-    leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = written(buckets.join(leaders.select("bucket", "leader").hint("merge"), "bucket").select("bucket", "id", "leader"))
+    leaders = written(buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader"))
+    shared = likely_rows(buckets, "bucket", leaders.select(F.col("bucket").alias("id")))
+    members = written(shared.join(leaders.hint("merge"), "bucket").select("bucket", "id", "leader"))
+    release(leaders)
     kept = written(near(members.select("id").distinct()))
     seen = first = written(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     named = components(verify(kept, seen))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regula.llm.links import components, likely_rows, linked_components, not_ruled_out, paired
+from regula.llm.links import alike, components, likely_rows, linked_components, not_ruled_out, paired
 from regula.llm.text import lower_ascii, mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 from regula.session import release, written
 
@@ -141,10 +141,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return kept.drop("shingles").join(ids, "id", "left_semi").distinct()
 
     def verify(kept: DataFrame, pairs: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect("sa", "sb"))
         left.append(written(not_ruled_out(pairs, kept.drop("shingles"), percent)))
-        return paired(left[-1], kept, "shingles").withColumn("both", both) \
-            .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
+        return alike(paired(left[-1], kept, "shingles"), percent).distinct()
 
     found = linked_components(buckets, near, verify, marks, percent)
     release(sketches, *left)

@@ -278,3 +278,22 @@ def test_finished_stars_take_no_round(spark, monkeypatch):
         rounds.clear()
         got = links.components(spark.createDataFrame(edges, "a long, b long"))
         assert {r["id"]: r["component"] for r in got.collect()} == want and len(rounds) == 1
+
+
+def test_a_shingle_is_hashed_once_and_buckets_are_stored(spark):
+    docs = spark.createDataFrame([(1, cases.words(60) + "\n" + "ab" * 400)], "doc_id long, text string")
+    lines = linededup.line_rows(docs, "doc_id", "text")
+    plan = linededup._cells(lines, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(substring(") == 1
+    signed = linededup.signatures(lines)
+    assert not [c for c in signed.columns if c.startswith("c")]
+    parts = signed.groupBy("k").agg(F.count("*").alias("n")).collect()
+    assert [r["n"] for r in parts] == [linededup.PARTS] * 2
+
+
+def test_sets_of_a_pair_are_made_once(spark):
+    pairs = spark.createDataFrame([(1, 2, [1, 2, 3, 4], [1, 2, 3, 4, 5]), (1, 3, [1, 2, 3, 4], [1, 2, 3, 9])],
+                                  "a long, b long, sa array<long>, sb array<long>")
+    met = links.alike(pairs, 80)
+    assert [(r["a"], r["b"]) for r in met.collect()] == [(1, 2)]
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
