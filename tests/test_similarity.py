@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from regula.operators.similarity import _Index, similar_items, similar_items_lsh
+from regula.plans.registry import ORACLES, QUERIES, load_all
 
 COLS = ["item", "name"]
 
@@ -64,6 +65,32 @@ def test_few_items_and_profiles_at_the_mean(spark):
     assert similar_items(entries.limit(0), items.limit(0), COLS, items.limit(0)).count() == 0
 
 
+def test_every_item_is_asked_for_where_no_queries_are_stated(spark):
+    rng = np.random.default_rng(5)
+    dense = (rng.integers(0, 4, (120, 6)) * (rng.random((120, 6)) < 0.4)).astype(float)
+    keys, entries, items = dense_table(spark, dense)
+    got, want = rows(similar_items(entries, items, COLS, k=5, shard=16, block=8)), neighbours(dense, keys, range(120), 5)
+    assert got.keys() == want.keys()
+    assert all([i for i, _ in got[key]] == [i for i, _ in found] for key, found in want.items())
+
+
+def test_every_drug_gets_recommendations(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    load_all()
+    con = duckdb.connect()
+    for name, sql in {
+            "customer": "SELECT range AS c_custkey, 'c' || range AS c_name FROM range(3)",
+            "orders": "SELECT range AS o_orderkey, range % 3 AS o_custkey, ['F', 'O', 'P'][range % 3 + 1] AS o_orderstatus, '1-URGENT' AS o_orderpriority FROM range(1, 50)",
+            "part": "SELECT range AS p_partkey, 'n' || range AS p_name, ['SMALL', 'LARGE'][range % 2 + 1] AS p_type, 'b' AS p_brand, 7 AS p_size FROM range(9)",
+            "lineitem": "SELECT 1 + range % 49 AS l_orderkey, range % 9 AS l_partkey, 1 + range % 5 AS l_linenumber, ['F', 'O'][range % 2 + 1] AS l_linestatus FROM range(150)"}.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet'")
+    found = QUERIES["M23_drug_recommendations_top5"](spark, str(tmp_path))
+    got = sorted(tuple(r[c] for c in ("q_ApplNo", "q_DrugName", "rank", "ApplNo", "DrugName")) for r in found.collect())
+    assert {r[0] for r in got} == set(range(1, 50))
+    assert got == sorted(con.execute(f"SELECT q_ApplNo, q_DrugName, rank, ApplNo, DrugName FROM ({ORACLES['M23_drug_recommendations_top5']})").fetchall())
+
+
 def test_bounds_save_work():
     rng = np.random.default_rng(2)
     n, width = 3000, 60
