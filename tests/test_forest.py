@@ -2,14 +2,20 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.sql import functions as F
 
 from regula.operators import forest as T
 from regula.operators import forest_grid as G
+from regula.operators import models
 
 FEATURES = ["x0", "x1", "x2"]
 
 
+class Stop(Exception):
+    pass
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     n = spark.range(0, 6000, 1, 4).select("id", *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(50)) / 50.0).alias(f"x{i}") for i in range(3)])
@@ -96,12 +102,48 @@ def test_shared_levels_split_as_one_task_does(spark, table, monkeypatch):
     assert whole[0].tolist() == parts[0].tolist() == [1.0]
 
 
+def test_a_forest_scores_as_well_as_sparks(spark, table):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import vector_to_array
+    train, test = (table.where(f"id % 5 {how} 0").withColumnRenamed("label", "IsApproved") for how in ("<>", "="))
+    metrics, out = models.train_classifiers(train, test, FEATURES, key_cols=("id",), models=["Random Forest"])
+    spark_s = RandomForestClassifier(labelCol="IsApproved", numTrees=100, maxDepth=30, seed=3).fit(models.assembled(train, FEATURES))
+    pred = spark_s.transform(models.assembled(test, FEATURES)).withColumn("p1", vector_to_array("probability")[1])
+    (got,), (want,) = metrics.collect(), models._metrics(pred, "Spark", "IsApproved").collect()
+    assert abs(got["auc"] - want["auc"]) < 0.02 and abs(got["accuracy"] - want["accuracy"]) < 0.03
+    model, scored = out["Random Forest"]
+    assert np.allclose(model.featureImportances.toArray(), spark_s.featureImportances.toArray(), atol=0.05)
+    assert scored.count() == 1200 and scored.where("prediction <> cast(p1 > 0.5 as double)").count() == 0
+
+
+@pytest.mark.parametrize("kind, name", [(LogisticRegression, "Logistic Regression"), (GBTClassifier, "Gradient Boosting"), (LinearSVC, "SVM")])
+def test_classifiers_are_fitted_on_all_training_rows(spark, table, monkeypatch, kind, name):
+    seen = []
+
+    def fit(self, df):
+        seen.append(df.count())
+        raise Stop
+
+    monkeypatch.setattr(kind, "fit", fit)
+    d = table.withColumnRenamed("label", "IsApproved")
+    with pytest.raises(Stop):
+        models.train_classifiers(d.where("id < 5000"), d.where("id >= 5000"), FEATURES, key_cols=("id",), models=[name], score=False)
+    assert seen == [5000]
+
+
 def _grown_on(monkeypatch, module):
     seen, real = [], T.grown
     monkeypatch.setattr(module, "grown", lambda rows, plans, *more: (seen.append([T._bag_rows(rows, p) for p in plans]), real(rows, plans, *more))[1])
     return seen
 
 
+def test_the_forest_is_grown_on_all_training_rows(spark, table, monkeypatch):
+    seen = _grown_on(monkeypatch, models)
+    d = table.withColumnRenamed("label", "IsApproved")
+    models.train_classifiers(d.where("id < 5000"), d.where("id >= 5000"), FEATURES, key_cols=("id",), models=["Random Forest"], score=False)
+    assert seen == [[5000] * 100]
+
+
 def test_the_grid_search_grows_on_all_rows_of_the_other_folds(spark, table, monkeypatch):
     seen = _grown_on(monkeypatch, G)
     found = G.forest_grid_search(table.where("id < 5000"), table.where("id >= 5000"), FEATURES, "label", ("id",), folds=4, trees=(1, 2),
