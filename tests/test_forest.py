@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from regula.operators import forest as T
 from regula.operators import forest_grid as G
-from regula.operators import models
+from regula.operators import ml_tables, models
+from regula.plans import q_models
+from regula.plans.registry import QUERIES
 
 FEATURES = ["x0", "x1", "x2"]
 
@@ -131,6 +133,25 @@ def test_classifiers_are_fitted_on_all_training_rows(spark, table, monkeypatch,
     assert seen == [5000]
 
 
+@pytest.mark.parametrize("query", ["K6_best_classifier_by_auc"])
+def test_queries_fit_all_models_on_all_training_rows(spark, monkeypatch, query):
+    seen = {}
+    d = spark.range(0, 6000, 1, 4).select(F.col("id").alias("ApplNo"), (F.col("id") % 7).alias("SubmissionNo"), (F.col("id") % 2).alias("IsApproved"),
+                                          *[(F.col("id") % (i + 3)).alias(c) for i, c in enumerate(ml_tables.FEATURES)])
+    monkeypatch.setattr(q_models, "_split_features", lambda *_: (d.where("ApplNo < 5000"), d.where("ApplNo >= 5000")))
+
+    def stop(name, rows):
+        seen[name] = rows
+        raise Stop
+
+    for kind in (LogisticRegression, GBTClassifier, LinearSVC):
+        monkeypatch.setattr(kind, "fit", lambda self, df: stop(type(self).__name__, df.count()))
+    monkeypatch.setattr(models, "grown", lambda rows, plans, *_: stop("Forest", {T._bag_rows(rows, p) for p in plans}))
+    with pytest.raises(Stop):
+        QUERIES[query](spark, "")
+    assert seen == {"LogisticRegression": 5000, "GBTClassifier": 5000, "LinearSVC": 5000, "Forest": {5000}}
+
+
 def _grown_on(monkeypatch, module):
     seen, real = [], T.grown
     monkeypatch.setattr(module, "grown", lambda rows, plans, *more: (seen.append([T._bag_rows(rows, p) for p in plans]), real(rows, plans, *more))[1])
