@@ -133,7 +133,7 @@ def test_classifiers_are_fitted_on_all_training_rows(spark, table, monkeypatch,
     assert seen == [5000]
 
 
-@pytest.mark.parametrize("query", ["K6_best_classifier_by_auc", "M6_roc_per_model"])
+@pytest.mark.parametrize("query", ["K6_best_classifier_by_auc", "M6_roc_per_model", "M10_M11_reports_per_model"])
 def test_queries_fit_all_models_on_all_training_rows(spark, monkeypatch, query):
     seen = {}
     d = spark.range(0, 6000, 1, 4).select(F.col("id").alias("ApplNo"), (F.col("id") % 7).alias("SubmissionNo"), (F.col("id") % 2).alias("IsApproved"),
